@@ -240,14 +240,17 @@ def likely_company(org: Column, blacklist: Sequence[str] = NON_COMPANY_KEYWORDS,
 ORG_PATTERN = r"\p{Lu}[\p{L}\p{N}&./-]*(?: \p{Lu}[\p{L}\p{N}&./-]*)*"
 
 
-def organisations(text: Column, max_chars: int = 2000, pattern: str = ORG_PATTERN,
+def organisations(text: Column, max_chars: int | None = None, pattern: str = ORG_PATTERN,
                   min_len: int = 3, company_only: bool = True) -> Column:
-    """Distinct organisation-like mentions in the first ``max_chars`` characters.
+    """Distinct organisation-like mentions of the text (``max_chars`` limits the search to the head
+    of the text, as the study's entity step did; ``None`` = the whole text).
 
     Default extractor is a capitalised-phrase rule (no model); names are trimmed, kept when at
     least ``min_len`` long and (optionally) likely companies.
     """
-    head = F.substring(F.coalesce(text, F.lit("")), 1, max_chars)
+    head = F.coalesce(text, F.lit(""))
+    if max_chars:
+        head = F.substring(head, 1, max_chars)
     found = F.transform(F.regexp_extract_all(head, F.lit(pattern), 0), lambda s: F.trim(s))
     keep = (lambda s: (F.length(s) >= min_len) & likely_company(s)) if company_only \
         else (lambda s: F.length(s) >= min_len)

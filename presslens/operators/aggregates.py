@@ -372,3 +372,43 @@ def cluster_summary(df: DataFrame, group: str = "cluster", text_col: str = "text
 def flag_total(df: DataFrame, cond: Column) -> DataFrame:
     """Rows meeting a condition and all rows."""
     return df.agg(F.count_if(F.coalesce(cond, F.lit(False))).alias("n_true"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Count, mean, std, min, 25%, 50%, 75%, max per numeric column, as a long table
+    (column, statistic, value).  Quartiles are exact and computed without a one-task gather."""
+    from presslens.operators.stats import exact_quantiles
+
+    parts = []
+    for c in cols:
+        x = F.col(c).cast("double")
+        base = df.agg(F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
+                      F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+        parts.append(base.select(F.lit(c).alias("column"),
+                                 F.inline(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value"))
+                                                    for s in ("count", "mean", "std", "min", "max")]))))
+        q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
+        parts.append(q.select(F.lit(c).alias("column"),
+                              F.concat((F.col("p") * 100).cast("int").cast("string"), F.lit("%")).alias("statistic"),
+                              F.col("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def topic_barrier_matrix(df: DataFrame, topic: str = "ai_topic_llm", barrier: str = "ai_barrier_type_llm",
+                         top_topics: int = 20, top_barriers: int = 10,
+                         sentinels: Sequence[str] = ("none", "nan", "other", "unknown")) -> DataFrame:
+    """Clean both labels (strip, lower, '' -> null), drop sentinels, keep the top topics and
+    top barriers, count each pair and give its percent of the topic's row (long form)."""
+    from presslens.operators.windows import keep_top_categories
+
+    t = P.clean_label(F.col(topic), lower=True)
+    b = P.clean_label(F.col(barrier), lower=True)
+    src = (df.select(t.alias("topic"), b.alias("barrier"))
+             .filter(F.col("topic").isNotNull() & F.col("barrier").isNotNull()
+                     & ~F.col("topic").isin(list(sentinels)) & ~F.col("barrier").isin(list(sentinels))))
+    src = keep_top_categories(keep_top_categories(src, "topic", top_topics), "barrier", top_barriers)
+    counts = src.groupBy("topic", "barrier").agg(F.count(F.lit(1)).alias("count"))
+    return share_within(counts, "count", ["topic"], "row_pct")

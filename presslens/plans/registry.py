@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from presslens.sources import fixtures
 
@@ -16,13 +17,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, views: Sequence[str] = (), sql: str | None = None):
-    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with its oracle SQL."""
+def query(name: str, views: Sequence[str] = (), sql: str | None = None, rounded: Sequence[str] = (),
+          digits: int = 6):
+    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with its oracle SQL.
+
+    ``rounded`` names DOUBLE columns whose last bits depend on summation order; both sides round
+    them to ``digits`` decimals so the value hashes compare the numbers, not the order of adding.
+    """
 
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
+        if rounded:
+            def run(spark, sf, _fn=fn):
+                df = _fn(spark, sf)
+                return df.select(*[F.round(F.col(c), digits).alias(c) if c in rounded else F.col(c)
+                                   for c in df.columns])
+            QUERIES[name] = run
+        else:
+            QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = fixtures.with_views(sql, views)
+            text = fixtures.with_views(sql, views)
+            if rounded:
+                reps = ", ".join(f"round({c}, {digits}) AS {c}" for c in rounded)
+                text = f"SELECT * REPLACE ({reps}) FROM (\n{text}\n) AS q"
+            ORACLES[name] = text
         return fn
 
     return deco
