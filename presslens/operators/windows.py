@@ -28,13 +28,14 @@ def dup_flag(df: DataFrame, keys: Sequence[str], out: str = "is_dup") -> DataFra
     Counted with a partial aggregate and joined back on the keys (null-safe), so a hot key is
     pre-counted map-side; the join side is one row per key.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) \
+        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
     cond = None
-    for k in keys:
-        c = df[k].eqNullSafe(counts[k])
+    for i, k in enumerate(keys):
+        c = F.col(k).eqNullSafe(F.col(f"_k{i}"))
         cond = c if cond is None else cond & c
     j = df.join(counts, cond, "left")
-    return j.select(*[df[c] for c in df.columns], (F.col("_n") > 1).alias(out))
+    return j.select(*df.columns, (F.col("_n") > 1).alias(out))
 
 
 def rank_pick(df: DataFrame, by: str, label: str, rank: int = 2) -> DataFrame:
