@@ -1,3 +1,180 @@
-"""Registered queries."""
+"""Registered queries: text operators T01-T19."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from presslens.functions import text as T
+from presslens.operators import aggregates as A
+from presslens.operators import text as TX
+from presslens.plans import sqlgen as S
+from presslens.plans.q_aggregates import SENTIMENT_SQL, _sentiment
+from presslens.plans.q_trends import SCORED_SQL
+from presslens.plans.registry import query
+from presslens.plans.trends import scored_news
+from presslens.sources.fixtures import view
+
+KEYWORDS = ["ai", "de", "license", "keit", "tion"]
+
+
+def _news(spark, sf):
+    return view(spark, sf, "news")
+
+
+@query("t01_keyword_score", ["news"], f"""
+SELECT orig_index, {S.keyword_score_sql('plain_text', KEYWORDS)} AS keyword_score FROM news""")
+def t01_keyword_score(spark, sf):
+    return TX.keyword_score(_news(spark, sf), KEYWORDS).select("orig_index", "keyword_score")
+
+
+@query("t02_keyword_score_plain", ["news"], "SELECT orig_index, " + " + ".join(
+    f"CAST(contains(lower(coalesce(plain_text, '')), '{k}') AS INT)" for k in KEYWORDS) + " AS keyword_score FROM news")
+def t02_keyword_score_plain(spark, sf):
+    return TX.keyword_score_plain(_news(spark, sf), KEYWORDS).select("orig_index", "keyword_score")
+
+
+@query("t03_keyword_flag", ["news_raw"], """
+SELECT orig_index,
+  coalesce(contains(lower(plain_text), 'license') OR contains(lower(plain_text), 'keit'), FALSE) AS is_ai_folded,
+  coalesce(contains(lower(plain_text), 'License') OR contains(lower(plain_text), 'keit'), FALSE) AS is_ai_case_trap
+FROM news_raw""")
+def t03_keyword_flag(spark, sf):
+    d = TX.keyword_flag(view(spark, sf, "news_raw"), ["License", "keit"], True, out="is_ai_folded")
+    d = TX.keyword_flag(d, ["License", "keit"], False, out="is_ai_case_trap")
+    return d.select("orig_index", "is_ai_folded", "is_ai_case_trap")
+
+
+REGEX_WORDS = ["license", "keit", "a+b", "tion."]
+
+
+@query("t04_regex_flag", ["news_raw"], f"""
+SELECT orig_index, coalesce(regexp_matches(lower(plain_text), {S.lit(T.alternation(REGEX_WORDS))}), FALSE) AS is_ai
+FROM news_raw""")
+def t04_regex_flag(spark, sf):
+    return TX.regex_flag(view(spark, sf, "news_raw"), REGEX_WORDS).select("orig_index", "is_ai")
+
+
+PATTERNS = [r"licen[cs]e[sd]?", r"ai", r"apache (software )?foundation"]
+
+
+@query("t05_regex_filter", ["news_raw"], f"""
+SELECT orig_index FROM news_raw WHERE coalesce(regexp_matches(lower(plain_text),
+  {S.lit('(^|' + T.NON_WORD + ')(' + '|'.join(f'(?:{p})' for p in PATTERNS) + ')($|' + T.NON_WORD + ')')}), FALSE)""")
+def t05_regex_filter(spark, sf):
+    return TX.regex_filter(view(spark, sf, "news_raw"), PATTERNS).select("orig_index")
+
+
+CITIES = ["Version", "Apache", "License"]
+
+
+@query("t06_first_city", ["news"], f"""
+SELECT orig_index, city, city IS NOT NULL AS has_city FROM (
+  SELECT orig_index, CASE WHEN h <> '' THEN concat(upper(substring(h, 1, 1)), lower(substring(h, 2))) END AS city
+  FROM (SELECT orig_index, regexp_extract(lower(plain_text), {S.lit(T.alternation(CITIES))}, 1) AS h FROM news))""")
+def t06_first_city(spark, sf):
+    return TX.first_city(_news(spark, sf), CITIES).select("orig_index", "city", "has_city")
+
+
+COMPANIES = ["Apache", "License", "Software Foundation"]
+
+
+@query("t07_companies", ["news"], f"""
+SELECT orig_index, company, company <> '' AS has_company FROM (
+  SELECT orig_index, {S.companies_sql('plain_text', COMPANIES)} AS company FROM news)""")
+def t07_companies(spark, sf):
+    return TX.companies(_news(spark, sf), COMPANIES).select("orig_index", "company", "has_company")
+
+
+PHRASES_SQL = f"""ph AS (SELECT DISTINCT trim(o) AS organisation FROM (
+  SELECT unnest(regexp_extract_all(coalesce(plain_text, ''), {S.lit(T.ORG_PATTERN)}, 0)) AS o FROM news))"""
+
+
+def _phrases(spark, sf):
+    found = F.regexp_extract_all(F.coalesce(F.col("plain_text"), F.lit("")), F.lit(T.ORG_PATTERN), 0)
+    return _news(spark, sf).select(F.explode(found).alias("o")).select(F.trim("o").alias("organisation")).distinct()
+
+
+@query("t08_actor_type", ["news"], f"""
+WITH {PHRASES_SQL}
+SELECT organisation, {S.actor_type_sql('organisation')} AS actor_type FROM ph""")
+def t08_actor_type(spark, sf):
+    return TX.actor_type(_phrases(spark, sf))
+
+
+@query("t09_likely_company", ["news"], f"""
+WITH {PHRASES_SQL}
+SELECT organisation, {S.likely_company_sql('organisation')} AS likely_company FROM ph""")
+def t09_likely_company(spark, sf):
+    return TX.likely_company(_phrases(spark, sf))
+
+
+@query("t10_organisations", ["news"], f"""
+SELECT orig_index, list_sort({S.organisations_sql('plain_text')}) AS organisations FROM news""")
+def t10_organisations(spark, sf):
+    d = TX.organisations(_news(spark, sf))
+    return d.select("orig_index", F.array_sort("organisations").alias("organisations"))
+
+
+@query("t11_sentiment_score", ["news", "lexicon"], f"""
+WITH {SENTIMENT_SQL}
+SELECT orig_index, sentiment FROM lab""", rounded=["sentiment"])
+def t11_sentiment_score(spark, sf):
+    return _sentiment(spark, sf).select("orig_index", "sentiment")
+
+
+@query("t12_sentiment_label", ["news", "lexicon"], f"""
+WITH {SENTIMENT_SQL}
+SELECT orig_index, sentiment_label FROM lab""")
+def t12_sentiment_label(spark, sf):
+    return _sentiment(spark, sf).select("orig_index", "sentiment_label")
+
+
+@query("t13_truncate", ["llm_out"], """
+SELECT orig_index, CASE WHEN length(ai_topic_llm) > 6 THEN concat(substring(ai_topic_llm, 1, 6), '…')
+                        ELSE ai_topic_llm END AS topic_short FROM llm_out""")
+def t13_truncate(spark, sf):
+    return TX.truncate(view(spark, sf, "llm_out"), "ai_topic_llm", 6, "…", out="topic_short") \
+        .select("orig_index", "topic_short")
+
+
+@query("t14_shorten_words", ["news"], """
+SELECT orig_index, CASE WHEN len(w) > 3 THEN concat(array_to_string(w[1:3], ' '), '…') ELSE array_to_string(w, ' ') END
+       AS title_short
+FROM (SELECT orig_index, list_filter(regexp_split_to_array(trim(title), '\\s+'), lambda x: x <> '') AS w FROM news)""")
+def t14_shorten_words(spark, sf):
+    return TX.shorten_words(_news(spark, sf), "title", 3, out="title_short").select("orig_index", "title_short")
+
+
+@query("t15_month_key", ["news"], """
+SELECT orig_index, strftime(try_cast(published_date AS TIMESTAMP), '%Y-%m') AS month FROM news""")
+def t15_month_key(spark, sf):
+    return TX.month_key(_news(spark, sf)).select("orig_index", "month")
+
+
+GLOSS = {"der": "the", "und": "and", "les": "the", "des": "of the", "die": "the", "los": "the", "las": "the"}
+
+
+@query("t16_translate_terms", ["news"], f"""
+WITH w AS (SELECT word, count(*) AS count FROM (
+  SELECT unnest(regexp_extract_all(lower(coalesce(plain_text, '')), '[\\p{{L}}\\p{{N}}_]+', 0)) AS word FROM news)
+  WHERE regexp_matches(word, '^[a-z]{{3,}}$') GROUP BY 1 ORDER BY count DESC, word LIMIT 40)
+SELECT word, count, coalesce(CASE word {' '.join(f"WHEN {S.lit(k)} THEN {S.lit(v)}" for k, v in GLOSS.items())} END,
+                             word) AS english FROM w""")
+def t16_translate_terms(spark, sf):
+    words = A.word_counts(_news(spark, sf), top=40)
+    out = TX.translate_terms(words, "word", GLOSS, "english")
+    return out.withColumn("english", F.coalesce(F.col("english"), F.col("word")))
+
+
+@query("t17_tokens_text", ["news"], f"""
+WITH {SCORED_SQL}
+SELECT word, count(*) AS count FROM (
+  SELECT unnest(regexp_extract_all(lower(coalesce(plain_text, '')), '[\\p{{L}}\\p{{N}}_]+', 0)) AS word
+  FROM scored WHERE is_ai) WHERE regexp_matches(word, '^[a-z]{{3,}}$') GROUP BY 1""")
+def t17_tokens_text(spark, sf):
+    return A.word_counts(scored_news(_news(spark, sf)).filter("is_ai"), top=None)
+
+
+@query("t19_text_len", ["news_raw"], "SELECT orig_index, length(plain_text) AS text_len FROM news_raw")
+def t19_text_len(spark, sf):
+    return TX.text_len(view(spark, sf, "news_raw")).select("orig_index", "text_len")

@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, views: Sequence[str] = (), sql: str | None = None, rounded: Sequence[str] = (),
-          digits: int = 6):
+          digits: int = 6, rounded_arrays: Sequence[str] = ()):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with its oracle SQL.
 
     ``rounded`` names DOUBLE columns whose last bits depend on summation order; both sides round
@@ -26,18 +26,27 @@ def query(name: str, views: Sequence[str] = (), sql: str | None = None, rounded:
     """
 
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
-        if rounded:
+        if rounded or rounded_arrays:
             def run(spark, sf, _fn=fn):
                 df = _fn(spark, sf)
-                return df.select(*[F.round(F.col(c), digits).alias(c) if c in rounded else F.col(c)
-                                   for c in df.columns])
+
+                def rnd(c):
+                    if c in rounded:
+                        return F.round(F.col(c), digits).alias(c)
+                    if c in rounded_arrays:
+                        return F.transform(F.col(c), lambda x: F.round(x.cast("double"), digits)).alias(c)
+                    return F.col(c)
+
+                return df.select(*[rnd(c) for c in df.columns])
             QUERIES[name] = run
         else:
             QUERIES[name] = fn
         if sql is not None:
             text = fixtures.with_views(sql, views)
-            if rounded:
-                reps = ", ".join(f"round({c}, {digits}) AS {c}" for c in rounded)
+            if rounded or rounded_arrays:
+                reps = ", ".join([f"round({c}, {digits}) AS {c}" for c in rounded]
+                                 + [f"list_transform({c}, lambda x: round(CAST(x AS DOUBLE), {digits})) AS {c}"
+                                    for c in rounded_arrays])
                 text = f"SELECT * REPLACE ({reps}) FROM (\n{text}\n) AS q"
             ORACLES[name] = text
         return fn
