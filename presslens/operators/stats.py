@@ -1,14 +1,18 @@
-"""Exact order statistics without gathering a column into one task.
-
-``percentile`` in Spark keeps every distinct value of the column in one
-aggregation buffer for a global quantile.  Here the column is first collapsed
-to (value, count) with a partial aggregate (hot values shrink to one row per
-partition), split into value ranges by a bounded sketch (``percentile_approx``
-only spreads the work; it never decides the answer), and the running count
-inside each range is a window partitioned by range.  Range totals form a tiny
-table (one row per range).  The wanted ranks are then found by comparing
-running counts, so the result is exact: linear interpolation between the
-order statistics at ``p * (n - 1)``, as ``percentile`` / DuckDB ``quantile_cont``.
+"""Order statistics and running totals without gathering a column into one task.
+
+Spark's ``percentile`` keeps every distinct value of the column in one
+aggregation buffer for a global quantile, and a window without a partition key
+runs in one task.  Both are avoided here:
+
+1. the column is collapsed to (value, count) with a partial aggregate, so hot
+   values shrink to one row per input partition;
+2. a bounded sketch (``percentile_approx``) cuts the value axis into ranges;
+   it only spreads the work and never decides an answer;
+3. running counts are a window partitioned by range, plus a tiny per-range
+   offset table (one row per range).
+
+Results are exact: quantiles interpolate linearly between the order
+statistics at ``p * (n - 1)`` (as ``percentile`` / DuckDB ``quantile_cont``).
 """
 
 from __future__ import annotations
@@ -19,63 +23,89 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], ranges: int | None = None,
-                    group: str | None = None) -> DataFrame:
-    """Exact quantiles ``(p, value)`` of a numeric column (nulls and NaN ignored).
-
-    With ``group`` the quantiles are per group (one row per group and p).  ``ranges`` is the
-    number of value ranges the sorted column is cut into (default: the shuffle partitions).
-    """
-    spark = df.sparkSession
+def _ranges(spark, ranges: int | None) -> int:
     if ranges is None:
         ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    x = (F.col(col) if isinstance(col, str) else col).cast("double")
+    return ranges
+
+
+def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], group: str | None = None,
+                 ranges: int | None = None) -> DataFrame:
+    """Add ``<c>_before``: the sum of ``c`` over all rows with a smaller ``order_col`` (per group).
+
+    ``df`` must hold one row per (group, order value) - an aggregated table.  The prefix sums are
+    computed per value range and shifted by the totals of the preceding ranges.
+    """
+    ranges = _ranges(df.sparkSession, ranges)
     g = F.col(group) if group else F.lit(0)
-    vals = (df.select(g.alias("_g"), x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-              .groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    src = df.withColumn("_g", g)
 
     def small(d: DataFrame) -> DataFrame:
-        # without groups these tables have a fixed row count (1, ranges, or 2 x len(probs))
+        # without groups these tables have a fixed size (one row, or one row per range)
         return F.broadcast(d) if group is None else d
 
     edges_p = [i / ranges for i in range(1, ranges)]
-    edges = vals.groupBy("_g").agg(F.percentile_approx("_v", edges_p, 10 * ranges).alias("_edges"))
-    ranged = (vals.join(small(edges), "_g")
-                  .withColumn("_r", F.size(F.filter(F.col("_edges"), lambda e: e < F.col("_v"))))
-                  .drop("_edges"))
-    w = Window.partitionBy("_g", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("_cum", F.sum("_c").over(w))
-    tot = ranged.groupBy("_g", "_r").agg(F.sum("_c").alias("_rc"))
+    edges = src.groupBy("_g").agg(F.percentile_approx(F.col(order_col).cast("double"), edges_p, 10 * ranges)
+                                  .alias("_edges"))
+    ranged = (src.join(small(edges), "_g")
+                 .withColumn("_r", F.size(F.filter(F.col("_edges"), lambda e: e < F.col(order_col).cast("double"))))
+                 .drop("_edges"))
+    w = Window.partitionBy("_g", "_r").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_l_{c}") for c in sum_cols])
+    tot = ranged.groupBy("_g", "_r").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offs = (tot.withColumn("_off", F.coalesce(F.sum("_rc").over(before), F.lit(0)))
-               .withColumn("_n", F.sum("_rc").over(Window.partitionBy("_g"))))
-    # running count over the whole sorted column: [start, end) ranks held by each distinct value
-    ranked = (local.join(small(offs), ["_g", "_r"])
-                   .select("_g", "_v", (F.col("_cum") + F.col("_off") - F.col("_c")).alias("_start"),
-                           (F.col("_cum") + F.col("_off")).alias("_end")))
+    offs = tot.select("_g", "_r", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
+                                    for c in sum_cols])
+    out = local.join(small(offs), ["_g", "_r"])
+    out = out.select(*df.columns, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{c}_before") for c in sum_cols])
+    return out
+
+
+def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], ranges: int | None = None,
+                    group: str | None = None) -> DataFrame:
+    """Exact quantiles ``(p, value)`` of a numeric column (nulls and NaN ignored).
+
+    With ``group`` the quantiles are per group (one row per group and p).
+    """
+    x = (F.col(col) if isinstance(col, str) else col).cast("double")
+    g = F.col(group) if group else F.lit(0)
+    vals = (df.select(g.alias("_grp"), x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+              .groupBy("_grp", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    ranked = running_sums(vals, "_v", ["_c"], group="_grp", ranges=ranges) if group else \
+        running_sums(vals.drop("_grp"), "_v", ["_c"], ranges=ranges).withColumn("_grp", F.lit(0))
+    totals = vals.groupBy("_grp").agg(F.sum("_c").alias("_n"))
     ps = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (offs.select("_g", "_n").distinct()
-                   .select("_g", F.posexplode(ps).alias("_pi", "_p"), "_n")
-                   .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
-                   .select("_g", "_pi", "_p", "_pos",
-                           F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_k")))
-    t = small(targets).alias("t")
-    r = ranked.alias("r")
-    hit = (r.join(t, (F.col("t._g") == F.col("r._g")) & (F.col("r._start") <= F.col("t._k"))
+    targets = (totals.select("_grp", F.posexplode(ps).alias("_pi", "_p"), "_n")
+                     .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
+                     .select("_grp", "_pi", "_p", "_pos",
+                             F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_k")))
+    t = (F.broadcast(targets) if group is None else targets).alias("t")
+    r = ranked.select("_grp", "_v", F.col("_c_before").alias("_start"),
+                      (F.col("_c_before") + F.col("_c")).alias("_end")).alias("r")
+    hit = (r.join(t, (F.col("t._grp") == F.col("r._grp")) & (F.col("r._start") <= F.col("t._k"))
                   & (F.col("t._k") < F.col("r._end")))
-            .select(F.col("t._g").alias("_g"), "t._pi", "t._p", "t._pos", "t._k", "r._v"))
-    out = (hit.groupBy("_g", "_pi", "_p", "_pos")
-              .agg(F.min_by("_v", "_k").alias("_a"), F.max_by("_v", "_k").alias("_b"),
-                   F.min("_k").alias("_k0"))
-              .select("_g", F.col("_p").alias("p"),
+            .select(F.col("t._grp").alias("_grp"), "t._pi", "t._p", "t._pos", "t._k", "r._v"))
+    out = (hit.groupBy("_grp", "_pi", "_p", "_pos")
+              .agg(F.min_by("_v", "_k").alias("_a"), F.max_by("_v", "_k").alias("_b"), F.min("_k").alias("_k0"))
+              .select("_grp", F.col("_p").alias("p"),
                       (F.col("_a") + (F.col("_pos") - F.col("_k0")) * (F.col("_b") - F.col("_a"))).alias("value")))
     if group:
-        return out.withColumnRenamed("_g", group)
-    return out.drop("_g")
+        return out.withColumnRenamed("_grp", group)
+    return out.drop("_grp")
 
 
-def quantile_row(df: DataFrame, col: str, probs: Sequence[float]) -> list[float]:
-    """The exact quantiles as a short Python list (one value per p; used to build thresholds)."""
+def quantile_values(df: DataFrame, col: str, probs: Sequence[float]) -> list[float]:
+    """The exact quantiles as a short Python list (one value per p; a bounded result)."""
     rows = exact_quantiles(df, col, probs).collect()
     by_p = {float(r["p"]): float(r["value"]) for r in rows}
     return [by_p[float(p)] for p in probs] if by_p else []
+
+
+def linspace(start: float, stop: float, n: int) -> list[float]:
+    """numpy.linspace: evenly spaced, last value exactly ``stop``."""
+    if n == 1:
+        return [float(start)]
+    step = (stop - start) / (n - 1)
+    out = [start + i * step for i in range(n)]
+    out[-1] = float(stop)
+    return out

@@ -67,16 +67,17 @@ def sample_per_group(df: DataFrame, by: Sequence[str], n: int, seed: int = 42, k
 def auc_ranks(df: DataFrame, score: str, label: str) -> DataFrame:
     """Average rank of every distinct score with its positive / negative counts.
 
-    Rows are collapsed to one row per distinct score first (partial aggregate); only that table
-    gets the global running sum.
+    Rows are collapsed to one row per distinct score first (partial aggregate); the running
+    count over the sorted scores is computed per value range (no one-task window).
     """
+    from presslens.operators.stats import running_sums
+
     per = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
              .groupBy(score).agg(F.count_if(F.col(label).cast("boolean")).alias("pos"),
-                                 F.count_if(~F.col(label).cast("boolean")).alias("neg")))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("pos") + F.col("neg")).over(w), F.lit(0))
-    n = F.col("pos") + F.col("neg")
-    return per.withColumn("avg_rank", before + (n + 1) / 2.0)
+                                 F.count_if(~F.col(label).cast("boolean")).alias("neg"))
+             .withColumn("_n", F.col("pos") + F.col("neg")))
+    ranked = running_sums(per, score, ["_n"])
+    return ranked.select(score, "pos", "neg", (F.col("_n_before") + (F.col("_n") + 1) / 2.0).alias("avg_rank"))
 
 
 # ---- ordering ----------------------------------------------------------------------------------
