@@ -1,3 +1,98 @@
-"""Registered queries."""
+"""Registered queries: clustering M01-M10 and the cluster summary A42."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from presslens.operators import clustering as M
+from presslens.operators.aggregates import cluster_summary
+from presslens.operators.vectors import cluster_centroids, representatives, similarity_to_centroid
+from presslens.plans import sqlgen as S
+from presslens.plans.q_vectors import CENTROID_SQL
+from presslens.plans.registry import query
+from presslens.sources.fixtures import view
+
+
+@query("m01_kmeans", ["clustered"])
+def m01_kmeans(spark, sf):
+    pred, _ = M.kmeans(view(spark, sf, "clustered").select("orig_index", "embedding"), 6, seed=42)
+    return pred.select("orig_index", "cluster")
+
+
+@query("m02_pca", ["clustered"])
+def m02_pca(spark, sf):
+    return M.pca(view(spark, sf, "clustered").select("orig_index", "embedding"), 2).select("orig_index", "pca")
+
+
+@query("m03_elbow_curve", ["embeddings"])
+def m03_elbow_curve(spark, sf):
+    return M.elbow_curve(view(spark, sf, "embeddings"), list(range(1, 9)), seed=42)
+
+
+@query("m04_elbow_pick", ["embeddings"])
+def m04_elbow_pick(spark, sf):
+    return M.elbow_pick(M.elbow_curve(view(spark, sf, "embeddings"), list(range(1, 9)), seed=42))
+
+
+DENSITY_EPS = 1.0
+
+
+@query("m06_density_clusters", ["clustered"])
+def m06_density_clusters(spark, sf):
+    return M.density_clusters(view(spark, sf, "clustered").select("orig_index", "embedding"), DENSITY_EPS,
+                              min_pts=3, min_size=5)
+
+
+@query("m07_label_clusters", ["llm_out"])
+def m07_label_clusters(spark, sf):
+    return M.label_clusters(view(spark, sf, "llm_out"), "ai_topic_llm", eps=0.5, min_pts=2, min_size=2)
+
+
+def _with_titles(spark, sf):
+    cl = view(spark, sf, "clustered")
+    return cl.join(view(spark, sf, "news").select("orig_index", "title"), "orig_index")
+
+
+@query("m08_cluster_profile", ["clustered", "news"], f"""
+WITH {CENTROID_SQL},
+s AS (SELECT c.orig_index, c.cluster, n.title, {S.dot_sql('c.embedding', 'cen.centroid')} AS sim
+      FROM clustered c JOIN cen ON c.cluster = cen.cluster JOIN news n ON c.orig_index = n.orig_index),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, orig_index ASC) AS rank FROM s)
+      WHERE rank <= 5)
+SELECT cen.cluster, cen.size, list(r.title ORDER BY r.rank) AS representatives,
+       list(r.title ORDER BY r.rank)[1] AS label_sentence
+FROM cen LEFT JOIN r ON cen.cluster = r.cluster GROUP BY cen.cluster, cen.size""")
+def m08_cluster_profile(spark, sf):
+    return M.cluster_profile(_with_titles(spark, sf), k=5)
+
+
+@query("a42_cluster_summary", ["clustered"], f"""
+WITH {CENTROID_SQL},
+s AS (SELECT c.orig_index, c.cluster, {S.dot_sql('c.embedding', 'cen.centroid')} AS sim
+      FROM clustered c JOIN cen ON c.cluster = cen.cluster),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, orig_index ASC) AS rank FROM s)
+      WHERE rank <= 3)
+SELECT cluster, CAST(count(*) AS BIGINT) AS size, list(CAST(orig_index AS VARCHAR) ORDER BY rank) AS representatives,
+       list(CAST(orig_index AS VARCHAR) ORDER BY rank)[1] AS label_sentence
+FROM r GROUP BY cluster""")
+def a42_cluster_summary(spark, sf):
+    cl = view(spark, sf, "clustered")
+    reps = representatives(similarity_to_centroid(cl, cluster_centroids(cl)), 3)
+    reps = reps.withColumn("text", F.col("orig_index").cast("string"))
+    return cluster_summary(reps.select("cluster", "text", "rank"), "cluster", "text", "rank", 3)
+
+
+@query("m09_two_level_topics", ["embeddings"])
+def m09_two_level_topics(spark, sf):
+    e = view(spark, sf, "embeddings").select(F.concat(F.lit("label "), F.col("vec_id").cast("string")).alias("text"),
+                                             "embedding")
+    return M.two_level_topics(e, k=7, top=5)
+
+
+@query("m10_plot_points", ["clustered"], """
+WITH top AS (SELECT cluster FROM clustered WHERE cluster IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, cluster LIMIT 3)
+SELECT orig_index, cluster, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y
+FROM clustered WHERE cluster IN (SELECT cluster FROM top)
+ORDER BY md5(concat_ws(':', CAST(orig_index AS VARCHAR), '42')), orig_index LIMIT 100""", rounded=["x", "y"])
+def m10_plot_points(spark, sf):
+    return M.plot_points(view(spark, sf, "clustered"), 100, 3)

@@ -59,5 +59,5 @@ def load_all() -> None:
     import importlib
 
     for mod in ("q_trends", "q_clean", "q_aggregates", "q_windows", "q_joins", "q_text", "q_vectors",
-                "q_labels", "q_evaluation", "q_cluster"):
+                "q_labels", "q_evaluation", "q_cluster", "q_sinks"):
         importlib.import_module(f"presslens.plans.{mod}")
