@@ -171,8 +171,8 @@ def e13_label_pool(spark, sf):
 
 
 @query("e14_precision_recall_subsets", ["judged"], """
-SELECT 0.4 AS threshold, count_if(ai_score > 0.4) AS n FROM judged
-UNION ALL SELECT 0.3, count_if(ai_score > 0.3) FROM judged""")
+SELECT CAST(0.4 AS DOUBLE) AS threshold, count_if(ai_score > 0.4) AS n FROM judged
+UNION ALL SELECT CAST(0.3 AS DOUBLE), count_if(ai_score > 0.3) FROM judged""")
 def e14_precision_recall_subsets(spark, sf):
     return E.precision_recall_subsets(_judged(spark, sf), "ai_score")
 

@@ -178,3 +178,10 @@ def t17_tokens_text(spark, sf):
 @query("t19_text_len", ["news_raw"], "SELECT orig_index, length(plain_text) AS text_len FROM news_raw")
 def t19_text_len(spark, sf):
     return TX.text_len(view(spark, sf, "news_raw")).select("orig_index", "text_len")
+
+
+@query("t18_snippets", ["news"], """
+SELECT orig_index, substring(plain_text, 1, 800) AS snippet FROM news
+ORDER BY md5(concat_ws(':', CAST(orig_index AS VARCHAR), '42')), orig_index LIMIT 20""")
+def t18_snippets(spark, sf):
+    return TX.snippets(_news(spark, sf), 20, 800, 42).select("orig_index", "snippet")

@@ -169,3 +169,8 @@ def m05_assign_nearest(spark, sf):
     cl = view(spark, sf, "clustered")
     cen = V.cluster_centroids(cl, renormalise=False)
     return V.assign_nearest(cl.select("orig_index", "embedding"), cen).select("orig_index", "prediction")
+
+
+@query("v11_embed", ["news"])
+def v11_embed(spark, sf):
+    return V.embed(view(spark, sf, "news").select("orig_index", "plain_text"), dim=64).select("orig_index", "embedding")
