@@ -175,7 +175,7 @@ def t17_tokens_text(spark, sf):
     return A.word_counts(scored_news(_news(spark, sf)).filter("is_ai"), top=None)
 
 
-@query("t19_text_len", ["news_raw"], "SELECT orig_index, length(plain_text) AS text_len FROM news_raw")
+@query("t19_text_len", ["news_raw"], "SELECT orig_index, CAST(length(plain_text) AS INT) AS text_len FROM news_raw")
 def t19_text_len(spark, sf):
     return TX.text_len(view(spark, sf, "news_raw")).select("orig_index", "text_len")
 

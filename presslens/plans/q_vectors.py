@@ -132,7 +132,8 @@ WITH {CENTROID_SQL},
 s AS (SELECT c.orig_index, c.cluster, {S.dot_sql('c.embedding', 'cen.centroid')} AS sim
       FROM clustered c JOIN cen ON c.cluster = cen.cluster)
 SELECT orig_index, cluster, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, orig_index ASC) AS rank FROM s) WHERE rank <= 3""")
+  SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, orig_index ASC) AS INT) AS rank FROM s)
+WHERE rank <= 3""")
 def w06_representatives(spark, sf):
     return V.representatives(_sims(spark, sf), k=3).select("orig_index", "cluster", "rank")
 
@@ -146,7 +147,8 @@ d AS (SELECT cen.topic, lab.text,
              sqrt(list_sum(list_transform(list_zip(lab.embedding, cen.c), lambda p: pow(CAST(p[1] AS DOUBLE) - p[2], 2))))
              AS distance FROM lab, cen)
 SELECT topic, text, distance, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY distance ASC, text ASC) AS rank FROM d) WHERE rank <= 5""",
+  SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY distance ASC, text ASC) AS INT) AS rank FROM d)
+WHERE rank <= 5""",
        rounded=["distance"])
 def o07_topic_top_sentences(spark, sf):
     lab = view(spark, sf, "embeddings").select(

@@ -42,7 +42,7 @@ def query(name: str, views: Sequence[str] = (), sql: str | None = None, rounded:
         else:
             QUERIES[name] = fn
         if sql is not None:
-            text = fixtures.with_views(sql, views)
+            text = _bigint_counts(fixtures.with_views(sql, views))
             if rounded or rounded_arrays:
                 reps = ", ".join([f"round({c}, {digits}) AS {c}" for c in rounded]
                                  + [f"list_transform({c}, lambda x: round(CAST(x AS DOUBLE), {digits})) AS {c}"
@@ -54,6 +54,22 @@ def query(name: str, views: Sequence[str] = (), sql: str | None = None, rounded:
     return deco
 
 
+def _bigint_counts(sql: str) -> str:
+    """Wrap every ``count_if(...)`` in ``CAST(... AS BIGINT)``: DuckDB returns HUGEINT, Spark BIGINT."""
+    out, i, tag = [], 0, "count_if("
+    while True:
+        j = sql.find(tag, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(tag)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "CAST(" + tag + _bigint_counts(sql[j + len(tag):k]) + " AS BIGINT)")
+        i = k
+
+
 def load_all() -> None:
     """Import the modules that register queries."""
     import importlib
