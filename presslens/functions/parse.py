@@ -89,14 +89,15 @@ def _clamp(x: Column, lo: float = 0.0, hi: float = 100.0) -> Column:
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
 
-def parse_answer5(answer: Column) -> Column:
+def parse_answer5(answer: Column, lines: Column | None = None) -> Column:
     """Five-line answer -> struct(is_ai_llm, ai_relevance_llm, ai_topic_llm, ai_barrier_llm,
     ai_barrier_type_llm, ai_barrier_summary_llm).
 
     The score is the first number anywhere in the answer, clamped to 0..100; without one it is
     100 for 'ja' and 0 otherwise.  Barrier 'none'-variants clear barrier and summary.
+    ``lines`` may pass already split lines (see :func:`answer_lines`).
     """
-    lines = answer_lines(answer)
+    lines = answer_lines(answer) if lines is None else lines
     label = F.coalesce(F.lower(_line(lines, 1)).startswith("ja"), F.lit(False))
     num = first_number(F.lower(strip(F.coalesce(answer, F.lit("")))))
     score = F.when(num.isNotNull(), _clamp(num)).when(label, F.lit(100.0)).otherwise(F.lit(0.0))
@@ -119,7 +120,10 @@ def norm_list(c: Column) -> Column:
     duplicates removed keeping the first spelling and order; joined with ', '."""
     t = strip(c)
     parts = F.filter(F.transform(F.split(t, ","), strip), lambda p: p != "")
-    uniq = F.filter(parts, lambda p, i: ~F.exists(F.slice(parts, 1, i), lambda q: F.lower(q) == F.lower(p)))
+    # one left fold: keep an item unless an earlier kept item equals it ignoring case
+    uniq = F.aggregate(parts, F.array().cast("array<string>"),
+                       lambda acc, p: F.when(F.exists(acc, lambda q: F.lower(q) == F.lower(p)), acc)
+                       .otherwise(F.concat(acc, F.array(p))))
     joined = F.array_join(uniq, ", ")
     return (F.when(c.isNull() | (c == ""), F.lit(DEFAULT_NONE))
             .when(F.lower(t).isin(NONE_VARIANTS), F.lit(DEFAULT_NONE))
@@ -147,13 +151,13 @@ def valid_format(answer: Column, min_lines: int = 10) -> Column:
     return F.coalesce(ok & (answer != ""), F.lit(False))
 
 
-def parse_answer10(answer: Column) -> Column:
+def parse_answer10(answer: Column, lines: Column | None = None) -> Column:
     """Ten-line answer -> struct of eleven typed fields.
 
     The score is read from line 2 only.  A 'ja' without AI terms or evidence flips the whole
     row to the defaults; a 'nej' forces terms and evidence to 'none'.
     """
-    lines = answer_lines(answer)
+    lines = answer_lines(answer) if lines is None else lines
     label = F.coalesce(F.lower(_line(lines, 1)).startswith("ja"), F.lit(False))
     num = first_number(_line(lines, 2))
     score = F.when(num.isNotNull(), _clamp(num)).when(label, F.lit(100.0)).otherwise(F.lit(0.0))

@@ -114,6 +114,36 @@ def boundary_pattern(term: str, escape: bool = True) -> str:
     return f"(^|{NON_WORD})({body})($|{NON_WORD})"
 
 
+def trie_regex(words: Sequence[str]) -> str:
+    """One regex that finds any of ``words`` as a substring, with common prefixes factored out.
+
+    A flat alternation makes the regex engine try every word at every position; the factored
+    form branches on one character at a time, so a set of ~100 substrings costs a few character
+    tests per position.  Java regex and RE2 read it the same way.
+    """
+    trie: dict = {}
+    for w in dict.fromkeys(words):
+        node = trie
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def build(node: dict) -> str:
+        if "" in node:          # a listed word ends here: longer words add nothing to "contains any"
+            return ""
+        branches = [regex_escape(ch) + build(child) for ch, child in sorted(node.items())]
+        return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+    return build(trie) if words else "(?!)"
+
+
+def contains_any(c: Column, needles: Sequence[str]) -> Column:
+    """Any of ``needles`` is a substring of ``c`` (one regex pass instead of a chain of tests)."""
+    if not needles:
+        return F.lit(False)
+    return c.rlike(trie_regex(list(needles)))
+
+
 def split_keywords(keywords: Sequence[str], short_len: int = 3) -> tuple[list[str], list[str]]:
     """Short keywords (<= ``short_len`` chars, no blank) are matched as words, the rest as substrings.
 
@@ -131,7 +161,9 @@ def keyword_hits(text: Column, keywords: Sequence[str], short_len: int = 3) -> l
     """One 0/1 column per keyword; ``text`` must already be lower case."""
     short, long_ = split_keywords(keywords, short_len)
     hits = [text.contains(kw.lower()).cast("int") for kw in long_]
-    hits += [text.rlike(boundary_pattern(kw.lower())).cast("int") for kw in short]
+    # the literal test is cheap and skips the regex for texts that cannot match
+    hits += [F.when(text.contains(kw.lower()), text.rlike(boundary_pattern(kw.lower()))).otherwise(F.lit(False))
+             .cast("int") for kw in short]
     return hits
 
 
@@ -161,14 +193,8 @@ def keyword_flag(text: Column, keywords: Sequence[str], fold_keywords: bool = Tr
     ``fold_keywords=False`` keeps the keywords as written, so entries with capitals never
     match the lowered text (the behaviour of the entity and sentiment scripts).
     """
-    low = F.lower(text)
     terms = [kw.lower() if fold_keywords else kw for kw in keywords]
-    if not terms:
-        return F.lit(False)
-    cond = low.contains(terms[0])
-    for t in terms[1:]:
-        cond = cond | low.contains(t)
-    return F.coalesce(cond, F.lit(False))
+    return F.coalesce(contains_any(F.lower(text), terms), F.lit(False))
 
 
 def alternation(keywords: Sequence[str], lower: bool = True) -> str:
@@ -178,7 +204,7 @@ def alternation(keywords: Sequence[str], lower: bool = True) -> str:
 
 def regex_flag(text: Column, keywords: Sequence[str]) -> Column:
     """Escaped alternation searched in the lowered text (null text is False)."""
-    return F.coalesce(F.lower(text).rlike(alternation(keywords)), F.lit(False))
+    return F.coalesce(contains_any(F.lower(text), [k.lower() for k in keywords]), F.lit(False))
 
 
 def regex_filter(text: Column, patterns: Sequence[str]) -> Column:
@@ -209,19 +235,12 @@ def companies(text: Column, names: Sequence[str]) -> Column:
     return F.array_join(F.array_compact(F.array(*found)), ", ")
 
 
-def _any_contains(c: Column, needles: Sequence[str]) -> Column:
-    cond = F.lit(False)
-    for n in needles:
-        cond = cond | c.contains(n)
-    return cond
-
-
 def actor_type(org: Column, rules=ACTOR_RULES, default: str = "Company") -> Column:
     """First rule whose substring occurs in the trimmed, lowered name (rules as written)."""
     o = F.lower(F.trim(org))
     out = F.lit(default)
     for name, needles in reversed(list(rules)):
-        out = F.when(_any_contains(o, needles), F.lit(name)).otherwise(out)
+        out = F.when(contains_any(o, needles), F.lit(name)).otherwise(out)
     return out
 
 
@@ -233,7 +252,7 @@ def likely_company(org: Column, blacklist: Sequence[str] = NON_COMPANY_KEYWORDS,
     """
     o = F.lower(F.trim(org))
     short_caps = (F.length(org) <= 3) & (org == F.upper(org)) & (org != F.lower(org))
-    return ~(_any_contains(o, blacklist) | _any_contains(o, generic) | short_caps)
+    return ~(contains_any(o, [*blacklist, *generic]) | short_caps)
 
 
 # Capitalised phrase: an upper-case letter starting a word, following capitalised words joined by blanks.
@@ -251,10 +270,19 @@ def organisations(text: Column, max_chars: int | None = None, pattern: str = ORG
     head = F.coalesce(text, F.lit(""))
     if max_chars:
         head = F.substring(head, 1, max_chars)
-    found = F.transform(F.regexp_extract_all(head, F.lit(pattern), 0), lambda s: F.trim(s))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(head, F.lit(pattern), 0), lambda s: F.trim(s)))
     keep = (lambda s: (F.length(s) >= min_len) & likely_company(s)) if company_only \
         else (lambda s: F.length(s) >= min_len)
-    return F.array_distinct(F.filter(found, keep))
+    return F.filter(found, keep)
+
+
+def organisation_mentions(text: Column, max_chars: int | None = None, pattern: str = ORG_PATTERN) -> Column:
+    """Distinct capitalised phrases of one text, before the company filter (explode, then filter
+    with :func:`likely_company` as a plain column expression)."""
+    head = F.coalesce(text, F.lit(""))
+    if max_chars:
+        head = F.substring(head, 1, max_chars)
+    return F.array_distinct(F.transform(F.regexp_extract_all(head, F.lit(pattern), 0), lambda s: F.trim(s)))
 
 
 def sentiment_label(score: Column, pos: float = 0.05, neg: float = -0.05) -> Column:
@@ -303,3 +331,4 @@ def word_runs(text: Column) -> Column:
 def whitespace_tokens(text: Column) -> Column:
     """``text.lower().split()``: blank-separated tokens without empties."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+

@@ -131,14 +131,30 @@ def company_year(df: DataFrame, col: str = "company", by: str = "year", flag: st
     return single.filter(F.col(by).isNotNull()).groupBy(col, by).agg(F.count(F.lit(1)).alias("count"))
 
 
-def distinct_entities(df: DataFrame, col: str = "organisations") -> DataFrame:
+def company_mentions(df: DataFrame, text_col: str = "plain_text", key: str = "orig_index",
+                     max_chars: int | None = None, out: str = "organisation") -> DataFrame:
+    """(key, organisation) rows: distinct capitalised phrases per article that look like companies.
+
+    Phrases are exploded first and filtered as a plain column expression (one factored regex per
+    name), the fast form of exploding :func:`organisations`.
+    """
+    ex = df.select(key, F.explode(T.organisation_mentions(F.col(text_col), max_chars)).alias(out))
+    return ex.filter((F.length(out) >= 3) & T.likely_company(F.col(out)))
+
+
+def distinct_entities(df: DataFrame, col: str = "organisations", out_col: str = "organisation") -> DataFrame:
     """Number of distinct entities over all rows (exact; partial de-dup before the shuffle)."""
-    return df.select(F.explode(col).alias("_e")).agg(F.count_distinct("_e").alias("n_distinct"))
+    ex = df.select(F.col(out_col).alias("_e")) if out_col in df.columns and col not in df.columns else \
+        df.select(F.explode(col).alias("_e"))
+    return ex.agg(F.count_distinct("_e").alias("n_distinct"))
 
 
 def entity_counts(df: DataFrame, col: str = "organisations", top: int | None = 30, out_col: str = "organisation"):
-    """Mentions per entity (one per article, since each article's list is distinct)."""
-    ex = df.select(F.explode(col).alias(out_col))
+    """Mentions per entity (one per article, since each article's list is distinct).
+
+    ``df`` holds either an array column ``col`` or already exploded ``out_col`` rows."""
+    ex = df.select(out_col) if out_col in df.columns and col not in df.columns else \
+        df.select(F.explode(col).alias(out_col))
     return value_counts(ex, out_col, top=top)
 
 

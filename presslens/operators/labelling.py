@@ -104,8 +104,11 @@ def yes_no(df: DataFrame, col: str = "answer", out: str = "is_ai_label") -> Data
 
 def parse_answers(df: DataFrame, col: str = "answer", ten_lines: bool = False) -> DataFrame:
     """Typed label columns from the answer text (struct expanded)."""
-    parsed = P.parse_answer10(F.col(col)) if ten_lines else P.parse_answer5(F.col(col))
-    return df.withColumn("_p", parsed).select(*[c for c in df.columns], "_p.*")
+    # the split lines are a column of their own, so every field reads them instead of re-splitting
+    staged = df.withColumn("_lines", P.answer_lines(F.col(col)))
+    lines = F.col("_lines")
+    parsed = P.parse_answer10(F.col(col), lines) if ten_lines else P.parse_answer5(F.col(col), lines)
+    return staged.withColumn("_p", parsed).select(*[c for c in df.columns], "_p.*")
 
 
 def retry_invalid(df: DataFrame, model: Callable, key: str = "orig_index", prompt_col: str = "prompt",

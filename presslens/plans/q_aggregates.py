@@ -148,7 +148,7 @@ ORGS_SQL = f"orgs AS (SELECT orig_index, {S.organisations_sql('plain_text')} AS
 
 
 def _orgs(spark, sf):
-    return TX.organisations(view(spark, sf, "news"), max_chars=None)
+    return A.company_mentions(view(spark, sf, "news"))
 
 
 @query("a14_distinct_entities", ["news"], f"""

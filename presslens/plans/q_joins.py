@@ -75,8 +75,7 @@ ex AS (SELECT orig_index, unnest(organisations) AS organisation FROM orgs),
 act AS (SELECT organisation, {S.actor_type_sql('organisation')} AS actor_type FROM (SELECT DISTINCT organisation FROM ex))
 SELECT orig_index, organisation FROM ex WHERE organisation IN (SELECT organisation FROM act WHERE actor_type = 'Company')""")
 def j06_org_in_set(spark, sf):
-    orgs = TX.organisations(view(spark, sf, "news"))
-    ex = orgs.select("orig_index", F.explode("organisations").alias("organisation"))
+    ex = A.company_mentions(view(spark, sf, "news"))
     actors = TX.actor_type(ex.select("organisation").distinct())
     return J.org_in_set(ex, actors)
 
