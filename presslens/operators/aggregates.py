@@ -220,17 +220,20 @@ def contains_count(df: DataFrame, col: str, needle: str) -> DataFrame:
 
 
 def crosstab(df: DataFrame, r: str, c: str, values: Sequence | None = None) -> DataFrame:
-    """Contingency table (explicit column values keep the layout fixed)."""
+    """Contingency table.  With explicit column values it is one aggregate of conditional
+    counts (fixed layout, one shuffle); without, Spark's pivot finds the values first."""
     src = df.filter(F.col(r).isNotNull() & F.col(c).isNotNull())
-    g = src.groupBy(r)
-    p = g.pivot(c, list(values)) if values is not None else g.pivot(c)
-    return p.count().na.fill(0)
+    if values is None:
+        return src.groupBy(r).pivot(c).count().na.fill(0)
+    return src.groupBy(r).agg(*[F.count_if(F.col(c) == F.lit(v)).alias(str(v)) for v in values])
 
 
 def pivot_counts(df: DataFrame, index: str, col: str, values: Sequence, fill: int = 0) -> DataFrame:
-    """Index x fixed label order, counts, zero columns kept."""
+    """Index x fixed label order, counts, zero columns kept (one aggregate of conditional
+    counts: a single shuffle, partial counts combined map-side)."""
     src = df.filter(F.col(index).isNotNull())
-    return src.groupBy(index).pivot(col, list(values)).count().na.fill(fill)
+    out = src.groupBy(index).agg(*[F.count_if(F.col(col) == F.lit(v)).alias(str(v)) for v in values])
+    return out.na.fill(fill) if fill else out
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], value_cols: Sequence[str], var: str = "variable",
@@ -345,11 +348,14 @@ def keyword_word_counts(df: DataFrame, keywords: Sequence[str], col: str = "plai
 
 
 def one_hot_sums(df: DataFrame, list_col: str = "industries_llm", key: str = "orig_index", top: int = 10):
-    """Articles per value of a comma list (stripped, lowered, 'none' and blanks out), top n."""
-    vals = F.filter(F.transform(F.split(F.col(list_col), ","), lambda s: F.lower(P.strip(s))),
-                    lambda s: (s != "") & (s != "none"))
+    """Articles per value of a comma list (stripped, lowered, 'none' and blanks out), top n.
+
+    Values are de-duplicated inside each row, so counting rows per value counts articles (one row
+    per article key): a plain partial count, no distinct aggregation across the shuffle."""
+    vals = F.array_distinct(F.filter(F.transform(F.split(F.col(list_col), ","), lambda s: F.lower(P.strip(s))),
+                                     lambda s: (s != "") & (s != "none")))
     ex = df.select(key, F.explode(vals).alias("value"))
-    agg = ex.groupBy("value").agg(F.count_distinct(key).alias("n_articles"))
+    agg = ex.groupBy("value").agg(F.count(F.lit(1)).alias("n_articles"))
     return agg.orderBy(F.col("n_articles").desc(), F.col("value").asc()).limit(top)
 
 
