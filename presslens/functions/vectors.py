@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,9 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; null when either vector has norm 0."""
-    den = norm(a) * norm(b)
-    return F.when(den > 0, dot(a, b) / den)
+    """Cosine similarity; null when either vector has norm 0 (``try_divide`` evaluates the norms once
+    and gives null for a zero divisor, also in ANSI mode)."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def normalise(a: Column, eps: float = 1e-12) -> Column:
@@ -57,16 +59,6 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str = "rows") -> list:
     return rows
 
 
-def literal_cosines(emb: Column, vectors: Sequence[Sequence[float]]) -> list[Column]:
-    """Cosine of ``emb`` with each fixed vector (query vectors are normalised once, here)."""
-    n_emb = norm(emb)
-    out = []
-    for v in vectors:
-        u = unit(v)
-        out.append(F.when(n_emb > 0, dot(emb, vector_literal(u)) / n_emb))
-    return out
-
-
 def sum_cols(cols: Sequence[Column]) -> Column:
     total = cols[0]
     for c in cols[1:]:
@@ -82,3 +74,68 @@ def sq_distance(a: Column, b: Column) -> Column:
 
 def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(sq_distance(a, b))
+
+
+def _unit_rows(m):
+    m = np.asarray(m, dtype="float64")
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1.0, n)
+
+
+def cosine_matrix(emb: Column, vectors: Sequence[Sequence[float]]) -> Column:
+    """``ARRAY<DOUBLE>``: cosine of each row vector with every fixed vector, in the fixed order.
+
+    One NumPy matrix product per Arrow batch (a Pandas UDF): the fixed vectors (size-checked by
+    the caller) travel with the function, the rows stream through in batches.  A null vector or
+    one of norm 0 gives null.
+    """
+    P = _unit_rows(vectors).T  # d x k
+
+    @F.pandas_udf("array<double>")
+    def _cos(e: pd.Series) -> pd.Series:
+        out = [None] * len(e)
+        idx = [i for i, v in enumerate(e) if v is not None]
+        if idx:
+            X = np.stack([np.asarray(e.iloc[i], dtype="float64") for i in idx])
+            n = np.linalg.norm(X, axis=1)
+            S = (X @ P) / np.where(n == 0, 1.0, n)[:, None]
+            for j, i in enumerate(idx):
+                out[i] = S[j].tolist() if n[j] > 0 else None
+        return pd.Series(out, dtype="object")
+
+    return _cos(emb)
+
+
+def sq_distance_matrix(emb: Column, vectors: Sequence[Sequence[float]]) -> Column:
+    """``ARRAY<DOUBLE>``: squared Euclidean distance of each row vector to every fixed vector
+    (Pandas UDF, one batch at a time, differences taken directly for exact ties)."""
+    C = np.asarray(vectors, dtype="float64")
+
+    @F.pandas_udf("array<double>")
+    def _dist(e: pd.Series) -> pd.Series:
+        out = [None] * len(e)
+        idx = [i for i, v in enumerate(e) if v is not None]
+        if idx:
+            X = np.stack([np.asarray(e.iloc[i], dtype="float64") for i in idx])
+            D = np.stack([((X - c) ** 2).sum(axis=1) for c in C], axis=1)
+            for j, i in enumerate(idx):
+                out[i] = D[j].tolist()
+        return pd.Series(out, dtype="object")
+
+    return _dist(emb)
+
+
+def array_mean(a: Column, start: int = 1, length: int | None = None) -> Column:
+    """Mean of (a slice of) a small numeric array."""
+    part = F.slice(a, start, length) if length is not None else a
+    return F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x, lambda s: s / F.size(part))
+
+
+def array_argmax(a: Column) -> Column:
+    """0-based position of the largest element (ties: the first)."""
+    return F.array_max(F.transform(a, lambda x, i: F.struct(x.alias("x"), (-i).alias("p"))))["p"] * -1
+
+
+def array_argmin(a: Column) -> Column:
+    """0-based position of the smallest element (ties: the first)."""
+    return F.array_min(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("p"))))["p"]

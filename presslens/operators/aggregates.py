@@ -398,25 +398,27 @@ def flag_total(df: DataFrame, cond: Column) -> DataFrame:
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, std, min, 25%, 50%, 75%, max per numeric column, as a long table
-    (column, statistic, value).  Quartiles are exact and computed without a one-task gather."""
+    (column, statistic, value).
+
+    One aggregate gives the moments of every column; one grouped exact-quantile pass over the
+    (column, value) long form gives all quartiles (no one-task gather of a column)."""
     from presslens.operators.stats import exact_quantiles
 
-    parts = []
-    for c in cols:
+    stats = ("count", "mean", "std", "min", "max")
+    aggs = []
+    for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        base = df.agg(F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
-                      F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-        parts.append(base.select(F.lit(c).alias("column"),
-                                 F.inline(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value"))
-                                                    for s in ("count", "mean", "std", "min", "max")]))))
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        parts.append(q.select(F.lit(c).alias("column"),
-                              F.concat((F.col("p") * 100).cast("int").cast("string"), F.lit("%")).alias("statistic"),
-                              F.col("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        aggs += [F.count(x).cast("double").alias(f"count_{i}"), F.avg(x).alias(f"mean_{i}"),
+                 F.stddev_samp(x).alias(f"std_{i}"), F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}")]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("statistic"), F.col(f"{s}_{i}").alias("value"))
+                     for i, c in enumerate(cols) for s in stats])
+    base = df.agg(*aggs).select(F.inline(rows))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                                        for c in cols])))
+    q = exact_quantiles(long, "v", [0.25, 0.5, 0.75], group="column")
+    quart = q.select("column", F.concat((F.col("p") * 100).cast("int").cast("string"), F.lit("%")).alias("statistic"),
+                     "value")
+    return base.unionByName(quart)
 
 
 def topic_barrier_matrix(df: DataFrame, topic: str = "ai_topic_llm", barrier: str = "ai_barrier_type_llm",
