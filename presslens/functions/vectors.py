@@ -139,3 +139,15 @@ def array_argmax(a: Column) -> Column:
 def array_argmin(a: Column) -> Column:
     """0-based position of the smallest element (ties: the first)."""
     return F.array_min(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("p"))))["p"]
+
+
+@F.pandas_udf("double")
+def sq_distance_rows(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Row-wise squared Euclidean distance of two vector columns (one NumPy pass per batch)."""
+    ok = a.notna() & b.notna()
+    out = np.full(len(a), np.nan)
+    if ok.any():
+        A = np.stack(a[ok].to_numpy()).astype("float64")
+        B = np.stack(b[ok].to_numpy()).astype("float64")
+        out[ok.to_numpy()] = ((A - B) ** 2).sum(axis=1)
+    return pd.Series(out)

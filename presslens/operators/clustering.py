@@ -133,26 +133,30 @@ def epsilon_neighbours(points: DataFrame, eps: float, emb_col: str = "embedding"
                 .select("a", "ea", (F.col("_cx") + F.col("_o.dx")).alias("_cx"), (F.col("_cy") + F.col("_o.dy")).alias("_cy")))
     build = pts.select(F.col(id_col).alias("b"), F.col(emb_col).alias("eb"), F.col(weight_col).alias("wb"), "_cx", "_cy")
     cand = probe.join(build, ["_cx", "_cy"]).filter(F.col("a") != F.col("b"))
-    return (cand.filter(VF.sq_distance(F.col("ea"), F.col("eb")) <= F.lit(eps * eps))
-                .select("a", "b", "wb"))
+    return (cand.withColumn("_d2", VF.sq_distance_rows(F.col("ea"), F.col("eb")))
+                .filter(F.col("_d2") <= F.lit(eps * eps)).select("a", "b", "wb"))
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame, node_col: str = "vid", max_rounds: int = 100) -> DataFrame:
-    """Smallest node id of each connected component, by min-label propagation.
+    """Smallest node id of each connected component: min-label propagation with pointer jumping.
 
-    Each round is a join + partial min aggregate; the labels are checkpointed into the shared
-    checkpoint folder every round, so the lineage stays one round long.  Raises when the labels
-    have not settled after ``max_rounds`` rounds (never returns a partial answer).
+    Each round pushes labels over the edges (join + partial min aggregate) and then lets every
+    node take its label's label (a second join), so long chains settle in a logarithmic number of
+    rounds.  Labels are checkpointed into the shared checkpoint folder every round, so lineage
+    stays one round long.  Raises when the labels have not settled after ``max_rounds`` rounds
+    (never returns a partial answer).
     """
     labels = cut_lineage(nodes.select(F.col(node_col).alias("n"), F.col(node_col).alias("label")))
     e = cut_lineage(edges.select("a", "b"))
     for _ in range(max_rounds):
         pushed = e.join(labels.withColumnRenamed("n", "a"), "a").select(F.col("b").alias("n"), "label")
-        new = (labels.unionByName(pushed).groupBy("n").agg(F.min("label").alias("label")))
-        new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "n").filter(F.col("label") != F.col("old")).limit(1)
+        prop = labels.unionByName(pushed).groupBy("n").agg(F.min("label").alias("label"))
+        hop = prop.join(prop.select(F.col("n").alias("label"), F.col("label").alias("_l2")), "label", "left")
+        new = cut_lineage(hop.select("n", F.least(F.col("label"), F.coalesce(F.col("_l2"), F.col("label")))
+                                     .alias("label")))
+        changed = new.join(labels.withColumnRenamed("label", "old"), "n").filter(F.col("label") != F.col("old"))
         labels = new
-        if changed.count() == 0:
+        if changed.limit(1).count() == 0:
             return labels.withColumnRenamed("n", node_col)
     raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
 
@@ -170,7 +174,7 @@ def density_clusters(df: DataFrame, eps: float, min_pts: int = 5, min_size: int
     src = df.select(key, F.col(emb_col).cast("array<double>").alias("_e"))
     points = cut_lineage(src.groupBy("_e").agg(F.min(key).alias("vid"), F.count(F.lit(1)).alias("weight"))
                             .withColumnRenamed("_e", emb_col))
-    nb = epsilon_neighbours(points, eps, emb_col)
+    nb = cut_lineage(epsilon_neighbours(points, eps, emb_col))   # used four times below: computed once
     counts = nb.groupBy("a").agg(F.sum("wb").alias("_nw"))
     core = (points.join(counts.withColumnRenamed("a", "vid"), "vid", "left")
                   .select("vid", (F.col("weight") + F.coalesce(F.col("_nw"), F.lit(0)) >= min_pts).alias("core")))

@@ -21,9 +21,28 @@ from presslens.operators.windows import hash_order, sample_per_group
 REPORT_COLUMNS = ["subset", "method", "bucket", "metric", "value", "n_samples"]
 
 
-def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "orig_index") -> DataFrame:
-    """Exactly min(n, rows) rows in a seeded hash order (a distributed top-n)."""
-    return df.orderBy(hash_order(F.col(key), seed), F.col(key)).limit(n)
+def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "orig_index", direct_below: int = 1000) -> DataFrame:
+    """Exactly min(n, rows) rows: the n smallest seeded hashes ``md5('<key>:<seed>')``.
+
+    Small n is a plain top-n.  For larger n a top-n would merge up to n rows from every partition
+    in one task, so rows are first kept by the hash's 32-bit prefix below a cut sized from the
+    row count (hashes are uniform); the cut is raised until it keeps at least n rows.  Every row
+    not kept has a larger hash than every kept row, so the result is exactly the top-n.
+    """
+    h = hash_order(F.col(key), seed)
+    if n < direct_below:
+        return df.orderBy(h, F.col(key)).limit(n)
+    total = df.count()
+    if total <= n:
+        return df
+    prefix = F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+    frac = min(1.0, (1.1 * n + 1000.0) / total)
+    while True:
+        cut = int(frac * (1 << 32)) + 1
+        kept = df.filter(prefix < F.lit(cut))
+        if frac >= 1.0 or kept.count() >= n:
+            return kept.orderBy(h, F.col(key)).limit(n)
+        frac = min(1.0, frac * 2)
 
 
 def sample_top_k(df: DataFrame, col: str, top_k: int = 500, n: int = 100, seed: int = 42,

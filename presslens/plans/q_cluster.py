@@ -34,13 +34,26 @@ def m04_elbow_pick(spark, sf):
     return M.elbow_pick(M.elbow_curve(view(spark, sf, "embeddings"), list(range(1, 9)), seed=42))
 
 
-DENSITY_EPS = 1.0
-
-
-@query("m06_density_clusters", ["clustered"])
+DENSITY_EPS, MIN_PTS, MIN_SIZE = 1.16, 8, 5
+SQDIST = "list_sum(list_transform(list_zip(a.e, b.e), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2)))"
+
+
+@query("m06_density_clusters", ["clustered"], f"""
+WITH RECURSIVE pts AS (SELECT orig_index AS id, embedding AS e FROM clustered),
+nb AS (SELECT a.id AS a, b.id AS b FROM pts a, pts b WHERE {SQDIST} <= {DENSITY_EPS} * {DENSITY_EPS}),
+core AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= {MIN_PTS}),
+ce AS (SELECT nb.a, nb.b FROM nb JOIN core x ON nb.a = x.id JOIN core y ON nb.b = y.id),
+cc(n, label) AS (SELECT id, id FROM core UNION SELECT ce.b, cc.label FROM cc JOIN ce ON cc.n = ce.a),
+comp AS (SELECT n AS id, min(label) AS label FROM cc GROUP BY n),
+border AS (SELECT nb.a AS id, min(comp.label) AS label FROM nb JOIN comp ON nb.b = comp.id
+           WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a),
+lab AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+sizes AS (SELECT label, count(*) AS s FROM lab GROUP BY label)
+SELECT p.id AS orig_index, CAST(coalesce(CASE WHEN sizes.s >= {MIN_SIZE} THEN lab.label END, -1) AS BIGINT) AS cluster
+FROM pts p LEFT JOIN lab ON p.id = lab.id LEFT JOIN sizes ON lab.label = sizes.label""")
 def m06_density_clusters(spark, sf):
     return M.density_clusters(view(spark, sf, "clustered").select("orig_index", "embedding"), DENSITY_EPS,
-                              min_pts=3, min_size=5)
+                              min_pts=MIN_PTS, min_size=MIN_SIZE)
 
 
 @query("m07_label_clusters", ["llm_out"])

@@ -133,6 +133,8 @@ def with_views(sql: str, names) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{v} AS ({VIEWS[v][0].strip()})" for v in order)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -74,3 +74,10 @@ def test_sample_is_deterministic_and_exact_size(spark):
     a = [r[0] for r in E.sample_n(df, 37, 42).collect()]
     b = [r[0] for r in E.sample_n(df.repartition(7), 37, 42).collect()]
     assert len(a) == 37 and sorted(a) == sorted(b)
+
+
+def test_large_sample_prefilter_is_exact(spark):
+    df = spark.range(20000).withColumnRenamed("id", "orig_index")
+    a = sorted(r[0] for r in E.sample_n(df, 1500, 7).collect())
+    b = sorted(r[0] for r in E.sample_n(df, 1500, 7, direct_below=10 ** 9).collect())
+    assert len(a) == 1500 and a == b
