@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -91,7 +92,7 @@ def cosine_matrix(emb: Column, vectors: Sequence[Sequence[float]]) -> Column:
     """
     P = _unit_rows(vectors).T  # d x k
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def _cos(e: pd.Series) -> pd.Series:
         out = [None] * len(e)
         idx = [i for i, v in enumerate(e) if v is not None]
@@ -111,7 +112,7 @@ def sq_distance_matrix(emb: Column, vectors: Sequence[Sequence[float]]) -> Colum
     (Pandas UDF, one batch at a time, differences taken directly for exact ties)."""
     C = np.asarray(vectors, dtype="float64")
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def _dist(e: pd.Series) -> pd.Series:
         out = [None] * len(e)
         idx = [i for i, v in enumerate(e) if v is not None]
@@ -141,7 +142,7 @@ def array_argmin(a: Column) -> Column:
     return F.array_min(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("p"))))["p"]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sq_distance_rows(a: pd.Series, b: pd.Series) -> pd.Series:
     """Row-wise squared Euclidean distance of two vector columns (one NumPy pass per batch)."""
     ok = a.notna() & b.notna()

@@ -199,18 +199,18 @@ def clusters_above(df: DataFrame, col: str, t: float, group: str = "cluster") ->
     return df.join(keep, group, "left_semi")
 
 
-def topic_mix(df: DataFrame, group_col: str, label_col: str, rank: int = 2) -> DataFrame:
-    """Label distribution inside the group of the given size rank (1 = biggest; ties: key asc).
-
-    Sizes are aggregated first; the rank pick is a window over that small table only.
-    """
-    sizes = df.filter(F.col(group_col).isNotNull()).groupBy(group_col).agg(F.count(F.lit(1)).alias("_size"))
-    w = Window.orderBy(F.col("_size").desc(), F.col(group_col).asc())
+def topic_mix(df: DataFrame, group_col: str, label_col: str, rank: int = 2, fill: str = "NA") -> DataFrame:
+    """Label distribution inside the group of the given size rank (1 = biggest; the null group
+    counts as a group; ties: key asc, null last).  Null labels become ``fill``; ``share`` is the
+    fraction of the group.  Sizes are aggregated first; the rank pick is a window over that small
+    table only."""
+    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_size"))
+    w = Window.orderBy(F.col("_size").desc(), F.col(group_col).asc_nulls_last())
     picked = sizes.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == rank).select(group_col)
-    sub = df.join(picked, group_col, "left_semi")
-    counts = sub.filter(F.col(label_col).isNotNull()).groupBy(group_col, label_col) \
-        .agg(F.count(F.lit(1)).alias("count"))
-    return share_within(counts, "count", [group_col], "pct")
+    sub = df.join(picked, df[group_col].eqNullSafe(picked[group_col]), "left_semi")
+    lab = F.coalesce(F.col(label_col).cast("string"), F.lit(fill)).alias(label_col)
+    counts = sub.select(group_col, lab).groupBy(group_col, label_col).agg(F.count(F.lit(1)).alias("count"))
+    return share_within(counts, "count", [group_col], "share", scale=1.0)
 
 
 def contains_count(df: DataFrame, col: str, needle: str) -> DataFrame:
@@ -421,18 +421,40 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return base.unionByName(quart)
 
 
-def topic_barrier_matrix(df: DataFrame, topic: str = "ai_topic_llm", barrier: str = "ai_barrier_type_llm",
+def _as_text_label(c: Column, empty_as: str = "unknown") -> Column:
+    """pandas ``astype(str).str.strip()`` then '' -> ``empty_as`` (null becomes the text 'nan')."""
+    t = F.when(c.isNull(), F.lit("nan")).otherwise(P.strip(c.cast("string")))
+    return F.when(t == "", F.lit(empty_as)).otherwise(t)
+
+
+def topic_barrier_matrix(df: DataFrame, topic: str = "ai_topic_llm", barrier: str = "barrier_cluster_label",
                          top_topics: int = 20, top_barriers: int = 10,
-                         sentinels: Sequence[str] = ("none", "nan", "other", "unknown")) -> DataFrame:
-    """Clean both labels (strip, lower, '' -> null), drop sentinels, keep the top topics and
-    top barriers, count each pair and give its percent of the topic's row (long form)."""
-    from presslens.operators.windows import keep_top_categories
-
-    t = P.clean_label(F.col(topic), lower=True)
-    b = P.clean_label(F.col(barrier), lower=True)
-    src = (df.select(t.alias("topic"), b.alias("barrier"))
-             .filter(F.col("topic").isNotNull() & F.col("barrier").isNotNull()
-                     & ~F.col("topic").isin(list(sentinels)) & ~F.col("barrier").isin(list(sentinels))))
-    src = keep_top_categories(keep_top_categories(src, "topic", top_topics), "barrier", top_barriers)
-    counts = src.groupBy("topic", "barrier").agg(F.count(F.lit(1)).alias("count"))
-    return share_within(counts, "count", ["topic"], "row_pct")
+                         drop_barriers: Sequence[str] = ("other", "none", "unknown"),
+                         drop_topics: Sequence[str] = ("unknown",)) -> DataFrame:
+    """Clean both labels, drop non-informative ones, keep the top topics and the top barriers
+    (both ranked on the same cleaned rows), and give every (topic, barrier) cell of that grid its
+    count and its percent of the topic's row (zero cells included, long form).
+
+    The two top lists are bounded (k values each); the grid is built from them by explode, and the
+    counts are one partial aggregate joined onto it."""
+    src = (df.select(_as_text_label(F.col(topic)).alias("topic"), _as_text_label(F.col(barrier)).alias("barrier"))
+             .filter(~F.col("barrier").isin(list(drop_barriers)) & ~F.col("topic").isin(list(drop_topics))))
+
+    def top(col: str, k: int) -> list[str]:
+        rows = (src.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+                   .orderBy(F.col("_n").desc(), F.col(col).asc()).limit(k).collect())
+        return [r[col] for r in rows]
+
+    topics, barriers = top("topic", top_topics), top("barrier", top_barriers)
+    spark = df.sparkSession
+    grid = (spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in topics] or [F.lit(None).cast("string")]))
+                                  .alias("topic"))
+                 .select("topic", F.explode(F.array(*[F.lit(b) for b in barriers] or [F.lit(None).cast("string")]))
+                         .alias("barrier"))
+                 .filter(F.col("topic").isNotNull() & F.col("barrier").isNotNull()))
+    counts = (src.filter(F.col("topic").isin(topics) & F.col("barrier").isin(barriers))
+                 .groupBy("topic", "barrier").agg(F.count(F.lit(1)).alias("n_articles")))
+    cells = grid.join(counts, ["topic", "barrier"], "left").withColumn(
+        "n_articles", F.coalesce(F.col("n_articles"), F.lit(0)).cast("long"))
+    w = Window.partitionBy("topic")
+    return cells.withColumn("row_pct", F.try_divide(F.col("n_articles") * F.lit(100.0), F.sum("n_articles").over(w)))

@@ -225,15 +225,18 @@ def a21_clusters_above(spark, sf):
     return A.clusters_above(_cluster_scores(spark, sf), "keyword_score", 0.99).select("orig_index", "cluster")
 
 
-@query("a22_topic_mix", ["news_vec"], """
-WITH s AS (SELECT label, count(*) AS size FROM news_vec WHERE label IS NOT NULL GROUP BY 1),
-p AS (SELECT label FROM (SELECT label, row_number() OVER (ORDER BY size DESC, label ASC) AS r FROM s) WHERE r = 2),
-c AS (SELECT label, lang, count(*) AS count FROM news_vec
-      WHERE label IN (SELECT label FROM p) AND lang IS NOT NULL GROUP BY 1, 2)
-SELECT label, lang, count, CAST(count AS DOUBLE) * 100 / sum(count) OVER (PARTITION BY label) AS pct FROM c""",
-       rounded=["pct"])
+@query("a22_topic_mix", ["news_vec", "llm_out"], """
+WITH d AS (SELECT n.label, l.ai_topic_llm FROM news_vec n JOIN llm_out l ON n.orig_index = l.orig_index),
+s AS (SELECT label, count(*) AS size FROM d GROUP BY 1),
+p AS (SELECT label FROM (SELECT label, row_number() OVER (ORDER BY size DESC, label ASC NULLS LAST) AS r FROM s) WHERE r = 2),
+c AS (SELECT label, coalesce(ai_topic_llm, 'NA') AS ai_topic_llm, count(*) AS count FROM d
+      WHERE label IS NOT DISTINCT FROM (SELECT label FROM p) GROUP BY 1, 2)
+SELECT label, ai_topic_llm, count, CAST(count AS DOUBLE) * 1.0 / sum(count) OVER (PARTITION BY label) AS share FROM c""",
+       rounded=["share"])
 def a22_topic_mix(spark, sf):
-    return A.topic_mix(view(spark, sf, "news_vec"), "label", "lang", rank=2)
+    d = view(spark, sf, "news_vec").select("orig_index", "label") \
+        .join(view(spark, sf, "llm_out").select("orig_index", "ai_topic_llm"), "orig_index")
+    return A.topic_mix(d, "label", "ai_topic_llm", rank=2)
 
 
 @query("a23_contains_count", ["llm_out"], """
@@ -278,20 +281,36 @@ def a27_row_pct(spark, sf):
     return A.row_pct(_pivot(spark, sf), ["year"], LANGS)
 
 
+_BARRIER_CASE = " ".join(f"WHEN {S.lit(k)} THEN {S.lit(v)}" for k, (_, v) in {
+    " Barrier 1": (1, "barrier one"), " Barrier 2": (2, "barrier two"), " Barrier 4": (4, "barrier four")}.items())
+
+
+def _text_label_sql(c: str) -> str:
+    t = f"CASE WHEN {c} IS NULL THEN 'nan' ELSE {S.strip_sql(f'CAST({c} AS VARCHAR)')} END"
+    return f"CASE WHEN ({t}) = '' THEN 'unknown' ELSE ({t}) END"
+
+
 @query("a28_topic_barrier_matrix", ["llm_out"], f"""
-WITH src AS (
-  SELECT nullif(lower({S.strip_sql('ai_topic_llm')}), '') AS topic,
-         nullif(lower({S.strip_sql('ai_barrier_type_llm')}), '') AS barrier FROM llm_out),
-f AS (SELECT * FROM src WHERE topic IS NOT NULL AND barrier IS NOT NULL
-      AND topic NOT IN ('none', 'nan', 'other', 'unknown') AND barrier NOT IN ('none', 'nan', 'other', 'unknown')),
+WITH m AS (SELECT ai_topic_llm,
+  CASE WHEN lower({S.strip_sql('ai_barrier_type_llm')}) = 'none' THEN 'none'
+       ELSE coalesce(CASE ai_barrier_type_llm {_BARRIER_CASE} END, 'other') END AS barrier_cluster_label FROM llm_out),
+src AS (SELECT {_text_label_sql('ai_topic_llm')} AS topic, {_text_label_sql('barrier_cluster_label')} AS barrier FROM m),
+f AS (SELECT * FROM src WHERE barrier NOT IN ('other', 'none', 'unknown') AND topic NOT IN ('unknown')),
 tt AS (SELECT topic FROM f GROUP BY 1 ORDER BY count(*) DESC, topic LIMIT 8),
-f2 AS (SELECT * FROM f WHERE topic IN (SELECT topic FROM tt)),
-tb AS (SELECT barrier FROM f2 GROUP BY 1 ORDER BY count(*) DESC, barrier LIMIT 4),
-c AS (SELECT topic, barrier, count(*) AS count FROM f2 WHERE barrier IN (SELECT barrier FROM tb) GROUP BY 1, 2)
-SELECT topic, barrier, count, CAST(count AS DOUBLE) * 100 / sum(count) OVER (PARTITION BY topic) AS row_pct FROM c""",
+tb AS (SELECT barrier FROM f GROUP BY 1 ORDER BY count(*) DESC, barrier LIMIT 2),
+c AS (SELECT topic, barrier, count(*) AS n FROM f WHERE topic IN (SELECT topic FROM tt)
+      AND barrier IN (SELECT barrier FROM tb) GROUP BY 1, 2),
+g AS (SELECT tt.topic, tb.barrier, CAST(coalesce(c.n, 0) AS BIGINT) AS n_articles FROM tt CROSS JOIN tb
+      LEFT JOIN c ON tt.topic = c.topic AND tb.barrier = c.barrier)
+SELECT *, CASE WHEN sum(n_articles) OVER (PARTITION BY topic) = 0 THEN NULL
+               ELSE n_articles * 100.0 / sum(n_articles) OVER (PARTITION BY topic) END AS row_pct FROM g""",
        rounded=["row_pct"])
 def a28_topic_barrier_matrix(spark, sf):
-    return A.topic_barrier_matrix(view(spark, sf, "llm_out"), top_topics=8, top_barriers=4)
+    from presslens.operators.labelling import barrier_label_mapping
+    from presslens.plans.q_labels import BARRIER_MAP
+
+    m = barrier_label_mapping(view(spark, sf, "llm_out"), "ai_barrier_type_llm", BARRIER_MAP)
+    return A.topic_barrier_matrix(m, top_topics=8, top_barriers=2)
 
 
 @query("a29_corr", ["news"], f"""
