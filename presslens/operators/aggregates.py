@@ -314,12 +314,15 @@ def score_means(df: DataFrame, cols: Sequence[str], where: Column | None = None)
 
 def industry_weighted_mean(df: DataFrame, list_col: str = "industries_llm", rel: str = "ai_relevance_llm",
                            score: str = "ai_score", top: int = 20, key: str = "orig_index") -> DataFrame:
-    """mean(relevance x score) per industry (stripped, lowered, distinct per row), null products out."""
-    inds = F.array_distinct(F.filter(F.transform(F.split(F.col(list_col), ","), lambda s: F.lower(P.strip(s))),
-                                     lambda s: (s != "") & (s != "none")))
+    """mean(relevance x score) per industry over the rows that have the industry and a
+    product; industries are the comma items stripped and lowered (duplicates merged, a null or
+    'none' list has none, blank items dropped); top 20 by mean (ties: industry)."""
+    items = F.when(F.col(list_col).isNull() | (F.col(list_col) == "none"), F.array().cast("array<string>")) \
+        .otherwise(F.split(F.col(list_col), ","))
+    inds = F.array_distinct(F.filter(F.transform(items, lambda s: F.lower(P.strip(s))), lambda s: s != ""))
     ex = df.select(key, (P.to_number(F.col(rel)) * F.col(score).cast("double")).alias("_p"),
                    F.explode(inds).alias("industry"))
-    agg = (ex.filter(F.col("_p").isNotNull()).groupBy("industry")
+    agg = (ex.filter(F.col("_p").isNotNull() & ~F.isnan("_p")).groupBy("industry")
              .agg(F.avg("_p").alias("weighted_mean"), F.count(F.lit(1)).alias("n")))
     return agg.orderBy(F.col("weighted_mean").desc(), F.col("industry").asc()).limit(top)
 
@@ -347,13 +350,15 @@ def keyword_word_counts(df: DataFrame, keywords: Sequence[str], col: str = "plai
     return top_words.filter(F.col("word").isin([k.lower() for k in keywords]))
 
 
-def one_hot_sums(df: DataFrame, list_col: str = "industries_llm", key: str = "orig_index", top: int = 10):
+def one_hot_sums(df: DataFrame, list_col: str = "industries_llm", key: str = "orig_index", top: int = 10,
+                 raw: bool = False):
     """Articles per value of a comma list (stripped, lowered, 'none' and blanks out), top n.
 
     Values are de-duplicated inside each row, so counting rows per value counts articles (one row
     per article key): a plain partial count, no distinct aggregation across the shuffle."""
-    vals = F.array_distinct(F.filter(F.transform(F.split(F.col(list_col), ","), lambda s: F.lower(P.strip(s))),
-                                     lambda s: (s != "") & (s != "none")))
+    from presslens.operators.labelling import list_values
+
+    vals = F.array_distinct(list_values(F.col(list_col), raw=raw))
     ex = df.select(key, F.explode(vals).alias("value"))
     agg = ex.groupBy("value").agg(F.count(F.lit(1)).alias("n_articles"))
     return agg.orderBy(F.col("n_articles").desc(), F.col("value").asc()).limit(top)

@@ -213,22 +213,32 @@ def cluster_profile(df: DataFrame, k: int = 5, cluster: str = "cluster", key: st
     return sizes.join(summary.drop("size"), cluster, "left")
 
 
-def label_clusters(labels: DataFrame, col: str, eps: float, min_pts: int = 3, min_size: int = 2,
-                   dims: int = 64, pca_k: int = 8) -> DataFrame:
-    """Distinct labels -> vectors (V11) -> PCA -> density clusters -> representative label per
-    cluster -> mapped back to every raw label (noise -> 'other')."""
-    from presslens.operators.joins import repr_label_join
+def label_clusters(labels: DataFrame, col: str, eps: float, min_pts: int = 5, min_size: int = 20,
+                   dims: int = 64, pca_k: int = 5, none_label: str = "none") -> DataFrame:
+    """Cluster the distinct free-text labels; returns the mapping table
+    (raw_label, cluster_id, cluster_label, freq).
+
+    Labels are normalised (strip + lower, null -> 'nan'); 'none' and '' are left out.  Distinct
+    labels are embedded once each (V11), reduced (PCA in place of UMAP), density-clustered (M06);
+    each cluster is named by its label with the highest frequency over all articles (ties: the
+    smaller label); noise keeps id -1 and the name 'other'."""
+    from presslens.operators.labelling import normalise_label
     from presslens.operators.vectors import embed
-    from presslens.operators.windows import distinct_labels, representative_label
 
-    uniq = distinct_labels(labels, col)
-    uniq = uniq.withColumn("_id", F.xxhash64(col))
-    vec = embed(uniq, col, "embedding", dims)
+    norm = labels.select(normalise_label(F.col(col)).alias("raw_label"))
+    norm = norm.filter((F.col("raw_label") != none_label) & (F.col("raw_label") != ""))
+    uniq = norm.groupBy("raw_label").agg(F.count(F.lit(1)).alias("freq")).withColumn("_id", F.xxhash64("raw_label"))
+    vec = embed(uniq, "raw_label", "embedding", dims)
     red = pca(vec, pca_k, "embedding", "reduced")
-    cl = density_clusters(red, eps, min_pts, min_size, key="_id", emb_col="reduced")
-    lab = uniq.join(cl, "_id").select(col, "cluster")
-    reps = representative_label(lab, "cluster", col)
-    return repr_label_join(lab, reps, "cluster", "repr_label")
+    cl = density_clusters(red, eps, min_pts, min_size, key="_id", emb_col="reduced", out="cluster_id")
+    lab = uniq.join(cl, "_id").select("raw_label", "freq", "cluster_id")
+    reps = (lab.filter(F.col("cluster_id") != -1).groupBy("cluster_id")
+               .agg(F.min_by("raw_label", F.struct((-F.col("freq")).alias("a"), F.col("raw_label").alias("b")))
+                    .alias("_rep")))
+    out = lab.join(reps, "cluster_id", "left")
+    return out.select("raw_label", "cluster_id",
+                      F.when(F.col("cluster_id") == -1, F.lit("other")).otherwise(F.col("_rep")).alias("cluster_label"),
+                      "freq")
 
 
 def two_level_topics(sentences: DataFrame, k: int = 7, top: int = 5, seed: int = 42, text_col: str = "text",

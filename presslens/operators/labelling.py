@@ -168,26 +168,44 @@ def merge_labels(shards: DataFrame, scores: DataFrame, dates: DataFrame, key: st
     return year_between(j, year_from, None)
 
 
-def list_values(c: Column, lower: bool = True, drop: Sequence[str] = ("none",)) -> Column:
-    """Comma list -> array of stripped (lowered) values without blanks and ``drop`` values."""
+# City / country names that leak into industry labels (regular expressions).
+CITY_PATTERNS = [
+    r"copenhagen", r"københavn",
+    r"aarhus", r"å?rhus",
+    r"odense", r"aalborg", r"å?lborg",
+    r"frederiksberg", r"esbjerg", r"randers",
+    r"danmark", r"denmark",
+]
+
+
+def list_values(c: Column, lower: bool = True, drop: Sequence[str] = ("none",), raw: bool = False) -> Column:
+    """Comma list -> array of values.
+
+    Default: stripped (and lowered) values without blanks and ``drop`` values.  ``raw=True`` is the
+    study's one-hot input: a null or the whole text 'none' gives no values, otherwise the plain
+    comma split (leading blanks kept, so ' media' and 'media' differ)."""
+    if raw:
+        return F.when(c.isNull() | (c == "none"), F.array().cast("array<string>")).otherwise(F.split(c, ","))
     vals = F.transform(F.split(c, ","), lambda s: F.lower(P.strip(s)) if lower else P.strip(s))
     return F.filter(vals, lambda s: (s != "") & ~s.isin(list(drop)))
 
 
-def one_hot(df: DataFrame, col: str, values: Sequence[str], key: str = "orig_index", prefix: str = "") -> DataFrame:
+def one_hot(df: DataFrame, col: str, values: Sequence[str], key: str = "orig_index", prefix: str = "",
+            raw: bool = False) -> DataFrame:
     """Multi-label column -> one 0/1 column per listed value (fixed layout)."""
-    arr = F.array_distinct(list_values(F.col(col)))
+    arr = F.array_distinct(list_values(F.col(col), raw=raw))
     return df.select(key, *[F.array_contains(arr, v).cast("int").alias(f"{prefix}{v}") for v in values])
 
 
-def one_hot_long(df: DataFrame, col: str, key: str = "orig_index") -> DataFrame:
+def one_hot_long(df: DataFrame, col: str, key: str = "orig_index", raw: bool = False) -> DataFrame:
     """L12 (long form): (key, value) pairs of a multi-label column."""
-    return df.select(key, F.explode(F.array_distinct(list_values(F.col(col)))).alias("value"))
+    return df.select(key, F.explode(F.array_distinct(list_values(F.col(col), raw=raw))).alias("value"))
 
 
-def drop_noise_labels(df: DataFrame, col: str, patterns: Sequence[str]) -> DataFrame:
-    """Drop values that are exactly one of ``patterns`` (case-insensitive; e.g. cities)."""
-    pat = "^(" + "|".join(regex_escape(p.lower()) for p in patterns) + ")$"
+def drop_noise_labels(df: DataFrame, col: str, patterns: Sequence[str] = CITY_PATTERNS) -> DataFrame:
+    """Drop values matching one of the regular expressions as a whole (case-insensitive,
+    the value is lowered; with raw values a leading blank keeps a city, as in the study)."""
+    pat = "^(?:" + "|".join(p.lower() for p in patterns) + ")$"
     return df.filter(~F.lower(F.col(col)).rlike(pat))
 
 
@@ -196,15 +214,31 @@ def merge_labels_normalised(df: DataFrame, col: str, out: str | None = None) ->
     return df.withColumn(out or col, F.array_distinct(list_values(F.col(col), drop=())))
 
 
-def barrier_label_mapping(df: DataFrame, col: str, mapping: Mapping[str, tuple[int, str]],
+def normalise_label(c: Column) -> Column:
+    """``str(label).strip().lower()``: null becomes 'nan'."""
+    return F.lower(P.strip(F.coalesce(c.cast("string"), F.lit("nan"))))
+
+
+def barrier_label_mapping(df: DataFrame, col: str, mapping: Mapping[str, tuple[int, str]] | DataFrame,
                           none_label: str = "none", none_id: int = -999, other_id: int = -1,
                           other_label: str = "other") -> DataFrame:
-    """Raw label -> (barrier_cluster_id, barrier_cluster_label); 'none' -> (-999, 'none'),
-    unmapped -> (-1, 'other')."""
-    ids = F.create_map(*[x for k, (i, _) in mapping.items() for x in (F.lit(k), F.lit(i))])
-    labels = F.create_map(*[x for k, (_, lab) in mapping.items() for x in (F.lit(k), F.lit(lab))])
-    raw = F.col(col)
-    is_none = F.lower(P.strip(raw)) == none_label
-    cid = F.when(is_none, F.lit(none_id)).otherwise(F.coalesce(F.try_element_at(ids, raw), F.lit(other_id)))
-    clab = F.when(is_none, F.lit(none_label)).otherwise(F.coalesce(F.try_element_at(labels, raw), F.lit(other_label)))
-    return df.withColumn("barrier_cluster_id", cid).withColumn("barrier_cluster_label", clab)
+    """Raw label -> (barrier_cluster_id, barrier_cluster_label) through the normalised label
+    (strip + lower); 'none' -> (-999, 'none'); labels not in the mapping (noise) -> (-1, 'other').
+
+    ``mapping`` is a small dict (literal map) or a table (raw_label, cluster_id, cluster_label)
+    joined on the normalised label (one row per distinct label; AQE picks the join)."""
+    key = normalise_label(F.col(col))
+    is_none = key == none_label
+    if isinstance(mapping, Mapping):
+        ids = F.create_map(*[x for k, (i, _) in mapping.items() for x in (F.lit(k), F.lit(i))])
+        labels = F.create_map(*[x for k, (_, lab) in mapping.items() for x in (F.lit(k), F.lit(lab))])
+        cid_v, clab_v, out = F.try_element_at(ids, key), F.try_element_at(labels, key), df
+    else:
+        m = mapping.select(F.col("raw_label").alias("_k"), F.col("cluster_id").alias("_cid"),
+                           F.col("cluster_label").alias("_clab"))
+        out = df.withColumn("_key", key).join(m, F.col("_key") == F.col("_k"), "left").drop("_k", "_key")
+        cid_v, clab_v = F.col("_cid"), F.col("_clab")
+    cid = F.when(is_none, F.lit(none_id)).otherwise(F.coalesce(cid_v.cast("int"), F.lit(other_id)))
+    clab = F.when(is_none, F.lit(none_label)).otherwise(F.coalesce(clab_v, F.lit(other_label)))
+    res = out.withColumn("barrier_cluster_id", cid).withColumn("barrier_cluster_label", clab)
+    return res.drop(*[c for c in ("_cid", "_clab") if c in res.columns])

@@ -282,7 +282,9 @@ def a27_row_pct(spark, sf):
 
 
 _BARRIER_CASE = " ".join(f"WHEN {S.lit(k)} THEN {S.lit(v)}" for k, (_, v) in {
-    " Barrier 1": (1, "barrier one"), " Barrier 2": (2, "barrier two"), " Barrier 4": (4, "barrier four")}.items())
+    "barrier 1": (1, "barrier one"), "barrier 2": (2, "barrier two"), "barrier 4": (4, "barrier four")}.items())
+_NB_INNER = "coalesce(CAST(ai_barrier_type_llm AS VARCHAR), 'nan')"
+_NB = f"lower({S.strip_sql(_NB_INNER)})"
 
 
 def _text_label_sql(c: str) -> str:
@@ -292,8 +294,8 @@ def _text_label_sql(c: str) -> str:
 
 @query("a28_topic_barrier_matrix", ["llm_out"], f"""
 WITH m AS (SELECT ai_topic_llm,
-  CASE WHEN lower({S.strip_sql('ai_barrier_type_llm')}) = 'none' THEN 'none'
-       ELSE coalesce(CASE ai_barrier_type_llm {_BARRIER_CASE} END, 'other') END AS barrier_cluster_label FROM llm_out),
+  CASE WHEN {_NB} = 'none' THEN 'none'
+       ELSE coalesce(CASE {_NB} {_BARRIER_CASE} END, 'other') END AS barrier_cluster_label FROM llm_out),
 src AS (SELECT {_text_label_sql('ai_topic_llm')} AS topic, {_text_label_sql('barrier_cluster_label')} AS barrier FROM m),
 f AS (SELECT * FROM src WHERE barrier NOT IN ('other', 'none', 'unknown') AND topic NOT IN ('unknown')),
 tt AS (SELECT topic FROM f GROUP BY 1 ORDER BY count(*) DESC, topic LIMIT 8),
@@ -363,9 +365,10 @@ def a33_score_means(spark, sf):
 WITH j AS (SELECT l.orig_index, try_cast(l.ai_relevance_llm AS DOUBLE) * j.ai_score AS p, l.industries_llm
            FROM llm_out l JOIN judged j ON l.orig_index = j.orig_index),
 e AS (SELECT orig_index, p, unnest(list_distinct(list_filter(
-        list_transform(string_split(industries_llm, ','), lambda s: lower({S.strip_sql('s')})),
-        lambda s: s <> '' AND s <> 'none'))) AS industry FROM j)
-SELECT industry, avg(p) AS weighted_mean, count(*) AS n FROM e WHERE p IS NOT NULL
+        list_transform(CASE WHEN industries_llm IS NULL OR industries_llm = 'none' THEN []::VARCHAR[]
+                            ELSE string_split(industries_llm, ',') END, lambda s: lower({S.strip_sql('s')})),
+        lambda s: s <> ''))) AS industry FROM j)
+SELECT industry, avg(p) AS weighted_mean, count(*) AS n FROM e WHERE p IS NOT NULL AND NOT isnan(p)
 GROUP BY 1 ORDER BY weighted_mean DESC, industry LIMIT 20""", rounded=["weighted_mean"])
 def a34_industry_weighted_mean(spark, sf):
     d = view(spark, sf, "llm_out").join(view(spark, sf, "judged").select("orig_index", "ai_score"), "orig_index")

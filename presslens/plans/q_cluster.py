@@ -58,7 +58,7 @@ def m06_density_clusters(spark, sf):
 
 @query("m07_label_clusters", ["llm_out"])
 def m07_label_clusters(spark, sf):
-    return M.label_clusters(view(spark, sf, "llm_out"), "ai_topic_llm", eps=0.5, min_pts=2, min_size=2)
+    return M.label_clusters(view(spark, sf, "llm_out"), "ai_barrier_type_llm", eps=1.1, min_pts=1, min_size=1)
 
 
 def _with_titles(spark, sf):

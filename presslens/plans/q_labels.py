@@ -171,12 +171,22 @@ def l12_one_hot(spark, sf):
     return L.one_hot(view(spark, sf, "llm_out"), "industries_llm", INDUSTRIES)
 
 
+RAW_VALUES = [" media", "media", "finance", "aarhus", "IT/software"]
+
+
+@query("l12b_one_hot_raw", ["llm_out"], f"""
+SELECT orig_index, {', '.join(f"CAST(list_contains(CASE WHEN industries_llm IS NULL OR industries_llm = 'none' THEN []::VARCHAR[] ELSE string_split(industries_llm, ',') END, {S.lit(v)}) AS INT) AS \"{v}\"" for v in RAW_VALUES)}
+FROM llm_out""")
+def l12b_one_hot_raw(spark, sf):
+    return L.one_hot(view(spark, sf, "llm_out"), "industries_llm", RAW_VALUES, raw=True)
+
+
 @query("l13_drop_noise_labels", ["llm_out"], f"""
 SELECT orig_index, value FROM (SELECT orig_index, unnest(list_distinct({_vals_sql('industries_llm')})) AS value FROM llm_out)
-WHERE NOT regexp_matches(lower(value), '^(aarhus|denmark|copenhagen)$')""")
+WHERE NOT regexp_matches(lower(value), {S.lit('^(?:' + '|'.join(L.CITY_PATTERNS) + ')$')})""")
 def l13_drop_noise_labels(spark, sf):
     long = L.one_hot_long(view(spark, sf, "llm_out"), "industries_llm")
-    return L.drop_noise_labels(long, "value", ["Aarhus", "Denmark", "Copenhagen"])
+    return L.drop_noise_labels(long, "value")
 
 
 @query("l14_merge_labels_normalised", ["llm_out"], f"""
@@ -186,16 +196,18 @@ def l14_merge_labels_normalised(spark, sf):
     return d.select("orig_index", F.array_sort("industries").alias("industries"))
 
 
-BARRIER_MAP = {" Barrier 1": (1, "barrier one"), " Barrier 2": (2, "barrier two"), " Barrier 4": (4, "barrier four")}
+BARRIER_MAP = {"barrier 1": (1, "barrier one"), "barrier 2": (2, "barrier two"), "barrier 4": (4, "barrier four")}
+_NB_INNER = "coalesce(CAST(ai_barrier_type_llm AS VARCHAR), 'nan')"
+NORM_BARRIER = f"lower({ST(_NB_INNER)})"
 
 
 @query("l15_barrier_label_mapping", ["llm_out"], f"""
 SELECT orig_index, ai_barrier_type_llm,
-  CASE WHEN lower({ST('ai_barrier_type_llm')}) = 'none' THEN -999
-       ELSE coalesce(CASE ai_barrier_type_llm {' '.join(f"WHEN {S.lit(k)} THEN {i}" for k, (i, _) in BARRIER_MAP.items())} END, -1)
+  CASE WHEN {NORM_BARRIER} = 'none' THEN -999
+       ELSE coalesce(CASE {NORM_BARRIER} {' '.join(f"WHEN {S.lit(k)} THEN {i}" for k, (i, _) in BARRIER_MAP.items())} END, -1)
   END AS barrier_cluster_id,
-  CASE WHEN lower({ST('ai_barrier_type_llm')}) = 'none' THEN 'none'
-       ELSE coalesce(CASE ai_barrier_type_llm {' '.join(f"WHEN {S.lit(k)} THEN {S.lit(v)}" for k, (_, v) in BARRIER_MAP.items())} END, 'other')
+  CASE WHEN {NORM_BARRIER} = 'none' THEN 'none'
+       ELSE coalesce(CASE {NORM_BARRIER} {' '.join(f"WHEN {S.lit(k)} THEN {S.lit(v)}" for k, (_, v) in BARRIER_MAP.items())} END, 'other')
   END AS barrier_cluster_label
 FROM llm_out""")
 def l15_barrier_label_mapping(spark, sf):

@@ -48,7 +48,21 @@ def test_merge_labels_priority(spark):
 
 
 def test_barrier_mapping(spark):
-    df = spark.createDataFrame([("None",), ("Costs",), ("x",), (None,)], "b string")
-    out = L.barrier_label_mapping(df, "b", {"Costs": (3, "cost")}).collect()
+    df = spark.createDataFrame([("None",), (" Costs",), ("x",), (None,)], "b string")
+    out = L.barrier_label_mapping(df, "b", {"costs": (3, "cost")}).collect()
     assert [(r["barrier_cluster_id"], r["barrier_cluster_label"]) for r in out] == \
         [(-999, "none"), (3, "cost"), (-1, "other"), (-1, "other")]
+    table = spark.createDataFrame([("costs", 3, "cost")], "raw_label string, cluster_id int, cluster_label string")
+    out2 = L.barrier_label_mapping(df, "b", table).collect()
+    assert sorted((r["b"] or "", r["barrier_cluster_id"]) for r in out2) == [("", -1), (" Costs", 3), ("None", -999), ("x", -1)]
+
+
+def test_label_clusters_representative_by_frequency(spark):
+    from presslens.operators.clustering import label_clusters
+
+    rows = [("Skills gap",)] * 3 + [("skills gap ",)] * 2 + [("skills gaps",)] * 4 + [("none",)] * 5 + [(None,)]
+    df = spark.createDataFrame(rows, "b string")
+    m = {r["raw_label"]: (r["cluster_label"], r["freq"]) for r in label_clusters(df, "b", eps=2.0, min_pts=1,
+                                                                               min_size=1).collect()}
+    assert "none" not in m and m["skills gap"][1] == 5 and m["skills gaps"][1] == 4
+    assert m["skills gap"][0] == m["skills gaps"][0] == "skills gap"
