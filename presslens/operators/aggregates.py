@@ -164,10 +164,15 @@ def actor_table(df: DataFrame, col: str = "organisations", top: int | None = 30)
     return counts.withColumn("actor_type", T.actor_type(F.col("organisation")))
 
 
-def majority_label(df: DataFrame, group: str = "cluster", label: str = "topic") -> DataFrame:
-    """Most frequent label per group (ties: smaller label) with its count and share."""
-    counts = df.filter(F.col(group).isNotNull() & F.col(label).isNotNull()) \
-        .groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
+def majority_label(df: DataFrame, group: str = "cluster", label: str = "topic", fill: str | None = None) -> DataFrame:
+    """Most frequent label per group (ties: smaller label) with its count and share.
+
+    ``fill`` turns null labels into a text label first (the study used 'nan' and 'NA');
+    without it null labels are left out."""
+    src = df.filter(F.col(group).isNotNull())
+    if fill is not None:
+        src = src.withColumn(label, F.coalesce(F.col(label).cast("string"), F.lit(fill)))
+    counts = src.filter(F.col(label).isNotNull()).groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
     return (counts.groupBy(group)
             .agg(F.min_by(F.col(label), F.struct((-F.col("_n")).alias("a"), F.col(label).alias("b")))
                  .alias("majority_label"),
@@ -236,6 +241,16 @@ def pivot_counts(df: DataFrame, index: str, col: str, values: Sequence, fill: in
     return out.na.fill(fill) if fill else out
 
 
+def pivot_top(df: DataFrame, index: str, col: str, k: int = 20, where: Column | None = None) -> DataFrame:
+    """A25 (heatmap form): index x the k most frequent values of ``col`` (ties: value asc), counts
+    with zero cells.  The k values are a bounded list read first; the table is one aggregate."""
+    src = df.filter(where) if where is not None else df
+    src = src.filter(F.col(index).isNotNull() & F.col(col).isNotNull())
+    top = [r[0] for r in src.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+           .orderBy(F.col("_n").desc(), F.col(col).asc()).limit(k).collect()]
+    return pivot_counts(src.filter(F.col(col).isin(top)), index, col, top)
+
+
 def unpivot(df: DataFrame, ids: Sequence[str], value_cols: Sequence[str], var: str = "variable",
             val: str = "value") -> DataFrame:
     """Wide -> long."""
@@ -335,7 +350,8 @@ def text_length_stats(df: DataFrame, col: str = "plain_text", bins: int = 50) ->
 def word_counts(df: DataFrame, col: str = "plain_text", stop: Sequence[str] = (), top: int | None = 20,
                 keep_pattern: str = r"^[a-z]{3,}$") -> DataFrame:
     """Lower-case ASCII words of >= 3 letters, minus stop words, counted (top n)."""
-    toks = df.select(F.explode(T.word_tokens(F.col(col), keep_pattern)).alias("word"))
+    # explode the word runs first: the per-token test is then a code-generated filter
+    toks = df.select(F.explode(T.word_runs(F.col(col))).alias("word")).filter(F.col("word").rlike(keep_pattern))
     if stop:
         toks = toks.filter(~F.col("word").isin(list(stop)))
     return value_counts(toks, "word", top=top)
@@ -345,7 +361,8 @@ def keyword_word_counts(df: DataFrame, keywords: Sequence[str], col: str = "plai
                         top: int = 30) -> DataFrame:
     """Whitespace tokens of (flagged) text, top n by count, then only those in the keyword list."""
     src = df.filter(_flag(flag)) if flag else df
-    toks = src.select(F.explode(T.whitespace_tokens(F.col(col))).alias("word"))
+    toks = (src.select(F.explode(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"\s+")).alias("word"))
+               .filter(F.col("word") != ""))
     top_words = value_counts(toks, "word", top=top)
     return top_words.filter(F.col("word").isin([k.lower() for k in keywords]))
 
