@@ -21,12 +21,15 @@ from presslens.operators.labelling import label_batches, parse_answers
 def stream_labels(spark: SparkSession, source_dir: str, schema: StructType, model: Callable, sink_path: str,
                   checkpoint_location: str, key: str = "orig_index", prompt_col: str = "prompt",
                   max_files_per_trigger: int = 2, batch_size: int = 32, available_now: bool = True):
-    """Label every (key, prompt) row of the Parquet files in ``source_dir`` and append
-    (key, answer, parsed fields) to ``sink_path``.  Returns the finished streaming query."""
+    """Label every (key, prompt) row of the Parquet files in ``source_dir`` and write
+    (key, answer, parsed fields) under ``sink_path`` (one ``epoch=<n>`` folder per micro-batch,
+    exactly once).  Returns the finished streaming query."""
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        # foreachBatch may run an epoch again after a failure: each epoch overwrites its own
+        # folder, so a re-run replaces its first attempt instead of adding duplicates
         answers = label_batches(batch, model, key, prompt_col, "answer", batch_size)
-        parse_answers(answers).write.mode("append").parquet(sink_path)
+        parse_answers(answers).write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/epoch={epoch_id}")
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
