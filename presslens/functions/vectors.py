@@ -152,3 +152,22 @@ def sq_distance_rows(a: pd.Series, b: pd.Series) -> pd.Series:
         B = np.stack(b[ok].to_numpy()).astype("float64")
         out[ok.to_numpy()] = ((A - B) ** 2).sum(axis=1)
     return pd.Series(out)
+
+
+def dot_matrix(emb: Column, vectors: Sequence[Sequence[float]]) -> Column:
+    """``ARRAY<DOUBLE>``: plain dot product of each row vector with every fixed vector
+    (Pandas UDF, one matrix product per Arrow batch; null vectors give null)."""
+    M = np.asarray(vectors, dtype="float64").T  # d x k
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def _dot(e: pd.Series) -> pd.Series:
+        out = [None] * len(e)
+        idx = [i for i, v in enumerate(e) if v is not None]
+        if idx:
+            X = np.stack([np.asarray(e.iloc[i], dtype="float64") for i in idx])
+            S = X @ M
+            for j, i in enumerate(idx):
+                out[i] = S[j].tolist()
+        return pd.Series(out, dtype="object")
+
+    return _dot(emb)

@@ -140,22 +140,21 @@ def representatives(df: DataFrame, k: int = 5, cluster: str = "cluster", sim: st
 
 def topic_top_sentences(labels: DataFrame, k: int = 5, topic: str = "topic", text_col: str = "text",
                         emb_col: str = "embedding") -> DataFrame:
-    """Per topic, the k labels of *all* labels closest (Euclidean) to the topic's raw centroid.
+    """Per topic, the k labels *of all labels* with the largest dot product with the topic's
+    raw (not re-normalised) centroid, ``rank`` 1 = largest (ties: text asc).
 
-    Topic centroids are few (one per topic) and embedded as literals behind a size check; each
-    label row computes its distance to every centroid in one projection; a per-topic top-k with
-    ``row_number`` (partially limited before the shuffle) keeps k rows per topic.
-    """
+    Topic centroids are few (one per topic) and travel with the scoring function behind a size
+    check; each label row gets its products with every centroid in one pass; the per-topic top-k
+    (``row_number``) is limited inside each partition before the shuffle."""
     cen = cluster_centroids(labels, topic, emb_col, noise=None, renormalise=False)
     rows = VF.collect_bounded(cen.orderBy(topic), MAX_QUERY_VECTORS, "topic centroids")
-    d2 = VF.sq_distance_matrix(F.col(emb_col), [r["centroid"] for r in rows])
+    sims = VF.dot_matrix(F.col(emb_col), [r["centroid"] for r in rows])
     topics = F.array(*[F.lit(r[topic]) for r in rows])
-    ex = (labels.select(text_col, d2.alias("_d"))
-                .select(text_col, F.posexplode("_d").alias("_i", "_d2"))
-                .select(text_col, F.try_element_at(topics, F.col("_i") + 1).alias("t"), F.sqrt("_d2").alias("d")))
-    w = Window.partitionBy("t").orderBy(F.col("d").asc(), F.col(text_col).asc())
-    return (ex.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-              .withColumnRenamed("t", topic).withColumnRenamed("d", "distance"))
+    ex = (labels.select(text_col, sims.alias("_s"))
+                .select(text_col, F.posexplode("_s").alias("_i", "sim"))
+                .select(text_col, F.try_element_at(topics, F.col("_i") + 1).alias("t"), "sim"))
+    w = Window.partitionBy("t").orderBy(F.col("sim").desc(), F.col(text_col).asc())
+    return ex.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnRenamed("t", topic)
 
 
 def assign_nearest(df: DataFrame, centroids: DataFrame, emb_col: str = "embedding", cluster: str = "cluster",

@@ -61,22 +61,22 @@ def m07_label_clusters(spark, sf):
     return M.label_clusters(view(spark, sf, "llm_out"), "ai_barrier_type_llm", eps=1.1, min_pts=1, min_size=1)
 
 
-def _with_titles(spark, sf):
+def _with_texts(spark, sf):
     cl = view(spark, sf, "clustered")
-    return cl.join(view(spark, sf, "news").select("orig_index", "title"), "orig_index")
+    return cl.join(view(spark, sf, "news").select("orig_index", "plain_text"), "orig_index")
 
 
 @query("m08_cluster_profile", ["clustered", "news"], f"""
 WITH {CENTROID_SQL},
-s AS (SELECT c.orig_index, c.cluster, n.title, {S.dot_sql('c.embedding', 'cen.centroid')} AS sim
+s AS (SELECT c.orig_index, c.cluster, n.plain_text, {S.dot_sql('c.embedding', 'cen.centroid')} AS sim
       FROM clustered c JOIN cen ON c.cluster = cen.cluster JOIN news n ON c.orig_index = n.orig_index),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, orig_index ASC) AS rank FROM s)
       WHERE rank <= 5)
-SELECT cen.cluster, cen.size, list(r.title ORDER BY r.rank) AS representatives,
-       list(r.title ORDER BY r.rank)[1] AS label_sentence
+SELECT cen.cluster, cen.size, list(r.plain_text ORDER BY r.rank) AS representatives,
+       list(r.plain_text ORDER BY r.rank)[1] AS label_sentence
 FROM cen LEFT JOIN r ON cen.cluster = r.cluster GROUP BY cen.cluster, cen.size""")
 def m08_cluster_profile(spark, sf):
-    return M.cluster_profile(_with_titles(spark, sf), k=5)
+    return M.cluster_profile(_with_texts(spark, sf), k=5, text_col="plain_text")
 
 
 @query("a42_cluster_summary", ["clustered"], f"""

@@ -138,23 +138,20 @@ def w06_representatives(spark, sf):
     return V.representatives(_sims(spark, sf), k=3).select("orig_index", "cluster", "rank")
 
 
-@query("o07_topic_top_sentences", ["embeddings"], """
+@query("o07_topic_top_sentences", ["embeddings"], f"""
 WITH lab AS (SELECT label AS topic, concat('label ', CAST(vec_id AS VARCHAR)) AS text, embedding FROM embeddings),
 pos AS (SELECT topic, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM lab),
 m AS (SELECT topic, i, avg(CAST(x AS DOUBLE)) AS m FROM pos GROUP BY 1, 2),
 cen AS (SELECT topic, list(m ORDER BY i) AS c FROM m GROUP BY 1),
-d AS (SELECT cen.topic, lab.text,
-             sqrt(list_sum(list_transform(list_zip(lab.embedding, cen.c), lambda p: pow(CAST(p[1] AS DOUBLE) - p[2], 2))))
-             AS distance FROM lab, cen)
-SELECT topic, text, distance, rank FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY distance ASC, text ASC) AS INT) AS rank FROM d)
-WHERE rank <= 5""",
-       rounded=["distance"])
+d AS (SELECT cen.topic, lab.text, {S.dot_sql('lab.embedding', 'cen.c')} AS sim FROM lab, cen)
+SELECT topic, text, sim, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY sim DESC, text ASC) AS INT) AS rank FROM d)
+WHERE rank <= 5""", rounded=["sim"])
 def o07_topic_top_sentences(spark, sf):
     lab = view(spark, sf, "embeddings").select(
         F.col("label").alias("topic"), F.concat(F.lit("label "), F.col("vec_id").cast("string")).alias("text"),
         "embedding")
-    return V.topic_top_sentences(lab, k=5).select("topic", "text", "distance", "rank")
+    return V.topic_top_sentences(lab, k=5).select("topic", "text", "sim", "rank")
 
 
 @query("m05_assign_nearest", ["clustered"], """
