@@ -410,6 +410,16 @@ def a36_word_counts(spark, sf):
     return A.word_counts(view(spark, sf, "news"), stop=STOP, top=20)
 
 
+@query("a36b_word_counts_unicode", ["news"], f"""
+SELECT word, count(*) AS count FROM (
+  SELECT unnest(regexp_extract_all(lower(coalesce(plain_text, '')), '[\\p{{L}}\\p{{N}}_]+', 0)) AS word FROM news)
+WHERE regexp_matches(word, '^[\\p{{L}}_]{{3,}}$') AND word NOT IN ('the', 'and', 'that')
+GROUP BY 1 ORDER BY count DESC, word LIMIT 50""")
+def a36b_word_counts_unicode(spark, sf):
+    # letters of any script (and '_'), at least 3, no digits: the vectorizer rule of the topic words
+    return A.word_counts(view(spark, sf, "news"), stop=STOP, top=50, keep_pattern=r"^[\p{L}_]{3,}$")
+
+
 KW_WORDS = ["the", "and", "der", "und", "les", "des", "license", "de", "la", "el"]
 
 
