@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from presslens.operators.labelling import KeywordStubModel, build_prompt
+from presslens.plans import sqlgen as S
 from presslens.plans.registry import query
 from presslens.plans.trends import FIXTURE_KEYWORDS
 from presslens.session import checkpoint_path
@@ -23,7 +24,9 @@ def _folder(spark, name: str) -> str:
     return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-@query("s04_read_shards", ["llm_out"])
+@query("s04_read_shards", ["llm_out"], """
+SELECT orig_index, is_ai_llm, ai_relevance_llm, ai_topic_llm, ai_barrier_llm, ai_barrier_type_llm, industries_llm,
+       CAST(orig_index % 2 AS INT) AS src_priority FROM llm_out""")
 def s04_read_shards(spark, sf):
     base = _folder(spark, "shards")
     d = view(spark, sf, "llm_out")
@@ -35,7 +38,7 @@ def s04_read_shards(spark, sf):
     return R.read_shards(spark, paths)
 
 
-@query("s05_write_stage", ["news"])
+@query("s05_write_stage", ["news"], f"SELECT orig_index, {S.year_sql()} AS year, publisher FROM news")
 def s05_write_stage(spark, sf):
     from presslens.operators.clean import with_year
 
@@ -45,7 +48,10 @@ def s05_write_stage(spark, sf):
     return spark.read.parquet(p)
 
 
-@query("s06_write_json_map", ["clustered"])
+@query("s06_write_json_map", ["clustered"], """
+SELECT CAST(cluster AS BIGINT) AS key, list(CAST(orig_index AS BIGINT) ORDER BY orig_index) AS value FROM (
+  SELECT cluster, orig_index, row_number() OVER (PARTITION BY cluster ORDER BY orig_index) AS r FROM clustered)
+WHERE r <= 5 GROUP BY cluster""")
 def s06_write_json_map(spark, sf):
     p = _folder(spark, "json-map")
     from pyspark.sql import Window
@@ -58,16 +64,21 @@ def s06_write_json_map(spark, sf):
     return spark.read.json(p)
 
 
-@query("s07_append_labels", ["human_labels"])
+@query("s07_append_labels", ["human_labels"],
+       "SELECT *, CAST(CAST(to_timestamp(ts) AS DATE) AS VARCHAR) AS day FROM human_labels")
 def s07_append_labels(spark, sf):
     p = _folder(spark, "label-log")
     h = view(spark, sf, "human_labels")
     K.append_labels(h.filter(F.col("human_is_ai") == 1), p)
     K.append_labels(h.filter(F.col("human_is_ai") != 1), p)
-    return spark.read.parquet(p)
+    return spark.read.parquet(p).withColumn("day", F.col("day").cast("string"))
 
 
-@query("s08_load_columnset", ["news"])
+@query("s08_load_columnset", ["news"], """
+SELECT orig_index, plain_text, title, publisher, sitename, published_date, lang, src_priority FROM (
+  SELECT *, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS src_priority,
+         row_number() OVER (PARTITION BY lang, publisher, title ORDER BY orig_index) AS rn
+  FROM news WHERE lang IN ('en', 'de') AND (publisher IS NULL OR publisher NOT IN ('sn.dk'))) WHERE rn = 1""")
 def s08_load_columnset(spark, sf):
     from presslens.operators.clean import clean_news
 
@@ -82,7 +93,7 @@ def s08_load_columnset(spark, sf):
     return R.stack_frames(frames)
 
 
-@query("s09_embedding_table_write", ["clustered"])
+@query("s09_embedding_table_write", ["clustered"], "SELECT orig_index, embedding FROM clustered")
 def s09_embedding_table_write(spark, sf):
     p = _folder(spark, "vectors")
     K.embedding_table_write(view(spark, sf, "clustered"), p)

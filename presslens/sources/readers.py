@@ -43,24 +43,30 @@ def read_embeddings(spark: SparkSession, path: str, key: str = "vec_id", out_key
 
 def read_shards(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet",
                 schema: T.StructType | None = None) -> DataFrame:
-    """Several shard files stacked by column name; ``src_priority`` = position in ``paths``.
+    """Several shard files (or folders) stacked by column name; ``src_priority`` = position of
+    the path in ``paths`` (the first listed path wins later de-duplication).
 
-    One scan over all files: the priority comes from the file each row was read from.
-    """
+    One scan over all files; the priority comes from each row's source file (``_metadata``)."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
     df = reader.format(fmt).load(list(paths))
-    prio = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(_norm_path(p)), F.lit(i))])
-    return df.withColumn("src_priority", F.try_element_at(prio, _file_key(F.input_file_name())))
-
-
-def _norm_path(p: str) -> str:
-    return p.rstrip("/").split("/")[-1]
-
-
-def _file_key(c):
-    return F.element_at(F.split(c, "/"), -1)
+    fname = F.col("_metadata.file_path")
+    prio = F.lit(None).cast("int")
+    for i, p in reversed(list(enumerate(paths))):
+        norm = _strip_scheme(p).rstrip("/")
+        prio = F.when(fname.endswith(norm) | fname.contains(norm + "/"), F.lit(i)).otherwise(prio)
+    return df.withColumn("src_priority", prio)
+
+
+def _strip_scheme(p: str) -> str:
+    """'file:/x', 'file:///x', 'hdfs://nn/x' -> the path part."""
+    if "://" in p:
+        rest = p.split("://", 1)[1]
+        return rest if rest.startswith("/") else "/" + rest.split("/", 1)[1] if "/" in rest else rest
+    if p.startswith("file:"):
+        return p[5:]
+    return p
 
 
 def stack_frames(dfs: Sequence[DataFrame], priority_col: str | None = "src_priority") -> DataFrame:
