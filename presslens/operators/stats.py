@@ -29,13 +29,9 @@ def _ranges(spark, ranges: int | None) -> int:
     return ranges
 
 
-def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], group: str | None = None,
-                 ranges: int | None = None) -> DataFrame:
-    """Add ``<c>_before``: the sum of ``c`` over all rows with a smaller ``order_col`` (per group).
-
-    ``df`` must hold one row per (group, order value) - an aggregated table.  The prefix sums are
-    computed per value range and shifted by the totals of the preceding ranges.
-    """
+def _ranged(df: DataFrame, order_col: str, sum_cols: Sequence[str], group: str | None, ranges: int | None):
+    """(rows with range id ``_r`` and exclusive prefix sums ``_b_<c>``, per-range table with
+    offsets ``_o_<c>`` and totals ``_t_<c>``).  ``df`` must hold one row per (group, order value)."""
     ranges = _ranges(df.sparkSession, ranges)
     g = F.col(group) if group else F.lit(0)
     src = df.withColumn("_g", g)
@@ -54,44 +50,58 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], group:
     local = ranged.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_l_{c}") for c in sum_cols])
     tot = ranged.groupBy("_g", "_r").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_g", "_r", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
-                                    for c in sum_cols])
-    out = local.join(small(offs), ["_g", "_r"])
-    out = out.select(*df.columns, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{c}_before") for c in sum_cols])
-    return out
+    offs = tot.select("_g", "_r", *[F.col(f"_t_{c}") for c in sum_cols],
+                      *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+    rows = local.join(small(offs.select("_g", "_r", *[f"_o_{c}" for c in sum_cols])), ["_g", "_r"])
+    rows = rows.select("*", *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"_b_{c}") for c in sum_cols])
+    return rows, offs
+
+
+def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], group: str | None = None,
+                 ranges: int | None = None) -> DataFrame:
+    """Add ``<c>_before``: the sum of ``c`` over all rows with a smaller ``order_col`` (per group).
+
+    ``df`` must hold one row per (group, order value) - an aggregated table.  The prefix sums are
+    computed per value range and shifted by the totals of the preceding ranges."""
+    rows, _ = _ranged(df, order_col, sum_cols, group, ranges)
+    return rows.select(*df.columns, *[F.col(f"_b_{c}").alias(f"{c}_before") for c in sum_cols])
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], ranges: int | None = None,
                     group: str | None = None) -> DataFrame:
     """Exact quantiles ``(p, value)`` of a numeric column (nulls and NaN ignored).
 
-    With ``group`` the quantiles are per group (one row per group and p).
-    """
+    With ``group`` the quantiles are per group (one row per group and p).  The wanted ranks are
+    placed in their value range through the small per-range table first, so the final lookup is
+    an equi-join on (group, range): no group's values meet in one task."""
     x = (F.col(col) if isinstance(col, str) else col).cast("double")
     g = F.col(group) if group else F.lit(0)
     vals = (df.select(g.alias("_grp"), x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
               .groupBy("_grp", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    ranked = running_sums(vals, "_v", ["_c"], group="_grp", ranges=ranges) if group else \
-        running_sums(vals.drop("_grp"), "_v", ["_c"], ranges=ranges).withColumn("_grp", F.lit(0))
-    totals = vals.groupBy("_grp").agg(F.sum("_c").alias("_n"))
+    rows, offs = _ranged(vals, "_v", ["_c"], "_grp", ranges)
+    totals = offs.groupBy("_g").agg(F.sum("_t__c").alias("_n"))
     ps = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (totals.select("_grp", F.posexplode(ps).alias("_pi", "_p"), "_n")
+    targets = (totals.select("_g", F.posexplode(ps).alias("_pi", "_p"), "_n")
                      .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
-                     .select("_grp", "_pi", "_p", "_pos",
+                     .select("_g", "_pi", "_p", "_pos",
                              F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_k")))
-    t = (F.broadcast(targets) if group is None else targets).alias("t")
-    r = ranked.select("_grp", "_v", F.col("_c_before").alias("_start"),
-                      (F.col("_c_before") + F.col("_c")).alias("_end")).alias("r")
-    hit = (r.join(t, (F.col("t._grp") == F.col("r._grp")) & (F.col("r._start") <= F.col("t._k"))
-                  & (F.col("t._k") < F.col("r._end")))
-            .select(F.col("t._grp").alias("_grp"), "t._pi", "t._p", "t._pos", "t._k", "r._v"))
-    out = (hit.groupBy("_grp", "_pi", "_p", "_pos")
+    # the range holding each wanted rank (small x small: ranges per group, two ranks per p)
+    o = offs.select("_g", "_r", F.col("_o__c").alias("_lo"), (F.col("_o__c") + F.col("_t__c")).alias("_hi"))
+    placed = (targets.join(o, "_g").filter((F.col("_lo") <= F.col("_k")) & (F.col("_k") < F.col("_hi")))
+                     .select("_g", "_r", "_pi", "_p", "_pos", "_k"))
+    t = placed.alias("t")
+    r = rows.select("_g", "_r", "_v", F.col("_b__c").alias("_start"), (F.col("_b__c") + F.col("_c")).alias("_end")) \
+        .alias("r")
+    hit = (r.join(t, (F.col("t._g") == F.col("r._g")) & (F.col("t._r") == F.col("r._r"))
+                  & (F.col("r._start") <= F.col("t._k")) & (F.col("t._k") < F.col("r._end")))
+            .select(F.col("t._g").alias("_g"), "t._pi", "t._p", "t._pos", "t._k", "r._v"))
+    out = (hit.groupBy("_g", "_pi", "_p", "_pos")
               .agg(F.min_by("_v", "_k").alias("_a"), F.max_by("_v", "_k").alias("_b"), F.min("_k").alias("_k0"))
-              .select("_grp", F.col("_p").alias("p"),
+              .select("_g", F.col("_p").alias("p"),
                       (F.col("_a") + (F.col("_pos") - F.col("_k0")) * (F.col("_b") - F.col("_a"))).alias("value")))
     if group:
-        return out.withColumnRenamed("_grp", group)
-    return out.drop("_grp")
+        return out.withColumnRenamed("_g", group)
+    return out.drop("_g")
 
 
 def quantile_values(df: DataFrame, col: str, probs: Sequence[float]) -> list[float]:
