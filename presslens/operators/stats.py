@@ -17,6 +17,7 @@ statistics at ``p * (n - 1)`` (as ``percentile`` / DuckDB ``quantile_cont``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,19 +34,26 @@ def _ranged(df: DataFrame, order_col: str, sum_cols: Sequence[str], group: str |
     """(rows with range id ``_r`` and exclusive prefix sums ``_b_<c>``, per-range table with
     offsets ``_o_<c>`` and totals ``_t_<c>``).  ``df`` must hold one row per (group, order value)."""
     ranges = _ranges(df.sparkSession, ranges)
-    g = F.col(group) if group else F.lit(0)
-    src = df.withColumn("_g", g)
+    edges_p = [i / ranges for i in range(1, ranges)]
+    v = F.col(order_col).cast("double")
+    if group is None:
+        # one global set of range edges: ranges - 1 numbers, read once and used as a literal
+        found = df.agg(F.percentile_approx(v, edges_p, 10 * ranges)).first()[0] or []
+        # range id = number of edges below the value (plain comparisons, code-generated)
+        rid = F.lit(0)
+        for e in found:
+            rid = rid + (v > F.lit(float(e))).cast("int")
+        ranged = df.withColumn("_g", F.lit(0)).withColumn("_r", rid)
+    else:
+        src = df.withColumn("_g", F.col(group))
+        edges = src.groupBy("_g").agg(F.percentile_approx(v, edges_p, 10 * ranges).alias("_edges"))
+        ranged = (src.join(edges, "_g").withColumn("_r", F.size(F.filter(F.col("_edges"), lambda e: e < v)))
+                     .drop("_edges"))
 
     def small(d: DataFrame) -> DataFrame:
-        # without groups these tables have a fixed size (one row, or one row per range)
+        # without groups the per-range table has at most ``ranges`` rows
         return F.broadcast(d) if group is None else d
 
-    edges_p = [i / ranges for i in range(1, ranges)]
-    edges = src.groupBy("_g").agg(F.percentile_approx(F.col(order_col).cast("double"), edges_p, 10 * ranges)
-                                  .alias("_edges"))
-    ranged = (src.join(small(edges), "_g")
-                 .withColumn("_r", F.size(F.filter(F.col("_edges"), lambda e: e < F.col(order_col).cast("double"))))
-                 .drop("_edges"))
     w = Window.partitionBy("_g", "_r").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_l_{c}") for c in sum_cols])
     tot = ranged.groupBy("_g", "_r").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
@@ -75,21 +83,40 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], ra
     placed in their value range through the small per-range table first, so the final lookup is
     an equi-join on (group, range): no group's values meet in one task."""
     x = (F.col(col) if isinstance(col, str) else col).cast("double")
-    g = F.col(group) if group else F.lit(0)
-    vals = (df.select(g.alias("_grp"), x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-              .groupBy("_grp", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    rows, offs = _ranged(vals, "_v", ["_c"], "_grp", ranges)
-    totals = offs.groupBy("_g").agg(F.sum("_t__c").alias("_n"))
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (totals.select("_g", F.posexplode(ps).alias("_pi", "_p"), "_n")
-                     .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
-                     .select("_g", "_pi", "_p", "_pos",
-                             F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_k")))
-    # the range holding each wanted rank (small x small: ranges per group, two ranks per p)
-    o = offs.select("_g", "_r", F.col("_o__c").alias("_lo"), (F.col("_o__c") + F.col("_t__c")).alias("_hi"))
-    placed = (targets.join(o, "_g").filter((F.col("_lo") <= F.col("_k")) & (F.col("_k") < F.col("_hi")))
-                     .select("_g", "_r", "_pi", "_p", "_pos", "_k"))
-    t = placed.alias("t")
+    spark = df.sparkSession
+    if group is None:
+        vals = (df.select(x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+                  .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")))
+        rows, offs = _ranged(vals, "_v", ["_c"], None, ranges)
+        # the per-range table is small (one row per range): the wanted ranks are placed here
+        table = sorted((int(r["_r"]), int(r["_o__c"]), int(r["_t__c"])) for r in offs.collect())
+        n = sum(t for _, _, t in table)
+        placed = []
+        for pi, p in enumerate(probs):
+            if n == 0:
+                break
+            pos = float(p) * (n - 1)
+            for k in sorted({math.floor(pos), math.ceil(pos)}):
+                rng = next(r for r, lo, t in table if lo <= k < lo + t)
+                placed.append((0, rng, pi, float(p), pos, int(k)))
+        t = spark.createDataFrame(placed, "_g int, _r int, _pi int, _p double, _pos double, _k long")
+        t = F.broadcast(t)
+    else:
+        g = F.col(group)
+        vals = (df.select(g.alias("_grp"), x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+                  .groupBy("_grp", "_v").agg(F.count(F.lit(1)).alias("_c")))
+        rows, offs = _ranged(vals, "_v", ["_c"], "_grp", ranges)
+        totals = offs.groupBy("_g").agg(F.sum("_t__c").alias("_n"))
+        ps = F.array(*[F.lit(float(p)) for p in probs])
+        targets = (totals.select("_g", F.posexplode(ps).alias("_pi", "_p"), "_n")
+                         .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
+                         .select("_g", "_pi", "_p", "_pos",
+                                 F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_k")))
+        # the range holding each wanted rank (per group: ranges rows x two ranks per p)
+        o = offs.select("_g", "_r", F.col("_o__c").alias("_lo"), (F.col("_o__c") + F.col("_t__c")).alias("_hi"))
+        t = (targets.join(o, "_g").filter((F.col("_lo") <= F.col("_k")) & (F.col("_k") < F.col("_hi")))
+                    .select("_g", "_r", "_pi", "_p", "_pos", "_k"))
+    t = t.alias("t")
     r = rows.select("_g", "_r", "_v", F.col("_b__c").alias("_start"), (F.col("_b__c") + F.col("_c")).alias("_end")) \
         .alias("r")
     hit = (r.join(t, (F.col("t._g") == F.col("r._g")) & (F.col("t._r") == F.col("r._r"))
