@@ -72,7 +72,7 @@ def quantile_buckets(df: DataFrame, col: str, bins: int = 5) -> tuple[Column, li
         return out, [e[1] for e in edges]
     for i in range(len(edges) - 1, 0, -1):
         (p0, _), (p1, v1) = edges[i - 1], edges[i]
-        label = f"{int(round(100 * p0))}-{int(round(100 * p1))}%"
+        label = f"{int(100 * p0)}-{int(100 * p1)}%"
         out = F.when(x <= F.lit(v1), F.lit(label)).otherwise(out)
     return F.when(x >= F.lit(edges[0][1]), out), [e[1] for e in edges]
 
@@ -166,13 +166,15 @@ def metric_report(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def label_sample(df: DataFrame, labels: DataFrame, key: str = "orig_index", answer_col: str = "answer",
+def label_sample(df: DataFrame, labels: DataFrame, subset: str, key: str = "orig_index", answer_col: str = "answer",
                  out: str = "is_ai_label") -> DataFrame:
-    """Attach the model's yes/no label; missing source / bucket / zone get defaults."""
+    """Attach the model's yes/no label and the subset name; missing source / bucket / zone get
+    the study's defaults ('both', 'all', 'all')."""
     from presslens.functions.parse import yes_no
 
     j = df.join(labels.select(key, yes_no(F.col(answer_col)).alias(out)), key, "left")
-    for c, d in (("score_source", "random"), ("score_bucket", "all"), ("zone", "none")):
+    j = j.withColumn(out, F.coalesce(F.col(out), F.lit(False))).withColumn("subset", F.lit(subset))
+    for c, d in (("score_source", "both"), ("score_bucket", "all"), ("zone", "all")):
         j = j.withColumn(c, F.coalesce(F.col(c), F.lit(d))) if c in j.columns else j.withColumn(c, F.lit(d))
     return j
 

@@ -146,3 +146,15 @@ def linspace(start: float, stop: float, n: int) -> list[float]:
     out = [start + i * step for i in range(n)]
     out[-1] = float(stop)
     return out
+
+
+def quantiles(df: DataFrame, col: str, probs: Sequence[float], exact: bool = True, accuracy: int = 10000,
+              group: str | None = None) -> DataFrame:
+    """``(p, value)`` per (group and) p: exact by default (:func:`exact_quantiles`), or the bounded
+    sketch ``percentile_approx`` (one partial aggregate, rank error about n / accuracy)."""
+    if exact:
+        return exact_quantiles(df, col, probs, group=group)
+    keys = [group] if group else []
+    est = df.groupBy(*keys).agg(F.percentile_approx(F.col(col).cast("double"), list(probs), accuracy).alias("_q"))
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    return est.select(*keys, F.inline(F.arrays_zip(ps.alias("p"), F.col("_q").alias("value"))))

@@ -38,7 +38,7 @@ def e02_sample_top_k(spark, sf):
 
 
 _P = linspace(0.0, 1.0, 6)
-_LABELS = [f"{int(round(100 * _P[i]))}-{int(round(100 * _P[i + 1]))}%" for i in range(5)]
+_LABELS = [f"{int(100 * _P[i])}-{int(100 * _P[i + 1])}%" for i in range(5)]
 STRAT_SQL = f"""q AS (SELECT quantile_cont(ai_score_simple, [{', '.join(repr(p) for p in _P)}]) AS e FROM judged),
 bk AS (SELECT j.*, CASE WHEN ai_score_simple < e[1] THEN NULL
   {' '.join(f"WHEN ai_score_simple <= e[{i + 2}] THEN '{_LABELS[i]}'" for i in range(5))} END AS score_bucket
@@ -150,18 +150,18 @@ def e11_metric_report(spark, sf):
 @query("e12_label_sample", ["judged", "llm_raw"], f"""
 WITH s AS (SELECT orig_index FROM judged ORDER BY {H(42)}, orig_index LIMIT 50)
 SELECT s.orig_index, coalesce(starts_with(lower({S.strip_sql('l.answer')}), 'ja'), FALSE) AS is_ai_label,
-       'random' AS score_source, 'all' AS score_bucket, 'none' AS zone
+       'global_random' AS subset, 'both' AS score_source, 'all' AS score_bucket, 'all' AS zone
 FROM s LEFT JOIN llm_raw l ON s.orig_index = l.orig_index""")
 def e12_label_sample(spark, sf):
     s = E.sample_n(_judged(spark, sf).select("orig_index"), 50, 42)
-    return E.label_sample(s, view(spark, sf, "llm_raw"))
+    return E.label_sample(s, view(spark, sf, "llm_raw"), "global_random")
 
 
 @query("e13_label_pool", ["judged"], f"""
 WITH pos AS (SELECT * FROM judged WHERE ai_score > 0),
 q AS (SELECT quantile_cont(ai_score, [{', '.join(repr(p) for p in linspace(0.0, 1.0, 11))}]) AS e FROM pos),
 bk AS (SELECT p.*, CASE WHEN ai_score < e[1] THEN NULL
-  {' '.join(f"WHEN ai_score <= e[{i + 2}] THEN '{int(round(100 * linspace(0.0, 1.0, 11)[i]))}-{int(round(100 * linspace(0.0, 1.0, 11)[i + 1]))}%'" for i in range(10))}
+  {' '.join(f"WHEN ai_score <= e[{i + 2}] THEN '{int(100 * linspace(0.0, 1.0, 11)[i])}-{int(100 * linspace(0.0, 1.0, 11)[i + 1])}%'" for i in range(10))}
   END AS score_bucket FROM pos p, q)
 SELECT orig_index, score_bucket FROM (
   SELECT *, row_number() OVER (PARTITION BY score_bucket ORDER BY {H(42)}, orig_index) AS rn

@@ -81,3 +81,13 @@ def test_large_sample_prefilter_is_exact(spark):
     a = sorted(r[0] for r in E.sample_n(df, 1500, 7).collect())
     b = sorted(r[0] for r in E.sample_n(df, 1500, 7, direct_below=10 ** 9).collect())
     assert len(a) == 1500 and a == b
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    from presslens.operators.stats import quantiles
+
+    df = spark.range(10001).selectExpr("cast(id as double) as v")
+    ex = {r["p"]: r["value"] for r in quantiles(df, "v", [0.1, 0.5, 0.9]).collect()}
+    ap = {r["p"]: r["value"] for r in quantiles(df, "v", [0.1, 0.5, 0.9], exact=False).collect()}
+    assert ex == {0.1: 1000.0, 0.5: 5000.0, 0.9: 9000.0}
+    assert all(abs(ap[p] - ex[p]) <= 2 for p in ex)
