@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,20 +88,14 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], ra
     if group is None:
         vals = (df.select(x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
                   .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")))
-        rows, offs = _ranged(vals, "_v", ["_c"], None, ranges)
-        # the per-range table is small (one row per range): the wanted ranks are placed here
-        table = sorted((int(r["_r"]), int(r["_o__c"]), int(r["_t__c"])) for r in offs.collect())
-        n = sum(t for _, _, t in table)
-        placed = []
-        for pi, p in enumerate(probs):
-            if n == 0:
-                break
-            pos = float(p) * (n - 1)
-            for k in sorted({math.floor(pos), math.ceil(pos)}):
-                rng = next(r for r, lo, t in table if lo <= k < lo + t)
-                placed.append((0, rng, pi, float(p), pos, int(k)))
-        t = spark.createDataFrame(placed, "_g int, _r int, _pi int, _p double, _pos double, _k long")
-        t = F.broadcast(t)
+        # the collapsed (value, count) table feeds three short steps (edges, range table, lookup):
+        # it is kept once instead of scanning the input three times, and the answer (one row per
+        # p) is returned as a small table
+        vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return _global_quantiles(spark, vals, probs, ranges)
+        finally:
+            vals.unpersist()
     else:
         g = F.col(group)
         vals = (df.select(g.alias("_grp"), x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
@@ -116,6 +111,11 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], ra
         o = offs.select("_g", "_r", F.col("_o__c").alias("_lo"), (F.col("_o__c") + F.col("_t__c")).alias("_hi"))
         t = (targets.join(o, "_g").filter((F.col("_lo") <= F.col("_k")) & (F.col("_k") < F.col("_hi")))
                     .select("_g", "_r", "_pi", "_p", "_pos", "_k"))
+    return _lookup(rows, t, group)
+
+
+def _lookup(rows: DataFrame, t: DataFrame, group: str | None) -> DataFrame:
+    """Values at the placed ranks (equi-join on group and range), interpolated per p."""
     t = t.alias("t")
     r = rows.select("_g", "_r", "_v", F.col("_b__c").alias("_start"), (F.col("_b__c") + F.col("_c")).alias("_end")) \
         .alias("r")
@@ -131,6 +131,24 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float], ra
     return out.drop("_g")
 
 
+def _global_quantiles(spark, vals: DataFrame, probs: Sequence[float], ranges: int | None) -> DataFrame:
+    rows, offs = _ranged(vals, "_v", ["_c"], None, ranges)
+    # the per-range table is small (one row per range): the wanted ranks are placed here
+    table = sorted((int(r["_r"]), int(r["_o__c"]), int(r["_t__c"])) for r in offs.collect())
+    n = sum(t for _, _, t in table)
+    placed = []
+    for pi, p in enumerate(probs):
+        if n == 0:
+            break
+        pos = float(p) * (n - 1)
+        for k in sorted({math.floor(pos), math.ceil(pos)}):
+            rng = next(r for r, lo, t in table if lo <= k < lo + t)
+            placed.append((0, rng, pi, float(p), pos, int(k)))
+    t = F.broadcast(spark.createDataFrame(placed, "_g int, _r int, _pi int, _p double, _pos double, _k long"))
+    result = [(float(r["p"]), float(r["value"])) for r in _lookup(rows, t, None).collect()]
+    return spark.createDataFrame(result, "p double, value double")
+
+
 def quantile_values(df: DataFrame, col: str, probs: Sequence[float]) -> list[float]:
     """The exact quantiles as a short Python list (one value per p; a bounded result)."""
     rows = exact_quantiles(df, col, probs).collect()
