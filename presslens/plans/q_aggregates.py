@@ -74,6 +74,14 @@ def a06_value_counts(spark, sf):
     return A.value_counts(view(spark, sf, "llm_out"), "ai_topic_llm")
 
 
+@query("a06b_value_counts_keep_null", ["llm_out"], f"""
+SELECT barrier_flag, count(*) AS count FROM (SELECT {S.to_bool_sql('ai_barrier_llm')} AS barrier_flag FROM llm_out)
+GROUP BY 1""")
+def a06b_value_counts_keep_null(spark, sf):
+    d = view(spark, sf, "llm_out").select(P.to_bool(F.col("ai_barrier_llm")).alias("barrier_flag"))
+    return A.value_counts(d, "barrier_flag", dropna=False)
+
+
 @query("a07_count_by", ["news"], f"""
 WITH {SCORED_SQL}
 SELECT publisher, year, count(*) AS count FROM scored WHERE publisher IS NOT NULL AND year IS NOT NULL GROUP BY 1, 2""")
