@@ -78,3 +78,30 @@ def test_results_equal_under_1_and_8_partitions(spark):
         assert res["1"] == res["8"]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_histogram_matches_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=500)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = {r["bin"]: r["count"] for r in A.histogram(df, "x", 30).collect()}
+    counts, _ = np.histogram(x, bins=30)
+    assert [got.get(i, 0) for i in range(30)] == list(counts)
+
+
+def test_density_matches_gaussian_kde(spark):
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=300)
+    grid = [-2.0, -0.5, 0.0, 0.7, 2.5]
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = {r["grid_index"]: r["density"] for r in A.density(df, "x", grid).collect()}
+    bw = x.std(ddof=1) * len(x) ** -0.2
+    for i, g in enumerate(grid):
+        want = np.exp(-((g - x) / bw) ** 2 / 2).sum() / (len(x) * bw * math.sqrt(2 * math.pi))
+        assert abs(got[i] - want) < 1e-12
