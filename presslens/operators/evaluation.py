@@ -184,7 +184,11 @@ def label_pool(df: DataFrame, mode: str = "stratified", n: int = 2000, col: str
     """Candidate pool for manual labelling: 'stratified' (10 quantile bins, n/10 each) or
     'priority' (O05)."""
     if mode == "stratified":
-        return stratified_by_quantile(df.filter(F.col(col) > 0), col, 10, max(1, n // 10), seed, key)
+        cand = df.filter(F.col(col) > 0)
+        bucket, edges = quantile_buckets(cand, col, 10)
+        per_bin = max(1, n // max(1, len(edges) - 1))     # bins left after equal edges are dropped
+        b = cand.withColumn("score_bucket", bucket).filter(F.col("score_bucket").isNotNull())
+        return sample_per_group(b, ["score_bucket"], per_bin, seed, key).withColumn("score_source", F.lit(col))
     from presslens.operators.windows import priority_pool
 
     return priority_pool(df, n, score=col, key=key, **kw)

@@ -113,9 +113,10 @@ def priority_pool(df: DataFrame, n: int = 2000, score: str = "ai_score", kw: str
     """Candidates with score > 0; noise first, then low keyword score, then closeness of the
     score to ``target``; the first n."""
     cand = df.filter(F.col(score) > 0)
-    is_noise = (F.col(noise_col) == -1).cast("int")
-    return cand.orderBy(is_noise.desc(), F.col(kw).asc(), F.abs(F.col(score) - F.lit(target)).asc(),
-                        F.col(key).asc()).limit(n)
+    # missing keyword score / cluster count as 0, as in the study
+    is_noise = F.coalesce((F.col(noise_col) == -1).cast("int"), F.lit(0))
+    return cand.orderBy(is_noise.desc(), F.coalesce(F.col(kw), F.lit(0)).asc(),
+                        F.abs(F.col(score) - F.lit(target)).asc(), F.col(key).asc()).limit(n)
 
 
 # ---- sets ----------------------------------------------------------------------------------------

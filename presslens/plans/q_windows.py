@@ -105,7 +105,8 @@ WITH {SCORED_SQL},
 d AS (SELECT j.orig_index, j.ai_score, s.keyword_score, c.cluster FROM judged j
       JOIN scored s ON j.orig_index = s.orig_index JOIN clustered c ON j.orig_index = c.orig_index)
 SELECT orig_index, ai_score, keyword_score, cluster FROM d WHERE ai_score > 0
-ORDER BY CAST(cluster = -1 AS INT) DESC, keyword_score ASC, abs(ai_score - 0.15) ASC, orig_index ASC LIMIT 50""")
+ORDER BY coalesce(CAST(cluster = -1 AS INT), 0) DESC, coalesce(keyword_score, 0) ASC, abs(ai_score - 0.15) ASC,
+         orig_index ASC LIMIT 50""")
 def o05_priority_pool(spark, sf):
     j = view(spark, sf, "judged").select("orig_index", "ai_score")
     d = (j.join(_scored(spark, sf).select("orig_index", "keyword_score"), "orig_index")
