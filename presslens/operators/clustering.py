@@ -108,9 +108,11 @@ def elbow_pick(curve: DataFrame, k_col: str = "k", inertia_col: str = "inertia")
 # ---- density clusters --------------------------------------------------------------------------
 
 def _projection(df: DataFrame, emb_col: str, dims: int = 2) -> list[list[float]]:
-    """Two orthonormal directions (the top principal axes) as Python lists (dims x d, bounded)."""
+    """The top ``dims`` principal axes (orthonormal) as Python lists (dims x d, bounded)."""
     from pyspark.ml.feature import PCA
 
+    width = len(df.select(emb_col).filter(F.col(emb_col).isNotNull()).first()[0])
+    dims = max(1, min(dims, width))
     feats = _features(df, emb_col)
     model = PCA(k=dims, inputCol="_features", outputCol="_p").fit(feats)
     m = model.pc.toArray()  # d x dims, orthonormal columns
@@ -118,21 +120,27 @@ def _projection(df: DataFrame, emb_col: str, dims: int = 2) -> list[list[float]]
 
 
 def epsilon_neighbours(points: DataFrame, eps: float, emb_col: str = "embedding", id_col: str = "vid",
-                       weight_col: str = "weight") -> DataFrame:
+                       weight_col: str = "weight", grid_dims: int = 2) -> DataFrame:
     """All pairs (a, b), a != b, with Euclidean distance <= eps (exact).
 
-    Blocking: a grid of width ``eps`` on an orthonormal 2-D projection.  A true neighbour lies in
-    the same or an adjacent cell, so each point is joined with the 9 cells around it, and the
-    candidates are filtered by the true distance at once.
+    Blocking: a grid of width ``eps`` on the top ``grid_dims`` principal axes (orthonormal, so a
+    projected distance never exceeds the true one).  A true neighbour lies in the same or an
+    adjacent cell, so each point probes the 3^grid_dims cells around it, and the candidates are
+    filtered by the true distance at once.  More axes cut more false candidates in dense regions
+    at the price of more probe rows per point.
     """
-    axes = _projection(points, emb_col)
+    import itertools
+
+    axes = _projection(points, emb_col, grid_dims)
     cells = [F.floor(VF.dot(F.col(emb_col), VF.vector_literal(a)) / F.lit(eps)).cast("long") for a in axes]
-    pts = points.select(id_col, emb_col, weight_col, cells[0].alias("_cx"), cells[1].alias("_cy"))
-    offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    probe = (pts.select(F.col(id_col).alias("a"), F.col(emb_col).alias("ea"), "_cx", "_cy", F.explode(offs).alias("_o"))
-                .select("a", "ea", (F.col("_cx") + F.col("_o.dx")).alias("_cx"), (F.col("_cy") + F.col("_o.dy")).alias("_cy")))
-    build = pts.select(F.col(id_col).alias("b"), F.col(emb_col).alias("eb"), F.col(weight_col).alias("wb"), "_cx", "_cy")
-    cand = probe.join(build, ["_cx", "_cy"]).filter(F.col("a") != F.col("b"))
+    names = [f"_c{j}" for j in range(len(axes))]
+    pts = points.select(id_col, emb_col, weight_col, *[c.alias(n) for c, n in zip(cells, names)])
+    offs = F.array(*[F.array(*[F.lit(d) for d in combo])
+                     for combo in itertools.product((-1, 0, 1), repeat=len(axes))])
+    probe = (pts.select(F.col(id_col).alias("a"), F.col(emb_col).alias("ea"), *names, F.explode(offs).alias("_o"))
+                .select("a", "ea", *[(F.col(n) + F.col("_o")[j]).alias(n) for j, n in enumerate(names)]))
+    build = pts.select(F.col(id_col).alias("b"), F.col(emb_col).alias("eb"), F.col(weight_col).alias("wb"), *names)
+    cand = probe.join(build, names).filter(F.col("a") != F.col("b"))
     return (cand.withColumn("_d2", VF.sq_distance_rows(F.col("ea"), F.col("eb")))
                 .filter(F.col("_d2") <= F.lit(eps * eps)).select("a", "b", "wb"))
 
@@ -163,7 +171,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, node_col: str = "vi
 
 def density_clusters(df: DataFrame, eps: float, min_pts: int = 5, min_size: int = 2, key: str = "orig_index",
                      emb_col: str = "embedding", out: str = "cluster", noise: int = -1,
-                     max_rounds: int = 100) -> DataFrame:
+                     max_rounds: int = 100, grid_dims: int = 2) -> DataFrame:
     """Exact DBSCAN labels (Euclidean ``eps``), clusters smaller than ``min_size`` -> noise.
 
     Cluster ids are the smallest key of a core point in the cluster (deterministic).  Core point:
@@ -174,7 +182,7 @@ def density_clusters(df: DataFrame, eps: float, min_pts: int = 5, min_size: int
     src = df.select(key, F.col(emb_col).cast("array<double>").alias("_e"))
     points = cut_lineage(src.groupBy("_e").agg(F.min(key).alias("vid"), F.count(F.lit(1)).alias("weight"))
                             .withColumnRenamed("_e", emb_col))
-    nb = cut_lineage(epsilon_neighbours(points, eps, emb_col))   # used four times below: computed once
+    nb = cut_lineage(epsilon_neighbours(points, eps, emb_col, grid_dims=grid_dims))   # used four times below: computed once
     counts = nb.groupBy("a").agg(F.sum("wb").alias("_nw"))
     core = (points.join(counts.withColumnRenamed("a", "vid"), "vid", "left")
                   .select("vid", (F.col("weight") + F.coalesce(F.col("_nw"), F.lit(0)) >= min_pts).alias("core")))

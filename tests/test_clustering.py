@@ -57,8 +57,12 @@ def test_density_clusters_equal_bruteforce(spark):
     X = np.vstack([X, X[:5]])           # exact copies
     ids = list(range(100, 100 + len(X)))
     df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in zip(ids, X)], "orig_index long, embedding array<double>")
+    want = _dbscan_bruteforce(X, ids, 1.5, 4, 3)
     got = {r["orig_index"]: r["cluster"] for r in M.density_clusters(df, 1.5, min_pts=4, min_size=3).collect()}
-    assert got == _dbscan_bruteforce(X, ids, 1.5, 4, 3)
+    assert got == want
+    got3 = {r["orig_index"]: r["cluster"]
+            for r in M.density_clusters(df, 1.5, min_pts=4, min_size=3, grid_dims=3).collect()}
+    assert got3 == want
 
 
 def test_kmeans_assigns_nearest_centre(spark):
