@@ -67,7 +67,9 @@ def test_results_equal_under_1_and_8_partitions(spark):
     import __spark_entry__ as E
 
     q = E.queries()
-    names = ["a02_yearly_share", "a09_describe", "e07_auc", "w09_auc_ranks", "a17_majority_label", "p05_clean_news"]
+    names = ["a02_yearly_share", "a09_describe", "e07_auc", "w09_auc_ranks", "a17_majority_label", "p05_clean_news",
+             "w08_sample_per_group", "e03_stratified_by_quantile", "a22_topic_mix", "a28_topic_barrier_matrix",
+             "m06_density_clusters", "j12_nearest_prototype", "e01_sample_n", "w01_first_by_priority"]
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         res = {}
