@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presslens.llm import bloomdedup, chat, hostrules, ring
+from presslens.llm import bloomdedup, chat, harmonic, hostrules, packed, ring, wordbpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,18 @@ def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_documents(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.encode_documents(_table(spark, sf_dir, "documents"))
+
+
+def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.pack_ids(_table(spark, sf_dir, "documents"))
+
+
+def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.host_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -31,5 +43,7 @@ def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloomdedup.exact_copies(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_snapshots, op2_ring_shards, op7_host_rules, op10_bloom_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_chat_snapshots, op2_ring_shards, op4_word_bpe, op5_packed_ids, op6_harmonic_packing, op7_host_rules,
+    op10_bloom_dedup)}
 ORACLES: dict[str, str] = {"op1_chat_snapshots": chat.ORACLE, "op7_host_rules": hostrules.ORACLE, "op10_bloom_dedup": bloomdedup.ORACLE}
