@@ -1,6 +1,6 @@
 """Exact de-duplication by two-pass Bloom filtering (native DataFrame code only).
 
-Pass one counts, for every row, two cells of a fixed-size table addressed by two hashes of the
+Pass one counts, for every row, two cells of one bucket of a fixed-size table, addressed by hashes of the
 normalised text, and packs the cells that were hit twice or more into a bitmap.  Pass two tests each
 row against the bitmap: a row with a cell that was hit once is certainly unique and passes straight
 through; only the others are shuffled and grouped by the SHA-256 of the text.  A false positive of
@@ -23,6 +23,8 @@ from presslens.llm.common import BLANKS, staged, text_or_empty
 #: proven bound of the broadcast.  Far beyond CELLS rows the filter fills up: then more digest rows
 #: shuffle, and the result stays the same.
 CELLS = 1 << 27
+#: Cells of one bitmap row.
+BUCKET = 32768
 #: Shares into which the copies of one text are dealt, so that a text that makes up a third of all
 #: rows is counted and joined in as many tasks.
 SALTS = 256
@@ -33,7 +35,11 @@ def normalised(text: str = "text") -> Column:
 
 
 def _cells(norm: Column, cells: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(norm, F.lit(seed)), F.lit(cells)).cast("bigint") + 1 for seed in (1, 2)]
+    """Two cells in one bucket of BUCKET cells, counted from 1 as the bitmap functions do."""
+    h = F.xxhash64(norm)
+    bucket = F.pmod(h, F.lit(max(cells // BUCKET, 1)))
+    inner = [F.pmod(F.shiftrightunsigned(F.xxhash64(norm, F.lit(7)), n), F.lit(BUCKET)) for n in (0, 32)]
+    return [(bucket * BUCKET + i + 1).cast("bigint") for i in inner]
 
 
 def repeated_cells(cell_rows: DataFrame, c1: str, c2: str) -> DataFrame:
@@ -53,12 +59,9 @@ def _bit(bits: str, cell: str) -> Column:
 
 def with_possible(rows: DataFrame, bitmap: DataFrame, c1: str, c2: str, flag: str) -> DataFrame:
     """Pass two: flag the rows whose two cells are both set (``bitmap`` is bounded by CELLS / 8 bytes)."""
-    keep = rows.columns
-    out = rows
-    for i, c in enumerate((c1, c2)):
-        side = F.broadcast(bitmap.select(F.col("bucket").alias(f"__b{i}"), F.col("bits").alias(f"__bits{i}")))
-        out = out.join(side, F.bitmap_bucket_number(c) == F.col(f"__b{i}"), "left")
-    return out.select(*keep, (_bit("__bits0", c1) & _bit("__bits1", c2)).alias(flag))
+    side = F.broadcast(bitmap.select(F.col("bucket").alias("__b"), F.col("bits").alias("__bits")))
+    out = rows.join(side, F.bitmap_bucket_number(c1) == F.col("__b"), "left")
+    return out.select(*rows.columns, (_bit("__bits", c1) & _bit("__bits", c2)).alias(flag))
 
 
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cells: int = CELLS) -> DataFrame:
