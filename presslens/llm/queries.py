@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presslens.llm import bloomdedup, chat, harmonic, hostrules, packed, ring, wordbpe
+from presslens.llm import bloomdedup, chat, harmonic, hostrules, langid, packed, ring, wordbpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_documents(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op3_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.encode_documents(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_chat_snapshots, op2_ring_shards, op4_word_bpe, op5_packed_ids, op6_harmonic_packing, op7_host_rules,
+    op1_chat_snapshots, op2_ring_shards, op3_language_centroids, op4_word_bpe, op5_packed_ids, op6_harmonic_packing, op7_host_rules,
     op10_bloom_dedup)}
 ORACLES: dict[str, str] = {"op1_chat_snapshots": chat.ORACLE, "op7_host_rules": hostrules.ORACLE, "op10_bloom_dedup": bloomdedup.ORACLE}
