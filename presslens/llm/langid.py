@@ -4,7 +4,7 @@ A text is the count vector of its hashed byte 3-grams (letters lower-cased, ASCI
 weighted by inverse document frequency and normalised.  Every language is represented by several centroids,
 found by spherical k-means on a bounded sample of its labelled texts; a text takes the language of the
 centroid with the largest cosine.  A text is rejected when it is farther from that centroid than any training
-text of the centroid, by a wide margin.  Short texts have few 3-grams and so a small cosine with any centroid;
+text of the language from its own, by a wide margin.  Short texts have few 3-grams and so a small cosine with any centroid;
 the margin shrinks with the root of their number, so that a single word of a known language is not rejected.
 
 The document frequencies cover every training document.  The k-means sample is bounded by ``SAMPLE`` texts per
@@ -35,7 +35,7 @@ DIM = 4096
 SAMPLE = 400
 #: Centroids per language.
 CENTROIDS = 3
-#: A text is rejected below this part of the smallest cosine that its centroid has in the sample ...
+#: A text is rejected below this part of the smallest cosine that its language has in the sample ...
 SLACK = 0.25
 #: ... and, with fewer 3-grams than this, below the root of their share of it.
 FULL = 400
@@ -79,23 +79,23 @@ class Model:
         return self.langs[i], score, score < SLACK * float(self.radius[i]) * min(1.0, (int(grams.sum()) / FULL) ** 0.5)
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest-first seeds; centres and the smallest cosine of each."""
-    seeds = [int((x @ x.mean(axis=0)).argmax())]
-    while len(seeds) < min(k, len(x)):
-        seeds.append(int((x @ x[seeds].T).max(axis=1).argmin()))
-    centres = x[seeds]
-    for _ in range(rounds):
-        own = (x @ centres.T).argmax(axis=1)
-        new = np.stack([x[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(len(centres))])
-        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
-        if np.allclose(new, centres):
-            break
-        centres = new
-    cos = x @ centres.T
-    own = cos.argmax(axis=1)
-    low = np.array([cos[own == j, j].min() if (own == j).any() else 1.0 for j in range(len(centres))])
-    return centres.astype(np.float32), low
+def _kmeans(x: np.ndarray, k: int, rounds: int = 20, starts: int = 5) -> tuple[np.ndarray, float]:
+    """Spherical k-means, the best of several seeded starts; centres and the smallest cosine to the nearest."""
+    rng = np.random.default_rng(0)
+    best: tuple[float, np.ndarray] | None = None
+    for _ in range(starts):
+        centres = x[np.sort(rng.choice(len(x), size=min(k, len(x)), replace=False))]
+        for _ in range(rounds):
+            own = (x @ centres.T).argmax(axis=1)
+            new = np.stack([x[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(len(centres))])
+            new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
+            if np.allclose(new, centres):
+                break
+            centres = new
+        total = float((x @ centres.T).max(axis=1).sum())
+        if best is None or total > best[0]:
+            best = total, centres
+    return best[1].astype(np.float32), float((x @ best[1].T).max(axis=1).min())
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE,
