@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presslens.llm import bloomdedup, chat, harmonic, hostrules, langid, packed, ring, wordbpe
+from presslens.llm import bloomdedup, chat, harmonic, hostrules, hyperminhash, langid, packed, ring, wordbpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,11 +43,15 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.host_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloomdedup.exact_copies(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_chat_snapshots, op2_ring_shards, op3_language_centroids, op4_word_bpe, op5_packed_ids, op6_harmonic_packing, op7_host_rules,
-    op10_bloom_dedup)}
+    op9_hyperminhash, op10_bloom_dedup)}
 ORACLES: dict[str, str] = {"op1_chat_snapshots": chat.ORACLE, "op7_host_rules": hostrules.ORACLE, "op10_bloom_dedup": bloomdedup.ORACLE}
