@@ -8,9 +8,14 @@ pair is estimated from the share of equal registers, corrected for chance collis
 six standard errors below the threshold are confirmed on their full shingle sets.
 
 No group of candidates is expanded into pairs.  Equal sets are one node.  Every key first links its members
-to its smallest member (a star); after the linked ones have become components, only members outside the
-largest component of their key are compared with the rest of it, which by the connection inside a component
-tests every pair that could still join two components.
+to its most central member (a star: the member that shares most keys with others), and linked nodes become
+components.  Keys that still hold several components are finished by an exact argument on their documents'
+shingles.  A shingle of at most ``RARE`` of these documents is rare; its documents are few, so the rare
+shingles that two documents share are counted from an index.  Two sets of n and m shingles are linked only
+if they have 85 (n + m) / 185 in common, and outside the rare ones they cannot have more in common than the
+smaller number of common shingles.  So a pair is tested if its shared rare shingles and that number reach
+the bound; without a shared rare shingle both documents must consist of common shingles nearly altogether,
+and only such pairs of one key and different components are tested besides.
 
 With 42 bands of 6 registers a pair at the threshold of 0.85 shares no key with a probability of about 2e-9.
 
@@ -46,6 +51,8 @@ REGISTERS, MANTISSA = 256, 10
 ROWS, BANDS = 6, 42
 #: Mark of an empty register.
 EMPTY = np.uint16(0xFFFF)
+#: Documents of open keys up to which a shingle counts as rare.
+RARE = 64
 #: Standard errors that an estimate may lie below the threshold.
 ERRORS = 6.0
 
@@ -227,6 +234,43 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _open_pairs(open_keys: DataFrame, contents: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the threshold (see the module's text)."""
+    nodes = open_keys.select("node", "part").distinct()
+    rows = contents.select("node", "n", "text").join(nodes, "node").select("node", "n", "part", "text")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in enumerate(batch[3].to_pylist()):
+                h = shingles(t).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), *(pa.array([batch[c][i].as_py()] * len(h), batch.schema.field(c).type) for c in (0, 1, 2))],
+                    names=["s", "node", "n", "part"])
+
+    kind = rows.schema["node"].dataType.simpleString()
+    flat = rows.mapInArrow(spread, f"s bigint, node {kind}, n bigint, part {kind}")
+    counted = flat.groupBy("s").agg(F.count("*").alias("docs"))
+    rare = staged(flat.join(counted.filter(F.col("docs") <= RARE), "s").select("s", "node", "n", "part", "docs"), "rare")
+    weight = staged(contents.select("node", "n").join(nodes, "node").join(
+        rare.groupBy("node").agg(F.count("*").alias("r")), "node", "left").select(
+        "node", "part", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("common")), "weights")
+    need = (PERCENT * (F.col("nu") + F.col("nv"))) / (100 + PERCENT)
+    lists = rare.filter("docs > 1").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("node", "part"))).alias("l"))
+    two = lists.select(F.posexplode("l").alias("i", "x"), "l").select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y")).filter(
+        "x.part <> y.part").groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("both"))
+    of = lambda c, s: weight.select(F.col("node").alias(c), F.col("n").alias(f"n{s}"), F.col("common").alias(f"c{s}"))
+    by_rare = two.join(of("a", "u"), "a").join(of("b", "v"), "b").filter(
+        F.col("both") + F.least("cu", "cv") >= need).select("a", "b")
+    # nearly all common: the smaller bound of a pair is reached with an equal set size, n * 170 / 185
+    plain = open_keys.select("key", "node", "part", "main").join(weight.select("node", "n", "common"), "node").filter(
+        F.col("common") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.ceil(F.col("n") * PERCENT / 100)))
+    u, v = (plain.select("key", F.col("node").alias(s), F.col("part").alias(f"p{s}"), F.col("n").alias(f"n{s}"),
+                         F.col("common").alias(f"c{s}"), F.col("main").alias(f"m{s}")) for s in "uv")
+    by_common = u.filter("pu <> mu").join(v, "key").filter((F.col("pu") != F.col("pv")) & (F.least("cu", "cv") >= need)).select(
+        F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    return by_rare.unionByName(by_common).distinct()
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     small_batches(docs.sparkSession)
@@ -235,25 +279,27 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     nodes = table.filter(F.size("bands") > 0).select("doc_id", "hi", "lo", "bands").join(
         sets.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi")
     entries = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
-    shared = staged(entries.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).filter("size > 1"), "keys")
-    members = staged(entries.join(shared, "key").select("key", "node", "head", "size"), "members")
-    contents = staged(_contents(docs, members.select("node").distinct(), id_col, text), "contents")
+    sizes = staged(entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "keys")
+    keyed = staged(entries.join(sizes, "key").select("key", "node", "size"), "members")
+    central = keyed.groupBy("node").agg(F.sum("size").alias("centre"))
+    members = staged(keyed.join(central, "node"), "centred")
+    contents = staged(_contents(docs, central.select("node"), id_col, text), "contents")
 
     # one star per key
-    star = staged(members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    heads = members.groupBy("key").agg(F.max_by("node", F.struct("centre", "node")).alias("head"))
+    star = members.join(heads, "key").filter("node <> head").select(
+        F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    star = staged(star, "star")
     links = _links(star, contents)
     labels = components(links)
 
-    # members outside the largest component of their key, against the rest of the key
+    # keys that still hold several components
     named = members.filter("size > 2").join(labels, "node", "left").select(
         "key", "node", F.coalesce("label", "node").alias("part"))
     parts = named.groupBy("key", "part").agg(F.count("*").alias("c"))
     main = parts.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     open_keys = staged(named.join(main.select("key", "main"), "key"), "open")
-    outside = open_keys.filter("part <> main").select("key", F.col("node").alias("u"), F.col("part").alias("pu"))
-    cross = outside.join(open_keys.select("key", F.col("node").alias("v"), F.col("part").alias("pv")), "key").filter("pu <> pv").select(
-        F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    more = _links(staged(cross.join(star, ["a", "b"], "left_anti"), "cross"), contents)
+    more = _links(staged(_open_pairs(open_keys, contents).join(star, ["a", "b"], "left_anti"), "cross"), contents)
 
     # the second links join whole components
     ends = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
