@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presslens.llm import bloomdedup, chat, harmonic, hostrules, hyperminhash, langid, packed, ring, wordbpe
+import corpus_pipeline
+from presslens.llm import bloomdedup, chat, harmonic, hostrules, hyperminhash, langid, packed, ring, surrogates, wordbpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,10 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.host_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.surrogate_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_classes(_table(spark, sf_dir, "documents"))
 
@@ -53,5 +58,8 @@ def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_chat_snapshots, op2_ring_shards, op3_language_centroids, op4_word_bpe, op5_packed_ids, op6_harmonic_packing, op7_host_rules,
-    op9_hyperminhash, op10_bloom_dedup)}
+    op8_surrogates, op9_hyperminhash, op10_bloom_dedup)}
 ORACLES: dict[str, str] = {"op1_chat_snapshots": chat.ORACLE, "op7_host_rules": hostrules.ORACLE, "op10_bloom_dedup": bloomdedup.ORACLE}
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
