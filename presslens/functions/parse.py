@@ -25,14 +25,16 @@ DEFAULT_TOPIC = "unknown"
 DEFAULT_NONE = "none"
 # ---------------------------------------------------------------------------
 
-LINE_BREAK = r"\r\n|\r|\n"
+# White space and line breaks of Unicode, as the study's language strips and splits them (Java and RE2 syntax).
+BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LINE_BREAK = r"\r\n|[\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 # First number: digits with an optional fraction, standing as a word of its own.
 NUMBER = r"(^|[^\p{L}\p{N}_])([0-9]+(\.[0-9]+)?)($|[^\p{L}\p{N}_])"
 
 
 def strip(c: Column) -> Column:
     """Python ``str.strip()``: drop leading and trailing white space of any kind."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"\A{BLANK}+|{BLANK}+\z", "")
 
 
 def to_bool(c: Column) -> Column:

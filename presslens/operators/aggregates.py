@@ -251,6 +251,12 @@ def pivot_top(df: DataFrame, index: str, col: str, k: int = 20, where: Column |
     return pivot_counts(src.filter(F.col(col).isin(top)), index, col, top)
 
 
+def top_counts(df: DataFrame, index: str, col: str, k: int = 20, where: Column | None = None) -> DataFrame:
+    """A25 in long form: (index, value, n) for every index and the k most frequent values, zeros included."""
+    wide = pivot_top(df, index, col, k, where)
+    return unpivot(wide, [index], [c for c in wide.columns if c != index], col, "n")
+
+
 def unpivot(df: DataFrame, ids: Sequence[str], value_cols: Sequence[str], var: str = "variable",
             val: str = "value") -> DataFrame:
     """Wide -> long."""
@@ -397,19 +403,18 @@ def publisher_event(df: DataFrame, pub: str = "publisher", event: str = "event_t
     return count_by(df, [pub, event])
 
 
-def cluster_summary(df: DataFrame, group: str = "cluster", text_col: str = "text", order_col: str = "rank",
-                    k: int = 5) -> DataFrame:
+def cluster_summary(df: DataFrame, sizes: DataFrame, group: str = "cluster", text_col: str = "text",
+                    order_col: str = "rank", k: int = 5) -> DataFrame:
     """Id, size, label sentence (first representative) and the k representatives in order.
 
-    ``df`` holds ranked members; only the k best per cluster are gathered (bounded array).
+    ``df`` holds ranked representatives, ``sizes`` one row (group, size) per cluster with the number of its
+    members; only the k best per cluster are gathered (bounded array).
     """
     ranked = df.filter(F.col(order_col) <= k)
     reps = ranked.groupBy(group).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("r"), F.col(text_col).alias("t")))),
                     lambda s: s["t"]).alias("representatives"))
-    sizes = df.groupBy(group).agg(F.max("size").alias("size")) if "size" in df.columns else \
-        df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    return (sizes.join(reps, group, "left")
+    return (sizes.select(group, "size").join(reps, group, "left")
                  .withColumn("label_sentence", F.try_element_at(F.col("representatives"), F.lit(1))))
 
 

@@ -217,8 +217,7 @@ def cluster_profile(df: DataFrame, k: int = 5, cluster: str = "cluster", key: st
     sims = similarity_to_centroid(df.filter(F.col(cluster) != noise), cen, cluster, emb_col)
     reps = representatives(sims, k, cluster, "sim", key)
     sizes = cen.select(cluster, "size")
-    summary = cluster_summary(reps.select(cluster, text_col, "rank"), cluster, text_col, "rank", k)
-    return sizes.join(summary.drop("size"), cluster, "left")
+    return cluster_summary(reps.select(cluster, text_col, "rank"), sizes, cluster, text_col, "rank", k)
 
 
 def label_clusters(labels: DataFrame, col: str, eps: float, min_pts: int = 5, min_size: int = 20,

@@ -182,12 +182,15 @@ def label_sample(df: DataFrame, labels: DataFrame, subset: str, key: str = "orig
 def label_pool(df: DataFrame, mode: str = "stratified", n: int = 2000, col: str = "ai_score", seed: int = 42,
                key: str = "orig_index", **kw) -> DataFrame:
     """Candidate pool for manual labelling: 'stratified' (10 quantile bins, n/10 each) or
-    'priority' (O05)."""
+    'priority' (O05).  Repeated keys count once; a pool of at most n candidates comes back whole."""
     if mode == "stratified":
-        cand = df.filter(F.col(col) > 0)
+        cand = df.filter(F.col(col) > 0).dropDuplicates([key])
         bucket, edges = quantile_buckets(cand, col, 10)
         per_bin = max(1, n // max(1, len(edges) - 1))     # bins left after equal edges are dropped
-        b = cand.withColumn("score_bucket", bucket).filter(F.col("score_bucket").isNotNull())
+        b = cand.withColumn("score_bucket", bucket)
+        if cand.limit(n + 1).count() <= n:
+            return b.withColumn("score_source", F.lit(col))
+        b = b.filter(F.col("score_bucket").isNotNull())
         return sample_per_group(b, ["score_bucket"], per_bin, seed, key).withColumn("score_source", F.lit(col))
     from presslens.operators.windows import priority_pool
 

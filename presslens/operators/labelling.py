@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,8 +142,9 @@ def checkpointed_labels(df: DataFrame, model: Callable, path: str, key: str = "o
     try:
         done = spark.read.parquet(path).select(key)
         todo = todo.join(done, key, "left_anti")
-    except Exception:  # noqa: BLE001 - no log yet
-        pass
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # only a missing log means that nothing is done
+            raise
     chunk = F.pmod(F.xxhash64(F.col(key)), F.lit(chunks))
     for c in range(chunks):
         part = todo.filter(chunk == c)

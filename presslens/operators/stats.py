@@ -20,14 +20,20 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+#: Most value ranges, whatever the number of shuffle partitions.
+MAX_RANGES = 1024
 
 
 def _ranges(spark, ranges: int | None) -> int:
     if ranges is None:
-        ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        ranges = min(max(16, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), MAX_RANGES)
     return ranges
 
 
@@ -40,11 +46,14 @@ def _ranged(df: DataFrame, order_col: str, sum_cols: Sequence[str], group: str |
     if group is None:
         # one global set of range edges: ranges - 1 numbers, read once and used as a literal
         found = df.agg(F.percentile_approx(v, edges_p, 10 * ranges)).first()[0] or []
-        # range id = number of edges below the value (plain comparisons, code-generated)
-        rid = F.lit(0)
-        for e in found:
-            rid = rid + (v > F.lit(float(e))).cast("int")
-        ranged = df.withColumn("_g", F.lit(0)).withColumn("_r", rid)
+        # range id = number of edges below the value; the edges are data, not part of the expression
+        edges = np.array(found, dtype=float)
+
+        @F.pandas_udf(IntegerType())
+        def range_of(x: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(edges, x.to_numpy(dtype=float), side="left").astype(np.int32))
+
+        ranged = df.withColumn("_g", F.lit(0)).withColumn("_r", range_of(v))
     else:
         src = df.withColumn("_g", F.col(group))
         edges = src.groupBy("_g").agg(F.percentile_approx(v, edges_p, 10 * ranges).alias("_edges"))

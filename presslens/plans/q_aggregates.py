@@ -281,14 +281,15 @@ WITH d AS (SELECT {S.year_sql('n.published_date')} AS year, l.ai_topic_llm
            WHERE coalesce({S.to_bool_sql('l.is_ai_llm')}, FALSE)),
 f AS (SELECT * FROM d WHERE year IS NOT NULL AND ai_topic_llm IS NOT NULL),
 t AS (SELECT ai_topic_llm FROM f GROUP BY 1 ORDER BY count(*) DESC, ai_topic_llm LIMIT 4)
-PIVOT (SELECT year, ai_topic_llm FROM f WHERE ai_topic_llm IN (SELECT ai_topic_llm FROM t))
-ON ai_topic_llm USING CAST(count(*) AS BIGINT) GROUP BY year""")
+SELECT y.year, t.ai_topic_llm, count(f.year) AS n
+FROM (SELECT DISTINCT year FROM f WHERE ai_topic_llm IN (SELECT ai_topic_llm FROM t)) y CROSS JOIN t
+LEFT JOIN f ON f.year = y.year AND f.ai_topic_llm = t.ai_topic_llm GROUP BY 1, 2""")
 def a25b_pivot_top(spark, sf):
     from presslens.operators.clean import with_year
 
     lab = view(spark, sf, "llm_out").select("orig_index", "ai_topic_llm", P.to_bool(F.col("is_ai_llm")).alias("is_ai"))
     d = with_year(view(spark, sf, "news")).select("orig_index", "year").join(lab, "orig_index")
-    return A.pivot_top(d, "year", "ai_topic_llm", 4, where=F.coalesce(F.col("is_ai"), F.lit(False)))
+    return A.top_counts(d, "year", "ai_topic_llm", 4, where=F.coalesce(F.col("is_ai"), F.lit(False)))
 
 
 @query("a26_unpivot", ["news"], f"WITH {PIVOT_SQL}\n" + "\nUNION ALL\n".join(

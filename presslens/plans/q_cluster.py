@@ -85,14 +85,15 @@ s AS (SELECT c.orig_index, c.cluster, {S.dot_sql('c.embedding', 'cen.centroid')}
       FROM clustered c JOIN cen ON c.cluster = cen.cluster),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, orig_index ASC) AS rank FROM s)
       WHERE rank <= 3)
-SELECT cluster, CAST(count(*) AS BIGINT) AS size, list(CAST(orig_index AS VARCHAR) ORDER BY rank) AS representatives,
+SELECT cluster, (SELECT count(*) FROM clustered c WHERE c.cluster = r.cluster) AS size, list(CAST(orig_index AS VARCHAR) ORDER BY rank) AS representatives,
        list(CAST(orig_index AS VARCHAR) ORDER BY rank)[1] AS label_sentence
 FROM r GROUP BY cluster""")
 def a42_cluster_summary(spark, sf):
     cl = view(spark, sf, "clustered")
     reps = representatives(similarity_to_centroid(cl, cluster_centroids(cl)), 3)
     reps = reps.withColumn("text", F.col("orig_index").cast("string"))
-    return cluster_summary(reps.select("cluster", "text", "rank"), "cluster", "text", "rank", 3)
+    sizes = cl.filter(F.col("cluster") != -1).groupBy("cluster").agg(F.count("*").alias("size"))
+    return cluster_summary(reps.select("cluster", "text", "rank"), sizes, "cluster", "text", "rank", 3)
 
 
 @query("m09_two_level_topics", ["embeddings"])

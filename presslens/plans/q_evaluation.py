@@ -165,7 +165,7 @@ bk AS (SELECT p.*, CASE WHEN ai_score < e[1] THEN NULL
   END AS score_bucket FROM pos p, q)
 SELECT orig_index, score_bucket FROM (
   SELECT *, row_number() OVER (PARTITION BY score_bucket ORDER BY {H(42)}, orig_index) AS rn
-  FROM bk WHERE score_bucket IS NOT NULL) WHERE rn <= 10""")
+  FROM bk) WHERE rn <= 10 AND score_bucket IS NOT NULL OR (SELECT count(*) FROM pos) <= 100""")
 def e13_label_pool(spark, sf):
     return E.label_pool(_judged(spark, sf), "stratified", 100).select("orig_index", "score_bucket")
 

@@ -76,16 +76,16 @@ def s07_append_labels(spark, sf):
 
 @query("s08_load_columnset", ["news"], """
 SELECT orig_index, plain_text, title, publisher, sitename, published_date, lang, src_priority FROM (
-  SELECT *, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS src_priority,
+  SELECT *, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INT) AS src_priority,
          row_number() OVER (PARTITION BY lang, publisher, title ORDER BY orig_index) AS rn
-  FROM news WHERE lang IN ('en', 'de') AND (publisher IS NULL OR publisher NOT IN ('sn.dk'))) WHERE rn = 1""")
+  FROM news WHERE lang IS NOT NULL AND (publisher IS NULL OR publisher NOT IN ('sn.dk'))) WHERE rn = 1""")
 def s08_load_columnset(spark, sf):
     from presslens.operators.clean import clean_news
 
     base = _folder(spark, "columnset")
     n = view(spark, sf, "news")
     paths = []
-    for lang in ("en", "de"):
+    for lang in sorted(r["lang"] for r in n.select("lang").distinct().collect() if r["lang"]):  # a few languages
         p = f"{base}/{lang}"
         K.write_stage(n.filter(F.col("lang") == lang), p)
         paths.append(p)

@@ -25,11 +25,11 @@ COS = S.cosine_sql
 
 @query("v01_cosine", ["clustered"], f"""
 SELECT c.orig_index, {COS('c.embedding', 'e.embedding')} AS cosine
-FROM clustered c JOIN embeddings e ON e.vec_id = (c.orig_index + 7) % 500""", rounded=["cosine"])
+FROM clustered c JOIN embeddings e ON e.vec_id = (c.orig_index + 7) % (SELECT count(*) FROM embeddings)""", rounded=["cosine"])
 def v01_cosine(spark, sf):
     c = view(spark, sf, "clustered").select("orig_index", "embedding")
     e = view(spark, sf, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("other"))
-    j = c.join(e, F.col("vec_id") == F.pmod(F.col("orig_index") + 7, F.lit(500)))
+    j = c.join(e, F.col("vec_id") == F.pmod(F.col("orig_index") + 7, F.lit(e.count())))
     return j.select("orig_index", VF.cosine(F.col("embedding"), F.col("other")).alias("cosine"))
 
 
@@ -50,17 +50,17 @@ def v03_contrastive_score(spark, sf):
 
 
 @query("v04_classify_by_prototype", ["news_vec", "protos"], f"""
-WITH p AS (SELECT name, embedding FROM protos WHERE phrase_no = 0)
+WITH p AS (SELECT concat(name, '#', CAST(phrase_no AS VARCHAR)) AS name, embedding FROM protos)
 SELECT orig_index, event_type FROM (
   SELECT n.orig_index, p.name AS event_type,
          row_number() OVER (PARTITION BY n.orig_index ORDER BY {COS('n.embedding', 'p.embedding')} DESC, p.name) AS rn
   FROM news_vec n, p) WHERE rn = 1""")
 def v04_classify_by_prototype(spark, sf):
-    p = view(spark, sf, "protos").filter(F.col("phrase_no") == 0)
+    p = view(spark, sf, "protos").withColumn("name", F.concat("name", F.lit("#"), F.col("phrase_no").cast("string")))
     return V.classify_by_prototype(_vec(spark, sf), p).select("orig_index", "event_type")
 
 
-EVENTS = [f"event_{i}" for i in range(6)]
+EVENTS = [f"event_{i}" for i in range(10)]
 MULTI_SQL = f"""ms AS (SELECT n.orig_index, {', '.join(
     f"avg({COS('n.embedding', 'p.embedding')}) FILTER (WHERE p.name = '{e}') AS score_{e}" for e in EVENTS)}
 FROM news_vec n, protos p GROUP BY n.orig_index)"""

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from presslens.functions.text import boundary_pattern, split_keywords
 
+from presslens.functions.parse import BLANK
+
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -24,7 +26,7 @@ def year_sql(col: str = "published_date") -> str:
 
 
 def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return rf"regexp_replace({x}, '\A{BLANK}+|{BLANK}+\z', '', 'g')"
 
 
 def to_bool_sql(x: str) -> str:

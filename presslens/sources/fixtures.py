@@ -30,11 +30,13 @@ FROM documents""", ("documents",)),
 SELECT orig_index, coalesce(plain_text, '') AS plain_text, title, publisher, sitename, published_date, lang
 FROM news_raw""", ("news_raw",)),
     "news_vec": ("""
-SELECT n.*, e.embedding, e.label FROM news n JOIN embeddings e ON e.vec_id = n.orig_index % 500""",
+SELECT n.orig_index, n.plain_text, n.title, n.publisher, n.sitename, n.published_date, n.lang, e.embedding, e.label
+FROM (SELECT *, orig_index % (SELECT count(*) FROM embeddings) AS vec_no FROM news) n JOIN embeddings e ON e.vec_id = n.vec_no""",
                  ("news", "embeddings")),
     "protos": ("""
-SELECT concat('event_', CAST(vec_id % 6 AS STRING)) AS name, CAST(floor(vec_id / 6) AS INT) AS phrase_no, embedding
-FROM embeddings WHERE vec_id < 18""", ("embeddings",)),
+SELECT concat('event_', CAST(label AS STRING)) AS name, CAST(r - 1 AS INT) AS phrase_no, embedding
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS STRING)), vec_id) AS r FROM embeddings) e
+WHERE r <= 3""", ("embeddings",)),
     "llm_raw": ("""
 SELECT orig_index, CASE orig_index % 8
   WHEN 0 THEN concat_ws(chr(10), 'ja', CAST(orig_index % 101 AS STRING), 'AI policy', 'Regulation', 'Rules slow it.', 'Denmark, Germany', 'Aarhus', 'finance, Healthcare,finance', 'AI, ai', 'et  citat')

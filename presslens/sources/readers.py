@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,27 +47,12 @@ def read_shards(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet",
     """Several shard files (or folders) stacked by column name; ``src_priority`` = position of
     the path in ``paths`` (the first listed path wins later de-duplication).
 
-    One scan over all files; the priority comes from each row's source file (``_metadata``)."""
+    Columns that only some shards have are null in the others."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
-    df = reader.format(fmt).load(list(paths))
-    fname = F.col("_metadata.file_path")
-    prio = F.lit(None).cast("int")
-    for i, p in reversed(list(enumerate(paths))):
-        norm = _strip_scheme(p).rstrip("/")
-        prio = F.when(fname.endswith(norm) | fname.contains(norm + "/"), F.lit(i)).otherwise(prio)
-    return df.withColumn("src_priority", prio)
-
-
-def _strip_scheme(p: str) -> str:
-    """'file:/x', 'file:///x', 'hdfs://nn/x' -> the path part."""
-    if "://" in p:
-        rest = p.split("://", 1)[1]
-        return rest if rest.startswith("/") else "/" + rest.split("/", 1)[1] if "/" in rest else rest
-    if p.startswith("file:"):
-        return p[5:]
-    return p
+    shards = [reader.format(fmt).load(p).withColumn("src_priority", F.lit(i)) for i, p in enumerate(paths)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)
 
 
 def stack_frames(dfs: Sequence[DataFrame], priority_col: str | None = "src_priority") -> DataFrame:
