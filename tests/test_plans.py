@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as E
+from presslens.plans import registry
 
 SF = "/root/testdata/sf0.001"
 # queries that write and read back (their plan is a file scan) or run ML fits are skipped here
@@ -14,14 +14,14 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries() if n not in SKIP))
+@pytest.mark.parametrize("name", sorted(n for n in (registry.load_all() or registry.QUERIES) if n not in SKIP))
 def test_no_pair_products(spark, name):
-    plan = _plan(E.queries()[name](spark, SF))
+    plan = _plan((registry.load_all() or registry.QUERIES)[name](spark, SF))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "percentile(" not in plan.replace("percentile_approx(", "")
 
 
 def test_first_row_per_key_is_limited_before_the_shuffle(spark):
-    plan = _plan(E.queries()["w02_unique_rows"](spark, SF))
+    plan = _plan((registry.load_all() or registry.QUERIES)["w02_unique_rows"](spark, SF))
     assert plan.count("WindowGroupLimit") >= 1
