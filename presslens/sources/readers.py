@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +55,16 @@ def read_shards(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet",
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)
 
 
+def _strip_scheme(p: str) -> str:
+    """'file:/x', 'file:///x', 'hdfs://nn/x' -> the path part."""
+    if "://" in p:
+        rest = p.split("://", 1)[1]
+        return rest if rest.startswith("/") else "/" + rest.split("/", 1)[1] if "/" in rest else rest
+    if p.startswith("file:"):
+        return p[5:]
+    return p
+
+
 def stack_frames(dfs: Sequence[DataFrame], priority_col: str | None = "src_priority") -> DataFrame:
     """Vertical union by column name (missing columns null); optional priority tag."""
     out = None
