@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -60,21 +61,31 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str = "rows") -> list:
     return rows
 
 
-def sum_cols(cols: Sequence[Column]) -> Column:
-    total = cols[0]
-    for c in cols[1:]:
-        total = total + c
-    return total
-
-
 def sq_distance(a: Column, b: Column) -> Column:
     """Squared Euclidean distance in DOUBLE."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)),
                        F.lit(0.0), lambda acc, x: acc + x)
 
 
-def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(sq_distance(a, b))
+def as_matrix(e: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(n x d matrix of the non-null vectors, mask of the non-null rows) from one Arrow batch.
+
+    The flat Arrow values are reshaped at once.  Vectors of different lengths are an error."""
+    ok = e.is_valid().to_numpy(zero_copy_only=False)
+    rows = e.filter(e.is_valid())
+    if not len(rows):
+        return np.empty((0, 0)), ok
+    if len(set(pc.list_value_length(rows).unique().to_pylist())) > 1:
+        raise ValueError("vectors of different lengths in one column")
+    return rows.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(rows), -1), ok
+
+
+def as_lists(m: np.ndarray, ok: np.ndarray) -> pa.Array:
+    """The rows of ``m`` as a list column; null where ``ok`` is false."""
+    width = m.shape[1] if len(m) else 0
+    offsets = np.concatenate([[0], np.cumsum(np.where(ok, width, 0))]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(m, dtype="float64").reshape(-1)),
+                                    mask=pa.array(~ok))
 
 
 def _unit_rows(m):
@@ -86,46 +97,49 @@ def _unit_rows(m):
 def cosine_matrix(emb: Column, vectors: Sequence[Sequence[float]]) -> Column:
     """``ARRAY<DOUBLE>``: cosine of each row vector with every fixed vector, in the fixed order.
 
-    One NumPy matrix product per Arrow batch (a Pandas UDF): the fixed vectors (size-checked by
-    the caller) travel with the function, the rows stream through in batches.  A null vector or
-    one of norm 0 gives null.
+    One NumPy matrix product per Arrow batch: the fixed vectors (size-checked by the caller)
+    travel with the function.  A null vector or one of norm 0 gives null.
     """
     P = _unit_rows(vectors).T  # d x k
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def _cos(e: pd.Series) -> pd.Series:
-        out = [None] * len(e)
-        idx = [i for i, v in enumerate(e) if v is not None]
-        if idx:
-            X = np.stack([np.asarray(e.iloc[i], dtype="float64") for i in idx])
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def _cos(e: pa.Array) -> pa.Array:
+        X, ok = as_matrix(e)
+        if len(X):
             n = np.linalg.norm(X, axis=1)
-            S = (X @ P) / np.where(n == 0, 1.0, n)[:, None]
-            for j, i in enumerate(idx):
-                out[i] = S[j].tolist() if n[j] > 0 else None
-        return pd.Series(out, dtype="object")
+            ok[np.flatnonzero(ok)[n == 0]] = False
+            X = (X[n > 0] @ P) / n[n > 0][:, None]
+        return as_lists(X, ok)
 
     return _cos(emb)
 
 
 def sq_distance_matrix(emb: Column, vectors: Sequence[Sequence[float]]) -> Column:
     """``ARRAY<DOUBLE>``: squared Euclidean distance of each row vector to every fixed vector
-    (Pandas UDF, one batch at a time, differences taken directly for exact ties)."""
+    (one Arrow batch at a time, differences taken directly for exact ties)."""
     C = np.asarray(vectors, dtype="float64")
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def _dist(e: pd.Series) -> pd.Series:
-        out = [None] * len(e)
-        idx = [i for i, v in enumerate(e) if v is not None]
-        if idx:
-            X = np.stack([np.asarray(e.iloc[i], dtype="float64") for i in idx])
-            D = np.stack([((X - c) ** 2).sum(axis=1) for c in C], axis=1)
-            for j, i in enumerate(idx):
-                out[i] = D[j].tolist()
-        return pd.Series(out, dtype="object")
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def _dist(e: pa.Array) -> pa.Array:
+        X, ok = as_matrix(e)
+        return as_lists(np.stack([((X - c) ** 2).sum(axis=1) for c in C], axis=1) if len(X) else X, ok)
 
     return _dist(emb)
 
 
+def dot_matrix(emb: Column, vectors: Sequence[Sequence[float]]) -> Column:
+    """``ARRAY<DOUBLE>``: plain dot product of each row vector with every fixed vector
+    (one matrix product per Arrow batch; null vectors give null)."""
+    M = np.asarray(vectors, dtype="float64").T  # d x k
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def _dot(e: pa.Array) -> pa.Array:
+        X, ok = as_matrix(e)
+        return as_lists(X @ M if len(X) else X, ok)
+
+    return _dot(emb)
+
+
 def array_mean(a: Column, start: int = 1, length: int | None = None) -> Column:
     """Mean of (a slice of) a small numeric array."""
     part = F.slice(a, start, length) if length is not None else a
@@ -140,34 +154,3 @@ def array_argmax(a: Column) -> Column:
 def array_argmin(a: Column) -> Column:
     """0-based position of the smallest element (ties: the first)."""
     return F.array_min(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("p"))))["p"]
-
-
-@F.pandas_udf(DoubleType())
-def sq_distance_rows(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Row-wise squared Euclidean distance of two vector columns (one NumPy pass per batch)."""
-    ok = a.notna() & b.notna()
-    out = np.full(len(a), np.nan)
-    if ok.any():
-        A = np.stack(a[ok].to_numpy()).astype("float64")
-        B = np.stack(b[ok].to_numpy()).astype("float64")
-        out[ok.to_numpy()] = ((A - B) ** 2).sum(axis=1)
-    return pd.Series(out)
-
-
-def dot_matrix(emb: Column, vectors: Sequence[Sequence[float]]) -> Column:
-    """``ARRAY<DOUBLE>``: plain dot product of each row vector with every fixed vector
-    (Pandas UDF, one matrix product per Arrow batch; null vectors give null)."""
-    M = np.asarray(vectors, dtype="float64").T  # d x k
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def _dot(e: pd.Series) -> pd.Series:
-        out = [None] * len(e)
-        idx = [i for i, v in enumerate(e) if v is not None]
-        if idx:
-            X = np.stack([np.asarray(e.iloc[i], dtype="float64") for i in idx])
-            S = X @ M
-            for j, i in enumerate(idx):
-                out[i] = S[j].tolist()
-        return pd.Series(out, dtype="object")
-
-    return _dot(emb)

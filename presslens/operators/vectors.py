@@ -4,7 +4,7 @@ Query and prototype vectors come from a table (read behind a row-count check)
 and travel with the scoring function: every article row is scored in one pass
 with no join, no shuffle and no pair table.  The similarity kernel is one NumPy
 matrix product per Arrow batch (interpreted array lambdas were 3-12x slower).  Per-cluster statistics
-(centroids) are partial aggregates over exploded vector positions.
+(centroids) are partial aggregates.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from presslens.functions import vectors as VF
+from presslens.operators.joins import bounded_broadcast
 
 MAX_QUERY_VECTORS = 10_000
 
@@ -103,19 +105,20 @@ def normalise(df: DataFrame, col: str = "embedding", out: str | None = None, eps
 
 def cluster_centroids(df: DataFrame, cluster: str = "cluster", emb_col: str = "embedding",
                       noise: int | None = -1, renormalise: bool = True) -> DataFrame:
-    """Mean vector per cluster (noise left out), optionally re-normalised.
+    """Mean vector per cluster (noise and null vectors left out), optionally re-normalised.
 
-    Vectors are exploded by position and averaged per (cluster, position): a partial aggregate,
-    so a cluster holding a third of the rows still ends as one row per partition per position.
+    ``Summarizer.mean`` is one partial aggregate over the vectors as they are: a cluster holding a
+    third of the rows still ends as one row per partition.
     """
-    src = df.filter(F.col(cluster).isNotNull())
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    src = df.filter(F.col(cluster).isNotNull() & F.col(emb_col).isNotNull())
     if noise is not None:
         src = src.filter(F.col(cluster) != noise)
-    pos = (src.select(cluster, F.posexplode(emb_col).alias("_i", "_x"))
-              .groupBy(cluster, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"), F.count(F.lit(1)).alias("_n")))
-    cen = (pos.groupBy(cluster)
-              .agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_s"), F.max("_n").alias("size"))
-              .select(cluster, F.transform("_s", lambda s: s["_m"]).alias("centroid"), "size"))
+    vec = array_to_vector(F.col(emb_col).cast("array<double>"))
+    cen = (src.groupBy(cluster).agg(Summarizer.mean(vec).alias("_m"), F.count(F.lit(1)).alias("size"))
+              .select(cluster, vector_to_array("_m").alias("centroid"), "size"))
     if renormalise:
         cen = cen.withColumn("centroid", VF.normalise(F.col("centroid"), 0.0))
     return cen
@@ -123,8 +126,12 @@ def cluster_centroids(df: DataFrame, cluster: str = "cluster", emb_col: str = "e
 
 def similarity_to_centroid(df: DataFrame, centroids: DataFrame, cluster: str = "cluster",
                            emb_col: str = "embedding", out: str = "sim") -> DataFrame:
-    """Dot product of each member with its own cluster centroid (equi-join on cluster)."""
-    return (df.join(centroids.select(cluster, "centroid"), cluster, "inner")
+    """Dot product of each member with its own cluster centroid (equi-join on cluster).
+
+    At most MAX_QUERY_VECTORS centroids (checked) are broadcast, so the members stay where they are
+    instead of meeting on a handful of keys; a larger table is joined as Spark plans it."""
+    near = bounded_broadcast(centroids.select(cluster, "centroid"), MAX_QUERY_VECTORS)
+    return (df.join(near, cluster, "inner")
               .withColumn(out, VF.dot(F.col(emb_col), F.col("centroid"))).drop("centroid"))
 
 
@@ -185,7 +192,7 @@ def embed(df: DataFrame, text_col: str = "plain_text", out: str = "embedding", d
         res = nrm.transform(tf.transform(tok.transform(src)))
         return (res.withColumn(out, vector_to_array("_nv", "float32")).drop("_tok", "_tf", "_nv"))
 
-    schema = df.schema.add(out, "array<float>")
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(FloatType()))])
 
     def run(batches):
         import numpy as np
