@@ -4,17 +4,18 @@
   distributed Gram matrix); vectors are converted with ``array_to_vector``.
 * Density clusters (the study used HDBSCAN on a UMAP map, both single-machine)
   are re-aimed as exact DBSCAN: identical vectors are collapsed first (weights),
-  an exact epsilon-join finds neighbours through a grid on an orthonormal 2-D
+  an exact epsilon-join finds neighbours through a grid on an orthonormal
   projection (projected distance never exceeds the true one, so adjacent cells
-  hold every true neighbour), and connected components of core points come from
-  min-label propagation, one lineage cut per round into the checkpoint folder.
+  hold every true neighbour), compared in blocks of bounded size by matrix
+  product, and connected components of core points come from min-label
+  propagation, one lineage cut per round into the checkpoint folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from presslens.functions import vectors as VF
@@ -92,17 +93,17 @@ def elbow_curve(df: DataFrame, ks: Sequence[int], seed: int = 42, emb_col: str =
 
 
 def elbow_pick(curve: DataFrame, k_col: str = "k", inertia_col: str = "inertia") -> DataFrame:
-    """K farthest from the chord between the first and last point of (k, log inertia).
+    """K whose log inertia lies farthest from the chord between the ends of the curve.
 
-    Ties go to the smaller k.  The chord ends are two scalars read from one aggregate."""
-    c = curve.select(F.col(k_col).cast("double").alias("x"), F.log(F.col(inertia_col)).alias("y"), F.col(k_col))
-    x1, y1, x2, y2 = c.agg(F.min("x"), F.min_by("y", "x"), F.max("x"), F.max_by("y", "x")).first()
-    v0, v1 = x2 - x1, y2 - y1
-    norm = (v0 * v0 + v1 * v1) ** 0.5 + 1e-12
-    dist = F.abs(F.lit(v0) * (F.lit(y1) - F.col("y")) - F.lit(v1) * (F.lit(x1) - F.col("x"))) / F.lit(norm)
-    scored = c.select(k_col, dist.alias("dist"))
-    return scored.agg(F.max_by(F.col(k_col), F.struct(F.col("dist"), -F.col(k_col))).alias("best_k"),
-                      F.max("dist").alias("max_dist"))
+    The gap is measured straight up or down at the same k: it differs from the perpendicular
+    distance by one factor for the whole curve, so the pick is the same.  Ties go to the smaller k.
+    The chord ends are scalars read from one aggregate."""
+    c = curve.select(F.col(k_col), F.log(F.col(inertia_col)).alias("y"))
+    lo, y_lo, hi, y_hi = c.agg(F.min(k_col), F.min_by("y", k_col), F.max(k_col), F.max_by("y", k_col)).first()
+    slope = (y_hi - y_lo) / (hi - lo) if hi > lo else 0.0
+    gap = F.abs(F.col("y") - (F.lit(y_lo) + (F.col(k_col) - F.lit(lo)) * F.lit(slope)))
+    return c.select(k_col, gap.alias("gap")).agg(
+        F.max_by(F.col(k_col), F.struct(F.col("gap"), -F.col(k_col))).alias("best_k"), F.max("gap").alias("max_gap"))
 
 
 # ---- density clusters --------------------------------------------------------------------------
@@ -119,30 +120,100 @@ def _projection(df: DataFrame, emb_col: str, dims: int = 2) -> list[list[float]]
     return [[float(m[i][j]) for i in range(m.shape[0])] for j in range(dims)]
 
 
+def _grid_blocks(points: DataFrame, eps: float, emb_col: str, id_col: str, weight_col: str, grid_dims: int,
+                 block_rows: int) -> DataFrame:
+    """Points packed into blocks of about ``block_rows`` vectors: (cell, sub, n_subs, ids, vecs, weights).
+
+    The cell is the point's place in a grid of width ``eps`` on the top principal axes; a cell with
+    more rows is split by a hash of the id, so no block grows with the data."""
+    axes = _projection(points, emb_col, grid_dims)
+    cell = F.array(*[F.floor(VF.dot(F.col(emb_col), VF.vector_literal(a)) / F.lit(eps)).cast("long") for a in axes])
+    pts = points.select(id_col, emb_col, weight_col, cell.alias("cell"))
+    subs = pts.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n_subs"))
+    # the salt keeps a hot cell's rows apart in the join that tells them their cell's size
+    salts = 32
+    salted = subs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = (pts.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
+               .join(salted, ["cell", "_salt"])
+               .withColumn("sub", F.pmod(F.xxhash64(id_col, F.lit(1)), F.col("n_subs")).cast("int")))
+    block = F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(emb_col).cast("array<double>").alias("e"),
+                                    F.col(weight_col).cast("long").alias("w")))
+    return (rows.groupBy("cell", "sub", "n_subs").agg(block.alias("_b"))
+                .select("cell", "sub", "n_subs", F.transform("_b", lambda r: r["i"]).alias("ids"),
+                        F.flatten(F.transform("_b", lambda r: r["e"])).alias("vecs"),
+                        F.transform("_b", lambda r: r["w"]).alias("weights")))
+
+
+def _block_pairs(blocks: DataFrame, grid_dims: int) -> DataFrame:
+    """Every pair of blocks from the same or adjacent cells, each pair once (smaller (cell, sub) first).
+
+    The join key is one block, (cell, sub): a hot cell's blocks spread over many tasks."""
+    import itertools
+
+    offs = F.array(*[F.array(*[F.lit(d) for d in o]) for o in itertools.product((-1, 0, 1), repeat=grid_dims)])
+    cells = blocks.groupBy("cell").agg(F.max("n_subs").alias("n"))
+    probe = (blocks.select(F.col("cell").alias("cell_a"), F.col("sub").alias("sub_a"), F.col("ids").alias("ids_a"),
+                           F.col("vecs").alias("vecs_a"), F.col("weights").alias("weights_a"),
+                           F.explode(offs).alias("_o"))
+                   .withColumn("cell", F.zip_with("cell_a", "_o", lambda c, o: c + o)).drop("_o")
+                   .filter(F.col("cell_a") <= F.col("cell"))
+                   .join(cells, "cell")
+                   .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+                   .filter((F.col("cell_a") < F.col("cell")) | (F.col("sub_a") <= F.col("sub"))))
+    return probe.join(blocks.drop("n_subs"), ["cell", "sub"])
+
+
 def epsilon_neighbours(points: DataFrame, eps: float, emb_col: str = "embedding", id_col: str = "vid",
-                       weight_col: str = "weight", grid_dims: int = 2) -> DataFrame:
-    """All pairs (a, b), a != b, with Euclidean distance <= eps (exact).
+                       weight_col: str = "weight", grid_dims: int = 2, block_rows: int = 512) -> DataFrame:
+    """All pairs (a, b, weight of b), a != b, with Euclidean distance <= eps (exact).
 
     Blocking: a grid of width ``eps`` on the top ``grid_dims`` principal axes (orthonormal, so a
-    projected distance never exceeds the true one).  A true neighbour lies in the same or an
-    adjacent cell, so each point probes the 3^grid_dims cells around it, and the candidates are
-    filtered by the true distance at once.  More axes cut more false candidates in dense regions
-    at the price of more probe rows per point.
+    projected distance never exceeds the true one): a true neighbour lies in the same or an
+    adjacent cell.  Cells are packed into blocks of about ``block_rows`` vectors and compared block
+    by block with one matrix product; only true neighbours become rows.  More axes cut more
+    comparisons when the vectors spread over them.
     """
-    import itertools
-
-    axes = _projection(points, emb_col, grid_dims)
-    cells = [F.floor(VF.dot(F.col(emb_col), VF.vector_literal(a)) / F.lit(eps)).cast("long") for a in axes]
-    names = [f"_c{j}" for j in range(len(axes))]
-    pts = points.select(id_col, emb_col, weight_col, *[c.alias(n) for c, n in zip(cells, names)])
-    offs = F.array(*[F.array(*[F.lit(d) for d in combo])
-                     for combo in itertools.product((-1, 0, 1), repeat=len(axes))])
-    probe = (pts.select(F.col(id_col).alias("a"), F.col(emb_col).alias("ea"), *names, F.explode(offs).alias("_o"))
-                .select("a", "ea", *[(F.col(n) + F.col("_o")[j]).alias(n) for j, n in enumerate(names)]))
-    build = pts.select(F.col(id_col).alias("b"), F.col(emb_col).alias("eb"), F.col(weight_col).alias("wb"), *names)
-    cand = probe.join(build, names).filter(F.col("a") != F.col("b"))
-    return (cand.withColumn("_d2", VF.sq_distance_rows(F.col("ea"), F.col("eb")))
-                .filter(F.col("_d2") <= F.lit(eps * eps)).select("a", "b", "wb"))
+    dims = len(_projection(points, emb_col, grid_dims))
+    blocks = cut_lineage(_grid_blocks(points, eps, emb_col, id_col, weight_col, grid_dims, block_rows))
+    key = points.schema[id_col].dataType.simpleString()
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def flat(col, i):
+            return col[i].values.to_numpy(zero_copy_only=False)
+
+        for batch in batches:
+            col = {n: batch.column(n) for n in batch.schema.names}
+            for i in range(batch.num_rows):
+                ia, ib = flat(col["ids_a"], i), flat(col["ids"], i)
+                wa, wb = flat(col["weights_a"], i), flat(col["weights"], i)
+                A, B = flat(col["vecs_a"], i).reshape(len(ia), -1), flat(col["vecs"], i).reshape(len(ib), -1)
+                # the product only proposes (with room for rounding); the difference decides
+                near = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2 * (A @ B.T)
+                room = 1e-9 * (1.0 + eps * eps + float((A * A).sum(1).max()) + float((B * B).sum(1).max()))
+                x, y = np.nonzero(near <= eps * eps + room)
+                hit = (((A[x] - B[y]) ** 2).sum(1) <= eps * eps) & (ia[x] != ib[y])
+                x, y = x[hit], y[hit]
+                a, b, w = ia[x], ib[y], wb[y]
+                same = col["sub_a"][i].as_py() == col["sub"][i].as_py() and \
+                    col["cell_a"][i].as_py() == col["cell"][i].as_py()
+                if not same:  # a block against itself already holds both directions
+                    a, b, w = np.concatenate([a, ib[y]]), np.concatenate([b, ia[x]]), np.concatenate([w, wa[x]])
+                ids = batch.schema.field("ids").type.value_type
+                yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids), pa.array(w, pa.int64())],
+                                                 names=["a", "b", "wb"])
+
+    return _block_pairs(blocks, dims).mapInArrow(compare, f"a {key}, b {key}, wb long")
+
+
+def compared_pairs(points: DataFrame, eps: float, emb_col: str = "embedding", id_col: str = "vid",
+                   weight_col: str = "weight", grid_dims: int = 2, block_rows: int = 512) -> int:
+    """How many pairs :func:`epsilon_neighbours` compares (each once, pairs inside a block both ways)."""
+    blocks = _grid_blocks(points, eps, emb_col, id_col, weight_col, grid_dims, block_rows)
+    pairs = _block_pairs(blocks, len(_projection(points, emb_col, grid_dims)))
+    return pairs.agg(F.sum(F.size("ids_a").cast("long") * F.size("ids"))).first()[0] or 0
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame, node_col: str = "vid", max_rounds: int = 100) -> DataFrame:
@@ -190,7 +261,7 @@ def density_clusters(df: DataFrame, eps: float, min_pts: int = 5, min_size: int
     core_ids = core.filter("core").select("vid")
     core_edges = (nb.join(core_ids.withColumnRenamed("vid", "a"), "a", "left_semi")
                     .join(core_ids.withColumnRenamed("vid", "b"), "b", "left_semi"))
-    comp = connected_components(core_edges, core_ids)
+    comp = connected_components(core_edges, core_ids, max_rounds=max_rounds)
     # border points: smallest label among core neighbours
     border = (nb.join(core.filter(~F.col("core")).select(F.col("vid").alias("a")), "a", "left_semi")
                 .join(comp.withColumnRenamed("vid", "b"), "b")
@@ -220,25 +291,43 @@ def cluster_profile(df: DataFrame, k: int = 5, cluster: str = "cluster", key: st
     return cluster_summary(reps.select(cluster, text_col, "rank"), sizes, cluster, text_col, "rank", k)
 
 
+def _numbered(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Gapless numbers from 0 in the order of ``key`` (one row per key): a distributed sort, a row
+    number inside each sorted partition, and one offset per partition."""
+    rows = cut_lineage(df.orderBy(key).withColumn("_part", F.spark_partition_id()))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return (rows.withColumn("_row", inside).join(F.broadcast(offsets), "_part")
+                .withColumn(out, (F.col("_offset") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_offset"))
+
+
 def label_clusters(labels: DataFrame, col: str, eps: float, min_pts: int = 5, min_size: int = 20,
-                   dims: int = 64, pca_k: int = 5, none_label: str = "none") -> DataFrame:
+                   dims: int = 64, pca_k: int | None = 5, none_label: str = "none", encoder=None,
+                   vectors: DataFrame | None = None) -> DataFrame:
     """Cluster the distinct free-text labels; returns the mapping table
     (raw_label, cluster_id, cluster_label, freq).
 
     Labels are normalised (strip + lower, null -> 'nan'); 'none' and '' are left out.  Distinct
-    labels are embedded once each (V11), reduced (PCA in place of UMAP), density-clustered (M06);
-    each cluster is named by its label with the highest frequency over all articles (ties: the
-    smaller label); noise keeps id -1 and the name 'other'."""
+    labels are embedded once each: given ``vectors`` (raw_label, embedding), an ``encoder`` callable
+    or the hashing default (V11).  They are reduced (PCA in place of UMAP; ``pca_k=None`` keeps the
+    vectors) and density-clustered (M06); a label without a vector is noise.  Each cluster is named
+    by its label with the highest frequency over all articles (ties: the smaller label); noise keeps
+    id -1 and the name 'other'.  Ids are dense ranks of the labels, so no two labels share one."""
     from presslens.operators.labelling import normalise_label
     from presslens.operators.vectors import embed
 
     norm = labels.select(normalise_label(F.col(col)).alias("raw_label"))
     norm = norm.filter((F.col("raw_label") != none_label) & (F.col("raw_label") != ""))
-    uniq = norm.groupBy("raw_label").agg(F.count(F.lit(1)).alias("freq")).withColumn("_id", F.xxhash64("raw_label"))
-    vec = embed(uniq, "raw_label", "embedding", dims)
-    red = pca(vec, pca_k, "embedding", "reduced")
+    uniq = cut_lineage(_numbered(norm.groupBy("raw_label").agg(F.count(F.lit(1)).alias("freq")), "raw_label", "_id"))
+    if vectors is not None:
+        vec = uniq.join(vectors.select("raw_label", "embedding"), "raw_label").filter(F.col("embedding").isNotNull())
+    else:
+        vec = embed(uniq, "raw_label", "embedding", dims, encoder)
+    red = pca(vec, pca_k, "embedding", "reduced") if pca_k else vec.withColumnRenamed("embedding", "reduced")
     cl = density_clusters(red, eps, min_pts, min_size, key="_id", emb_col="reduced", out="cluster_id")
-    lab = uniq.join(cl, "_id").select("raw_label", "freq", "cluster_id")
+    lab = uniq.join(cl, "_id", "left").select("raw_label", "freq", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
     reps = (lab.filter(F.col("cluster_id") != -1).groupBy("cluster_id")
                .agg(F.min_by("raw_label", F.struct((-F.col("freq")).alias("a"), F.col("raw_label").alias("b")))
                     .alias("_rep")))
@@ -269,10 +358,3 @@ def plot_points(df: DataFrame, max_pts: int, top_k: int, cluster: str = "cluster
     pts = sample_n(kept, max_pts, seed, key)
     return pts.select(key, cluster, F.col(emb_col)[0].cast("double").alias("x"),
                       F.col(emb_col)[1].cast("double").alias("y"))
-
-
-def sse_of(pred: DataFrame, centres: DataFrame, cluster: str = "cluster", emb_col: str = "embedding") -> float:
-    """Sum of squared distances of rows to their assigned centre (for invariant checks)."""
-    j = pred.join(centres, cluster)
-    return float(j.agg(F.sum(VF.sq_distance(F.col(emb_col), F.col("centroid")))).first()[0])
-

@@ -170,6 +170,28 @@ def m05_assign_nearest(spark, sf):
     return V.assign_nearest(cl.select("orig_index", "embedding"), cen).select("orig_index", "prediction")
 
 
-@query("v11_embed", ["news"])
+@query("v11_embed", ["news"], """
+SELECT orig_index, 64 AS dims, CASE WHEN regexp_matches(lower(plain_text), '[\\p{L}\\p{N}_]') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS length
+FROM news""", rounded=["length"], digits=5)
 def v11_embed(spark, sf):
-    return V.embed(view(spark, sf, "news").select("orig_index", "plain_text"), dim=64).select("orig_index", "embedding")
+    """Size and length of every vector: 1, or 0 for a text without a token."""
+    e = V.embed(view(spark, sf, "news").select("orig_index", "plain_text"), dim=64)
+    return e.select("orig_index", F.size("embedding").alias("dims"), VF.norm(F.col("embedding")).alias("length"))
+
+
+LETTERS = "aeinrst"
+
+
+def letter_counts(texts):
+    """An encoder that SQL can state: how often a few letters occur, and one."""
+    return [[t.count(c) for c in LETTERS] + [1] for t in texts]
+
+
+@query("v11b_embed_encoder", ["news"], f"""
+WITH v AS (SELECT orig_index, [{', '.join(f"length(plain_text) - length(replace(plain_text, '{c}', ''))" for c in LETTERS)}, 1] AS c
+           FROM news)
+SELECT orig_index, list_transform(c, lambda x: x / {S.norm_sql('c')}) AS embedding FROM v""",
+       rounded_arrays=["embedding"], digits=4)
+def v11b_embed_encoder(spark, sf):
+    news = view(spark, sf, "news").select("orig_index", "plain_text")
+    return V.embed(news, encoder=letter_counts).select("orig_index", "embedding")

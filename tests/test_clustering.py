@@ -97,3 +97,51 @@ def test_connected_components_chain(spark):
     nodes = spark.createDataFrame([(i,) for i in range(12)], "vid long")
     got = {r["vid"]: r["label"] for r in M.connected_components(edges, nodes).collect()}
     assert all(got[i] == 0 for i in range(10)) and got[10] == 10 and got[11] == 11
+
+
+def _weighted(spark, X):
+    rows = [(i, [float(v) for v in x], 1) for i, x in enumerate(X)]
+    return spark.createDataFrame(rows, "vid long, embedding array<double>, weight long")
+
+
+def test_neighbours_equal_bruteforce_whatever_the_block_size(spark):
+    X = np.random.default_rng(3).normal(size=(120, 4))
+    d = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(d <= 1.1)) if a != b}
+    for block_rows in (7, 512):
+        got = [(r["a"], r["b"]) for r in M.epsilon_neighbours(_weighted(spark, X), 1.1, block_rows=block_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_map_comparisons_stay_far_below_all_pairs(spark):
+    e = view(spark, "/root/testdata/sf0.1", "embeddings")
+    points = e.select(F.col("vec_id").alias("vid"), F.slice("embedding", 1, 2).alias("embedding"), F.lit(1).alias("weight"))
+    n = points.count()
+    assert M.compared_pairs(points, 0.02) < n * n / 50
+
+
+def test_label_clusters_with_given_vectors_and_encoder(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), ("far",), ("novec",)], "l string")
+    vecs = {"a": [0.0, 0.0], "b": [0.1, 0.0], "c": [0.0, 0.1], "far": [9.0, 9.0]}
+    table = spark.createDataFrame(list(vecs.items()), "raw_label string, embedding array<double>")
+    out = M.label_clusters(df, "l", 0.5, min_pts=2, min_size=2, pca_k=None, vectors=table).collect()
+    assert {r["raw_label"]: (r["cluster_id"], r["cluster_label"]) for r in out} == {
+        "a": (0, "c"), "b": (0, "c"), "c": (0, "c"), "far": (-1, "other"), "novec": (-1, "other")}
+
+    def encoder(texts):
+        return np.array([[1.0, 0.0] if t in "abc" else [0.0, 1.0] for t in texts])
+
+    out = M.label_clusters(df, "l", 0.1, min_pts=2, min_size=2, pca_k=None, encoder=encoder).collect()
+    assert {r["raw_label"]: r["cluster_label"] for r in out} == {"a": "c", "b": "c", "c": "c", "far": "far", "novec": "far"}
+
+
+def test_kernels_and_centroids_with_null_and_zero_vectors(spark):
+    df = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, None), (3, 0, [0.0, 0.0]), (4, 1, [0.0, 2.0])],
+                               "orig_index long, cluster int, embedding array<double>")
+    q = spark.createDataFrame([([1.0, 1.0],)], "embedding array<double>")
+    got = {r["orig_index"]: r["ai_score"] for r in V.semantic_score(df, q).collect()}
+    assert got[2] is None and got[3] is None and abs(got[1] - 0.5 ** 0.5) < 1e-12
+    cen = {r["cluster"]: (r["centroid"], r["size"]) for r in V.cluster_centroids(df, renormalise=False).collect()}
+    assert cen == {0: ([0.5, 0.0], 2), 1: ([0.0, 2.0], 1)}
+    plan = V.similarity_to_centroid(df, V.cluster_centroids(df))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
