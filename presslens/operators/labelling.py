@@ -5,9 +5,8 @@ partitions the rows, and each Python worker calls the model on Arrow batches
 (``mapInPandas``), ``batch_size`` prompts at a time.  Answers are keyed by
 ``orig_index`` so nothing depends on row position.  Parsing, normalising and
 merging are built-in Column expressions.  Resume is an anti join against the
-labels already written; retries re-run only the malformed rows; both cut the
-lineage through the session's checkpoint folder so a lost executor never
-re-runs the model on finished work.
+labels already written, so a rerun never asks the model about finished work;
+retries ask again about the malformed rows only, inside the same task.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from presslens.functions import parse as P
 from presslens.functions.text import regex_escape
-from presslens.session import checkpoint_path, cut_lineage
+from presslens.session import checkpoint_path
 
 PROMPT_HEAD = (
     "Classify the news article below. Answer in five lines:\n"
@@ -67,37 +66,6 @@ def label_batches(df: DataFrame, model: Callable[[list[str]], Sequence[str]], ke
     return df.select(key, prompt_col).mapInPandas(run, f"{key} {key_type}, {out} string")
 
 
-class KeywordStubModel:
-    """Deterministic stand-in for a language model (tests, benchmarks): 'ja' when the prompt
-    contains one of the keywords, with a five-line answer.  Picklable."""
-
-    def __init__(self, keywords: Sequence[str], ten_lines: bool = False, malformed_every: int = 0):
-        self.keywords = [k.lower() for k in keywords]
-        self.ten_lines = ten_lines
-        self.malformed_every = malformed_every
-        self.calls = 0
-
-    def __call__(self, prompts: list[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            low = p.lower()
-            hits = sum(low.count(k) for k in self.keywords)
-            strict = p.startswith(RETRY_PREFIX)
-            if self.malformed_every and not strict and (len(p) % self.malformed_every == 0):
-                out.append("ja")
-                continue
-            if hits:
-                lines = ["ja", str(min(100, 10 * hits)), "licensing", "regulation", "Rules slow adoption."]
-                if self.ten_lines:
-                    lines += ["Denmark", "Aarhus", "software, media", "AI, license", "the text names a license"]
-            else:
-                lines = ["nej", "0", "other", "none", "none"]
-                if self.ten_lines:
-                    lines += ["none", "none", "none", "none", "none"]
-            out.append("\n".join(lines))
-        return out
-
-
 def yes_no(df: DataFrame, col: str = "answer", out: str = "is_ai_label") -> DataFrame:
     """L03."""
     return df.withColumn(out, P.yes_no(F.col(col)))
@@ -117,16 +85,28 @@ def retry_invalid(df: DataFrame, model: Callable, key: str = "orig_index", promp
                   min_lines: int = 10, batch_size: int = 32) -> DataFrame:
     """Re-ask rows whose answer is malformed, with a stricter prompt; still bad -> ''.
 
-    ``df`` holds (key, prompt, answer).  Each round is materialised into the checkpoint folder,
-    so the model never runs twice on the same row; no row is lost or duplicated.
+    ``df`` holds (key, prompt, answer).  Prompt and answer stay in their row: each round marks the
+    malformed rows in the JVM and asks the model for those only, in the same task, with no join,
+    no shuffle and nothing written between rounds.  Write ``df`` and the result (as L10 does) where
+    a second evaluation would ask the model again.
     """
     valid = P.valid_format(F.col(answer_col), min_lines)
-    cur = cut_lineage(df.select(key, prompt_col, answer_col))
+
+    def again(batches):
+        for pdf in batches:
+            bad = pdf.index[~pdf["_ok"]]
+            prompts = pdf.loc[bad, prompt_col].fillna("").astype(str).tolist()
+            answers: list[str] = []
+            for i in range(0, len(prompts), batch_size):
+                answers.extend(str(a) if a is not None else "" for a in model(prompts[i:i + batch_size]))
+            pdf.loc[bad, answer_col] = answers
+            yield pdf
+
+    cur = df.select(key, prompt_col, answer_col)
     for _ in range(max_retry):
-        good = cur.filter(valid)
-        bad = cur.filter(~valid).withColumn(prompt_col, F.concat(F.lit(prefix), F.col(prompt_col)))
-        redone = label_batches(bad, model, key, prompt_col, answer_col, batch_size)
-        cur = cut_lineage(good.unionByName(bad.select(key, prompt_col).join(redone, key, "inner")))
+        asked = cur.withColumn("_ok", F.coalesce(valid, F.lit(False))).withColumn(
+            prompt_col, F.when(F.col("_ok"), F.col(prompt_col)).otherwise(F.concat(F.lit(prefix), F.col(prompt_col))))
+        cur = asked.mapInPandas(again, asked.schema).drop("_ok")
     return cur.withColumn(answer_col, F.when(valid, F.col(answer_col)).otherwise(F.lit("")))
 
 

@@ -8,7 +8,9 @@ from presslens.functions import parse as P
 from presslens.operators import labelling as L
 from presslens.plans import sqlgen as S
 from presslens.plans.registry import query
+from presslens.plans.rules import KeywordRules, answer_sql
 from presslens.plans.trends import FIXTURE_KEYWORDS
+from presslens.session import cut_lineage
 from presslens.sources.fixtures import view
 
 ST = S.strip_sql
@@ -27,14 +29,9 @@ def l01_build_prompt(spark, sf):
     return L.build_prompt(view(spark, sf, "news")).select("orig_index", "prompt")
 
 
-def _labelled(spark, sf, ten=False):
-    news = L.build_prompt(view(spark, sf, "news"))
-    return L.label_batches(news, L.KeywordStubModel(FIXTURE_KEYWORDS, ten_lines=ten))
-
-
-@query("l02_label_batches", ["news"])
+@query("l02_label_batches", ["news"], f"SELECT orig_index, {answer_sql(FIXTURE_KEYWORDS)} AS answer FROM news")
 def l02_label_batches(spark, sf):
-    return L.parse_answers(_labelled(spark, sf))
+    return L.label_batches(L.build_prompt(view(spark, sf, "news")), KeywordRules(FIXTURE_KEYWORDS))
 
 
 @query("l03_yes_no", ["llm_raw"], f"""
@@ -126,21 +123,24 @@ def l08_valid_format(spark, sf):
     return view(spark, sf, "llm_raw").select("orig_index", P.valid_format(F.col("answer")).alias("valid"))
 
 
-@query("l09_retry_invalid", ["news"])
+@query("l09_retry_invalid", ["news"], f"""
+SELECT orig_index, CASE WHEN length(plain_text) % 9 = 0 THEN '' ELSE {answer_sql(FIXTURE_KEYWORDS, 10)} END AS answer
+FROM news""")
 def l09_retry_invalid(spark, sf):
-    news = L.build_prompt(view(spark, sf, "news"))
-    model = L.KeywordStubModel(FIXTURE_KEYWORDS, ten_lines=True, malformed_every=3)
-    first = news.select("orig_index", "prompt").join(L.label_batches(news, model), "orig_index")
-    return L.parse_answers(L.retry_invalid(first, model), ten_lines=True).drop("prompt")
+    news = L.build_prompt(view(spark, sf, "news")).select("orig_index", "prompt")
+    rules = KeywordRules(FIXTURE_KEYWORDS, lines=10, short_every=3)
+    # the first answers are kept, as a labelling run keeps them: the retry asks about the malformed ones only
+    first = cut_lineage(L.label_batches(news, rules))
+    return L.retry_invalid(news.join(first, "orig_index"), rules).select("orig_index", "answer")
 
 
-@query("l10_checkpointed_labels", ["news"])
+@query("l10_checkpointed_labels", ["news"], f"SELECT orig_index, {answer_sql(FIXTURE_KEYWORDS)} AS answer FROM news")
 def l10_checkpointed_labels(spark, sf):
     import uuid
 
     news = L.build_prompt(view(spark, sf, "news"))
     path = L.label_log_path(news, f"label-log-{uuid.uuid4().hex}")
-    return L.checkpointed_labels(news, L.KeywordStubModel(FIXTURE_KEYWORDS), path)
+    return L.checkpointed_labels(news, KeywordRules(FIXTURE_KEYWORDS), path)
 
 
 @query("l11_merge_labels", ["shard_union", "judged", "news"], f"""

@@ -10,9 +10,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from presslens.operators.labelling import KeywordStubModel, build_prompt
+from presslens.operators.labelling import build_prompt
 from presslens.plans import sqlgen as S
 from presslens.plans.registry import query
+from presslens.plans.rules import KeywordRules, answer_sql, hits_sql
 from presslens.plans.trends import FIXTURE_KEYWORDS
 from presslens.session import checkpoint_path
 from presslens.sources import readers as R
@@ -100,13 +101,17 @@ def s09_embedding_table_write(spark, sf):
     return R.read_embeddings(spark, p)
 
 
-@query("st01_stream_labels", ["news"])
+@query("st01_stream_labels", ["news"], f"""
+SELECT orig_index, {answer_sql(FIXTURE_KEYWORDS)} AS answer, {hits_sql(FIXTURE_KEYWORDS)} > 0 AS is_ai_llm,
+       CAST(least(100, 10 * {hits_sql(FIXTURE_KEYWORDS)}) AS DOUBLE) AS ai_relevance_llm,
+       CASE WHEN {hits_sql(FIXTURE_KEYWORDS)} > 0 THEN 'licensing' ELSE 'other' END AS ai_topic_llm FROM news""")
 def st01_stream_labels(spark, sf):
     from presslens.streaming.labelling import stream_labels
 
     base = _folder(spark, "stream")
     news = build_prompt(view(spark, sf, "news")).select("orig_index", "prompt")
     K.write_stage(news.repartition(4), f"{base}/incoming")
-    stream_labels(spark, f"{base}/incoming", news.schema, KeywordStubModel(FIXTURE_KEYWORDS), f"{base}/labels",
+    stream_labels(spark, f"{base}/incoming", news.schema, KeywordRules(FIXTURE_KEYWORDS), f"{base}/labels",
                   f"{base}/state")
-    return spark.read.parquet(f"{base}/labels")
+    return (spark.read.parquet(f"{base}/labels")
+            .select("orig_index", "answer", "is_ai_llm", "ai_relevance_llm", "ai_topic_llm"))

@@ -2,7 +2,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from presslens.operators.labelling import KeywordStubModel, build_prompt
+from presslens.operators.labelling import build_prompt
+from presslens.plans.rules import KeywordRules
 from presslens.plans.trends import FIXTURE_KEYWORDS
 from presslens.session import checkpoint_path
 from presslens.sources.fixtures import view
@@ -17,7 +18,7 @@ def test_stream_labels_resume_exactly_once(spark):
     first = news.filter(F.col("orig_index") < 100)
     later = news.filter(F.col("orig_index") >= 100)
     first.repartition(2).write.mode("append").parquet(f"{base}/in")
-    model = KeywordStubModel(FIXTURE_KEYWORDS)
+    model = KeywordRules(FIXTURE_KEYWORDS)
     args = (f"{base}/in", news.schema, model, f"{base}/out", f"{base}/state")
     stream_labels(spark, *args)
     n1 = spark.read.parquet(f"{base}/out").count()
