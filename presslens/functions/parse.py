@@ -57,14 +57,6 @@ def clean_label(c: Column, empty_as: str | None = None, lower: bool = False) ->
     return F.coalesce(s, F.lit(empty_as)) if empty_as is not None else s
 
 
-def not_in_labels(c: Column, labels: Sequence[str] = EMPTY_LABELS, case_insensitive: bool = True) -> Column:
-    """True when the label is not one of ``labels`` (null labels count as ``'nan'``)."""
-    s = F.coalesce(c.cast("string"), F.lit("nan"))
-    if case_insensitive:
-        return ~F.lower(s).isin([x.lower() for x in labels])
-    return ~s.isin(list(labels))
-
-
 def yes_no(c: Column) -> Column:
     """Model yes/no answer: True when the stripped, lowered text starts with 'ja'."""
     return F.coalesce(F.lower(strip(c)).startswith("ja"), F.lit(False))

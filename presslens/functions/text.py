@@ -95,7 +95,6 @@ NON_COMPANY_KEYWORDS = [
 GENERIC_TERMS = ["gruppen", "foreningen", "rådet", "udvalget", "kommissionen", "myndighederne", "domstolen",
                  "parlamentet", "sprognævnet"]
 # Legal-form suffixes that mark a company.
-COMPANY_SUFFIXES = ["a/s", "ap s", "aps", "ivs", "gmbh", "inc", "ltd", "s/a"]
 # ---------------------------------------------------------------------------
 
 WORD = r"[\p{L}\p{N}_]"
@@ -270,10 +269,15 @@ def organisations(text: Column, max_chars: int | None = None, pattern: str = ORG
     head = F.coalesce(text, F.lit(""))
     if max_chars:
         head = F.substring(head, 1, max_chars)
-    found = F.array_distinct(F.transform(F.regexp_extract_all(head, F.lit(pattern), 0), lambda s: F.trim(s)))
+    return company_names(F.regexp_extract_all(head, F.lit(pattern), 0), company_only, min_len)
+
+
+def company_names(found: Column, company_only: bool = True, min_len: int = 3) -> Column:
+    """Distinct trimmed names of a list, at least ``min_len`` long and (optionally) likely companies."""
+    names = F.array_distinct(F.transform(found, lambda s: F.trim(s)))
     keep = (lambda s: (F.length(s) >= min_len) & likely_company(s)) if company_only \
         else (lambda s: F.length(s) >= min_len)
-    return F.filter(found, keep)
+    return F.filter(names, keep)
 
 
 def organisation_mentions(text: Column, max_chars: int | None = None, pattern: str = ORG_PATTERN) -> Column:
@@ -326,9 +330,3 @@ def word_tokens(text: Column, keep_pattern: str = r"^[a-z]{3,}$") -> Column:
 def word_runs(text: Column) -> Column:
     """Lower-case runs of letters, digits and '_' (the tokens of the lexicon scorer)."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD + "+"), 0)
-
-
-def whitespace_tokens(text: Column) -> Column:
-    """``text.lower().split()``: blank-separated tokens without empties."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-

@@ -57,7 +57,7 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str = "rows") -> list:
     """Collect a small table after proving it has at most ``max_rows`` rows."""
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows; use the table-side operator instead")
+        raise ValueError(f"{what}: more than {max_rows} rows; use operators.vectors.nearest_in_table for large tables")
     return rows
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from presslens.functions import parse as P
 from presslens.functions import text as T
+from presslens.session import cut_lineage
 
 
 def _flag(c: str | Column) -> Column:
@@ -439,8 +440,9 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                  F.stddev_samp(x).alias(f"std_{i}"), F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}")]
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("statistic"), F.col(f"{s}_{i}").alias("value"))
                      for i, c in enumerate(cols) for s in stats])
-    base = df.agg(*aggs).select(F.inline(rows))
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+    nums = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))  # the input is read once
+    base = nums.agg(*aggs).select(F.inline(rows))
+    long = nums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
                                         for c in cols])))
     q = exact_quantiles(long, "v", [0.25, 0.5, 0.75], group="column")
     quart = q.select("column", F.concat((F.col("p") * 100).cast("int").cast("string"), F.lit("%")).alias("statistic"),
@@ -448,6 +450,18 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return base.unionByName(quart)
 
 
+def describe_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A09 for text columns: (column, count, distinct, top, freq); nulls left out, ties: the smaller value.
+
+    Counts per (column, value) come first, so no column's values meet in one task."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"))
+                                        for c in cols])))
+    counts = long.filter(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("column").agg(
+        F.sum("n").alias("count"), F.count(F.lit(1)).alias("distinct"),
+        F.min_by("v", F.struct((-F.col("n")).alias("a"), F.col("v").alias("b"))).alias("top"), F.max("n").alias("freq"))
+
+
 def _as_text_label(c: Column, empty_as: str = "unknown") -> Column:
     """pandas ``astype(str).str.strip()`` then '' -> ``empty_as`` (null becomes the text 'nan')."""
     t = F.when(c.isNull(), F.lit("nan")).otherwise(P.strip(c.cast("string")))

@@ -8,8 +8,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presslens.functions.vectors import collect_bounded
-
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only after proving the table has at most ``max_rows`` rows."""
@@ -52,9 +50,10 @@ def todo_queue(pool: DataFrame, labels: DataFrame, key: str = "orig_index") -> D
 
 
 def org_in_set(df: DataFrame, actors: DataFrame, org_col: str = "organisation", type_col: str = "actor_type",
-               keep_type: str = "Company") -> DataFrame:
-    """Keep exploded organisations whose actor type is ``keep_type`` (semi join)."""
-    wanted = actors.filter(F.col(type_col) == keep_type).select(org_col)
+               keep_type: str | Sequence[str] = "Company") -> DataFrame:
+    """Keep exploded organisations whose actor type is ``keep_type``, or one of several (semi join)."""
+    types = [keep_type] if isinstance(keep_type, str) else list(keep_type)
+    wanted = actors.filter(F.col(type_col).isin(types)).select(org_col)
     return df.join(wanted, org_col, "left_semi")
 
 
@@ -100,8 +99,3 @@ def rejoin_by_score(samples: DataFrame, df: DataFrame, keys: Sequence[str] = ("a
                     cols: Sequence[str] = ("keyword_score",)) -> DataFrame:
     """Re-attach columns by equality on score columns (fans out on ties, as the study did)."""
     return samples.join(df.select(*keys, *cols), list(keys), "left")
-
-
-def small_mapping(df: DataFrame, key_col: str, value_col: str, max_rows: int = 100_000) -> dict:
-    """A mapping table as a dict, after a row-count check."""
-    return {r[0]: r[1] for r in collect_bounded(df.select(key_col, value_col), max_rows, "mapping")}

@@ -158,13 +158,6 @@ def _global_quantiles(spark, vals: DataFrame, probs: Sequence[float], ranges: in
     return spark.createDataFrame(result, "p double, value double")
 
 
-def quantile_values(df: DataFrame, col: str, probs: Sequence[float]) -> list[float]:
-    """The exact quantiles as a short Python list (one value per p; a bounded result)."""
-    rows = exact_quantiles(df, col, probs).collect()
-    by_p = {float(r["p"]): float(r["value"]) for r in rows}
-    return [by_p[float(p)] for p in probs] if by_p else []
-
-
 def linspace(start: float, stop: float, n: int) -> list[float]:
     """numpy.linspace: evenly spaced, last value exactly ``stop``."""
     if n == 1:

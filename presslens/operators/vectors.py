@@ -173,6 +173,71 @@ def assign_nearest(df: DataFrame, centroids: DataFrame, emb_col: str = "embeddin
     return staged.withColumn(out, F.try_element_at(ids, VF.array_argmin(F.col("_d")) + 1)).drop("_d")
 
 
+def nearest_in_table(df: DataFrame, table: DataFrame, key: str = "orig_index", id_col: str = "cluster",
+                     emb_col: str = "embedding", vec_col: str = "centroid", out: str = "prediction",
+                     metric: str = "sqdist", block_rows: int = 2048) -> DataFrame:
+    """J12 / M05 / O07 against a vector table of any size: id of the nearest vector (``metric``:
+    'sqdist' or 'cosine'; ties: the smaller id) for every row of ``df`` with its unique ``key``.
+
+    Both sides are packed into blocks of bounded size and compared block by block with one matrix
+    product; each row keeps one candidate a block before the final minimum.  A null vector gets null,
+    and so does, by cosine, one of norm 0 (table rows of that kind are left out)."""
+    spark = df.sparkSession
+    if metric not in ("sqdist", "cosine"):
+        raise ValueError(f"unknown metric {metric}")
+
+    def packed(src, ident, vec, count, name):
+        n = max(1, -(-count // block_rows))
+        b = F.collect_list(F.struct(F.col(ident).alias("i"), F.col(vec).cast("array<double>").alias("e")))
+        return n, (src.filter(F.col(vec).isNotNull()).groupBy(F.pmod(F.xxhash64(ident), F.lit(n)).alias(name))
+                      .agg(b.alias("_b")).select(name, F.transform("_b", lambda r: r["i"]).alias(f"ids_{name}"),
+                                                 F.flatten(F.transform("_b", lambda r: r["e"])).alias(f"vecs_{name}")))
+
+    n_table, tab = packed(table.select(id_col, vec_col), id_col, vec_col, table.count(), "t")
+    _, rows = packed(df.select(key, emb_col), key, emb_col, df.count(), "r")
+    # copies of the table's blocks keep all tasks busy when there are few of them
+    copies = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_table)
+    rows = (rows.withColumn("copy", F.pmod("r", F.lit(copies)).cast("int"))
+                .withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_table - 1).cast("long")))))
+    tab = tab.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    key_type, id_type = df.schema[key].dataType.simpleString(), table.schema[id_col].dataType.simpleString()
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            col = {n: batch.column(n) for n in batch.schema.names}
+            key_arrow, id_arrow = (batch.schema.field(n).type.value_type for n in ("ids_r", "ids_t"))
+            for i in range(batch.num_rows):
+                keys, ids = (np.array(col[n][i].as_py(), dtype=object) for n in ("ids_r", "ids_t"))
+                A, B = (col[n][i].values.to_numpy(zero_copy_only=False).reshape(len(k), -1)
+                        for n, k in (("vecs_r", keys), ("vecs_t", ids)))
+                order = np.argsort(ids, kind="stable")      # the first minimum is the smallest id
+                ids, B = ids[order], B[order]
+                if metric == "cosine":
+                    na, nb = np.linalg.norm(A, axis=1), np.linalg.norm(B, axis=1)
+                    keys, A, ids, B = keys[na > 0], A[na > 0] / na[na > 0, None], ids[nb > 0], B[nb > 0] / nb[nb > 0, None]
+                    cost = -(A @ B.T)
+                else:
+                    cost = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2 * (A @ B.T)
+                if not cost.size:
+                    continue
+                if metric == "sqdist":  # the differences decide among what the product leaves within rounding
+                    room = 1e-9 * (1 + float((A * A).sum(1).max()) + float((B * B).sum(1).max()))
+                    x, y = np.nonzero(cost <= cost.min(axis=1, keepdims=True) + room)
+                    cost = np.full(cost.shape, np.inf)
+                    cost[x, y] = ((A[x] - B[y]) ** 2).sum(1)
+                best = cost.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(keys), key_arrow), pa.array(cost[np.arange(len(keys)), best]),
+                     pa.array(list(ids[best]), id_arrow)], names=["k", "cost", "id"])
+
+    found = rows.join(tab, ["t", "copy"]).mapInArrow(compare, f"k {key_type}, cost double, id {id_type}")
+    best = found.groupBy("k").agg(F.min(F.struct("cost", "id"))["id"].alias(out))
+    return df.join(best.withColumnRenamed("k", key), key, "left")
+
+
 def embed(df: DataFrame, text_col: str = "plain_text", out: str = "embedding", dim: int = 64,
           encoder: Callable | None = None, batch_size: int = 32) -> DataFrame:
     """Text -> unit vector.

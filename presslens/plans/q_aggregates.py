@@ -119,6 +119,16 @@ def a09_describe(spark, sf):
     return A.describe(d, _DESC)
 
 
+_TEXTS = ["title", "publisher", "lang"]
+
+
+@query("a09b_describe_text", ["news"], "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS column, CAST(sum(n) AS BIGINT) AS count, count(*) AS distinct, arg_min(v, struct_pack(a := -n, b := v)) AS top,
+       max(n) AS freq FROM (SELECT {c} AS v, count(*) AS n FROM news WHERE {c} IS NOT NULL GROUP BY 1)""" for c in _TEXTS))
+def a09b_describe_text(spark, sf):
+    return A.describe_text(view(spark, sf, "news"), _TEXTS)
+
+
 @query("a10_dup_ratio", ["news"], """
 WITH k AS (SELECT title, publisher, count(*) AS n FROM news GROUP BY 1, 2),
 p AS (SELECT publisher, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS duplicated_count,

@@ -63,6 +63,19 @@ def j04_prominence_join(spark, sf):
     return J.prominence_join(totals, flagged, how="outer")
 
 
+@query("j04b_prominence_inner", ["news"], f"""
+WITH {SCORED_SQL},
+t AS (SELECT year, count(*) AS total_articles FROM scored WHERE year IS NOT NULL GROUP BY 1),
+a AS (SELECT year, count(*) AS ai_articles FROM scored WHERE year IS NOT NULL AND keyword_score >= 2 GROUP BY 1)
+SELECT t.year, total_articles, ai_articles, CAST(ai_articles AS DOUBLE) / total_articles AS ai_ratio
+FROM t JOIN a ON t.year = a.year""")
+def j04b_prominence_inner(spark, sf):
+    s = _scored(spark, sf)
+    totals = A.count_by(s, ["year"], out="total_articles")
+    flagged = A.count_by(s.filter(F.col("keyword_score") >= 2), ["year"], out="ai_articles")
+    return J.prominence_join(totals, flagged)
+
+
 @query("j05_todo_queue", ["news", "human_labels"], """
 SELECT n.orig_index FROM news n ANTI JOIN human_labels h ON n.orig_index = h.orig_index""")
 def j05_todo_queue(spark, sf):
@@ -80,6 +93,16 @@ def j06_org_in_set(spark, sf):
     return J.org_in_set(ex, actors)
 
 
+@query("j06b_org_in_types", ["news"], f"""
+WITH {ORGS_SQL},
+ex AS (SELECT orig_index, unnest(organisations) AS organisation FROM orgs)
+SELECT orig_index, organisation FROM ex WHERE {S.actor_type_sql('organisation')} IN ('Company', 'Media')""")
+def j06b_org_in_types(spark, sf):
+    ex = A.company_mentions(view(spark, sf, "news"))
+    actors = TX.actor_type(ex.select("organisation").distinct())
+    return J.org_in_set(ex, actors, keep_type=["Company", "Media"])
+
+
 LANG_NAMES = {"en": "English", "de": "German", "fr": "French"}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from presslens.functions import text as T
@@ -115,6 +117,31 @@ def t10_organisations(spark, sf):
     return d.select("orig_index", F.array_sort("organisations").alias("organisations"))
 
 
+def capital_words(texts):
+    return [re.findall("[A-Z][a-z]+", t) for t in texts]
+
+
+@query("t10b_injected_extractor", ["news"], f"""
+SELECT orig_index, list_sort(list_distinct(list_filter(regexp_extract_all(plain_text, '[A-Z][a-z]+'),
+       lambda s: length(s) >= 3 AND {S.likely_company_sql('s')}))) AS organisations FROM news""")
+def t10b_injected_extractor(spark, sf):
+    d = TX.organisations(_news(spark, sf), extractor=capital_words)
+    return d.select("orig_index", F.array_sort("organisations").alias("organisations"))
+
+
+def vowel_scorer(texts):
+    return [(t.count("a") / len(t), t.count("e") / len(t)) for t in texts]
+
+
+@query("t11b_injected_scorer", ["news"], f"""
+WITH c AS (SELECT *, length(plain_text) AS n FROM news)
+SELECT orig_index, CASE WHEN n >= {TX.SENTIMENT_MIN_CHARS}
+  THEN CAST(n - length(replace(plain_text, 'a', '')) AS DOUBLE) / n - CAST(n - length(replace(plain_text, 'e', '')) AS DOUBLE) / n
+  END AS sentiment FROM c""", rounded=["sentiment"])
+def t11b_injected_scorer(spark, sf):
+    return TX.sentiment_by_scorer(_news(spark, sf), vowel_scorer).select("orig_index", "sentiment")
+
+
 @query("t11_sentiment_score", ["news", "lexicon"], f"""
 WITH {SENTIMENT_SQL}
 SELECT orig_index, sentiment FROM lab""", rounded=["sentiment"])

@@ -170,6 +170,19 @@ def m05_assign_nearest(spark, sf):
     return V.assign_nearest(cl.select("orig_index", "embedding"), cen).select("orig_index", "prediction")
 
 
+@query("m05b_nearest_in_table", ["clustered", "embeddings"], """
+WITH d AS (SELECT k.orig_index, e.vec_id,
+             list_sum(list_transform(list_zip(k.embedding, list_reverse(e.embedding)),
+                                     lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))) AS dist
+           FROM clustered k, embeddings e)
+SELECT orig_index, arg_min(vec_id, struct_pack(a := dist, b := vec_id)) AS prediction FROM d GROUP BY orig_index""")
+def m05b_nearest_in_table(spark, sf):
+    """Every row against the whole embedding table (read backwards, so that no row meets itself)."""
+    table = view(spark, sf, "embeddings").select("vec_id", F.reverse("embedding").alias("centroid"))
+    rows = view(spark, sf, "clustered").select("orig_index", "embedding")
+    return V.nearest_in_table(rows, table, id_col="vec_id").select("orig_index", "prediction")
+
+
 @query("v11_embed", ["news"], """
 SELECT orig_index, 64 AS dims, CASE WHEN regexp_matches(lower(plain_text), '[\\p{L}\\p{N}_]') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS length
 FROM news""", rounded=["length"], digits=5)
