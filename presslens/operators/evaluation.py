@@ -124,7 +124,8 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     s = ranked.agg(F.sum(F.col("pos") * avg_rank).alias("_rs"), F.sum("pos").alias("n_pos"),
                    F.sum("neg").alias("n_neg"))
     p, q = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
-    return s.select(((F.col("_rs") - p * (p + 1) / 2) / (p * q)).alias("auc"), "n_pos", "n_neg")
+    # null when one class is missing
+    return s.select(F.try_divide(F.col("_rs") - p * (p + 1) / 2, p * q).alias("auc"), "n_pos", "n_neg")
 
 
 def accuracy_by_bucket(df: DataFrame, bucket: str, pred: Column, label: str) -> DataFrame:
@@ -172,7 +173,7 @@ def label_sample(df: DataFrame, labels: DataFrame, subset: str, key: str = "orig
     the study's defaults ('both', 'all', 'all')."""
     from presslens.functions.parse import yes_no
 
-    j = df.join(labels.select(key, yes_no(F.col(answer_col)).alias(out)), key, "left")
+    j = df.drop(out).join(labels.select(key, yes_no(F.col(answer_col)).alias(out)), key, "left")
     j = j.withColumn(out, F.coalesce(F.col(out), F.lit(False))).withColumn("subset", F.lit(subset))
     for c, d in (("score_source", "both"), ("score_bucket", "all"), ("zone", "all")):
         j = j.withColumn(c, F.coalesce(F.col(c), F.lit(d))) if c in j.columns else j.withColumn(c, F.lit(d))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presslens.functions import parse as P
+from presslens.functions import text as T
 from presslens.operators import aggregates as A
+from presslens.operators import clean as C
 from presslens.operators import text as TX
 from presslens.operators import vectors as V
 from presslens.plans import sqlgen as S
@@ -495,6 +497,17 @@ def a40_flag_by_year(spark, sf):
     return A.flag_by_year(_scored(spark, sf), "is_ai")
 
 
+BARRIERS = [*T.BARRIER_KEYWORDS, "license", "keit"]  # the study's list and two words of the given prose
+
+
+@query("a40b_barrier_by_year", ["news"], f"""
+SELECT {S.year_sql()} AS year, count(*) AS count FROM news
+WHERE regexp_matches(lower(plain_text), {S.lit(T.alternation(BARRIERS))}) AND {S.year_sql()} IS NOT NULL GROUP BY 1""")
+def a40b_barrier_by_year(spark, sf):
+    flagged = TX.regex_flag(C.with_year(view(spark, sf, "news")), BARRIERS, out="has_barrier")
+    return A.flag_by_year(flagged, "has_barrier")
+
+
 EVENT_SQL = f"""p AS (SELECT name, phrase_no, embedding, row_number() OVER (ORDER BY name, phrase_no) AS pos FROM protos),
 ev AS (SELECT orig_index, publisher, name AS event_type FROM (
   SELECT n.orig_index, n.publisher, p.name,

@@ -8,6 +8,7 @@ from presslens.operators import evaluation as E
 from presslens.operators.stats import linspace
 from presslens.plans import sqlgen as S
 from presslens.plans.registry import query
+from presslens.session import cut_lineage
 from presslens.sources.fixtures import view
 
 
@@ -184,3 +185,38 @@ SELECT orig_index, side FROM (
   WHERE side IS NOT NULL) WHERE rn <= 20""")
 def e15_sample_two_sided(spark, sf):
     return E.sample_two_sided(_judged(spark, sf), "ai_score", n=20).select("orig_index", "side")
+
+
+_T = linspace(0.1, 0.9, 7)
+
+
+@query("e16_score_quality", ["judged", "llm_raw"], f"""
+WITH {TOPK_SQL}, {STRAT_SQL},
+sub AS (SELECT 'global_random' AS subset, orig_index, ai_score FROM (SELECT * FROM judged ORDER BY {H(42)}, orig_index LIMIT 50)
+        UNION ALL SELECT 'top', orig_index, ai_score FROM tk UNION ALL SELECT 'stratified', orig_index, ai_score FROM st),
+lab AS (SELECT s.*, coalesce(starts_with(lower({S.strip_sql('l.answer')}), 'ja'), FALSE) AS label
+        FROM sub s LEFT JOIN llm_raw l ON s.orig_index = l.orig_index),
+thr AS (SELECT unnest(quantile_cont(ai_score, [{', '.join(repr(p) for p in _T)}])) AS t,
+               unnest(range(1, 8)) AS i FROM judged)
+SELECT subset, 'ai_score' AS method, concat('t', CAST(i AS VARCHAR)) AS bucket, 'accuracy' AS metric,
+       avg(CASE WHEN (ai_score > t) = label THEN 1.0 ELSE 0.0 END) AS value, count(*) AS n_samples
+FROM lab, thr GROUP BY subset, i
+UNION ALL
+SELECT a.subset, 'ai_score', 'all', 'auc', avg(CASE WHEN a.ai_score > b.ai_score THEN 1.0 WHEN a.ai_score = b.ai_score THEN 0.5
+       ELSE 0.0 END), (SELECT count(*) FROM lab c WHERE c.subset = a.subset)
+FROM lab a JOIN lab b ON a.subset = b.subset AND a.label AND NOT b.label GROUP BY a.subset""", rounded=["value"])
+def e16_score_quality(spark, sf):
+    """The whole check of a score: three samples, model labels, thresholds of all rows, one metric table."""
+    judged, answers = _judged(spark, sf), view(spark, sf, "llm_raw")
+    thresholds = sorted(r["threshold"] for r in E.quantile_thresholds(judged, "ai_score", 7).collect())
+    place = F.array(*[F.lit(t) for t in thresholds])
+    samples = {"global_random": E.sample_n(judged, 50, 42), "top": _topk(spark, sf), "stratified": _strat(spark, sf)}
+    parts = []
+    for name, sample in samples.items():
+        labelled = cut_lineage(E.label_sample(sample, answers, name))  # drawn once, measured several times
+        at = E.accuracy_at(labelled, "ai_score", "is_ai_label", thresholds)
+        at = at.withColumn("bucket", F.concat(F.lit("t"), F.array_position(place, F.col("threshold")).cast("string")))
+        parts.append(E.metric_rows(at, name, "ai_score", "accuracy", "accuracy", "n_samples", "bucket"))
+        area = E.auc(labelled, "ai_score", "is_ai_label").withColumn("n", F.col("n_pos") + F.col("n_neg"))
+        parts.append(E.metric_rows(area, name, "ai_score", "auc", "auc", "n"))
+    return E.metric_report(parts)

@@ -29,6 +29,13 @@ def t01_keyword_score(spark, sf):
     return TX.keyword_score(_news(spark, sf), KEYWORDS).select("orig_index", "keyword_score")
 
 
+@query("t01b_subject_keywords", ["news"], f"""
+SELECT orig_index, {S.keyword_score_sql('plain_text', T.AI_KEYWORDS)} AS keyword_score FROM news""")
+def t01b_subject_keywords(spark, sf):
+    """The study's whole keyword list."""
+    return TX.keyword_score(_news(spark, sf)).select("orig_index", "keyword_score")
+
+
 @query("t02_keyword_score_plain", ["news"], "SELECT orig_index, " + " + ".join(
     f"CAST(contains(lower(coalesce(plain_text, '')), '{k}') AS INT)" for k in KEYWORDS) + " AS keyword_score FROM news")
 def t02_keyword_score_plain(spark, sf):

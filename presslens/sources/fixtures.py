@@ -47,7 +47,12 @@ SELECT orig_index, CASE orig_index % 8
   WHEN 5 THEN concat_ws(chr(10), 'nej', '250', 'economy', 'Costs', 'Too dear.')
   WHEN 6 THEN concat_ws(chr(10), 'maybe 7', '-5', 'ethics', 'No AI barrier', 'x')
   ELSE concat_ws(chr(10), 'ja', '88', 'AI safety', 'Trust', 'Low trust.', 'none', 'n/a', 'media', 'none', 'none') END AS answer
-FROM news""", ("news",)),
+FROM news
+UNION ALL
+SELECT -1 - (conv_id * 1000 + turn) AS orig_index,
+       CASE WHEN turn % 3 = 0 THEN text WHEN role = 'assistant' THEN concat('ja', chr(10), replace(text, '. ', chr(10)))
+            ELSE concat('Nej', chr(10), CAST(length(text) AS STRING), chr(10), replace(text, ', ', chr(10))) END AS answer
+FROM conversations""", ("news", "conversations")),
     "llm_out": ("""
 SELECT orig_index,
   CASE orig_index % 7 WHEN 0 THEN '1' WHEN 1 THEN 'True' WHEN 2 THEN ' ja ' WHEN 3 THEN '0' WHEN 4 THEN 'nej' WHEN 5 THEN 'maybe' ELSE NULL END AS is_ai_llm,
