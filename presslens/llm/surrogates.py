@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates.
 
-Detected entities (e-mail and IP addresses, telephone numbers, payment cards, bank accounts, social security
-numbers, secret tokens, persons after a form of address) receive replacements of their own kind: letters for
+Detected entities (e-mail, IPv4 and IPv6 addresses, telephone numbers, payment cards, bank accounts, social
+security numbers, secret tokens and keys, persons after a form of address) receive replacements of their own kind: letters for
 letters, digits for digits, separators, case, script and check digits kept, names of the same gender and
 script.  A replacement is a keyed hash of the entity in canonical form, so that the same entity has the same
 replacement everywhere in the corpus, however it is written, and nothing can be reversed without the key.
@@ -17,8 +17,12 @@ repeated rows are treated alike; an empty table gives an empty table; other colu
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import ipaddress
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,18 +59,58 @@ ENDING = {("latin", g): "n" for g in "mfn"} | {("cyrillic", "m"): "в", ("cyrill
 # --- end of fixed values --------------------------------------------------------------------------------
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX4 = r"[0-9A-Fa-f]{1,4}"
+#: Secrets that begin with the mark of their issuer, and what follows it; the mark stays.
+PREFIXES = {
+    "sk_live_": r"\w{16,}", "sk_test_": r"\w{16,}", "rk_live_": r"\w{16,}", "rk_test_": r"\w{16,}", "pk_live_": r"\w{16,}", "pk_test_": r"\w{16,}",
+    "whsec_": r"[\w+/=]{16,}", "AKIA": r"[A-Z0-9]{16}", "ASIA": r"[A-Z0-9]{16}",
+    "ghp_": r"[A-Za-z0-9]{20,}", "gho_": r"[A-Za-z0-9]{20,}", "ghu_": r"[A-Za-z0-9]{20,}", "ghs_": r"[A-Za-z0-9]{20,}", "ghr_": r"[A-Za-z0-9]{20,}",
+    "github_pat_": r"\w{22,}", "glpat-": r"[\w-]{20,}", "xoxa-": r"[\w-]{10,}", "xoxb-": r"[\w-]{10,}", "xoxp-": r"[\w-]{10,}", "xoxr-": r"[\w-]{10,}", "xoxs-": r"[\w-]{10,}",
+    "AIza": r"[\w-]{35}", "ya29.": r"[\w-]{20,}", "npm_": r"[A-Za-z0-9]{36}", "pypi-": r"[\w-]{32,}", "hf_": r"[A-Za-z0-9]{30,}",
+    "SG.": r"[\w-]{16,}\.[\w-]{16,}", "dop_v1_": r"[0-9a-f]{64}", "shpat_": r"[0-9a-f]{32}", "sk-": r"(?=[\w-]*[A-Za-z0-9]{16})[\w-]{20,}",
+    "eyJ": r"[\w-]{8,}\.[\w-]{8,}(?:\.[\w-]*)?",
+}
+_PREFIX = re.compile(rf"(?<![\w-])(?:{'|'.join(f'{re.escape(m)}{rest}' for m, rest in PREFIXES.items())})(?![\w-])", re.ASCII)
+_MARK = re.compile("|".join(map(re.escape, PREFIXES)))
+_HEX = re.compile(r"[0-9A-Fa-f]{32,64}")
+#: Words that introduce a secret, and the value behind them; a value made of words is no secret.
+_WORDY = re.compile(r"[A-Za-z]+\d{0,2}(?:[_/=-][A-Za-z]*\d{0,2})*")
+_KEYWORD = re.compile(
+    r"(?<![a-z])(?:secret|token|passw(?:or)?d|passwort|passphrase|pwd|credentials?|(?:api|access|auth|private|signing|encryption|account)[_ -]?key)"
+    r"(?:[_-][a-z]+){0,2}[\"'`]?\s{0,3}(?:=>|:=|=|:|(?<=\s)is(?=\s))\s{0,3}[\"'`]?((?![/~$.*&])[\w+/=~!@#$%^&*?-]{11,4000}[\w+/=~!*-])(?![\w.(\[])"
+    r"|(?<![a-z])bearer\s{1,3}([\w.~+/=-]{15,4000}[\w+/=-])", re.IGNORECASE | re.ASCII)
+#: The body of a private key in its armour; without an end, all that looks encoded.
+_ARMOUR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+                     r"(?:((?:(?!-----)[\s\S]){16,20000})(?=-----END )|((?:(?:\s|\\[nr])*[A-Za-z0-9+/]{20,}={0,2})+(?:(?:\s|\\[nr])+[A-Za-z0-9+/]+={1,2})?))")
+#: Words that introduce a telephone number, and the number in any grouping.
+_TALK = re.compile(r"(?<![a-z])(?:tel|telephone|telefon|téléphone|teléfono|phone|mobile|mobil|cell|fax|handy|whatsapp|call)(?: (?:number|no|nr|me|us|at|on))*[.:#]*(?: is)?[.:]?\s{0,3}"
+                   r"((?!\d{4}-\d\d-\d\d|\d\d?[./]\d\d?[./]\d{4})(?:\+|\()?\d(?:[ ./()-]{0,2}\d){6,14})(?![\w]|[.,/:-]\d)", re.IGNORECASE)
 _NAME = r"[^\W\d_][\w'’-]*"
 _PERSON = re.compile(rf"\b({'|'.join(t for ts in TITLES.values() for t in ts)})\b(\.? )({_NAME}(?: {_NAME}){{0,2}})")
-#: In order of precedence: of overlapping finds the earlier kind stays.
-KINDS: list[tuple[str, re.Pattern[str], str]] = [
+#: In order of precedence: of overlapping finds the earlier kind stays.  A find is the group that matched, if there is
+#: one; the last entry says what a text must hold for the pattern to be tried ("0" any digit, or one of several marks).
+KINDS: list[tuple[str, re.Pattern[str], str | tuple[str, ...]]] = [
     ("email", re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), "@"),
+    ("secret", _ARMOUR, "PRIVATE KEY"),
+    ("secret", _PREFIX, tuple(PREFIXES)),
     ("secret", re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"), "0"),
+    ("secret", _KEYWORD, "0"),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), "0"),
+    ("phone", re.compile(r"(?<![\w+.,-])(?:\+|00(?=[1-9]\d{9,12}(?!\d)))[1-9]\d{7,14}(?!\w|[.,]\d)"), ("+", "00")),
     ("card", re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"), "0"),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), "0"),
     ("ip", re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"), "0"),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}"
-                         r"|\(\d{3}\) ?\d{3}[-.]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d)"), "0"),
+    ("ipv6", re.compile(rf"(?<![\w:.])(?:{_HEX4}(?::{_HEX4}){{7}}|{_HEX4}(?::{_HEX4}){{0,6}}::(?:{_HEX4}(?::{_HEX4}){{0,6}})?)(?![\w:]|\.\d)"), ":"),
+    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)"), "+"),
+    # with a country code: eleven digits behind +1, up to 15 in any grouping behind others
+    ("phone", re.compile(r"(?<![\w+.,-])(?:\+1(?:[ ./-]?[()]? ?\d){10}(?!\w|[.,]\d)"
+                         r"|(?:\+|00(?=[1-9]\d{0,2}[ ./(-]))[1-9](?:[ ./-]?[()]? ?\d){7,14}(?!\w|[.,:/-]\d))"), ("+", "00")),
+    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\(\d{3}\) ?\d{3}[-.]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d)"), "0"),
+    # area code in brackets or before blanks, or with a leading zero
+    ("phone", re.compile(r"(?<![\w+.,-])(?:\(\d{3}\) ?\d{3} ?\d{4}|(?<!\d\d )(?<![02-9] )[2-9]\d{2} \d{3} \d{4}"
+                         r"|(?<!\d )(?:\(0[1-9]\d{1,4}\) ?\d{3,4}[ -]?\d{2,5}|0[1-9]\d{1,4}[ /-]\d{5,8}|0[1-9]\d{1,3}(?:[ -]\d{3,4}){2}"
+                         r"|0[1-9](?: \d\d){4}|0[1-9](?:\.\d\d){4}|0[1-9](?:-\d\d){4}))(?!\w|[ .,:/-]\d)"), "0"),
+    ("phone", _TALK, "0"),
 ]
 _DIGIT = re.compile(r"\d")
 
@@ -81,29 +125,57 @@ def mod97(account: str) -> int:
     return int("".join(str(int(c, 36)) for c in moved)) % 97
 
 
-def _valid(kind: str, found: str) -> bool:
+def _valid(kind: str, found: str, pattern: re.Pattern[str] | None = None) -> bool:
     if kind == "card":
         return luhn(re.sub(r"\D", "", found)) == 0
     if kind == "iban":
         return mod97(found.replace(" ", "")) == 1
-    if kind == "secret":
+    if pattern is _KEYWORD:
+        return _entropy(found) >= 3 and bool(re.search(r"\d", found) and re.search("[A-Za-z]", found)) and not _WORDY.fullmatch(found)
+    if kind == "secret" and pattern not in (_PREFIX, _ARMOUR):
         return any(c.isdigit() for c in found) and any(c.isalpha() for c in found)
+    if kind == "ipv6":  # slices and scopes of program text are not addresses
+        try:
+            ipaddress.IPv6Address(found)
+        except ValueError:
+            return False
+        return "::" not in found or len(found.split(":")[0]) == 4 and any(c.isdigit() for c in found)
     return True
 
 
+def _entropy(s: str) -> float:
+    """Bits per character of the string's own letters."""
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
 def _script(name: str) -> str:
     return "cyrillic" if "Ѐ" <= name[0] <= "ӿ" else "latin"
 
 
 def canonical(kind: str, found: str) -> str:
     """The same string for every way of writing an entity (persons are found with their gender in front)."""
-    if kind in ("card", "phone", "ssn"):
+    if kind == "phone":
+        return "".join(c for c, stays in _phone_digits(found) if stays)
+    if kind in ("card", "ssn"):
         return re.sub(r"\D", "", found)
     if kind == "iban":
         return found.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(found).exploded.replace(":", "")
+    if kind == "secret" and not _HEX.fullmatch(found):
+        return found
     return found.lower()
 
 
+def _phone_digits(found: str) -> list[tuple[str, bool]]:
+    """The characters of a number, and whether they are its digits: no separators, no 00 or (0) for dialling."""
+    abroad = found.startswith(("+", "00"))
+    skip = {0, 1} if found.startswith("00") else set()
+    if abroad and "(0)" in found:
+        skip.add(found.index("(0)") + 1)
+    return [(c, c.isdigit() and i not in skip) for i, c in enumerate(found)]
+
+
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities of the whole text, in order, without overlaps."""
     if not text:
@@ -112,14 +184,16 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     spans: list[tuple[int, int, str, str]] = []
 
     def add(start: int, end: int, kind: str, form: str) -> None:
-        if all(end <= s or start >= e for s, e, _, _ in spans):
-            spans.append((start, end, kind, form))
+        at = bisect.bisect(spans, (start,))
+        if start < end and (not at or spans[at - 1][1] <= start) and (at == len(spans) or end <= spans[at][0]):
+            spans.insert(at, (start, end, kind, form))
 
     for kind, pattern, mark in KINDS:
-        if digits if mark == "0" else mark in text:
+        if digits if mark == "0" else mark in text if isinstance(mark, str) else any(x in text for x in mark):
             for m in pattern.finditer(text):
-                if _valid(kind, m[0]):
-                    add(m.start(), m.end(), kind, canonical(kind, m[0]))
+                group = m.lastindex or 0
+                if _valid(kind, m[group], pattern):
+                    add(*m.span(group), kind, canonical(kind, m[group]))
     m = _PERSON.search(text) if any(t in text for ts in TITLES.values() for t in ts) else None
     while m:
         words = []
@@ -132,7 +206,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             gender = next(g for g, ts in TITLES.items() if m[1] in ts)
             add(m.start(3), m.start(3) + len(name), "person", f"{gender}:{_script(name)}:{name.lower()}")
         m = _PERSON.search(text, m.start(3) + len(name))
-    return sorted(spans)
+    return spans
 
 
 class _Draw:
@@ -180,9 +254,13 @@ def replacement(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str
     if kind == "ip":
         low, high = {1: 0, 2: 10, 3: 100}, {1: 10, 2: 100, 3: 255}
         return ".".join(str(low[len(o)] + draw.below(high[len(o)] - low[len(o)])) for o in form.split("."))
+    if kind == "ipv6":
+        return _like_ipv6(draw, form, attempt)
     if kind == "phone":
-        keep = 1 if form[0] in "17" else min(2, len(form) - 7)
+        keep = 1 if form[0] in "017" else max(0, min(2, len(form) - 7))
         return form[:keep] + draw.like(form[keep:])
+    if kind == "secret" and not _HEX.fullmatch(form):
+        return _like_secret(draw, form)
     if kind == "secret":
         return "".join("0123456789"[draw.below(10)] if c.isdigit() else "abcdef"[draw.below(6)] for c in form)
     if kind == "person":
@@ -200,9 +278,50 @@ def replacement(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str
     return draw.like(form)
 
 
+def _like_secret(draw: _Draw, form: str) -> str:
+    """Characters of the same class; the issuer's mark and written line ends stay."""
+    mark = _MARK.match(form)
+    out = [mark[0] if mark else ""]
+    letters = "abcdef" if re.fullmatch("[0-9a-fA-F]+", form) else "abcdefghijklmnopqrstuvwxyz"
+    for part in re.split(r"(\\[nr])", form[len(out[0]):]):
+        for c in part if not part.startswith("\\") else ():
+            some = "0123456789" if c in "0123456789" else letters.upper() if "A" <= c <= "Z" else letters if c.isalpha() else c
+            out.append(some[draw.below(len(some))])
+        out.append(part if part.startswith("\\") else "")
+    return "".join(out)
+
+
+def _like_ipv6(draw: _Draw, form: str, attempt: int) -> str:
+    """Groups of as many digits, the first two digits kept; groups grow, and empty ones fill, when they keep colliding."""
+    out = []
+    for i in range(0, 32, 4):
+        size = len(form[i:i + 4].lstrip("0"))
+        size = min(4, size + attempt // 4) if size or attempt >= 16 else 0
+        group = "".join("0123456789abcdef"[draw.below(16) if j else 1 + draw.below(15)] for j in range(size)).rjust(4, "0")
+        out.append(group if i or form[:2] == "00" else form[:2] + group[2:])
+    return "".join(out)
+
+
+def _written_ipv6(found: str, new: str) -> str:
+    groups = [new[i:i + 4].lstrip("0") for i in range(0, 32, 4)]
+    head, gap, tail = found.partition("::")
+    left, right = (x.split(":") if x else [] for x in (head, tail))
+    shaped = [g.rjust(max(1, len(old)), "0") for g, old in zip(groups, left + [""] * (8 - len(left) - len(right)) + right, strict=True)]
+    if not gap or any(groups[len(left):8 - len(right)]):
+        return ":".join(shaped)
+    return ":".join(shaped[:len(left)]) + "::" + ":".join(shaped[8 - len(right):])
+
+
 def written(kind: str, found: str, new: str) -> str:
     """``new`` in the way in which the entity was written: separators and case."""
-    if kind in ("card", "phone", "ssn", "iban"):
+    if kind == "secret" and not _HEX.fullmatch(found):
+        return new
+    if kind == "phone":
+        fill = iter(new)
+        return "".join(next(fill) if stays else c for c, stays in _phone_digits(found))
+    if kind == "ipv6":
+        new = _written_ipv6(found, new)
+    if kind in ("card", "ssn", "iban"):
         fill = iter(new)
         return "".join(next(fill) if c.isalnum() else c for c in found)
     if kind == "person":
