@@ -147,9 +147,9 @@ def _sketched(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             for t in batch[1].to_pylist():
                 s = shingles(t)
                 n.append(len(s))
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                hi.append(int.from_bytes(digest[:8], "little", signed=True))
-                lo.append(int.from_bytes(digest[8:], "little", signed=True))
+                high, low = _digest(s)
+                hi.append(high)
+                lo.append(low)
                 if len(s) >= LEAST:
                     keys.append(band_keys(sketch(s)))
                 ends.append(ends[-1] + (BANDS if len(s) >= LEAST else 0))
@@ -163,19 +163,33 @@ def _sketched(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, n bigint, hi bigint, lo bigint, bands array<bigint>")
 
 
+def _digest(hashes: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 def _contents(docs: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
-    """node, n, sketch, text of the candidate documents."""
-    rows = docs.select(F.col(id_col).alias("node"), F.col(text).cast("string").alias("text")).join(nodes, "node", "left_semi")
+    """node, hi, n, sketch, text of the candidate documents: one row of each node's set, however often its row is repeated.
+
+    ``nodes`` has node, hi, lo and the number of rows; only rows of repeated nodes move to be told apart.
+    """
+    rows = docs.select(F.col(id_col).alias("node"), F.col(text).cast("string").alias("text")).join(nodes, "node").select(
+        "node", "hi", "lo", "rows", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch[1].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), batch[1]],
-                names=["node", "n", "sketch", "text"])
+            sets = [shingles(t) for t in batch[4].to_pylist()]
+            own = pa.array([_digest(s) == x for s, x in zip(sets, zip(batch[1].to_pylist(), batch[2].to_pylist(), strict=True), strict=True)], pa.bool_())
+            whole = pa.RecordBatch.from_arrays(
+                [batch[0], batch[1], batch[3], pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([sketch(s).tobytes() for s in sets], pa.binary()), batch[4]],
+                names=["node", "hi", "rows", "n", "sketch", "text"])
+            yield whole.filter(own)
 
     kind = rows.schema["node"].dataType.simpleString()
-    return rows.mapInArrow(run, f"node {kind}, n bigint, sketch binary, text string")
+    every = staged(rows.mapInArrow(run, f"node {kind}, hi bigint, rows bigint, n bigint, sketch binary, text string"), "contents")
+    once = staged(every.filter("rows > 1").dropDuplicates(["node", "hi"]), "repeated")
+    return every.filter("rows = 1").unionByName(once).drop("rows")
 
 
 @F.pandas_udf(BooleanType())
@@ -237,7 +251,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 def _open_pairs(open_keys: DataFrame, contents: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that may reach the threshold (see the module's text)."""
     nodes = open_keys.select("node", "part").distinct()
-    rows = contents.select("node", "n", "text").join(nodes, "node").select("node", "n", "part", "text")
+    rows = contents.select("node", "hi", "n", "text").join(nodes, "node").select("node", "hi", "part", "text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,21 +259,21 @@ def _open_pairs(open_keys: DataFrame, contents: DataFrame) -> DataFrame:
                 h = shingles(t).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), *(pa.array([batch[c][i].as_py()] * len(h), batch.schema.field(c).type) for c in (0, 1, 2))],
-                    names=["s", "node", "n", "part"])
+                    names=["s", "node", "hi", "part"])
 
     kind = rows.schema["node"].dataType.simpleString()
-    flat = rows.mapInArrow(spread, f"s bigint, node {kind}, n bigint, part {kind}")
+    flat = rows.mapInArrow(spread, f"s bigint, node {kind}, hi bigint, part {kind}")
     counted = flat.groupBy("s").agg(F.count("*").alias("docs"))
-    rare = staged(flat.join(counted.filter(F.col("docs") <= RARE), "s").select("s", "node", "n", "part", "docs"), "rare")
-    weight = staged(contents.select("node", "n").join(nodes, "node").join(
-        rare.groupBy("node").agg(F.count("*").alias("r")), "node", "left").select(
-        "node", "part", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("common")), "weights")
+    rare = staged(flat.join(counted.filter(F.col("docs") <= RARE), "s").select("s", "node", "hi", "part", "docs"), "rare")
+    weight = staged(contents.select("node", "hi", "n").join(nodes, "node").join(
+        rare.groupBy("node", "hi").agg(F.count("*").alias("r")), ["node", "hi"], "left").select(
+        "node", "hi", "part", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("common")), "weights")
     need = (PERCENT * (F.col("nu") + F.col("nv"))) / (100 + PERCENT)
-    lists = rare.filter("docs > 1").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("node", "part"))).alias("l"))
+    lists = rare.filter("docs > 1").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("node", "hi", "part"))).alias("l"))
     two = lists.select(F.posexplode("l").alias("i", "x"), "l").select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y")).filter(
-        "x.part <> y.part").groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("both"))
-    of = lambda c, s: weight.select(F.col("node").alias(c), F.col("n").alias(f"n{s}"), F.col("common").alias(f"c{s}"))
-    by_rare = two.join(of("a", "u"), "a").join(of("b", "v"), "b").filter(
+        "x.part <> y.part").groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.hi").alias("hu"), F.col("y.hi").alias("hv")).agg(F.count("*").alias("both"))
+    of = lambda c, s: weight.select(F.col("node").alias(c), F.col("hi").alias(f"h{s}"), F.col("n").alias(f"n{s}"), F.col("common").alias(f"c{s}"))
+    by_rare = two.join(of("a", "u"), ["a", "hu"]).join(of("b", "v"), ["b", "hv"]).filter(
         F.col("both") + F.least("cu", "cv") >= need).select("a", "b")
     # nearly all common: the smaller bound of a pair is reached with an equal set size, n * 170 / 185
     plain = open_keys.select("key", "node", "part", "main").join(weight.select("node", "n", "common"), "node").filter(
@@ -276,14 +290,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     small_batches(docs.sparkSession)
     table = staged(_sketched(docs, id_col, text), "sketches")
     sets = staged(table.filter("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "sets")
-    nodes = table.filter(F.size("bands") > 0).select("doc_id", "hi", "lo", "bands").join(
-        sets.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi")
-    entries = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    nodes = staged(table.filter(F.size("bands") > 0).select("doc_id", "hi", "lo", "bands").join(
+        sets.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").groupBy(
+        F.col("doc_id").alias("node"), "hi", "lo").agg(F.first("bands").alias("bands"), F.count("*").alias("rows")), "nodes")
+    entries = nodes.select("node", F.explode("bands").alias("key"))
     sizes = staged(entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "keys")
     keyed = staged(entries.join(sizes, "key").select("key", "node", "size"), "members")
     central = keyed.groupBy("node").agg(F.sum("size").alias("centre"))
     members = staged(keyed.join(central, "node"), "centred")
-    contents = staged(_contents(docs, central.select("node"), id_col, text), "contents")
+    contents = _contents(docs, nodes.select("node", "hi", "lo", "rows").join(central.select("node"), "node", "left_semi"), id_col, text)
 
     # one star per key
     heads = members.groupBy("key").agg(F.max_by("node", F.struct("centre", "node")).alias("head"))
