@@ -1,9 +1,9 @@
 """Personal data replaced by keyed surrogates.
 
 Detected entities (e-mail, IPv4 and IPv6 addresses, telephone numbers, payment cards, bank accounts, social
-security numbers, secret tokens and keys, persons after a form of address) receive replacements of their own kind: letters for
-letters, digits for digits, separators, case, script and check digits kept, names of the same gender and
-script.  A replacement is a keyed hash of the entity in canonical form, so that the same entity has the same
+security numbers, secret tokens and keys, persons after a form of address and their names elsewhere in the same
+text) receive replacements of their own kind: letters for letters, digits for digits, separators, case, script
+and check digits kept, first names of the same gender and script, one last name for all who share it.  A replacement is a keyed hash of the entity in canonical form, so that the same entity has the same
 replacement everywhere in the corpus, however it is written, and nothing can be reversed without the key.
 
 Replacements of different entities could meet, or hit an entity that really occurs.  The distinct entities
@@ -194,6 +194,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                 group = m.lastindex or 0
                 if _valid(kind, m[group], pattern):
                     add(*m.span(group), kind, canonical(kind, m[group]))
+    named: list[tuple[int, str, str]] = []
     m = _PERSON.search(text) if any(t in text for ts in TITLES.values() for t in ts) else None
     while m:
         words = []
@@ -201,14 +202,40 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             if not w[0].isupper() or any(w in ts for ts in TITLES.values()):
                 break
             words.append(w)
-        name = " ".join(words)
-        if words:
+        name = re.sub(r"(?:['’]s)?['’-]*$", "", " ".join(words))
+        if name:
             gender = next(g for g, ts in TITLES.items() if m[1] in ts)
-            add(m.start(3), m.start(3) + len(name), "person", f"{gender}:{_script(name)}:{name.lower()}")
-        m = _PERSON.search(text, m.start(3) + len(name))
+            named.append((m.start(3), name, gender))
+        m = _PERSON.search(text, m.start(3) + max(len(name), 1))
+    if named:
+        # one gender for a name of this text: a neutral form of address takes that of another one
+        genders: dict[str, str] = {}
+        for _, name, gender in named:
+            if genders.get(name.lower(), "n") == "n":
+                genders[name.lower()] = gender
+        for start, name, gender in named:
+            add(start, start + len(name), "person", _person(name, genders[name.lower()] if gender == "n" else gender))
+        # the same names, or their last words, elsewhere in the text
+        bare = {n for _, name, _ in named for n in (name, name.split(" ")[-1]) if len(n) > 1 and n[0].isupper()}
+        every = sorted({x for n in bare for x in (n, n.upper())} | {x.title() for x in bare if x.isupper()}, key=lambda x: (-len(x), x))
+        for m in re.finditer(rf"(?<![\w-])(?:{'|'.join(map(re.escape, every))})(?!\w|-\w)", text):
+            add(m.start(), m.end(), "person", _person(m[0], genders.get(m[0].lower(), "n")))
     return spans
 
 
+def _person(name: str, gender: str) -> str:
+    """A last name alone has no gender: it is the same name after every form of address."""
+    return f"{gender if ' ' in name else 'n'}:{_script(name)}:{name.lower()}"
+
+
+def _parts(kind: str, form: str) -> list[tuple[str, str]]:
+    """What is drawn for an entity: a person's last name, shared by all who have it, and the words before it."""
+    if kind != "person":
+        return [(kind, form)]
+    name = form.split(":", 2)[2]
+    return [("surname", name.split(" ")[-1])] + ([("person", form)] if " " in name else [])
+
+
 class _Draw:
     """Numbers drawn from a keyed hash."""
 
@@ -263,18 +290,20 @@ def replacement(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str
         return _like_secret(draw, form)
     if kind == "secret":
         return "".join("0123456789"[draw.below(10)] if c.isdigit() else "abcdef"[draw.below(6)] for c in form)
-    if kind == "person":
+    if kind == "surname":
+        script = _script(form)
+        gender = "f" if form[-1] in "ая" else "n" if form.endswith("ко") else "m"
+        some = SYLLABLES[script]
+        return "".join(some[draw.below(len(some))] for _ in range(3 + attempt // 4)) + ENDING[script, gender]
+    if kind == "person":  # new words before the real last name: they must differ among those who share it
         gender, script, name = form.split(":", 2)
+        *first, last = name.split(" ")
+        some, more = FIRST[script, gender], SYLLABLES[script]
         words = []
-        parts = name.split(" ")
-        for i in range(len(parts)):
-            if i < len(parts) - 1:
-                some = FIRST[script, gender]
-                words.append(some[draw.below(len(some))].lower())
-            else:
-                some = SYLLABLES[script]
-                words.append("".join(some[draw.below(len(some))] for _ in range(3 + attempt // 4)) + ENDING[script, gender])
-        return f"{gender}:{script}:{' '.join(words)}"
+        for old in first:
+            new = [x.lower() for x in some if x.lower() != old]
+            words.append(new[draw.below(len(new))] + "".join(more[draw.below(len(more))] for _ in range(attempt // 4)))
+        return " ".join([*words, last])
     return draw.like(form)
 
 
@@ -325,7 +354,7 @@ def written(kind: str, found: str, new: str) -> str:
         fill = iter(new)
         return "".join(next(fill) if c.isalnum() else c for c in found)
     if kind == "person":
-        new = " ".join(w[0].upper() + w[1:] for w in new.split(":", 2)[2].split(" "))
+        new = " ".join(w[0].upper() + w[1:] for w in new.split(" "))
     letters = [c for c in found if c.isalpha()]
     return new.upper() if letters and all(c.isupper() for c in letters) else new
 
@@ -337,7 +366,9 @@ def replace(text: str | None, overruled: dict[tuple[str, str], int], key: bytes
         return text, 0
     out, at = [], 0
     for start, end, kind, form in spans:
-        out += [text[at:start], written(kind, text[start:end], replacement(kind, form, overruled.get((kind, form), 0), key))]
+        new = [replacement(k, f, overruled.get((k, f), 0), key) for k, f in _parts(kind, form)]
+        # a person: the last name, behind the words before it if there are any
+        out += [text[at:start], written(kind, text[start:end], " ".join([*new[1].split(" ")[:-1], new[0]]) if new[1:] else new[0])]
         at = end
     return "".join(out) + text[at:], len(spans)
 
@@ -350,7 +381,7 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(d, kind, form) for d, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True)
-                   for kind, form in sorted({(k, f) for _, _, k, f in find(t)})]
+                   for kind, form in sorted({p for _, _, k, f in find(t) for p in _parts(k, f)})]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g[0] for g in got], batch.schema.field(0).type), pa.array([g[1] for g in got], pa.string()),
                  pa.array([g[2] for g in got], pa.string())], names=["doc_id", "kind", "form"])
