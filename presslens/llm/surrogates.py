@@ -280,7 +280,10 @@ def replacement(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str
         return f"{body[:2]}{98 - mod97(body):02d}{body[4:]}"
     if kind == "ip":
         low, high = {1: 0, 2: 10, 3: 100}, {1: 10, 2: 100, 3: 255}
-        return ".".join(str(low[len(o)] + draw.below(high[len(o)] - low[len(o)])) for o in form.split("."))
+        if attempt >= 12:  # any address, when even the longest octets keep colliding
+            return ".".join(str(draw.below(256)) for _ in range(4))
+        sizes = [min(3, len(o) + attempt // 4) for o in form.split(".")]
+        return ".".join(str(low[n] + draw.below(high[n] - low[n])) for n in sizes)
     if kind == "ipv6":
         return _like_ipv6(draw, form, attempt)
     if kind == "phone":

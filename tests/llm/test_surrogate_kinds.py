@@ -45,3 +45,21 @@ def test_ways_of_writing_share_a_surrogate():
     for forms in (["+49 151 12345678", "0049 151 12345678", "+4915112345678", "+49 (0)151 12345678"], ["2001:db8::1", "2001:0DB8:0:0:0:0:0:0001"]):
         assert len({f for x in forms for *_, f in surrogates.find(surrogates.replace(x, {})[0])}) == 1
     assert {surrogates.replacement("ipv6", "fe80" + "0" * 27 + "1", a) for a in range(40)}.__len__() == 40
+
+
+def test_addresses_grow_until_no_collision_is_left():
+    # 6,000 of the 10,000 addresses of one-digit octets: their own form has too few others
+    real = {".".join(f"{i:04d}") for i in range(6000)}
+    attempt = dict.fromkeys(real, 0)
+    for _ in range(20):
+        taken, lost = set(), []
+        for form in sorted(real):
+            new = surrogates.replacement("ip", form, attempt[form])
+            if new in real or new in taken:
+                lost.append(form)
+            taken.add(new)
+        if not lost:
+            break
+        for form in lost:
+            attempt[form] += 1
+    assert not lost
