@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from presslens.llm import bloomdedup, chat, harmonic, hostrules, hyperminhash, langid, packed, ring, surrogates, wordbpe
+from presslens.llm import (
+    alignment,
+    bloomdedup,
+    chat,
+    harmonic,
+    hostrules,
+    hyperminhash,
+    langid,
+    packed,
+    piecebpe,
+    repair,
+    ring,
+    surrogates,
+    wordbpe,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,10 +70,23 @@ def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloomdedup.exact_copies(_table(spark, sf_dir, "documents"))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecebpe.encode_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_chat_snapshots, op2_ring_shards, op3_language_centroids, op4_word_bpe, op5_packed_ids, op6_harmonic_packing, op7_host_rules,
-    op8_surrogates, op9_hyperminhash, op10_bloom_dedup)}
-ORACLES: dict[str, str] = {"op1_chat_snapshots": chat.ORACLE, "op7_host_rules": hostrules.ORACLE, "op10_bloom_dedup": bloomdedup.ORACLE}
+    op8_surrogates, op9_hyperminhash, op10_bloom_dedup, op11_piece_bpe, op12_token_alignment, op13_conversation_repair)}
+ORACLES: dict[str, str] = {"op1_chat_snapshots": chat.ORACLE, "op7_host_rules": hostrules.ORACLE, "op10_bloom_dedup": bloomdedup.ORACLE,
+                           "op13_conversation_repair": repair.ORACLE}
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
