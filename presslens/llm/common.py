@@ -37,6 +37,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that ``df`` does not have, so that no caller's column is overwritten."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"__{name}" in taken:
+            name += "_"
+        out.append(f"__{name}")
+    return out
+
+
 def per_worker(name: str, make: Callable[[], Any]) -> Any:
     """An object kept for the life of a Python worker (a loaded tokenizer, a word cache).
 

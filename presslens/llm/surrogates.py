@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presslens.llm.common import small_batches, staged
+from presslens.llm.common import small_batches, staged, unused
 
 #: Overruled entities that are sent along with the code (each below 200 bytes); more are joined by document.
 MOST_SHIPPED = 20_000
@@ -85,12 +85,32 @@ _ARMOUR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----
 #: Words that introduce a telephone number, and the number in any grouping.
 _TALK = re.compile(r"(?<![a-z])(?:tel|telephone|telefon|téléphone|teléfono|phone|mobile|mobil|cell|fax|handy|whatsapp|call)(?: (?:number|no|nr|me|us|at|on))*[.:#]*(?: is)?[.:]?\s{0,3}"
                    r"((?!\d{4}-\d\d-\d\d|\d\d?[./]\d\d?[./]\d{4})(?:\+|\()?\d(?:[ ./()-]{0,2}\d){6,14})(?![\w]|[.,/:-]\d)", re.IGNORECASE)
-_NAME = r"[^\W\d_][\w'’-]*"
-_PERSON = re.compile(rf"\b({'|'.join(t for ts in TITLES.values() for t in ts)})\b(\.? )({_NAME}(?: {_NAME}){{0,2}})")
+_NAME = r"(?:[^\W\d_]\.(?!\w)|[^\W\d_][\w'’-]{0,100})"
+_PERSON = re.compile(rf"\b({'|'.join(t for ts in TITLES.values() for t in ts)})\b(\.? )({_NAME}(?: {_NAME}){{0,3}})")
+_INITIAL = re.compile(r"[^\W\d_]\.")
+
+
+class _Email:
+    """Addresses around each ``@``: looked for within the lengths that their syntax allows, so that time stays linear."""
+
+    whole = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+    left, right = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*"), re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+
+    def finditer(self, text: str) -> Iterator[re.Match[str]]:
+        done, at = 0, text.find("@")
+        while at >= 0:
+            domain = self.right.match(text, at, at + 256)
+            local = self.left.match(text[max(done, at - 254):at][::-1]) if domain else None
+            if local and domain:
+                found = self.whole.fullmatch(text, at - local.end(), domain.end())
+                if found:
+                    yield found
+                    done = found.end()
+            at = text.find("@", at + 1)
 #: In order of precedence: of overlapping finds the earlier kind stays.  A find is the group that matched, if there is
 #: one; the last entry says what a text must hold for the pattern to be tried ("0" any digit, or one of several marks).
-KINDS: list[tuple[str, re.Pattern[str], str | tuple[str, ...]]] = [
-    ("email", re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), "@"),
+KINDS: list[tuple[str, re.Pattern[str] | _Email, str | tuple[str, ...]]] = [
+    ("email", _Email(), "@"),
     ("secret", _ARMOUR, "PRIVATE KEY"),
     ("secret", _PREFIX, tuple(PREFIXES)),
     ("secret", re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"), "0"),
@@ -125,7 +145,7 @@ def mod97(account: str) -> int:
     return int("".join(str(int(c, 36)) for c in moved)) % 97
 
 
-def _valid(kind: str, found: str, pattern: re.Pattern[str] | None = None) -> bool:
+def _valid(kind: str, found: str, pattern: re.Pattern[str] | _Email | None = None) -> bool:
     if kind == "card":
         return luhn(re.sub(r"\D", "", found)) == 0
     if kind == "iban":
@@ -149,7 +169,7 @@ def _entropy(s: str) -> float:
 
 
 def _script(name: str) -> str:
-    return "cyrillic" if "Ѐ" <= name[0] <= "ӿ" else "latin"
+    return "cyrillic" if "Ѐ" <= name[:1] <= "ӿ" else "latin"
 
 
 def canonical(kind: str, found: str) -> str:
@@ -202,11 +222,13 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             if not w[0].isupper() or any(w in ts for ts in TITLES.values()):
                 break
             words.append(w)
-        name = re.sub(r"(?:['’]s)?['’-]*$", "", " ".join(words))
+        while len(words) > 1 and _INITIAL.fullmatch(words[-1]):  # "Mr. Smith. A." ends before what begins a sentence
+            words.pop()
+        name = re.sub(r"(?:['’]s)?['’.-]{0,3}$", "", " ".join(words))
         if name:
             gender = next(g for g, ts in TITLES.items() if m[1] in ts)
             named.append((m.start(3), name, gender))
-        m = _PERSON.search(text, m.start(3) + max(len(name), 1))
+        m = _PERSON.search(text, m.start(3) + len(name))  # "Frau Dr. Weber": a second form of address
     if named:
         # one gender for a name of this text: a neutral form of address takes that of another one
         genders: dict[str, str] = {}
@@ -218,22 +240,25 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         # the same names, or their last words, elsewhere in the text
         bare = {n for _, name, _ in named for n in (name, name.split(" ")[-1]) if len(n) > 1 and n[0].isupper()}
         every = sorted({x for n in bare for x in (n, n.upper())} | {x.title() for x in bare if x.isupper()}, key=lambda x: (-len(x), x))
-        for m in re.finditer(rf"(?<![\w-])(?:{'|'.join(map(re.escape, every))})(?!\w|-\w)", text):
+        for m in re.finditer(rf"(?<![\w-])(?:{'|'.join(map(re.escape, every))})(?!\w|-\w)", text) if every else ():
             add(m.start(), m.end(), "person", _person(m[0], genders.get(m[0].lower(), "n")))
     return spans
 
 
 def _person(name: str, gender: str) -> str:
     """A last name alone has no gender: it is the same name after every form of address."""
-    return f"{gender if ' ' in name else 'n'}:{_script(name)}:{name.lower()}"
+    return f"{gender if ' ' in name else 'n'}:{name.lower()}"
 
 
-def _parts(kind: str, form: str) -> list[tuple[str, str]]:
-    """What is drawn for an entity: a person's last name, shared by all who have it, and the words before it."""
+def _parts(kind: str, form: str) -> list[tuple[str, str, str]]:
+    """(kind, form, gender) of what is drawn for an entity: a person's last name, shared by all who have it, and the words before it.
+
+    The gender is no part of who it is: John Smith is one person behind every form of address.
+    """
     if kind != "person":
-        return [(kind, form)]
-    name = form.split(":", 2)[2]
-    return [("surname", name.split(" ")[-1])] + ([("person", form)] if " " in name else [])
+        return [(kind, form, "")]
+    gender, name = form.split(":", 1)
+    return [("surname", name.split(" ")[-1], "")] + ([("person", name, gender)] if " " in name else [])
 
 
 class _Draw:
@@ -263,7 +288,7 @@ class _Draw:
         return "".join(out)
 
 
-def replacement(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
+def replacement(kind: str, form: str, attempt: int = 0, key: bytes = KEY, gender: str = "n") -> str:
     """The canonical form of the surrogate of a canonical entity."""
     draw = _Draw(key, kind, form, attempt)
     if kind == "email":
@@ -299,11 +324,16 @@ def replacement(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str
         some = SYLLABLES[script]
         return "".join(some[draw.below(len(some))] for _ in range(3 + attempt // 4)) + ENDING[script, gender]
     if kind == "person":  # new words before the real last name: they must differ among those who share it
-        gender, script, name = form.split(":", 2)
-        *first, last = name.split(" ")
-        some, more = FIRST[script, gender], SYLLABLES[script]
+        *first, last = form.split(" ")
+        script = _script(form)
+        some, more = FIRST[script, gender or "n"], SYLLABLES[script]
         words = []
         for old in first:
+            if _INITIAL.fullmatch(old) and attempt < 8:  # an initial stays one while letters are left
+                letters = "абвгдеиклмнопрст" if script == "cyrillic" else "abcdefghijklmnoprstvw"
+                new = [x for x in letters if x != old[0]]
+                words.append(new[draw.below(len(new))] + ".")
+                continue
             new = [x.lower() for x in some if x.lower() != old]
             words.append(new[draw.below(len(new))] + "".join(more[draw.below(len(more))] for _ in range(attempt // 4)))
         return " ".join([*words, last])
@@ -359,17 +389,23 @@ def written(kind: str, found: str, new: str) -> str:
     if kind == "person":
         new = " ".join(w[0].upper() + w[1:] for w in new.split(" "))
     letters = [c for c in found if c.isalpha()]
-    return new.upper() if letters and all(c.isupper() for c in letters) else new
+    capitals = bool(letters) and all(c.isupper() for c in letters)
+    if kind == "person":  # initials alone say nothing of the case
+        capitals = capitals and any(len(w.strip(".'’-")) > 1 for w in found.split(" "))
+    return new.upper() if capitals else new
 
 
-def replace(text: str | None, overruled: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str | None, int]:
-    """The text with surrogates and the number of entities."""
+def replace(text: str | None, overruled: dict[tuple[str, str], tuple[int, str]], key: bytes = KEY) -> tuple[str | None, int]:
+    """The text with surrogates and the number of entities; ``overruled`` has the draw and the gender that the corpus settled."""
     spans = find(text)
     if not spans:
         return text, 0
     out, at = [], 0
     for start, end, kind, form in spans:
-        new = [replacement(k, f, overruled.get((k, f), 0), key) for k, f in _parts(kind, form)]
+        new = []
+        for k, f, gender in _parts(kind, form):
+            attempt, known = overruled.get((k, f), (0, gender))
+            new.append(replacement(k, f, attempt, key, known))
         # a person: the last name, behind the words before it if there are any
         out += [text[at:start], written(kind, text[start:end], " ".join([*new[1].split(" ")[:-1], new[0]]) if new[1:] else new[0])]
         at = end
@@ -377,31 +413,36 @@ def replace(text: str | None, overruled: dict[tuple[str, str], int], key: bytes
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, kind, form: the distinct entities of every document (no text)."""
+    """doc_id, kind, form, gender: the distinct entities of every document (no text)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(d, kind, form) for d, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True)
-                   for kind, form in sorted({p for _, _, k, f in find(t) for p in _parts(k, f)})]
+            got = [(d, *p) for d, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True)
+                   for p in sorted({p for _, _, k, f in find(t) for p in _parts(k, f)})]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g in got], batch.schema.field(0).type), pa.array([g[1] for g in got], pa.string()),
-                 pa.array([g[2] for g in got], pa.string())], names=["doc_id", "kind", "form"])
+                [pa.array([g[0] for g in got], batch.schema.field(0).type), *(pa.array([g[i] for g in got], pa.string()) for i in (1, 2, 3))],
+                names=["doc_id", "kind", "form", "gender"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_type}, kind string, form string")
+    return rows.mapInArrow(run, f"doc_id {id_type}, kind string, form string, gender string")
 
 
 def settle(found: DataFrame, key: bytes = KEY, rounds: int = 50) -> DataFrame:
-    """kind, form, attempt of the entities that collided and drew again."""
+    """kind, form, attempt, gender of the entities that collided and drew again, or whose documents differ in gender."""
 
     @F.pandas_udf("string")
-    def drawn(kind: pd.Series, form: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([replacement(k, f, a, key) for k, f, a in zip(kind, form, attempt, strict=True)], dtype=object)
-
-    known = staged(found.select("kind", "form").distinct(), "entities")
-    table = staged(known.withColumn("attempt", F.lit(0)).withColumn("new", drawn("kind", "form", "attempt")), "draws")
+    def drawn(kind: pd.Series, form: pd.Series, attempt: pd.Series, gender: pd.Series) -> pd.Series:
+        return pd.Series([replacement(k, f, a, key, g) for k, f, a, g in zip(kind, form, attempt, gender, strict=True)], dtype=object)
+
+    # one gender in the whole corpus: that of the forms of address which tell one, none if they disagree
+    told = F.collect_set(F.when(F.col("gender").isin("m", "f"), F.col("gender")))
+    known = staged(found.groupBy("kind", "form").agg(
+        F.when(F.size(told) == 1, told[0]).otherwise(F.when(F.col("kind") == "person", "n").otherwise("")).alias("gender"),
+        (F.count_distinct("gender") > 1).alias("mixed")), "entities")
+    table = staged(known.withColumn("attempt", F.lit(0)).withColumn("new", drawn("kind", "form", "attempt", "gender")), "draws")
+    columns = ["kind", "form", "gender", "mixed"]
     real = known.select("kind", F.col("form").alias("new"))
     for _ in range(rounds):
         shared = table.groupBy("kind", "new").agg(F.count("*").alias("c"), F.min("form").alias("first")).filter("c > 1")
@@ -409,10 +450,10 @@ def settle(found: DataFrame, key: bytes = KEY, rounds: int = 50) -> DataFrame:
         lost = staged(doubled.union(table.join(real, ["kind", "new"], "left_semi").select("kind", "form")).distinct()
                       .withColumn("again", F.lit(1)), "lost")
         if not lost.head(1):
-            return table.filter("attempt > 0").select("kind", "form", "attempt")
+            return table.filter("attempt > 0 OR mixed").select("kind", "form", "attempt", "gender")
         table = staged(table.join(lost, ["kind", "form"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
-                       .select("kind", "form", "attempt", F.when(F.col("again").isNull(), F.col("new")).otherwise(
-                           drawn("kind", "form", "attempt")).alias("new")), "draws")
+                       .select(*columns, "attempt", F.when(F.col("again").isNull(), F.col("new")).otherwise(
+                           drawn("kind", "form", "attempt", "gender")).alias("new")), "draws")
     raise RuntimeError(f"surrogates still collide after {rounds} draws")
 
 
@@ -423,31 +464,32 @@ def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = staged(entities(docs, id_col, text), "found")
     again = settle(found, key)
     columns = docs.columns
+    made, owner, mine = unused(docs, "new", "owner", "own")
 
     def shaped(df: DataFrame) -> DataFrame:
-        out = [F.col("__new.text").alias(c) if c == text else F.col(c) for c in columns]
-        return df.select(*out, *([F.col("__new.n").alias(count_col)] if count_col else []))
+        out = [F.col(made)["text"].alias(c) if c == text else F.col(f"`{c}`") for c in columns]
+        return df.select(*out, *([F.col(made)["n"].alias(count_col)] if count_col else []))
 
     if again.limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED:
-        overruled = {(r["kind"], r["form"]): r["attempt"] for r in again.collect()}
+        overruled = {(r["kind"], r["form"]): (r["attempt"], r["gender"]) for r in again.collect()}
 
         @F.pandas_udf("struct<text: string, n: bigint>")
         def run(texts: pd.Series) -> pd.DataFrame:
             got = [replace(t, overruled, key) for t in texts]
             return pd.DataFrame({"text": pd.Series([g[0] for g in got], dtype=object), "n": [g[1] for g in got]})
 
-        return shaped(docs.withColumn("__new", run(F.col(text).cast("string"))))
+        return shaped(docs.withColumn(made, run(F.col(text).cast("string"))))
 
     @F.pandas_udf("struct<text: string, n: bigint>")
     def run_joined(texts: pd.Series, own: pd.Series) -> pd.DataFrame:
-        got = [replace(t, {(o["kind"], o["form"]): o["attempt"] for o in (own[i] if own[i] is not None else ())}, key)
+        got = [replace(t, {(o["kind"], o["form"]): (o["attempt"], o["gender"]) for o in (own[i] if own[i] is not None else ())}, key)
                for i, t in enumerate(texts)]
         return pd.DataFrame({"text": pd.Series([g[0] for g in got], dtype=object), "n": [g[1] for g in got]})
 
-    by_doc = found.join(again, ["kind", "form"]).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.collect_set(F.struct("kind", "form", "attempt")).alias("__own"))
-    joined = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    return shaped(joined.withColumn("__new", run_joined(F.col(text).cast("string"), F.col("__own"))))
+    by_doc = found.drop("gender").join(again, ["kind", "form"]).groupBy(F.col("doc_id").alias(owner)).agg(
+        F.collect_set(F.struct("kind", "form", "attempt", "gender")).alias(mine))
+    joined = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col(owner)), "left")
+    return shaped(joined.withColumn(made, run_joined(F.col(text).cast("string"), F.col(mine))))
 
 
 def surrogate_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", key: bytes = KEY) -> DataFrame:
