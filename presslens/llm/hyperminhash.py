@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from presslens.llm.common import small_batches, staged
+from presslens.llm.common import small_batches, staged, unused
 
 #: Words of a shingle.
 WIDTH = 5
@@ -285,8 +285,8 @@ def _open_pairs(open_keys: DataFrame, contents: DataFrame) -> DataFrame:
     return by_rare.unionByName(by_common).distinct()
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_set: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (and, if wanted, hi and lo, the hash of the shingle set): one row per document."""
     small_batches(docs.sparkSession)
     table = staged(_sketched(docs, id_col, text), "sketches")
     sets = staged(table.filter("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "sets")
@@ -328,13 +328,31 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     classes = sets.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "hi", "lo", F.coalesce("label", "rep").alias("class"))
-    out = table.select("doc_id", "n", F.when(F.col("n") > 0, F.col("hi")).alias("hi"), "lo").join(classes, ["hi", "lo"], "left")
+    filled = table.select("doc_id", "n", F.when(F.col("n") > 0, F.col("hi")).alias("hi"), "lo", F.col("hi").alias("set_hi"))
+    out = filled.join(classes, ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+                      F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+                      *([F.col("set_hi").alias("hi"), "lo"] if with_set else []))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document (the smallest id) of each class; all columns stay."""
-    gone = near_classes(docs, id_col, text).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one document (the smallest id) of each class; all columns stay.
+
+    An id whose rows have different texts may keep some of them and lose others: only such rows are told apart by their sets.
+    """
+    classes = staged(near_classes(docs, id_col, text, with_set=True), "classes")
+    owner, mixed, made = unused(docs, "owner", "mixed", "set")
+    by_id = classes.groupBy(F.col("doc_id").alias(owner)).agg(F.bool_or("kept").alias(mixed), F.bool_and("kept").alias("all")).filter("NOT all").drop("all")
+    rows = docs.join(by_id, F.col(id_col) == F.col(owner), "left").filter(F.col(mixed).isNull() | F.col(mixed))
+
+    @F.pandas_udf("struct<hi: bigint, lo: bigint>")
+    def own_set(texts: pd.Series, asked: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_digest(shingles(t)) if a else (0, 0) for t, a in zip(texts, asked, strict=True)], columns=["hi", "lo"], dtype="int64")
+
+    asked = F.coalesce(F.col(mixed), F.lit(False))
+    marked = rows.withColumn(made, F.when(asked, own_set(F.when(asked, F.col(text).cast("string")), asked)))
+    lost = classes.filter("NOT kept").join(by_id.filter(F.col(mixed)).select(F.col(owner).alias("of")), F.col("doc_id") == F.col("of")).select(
+        F.col("doc_id").alias("gone"), F.col("hi").alias("gone_hi"), F.col("lo").alias("gone_lo")).distinct()
+    return marked.join(lost, (F.col(owner) == F.col("gone")) & (F.col(made)["hi"] == F.col("gone_hi")) & (F.col(made)["lo"] == F.col("gone_lo")), "left_anti").drop(
+        owner, mixed, made)

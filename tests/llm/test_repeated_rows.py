@@ -27,3 +27,11 @@ def test_bound_counts_a_repeated_document_once(spark):
     assert contents.count() == 2
     open_keys = spark.createDataFrame([(7, 1, 1, 1), (7, 2, 2, 1)], "key bigint, node bigint, part bigint, main bigint")
     assert [tuple(r) for r in hyperminhash._open_pairs(open_keys, contents).collect()] == [(1, 2)]
+
+
+def test_an_id_with_two_texts_loses_only_the_copy(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(3, b, "x", "y"), (7, a, "x", "y"), (7, b, "x", "y"), (8, None, "x", "y"), (None, b, "x", "y")],
+                                 "doc_id bigint, text string, __owner string, __set string")
+    got = hyperminhash.drop_near_copies(docs)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(3, b, "x", "y"), (7, a, "x", "y"), (8, None, "x", "y"), (None, b, "x", "y")], key=repr)
