@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from presslens.functions.parse import BLANK
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the source study's lists for the same results)
 # ---------------------------------------------------------------------------
@@ -304,7 +306,7 @@ def truncate(c: Column, n: int, ellipsis: str | None = None) -> Column:
 
 def shorten_words(c: Column, n: int = 8, ellipsis: str = "…") -> Column:
     """First ``n`` blank-separated words, plus ``ellipsis`` when there were more."""
-    words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(c, BLANK + "+"), lambda w: w != "")
     head = F.array_join(F.slice(words, 1, n), " ")
     return F.when(F.size(words) > n, F.concat(head, F.lit(ellipsis))).otherwise(head)
 

@@ -34,9 +34,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalise(a: Column, eps: float = 1e-12) -> Column:
-    """L2 normalisation ``v / (||v|| + eps)``."""
+    """L2 normalisation ``v / (||v|| + eps)``; zeros stay zeros."""
     n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / (n + F.lit(eps)))
+    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), n + F.lit(eps)), x.cast("double")))
 
 
 def vector_literal(v: Sequence[float]) -> Column:
@@ -94,13 +94,14 @@ def _unit_rows(m):
     return m / np.where(n == 0, 1.0, n)
 
 
-def cosine_matrix(emb: Column, vectors: Sequence[Sequence[float]]) -> Column:
+def cosine_matrix(emb: Column, vectors: Sequence[Sequence[float]], as_is: bool = False) -> Column:
     """``ARRAY<DOUBLE>``: cosine of each row vector with every fixed vector, in the fixed order.
 
     One NumPy matrix product per Arrow batch: the fixed vectors (size-checked by the caller)
-    travel with the function.  A null vector or one of norm 0 gives null.
+    travel with the function.  A null vector or one of norm 0 gives null.  ``as_is``: the fixed vectors are
+    means of unit vectors, and their length counts.
     """
-    P = _unit_rows(vectors).T  # d x k
+    P = (np.asarray(vectors, dtype="float64") if as_is else _unit_rows(vectors)).T  # d x k
 
     @F.arrow_udf(ArrayType(DoubleType()))
     def _cos(e: pa.Array) -> pa.Array:

@@ -272,12 +272,65 @@ def row_pct(df: DataFrame, ids: Sequence[str], value_cols: Sequence[str], scale:
     return df.select(*ids, *[F.try_divide(F.col(c) * F.lit(scale), total).alias(c) for c in value_cols])
 
 
+def _pearson(a: str, b: str) -> Column:
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    # a constant column has no deviation; F.corr would divide by it
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+def corr_wide(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A29 for many columns: (x, y, corr) from one mergeable matrix of co-moments.
+
+    Every batch gives its counts, sums and products of all column pairs by matrix products, as one row per
+    column, and rows of a column are added up by a vector aggregate: the data are read once, whatever the number of columns.
+    Values are first moved by the column means, so that sums of squares do not cancel.  Nulls (and NaN) are left out pair by pair.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    c = len(cols)
+    if c < 2:
+        return df.sparkSession.createDataFrame([], "x string, y string, corr double")
+    num = df.select(*[F.nanvl(F.col(f"`{x}`").cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, x in enumerate(cols)])
+    means = num.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(c)]).first()
+    shift = np.array([m if m is not None else 0.0 for m in means])
+
+    def moments(batches):
+        total = np.zeros((c, 6 * c))
+        for b in batches:
+            X = np.stack([x.to_numpy(zero_copy_only=False).astype(float) for x in b.columns], axis=1)
+            M = (~np.isnan(X)).astype(float)
+            X = np.where(M > 0, X - shift, 0.0)
+            # for every pair, over the rows that have both: number, sums, sums of squares, sum of products
+            total += np.concatenate((M.T @ M, X.T @ M, M.T @ X, (X * X).T @ M, M.T @ (X * X), X.T @ X), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(c, dtype=np.int32)), pa.array(list(total))], names=["i", "m"])
+
+    parts = num.mapInArrow(moments, "i int, m array<double>")
+    added = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("m"))).alias("m"))
+    pair = added.select("i", F.explode(F.sequence(F.lit(0), F.lit(c - 1))).alias("j"), "m").filter("j > i")
+    n, sx, sy, xx, yy, xy = (F.try_element_at("m", F.col("j") + F.lit(k * c + 1)) for k in range(6))
+    top = n * xy - sx * sy
+    # what rounding leaves of a constant column is not a deviation
+    spread = lambda s, q: F.when(n * q - s * s > 1e-12 * n * q, n * q - s * s)
+    names = F.array(*[F.lit(x) for x in cols])
+    value = F.try_divide(top, F.sqrt(spread(sx, xx)) * F.sqrt(spread(sy, yy)))
+    return pair.select(F.try_element_at(names, F.col("i") + 1).alias("x"), F.try_element_at(names, F.col("j") + 1).alias("y"), value.alias("corr"))
+
+
 def corr(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair (booleans as 0/1), long table (x, y, corr)."""
+    """Pearson correlation of every pair (booleans as 0/1), long table (x, y, corr).
+
+    Rows with both values count; null where a column is constant there or fewer than two rows are left.  One column
+    has no pair.  For hundreds of columns see :func:`corr_wide`."""
     num = [F.col(c).cast("double").alias(c) for c in cols]
     src = df.select(*num)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = src.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "x string, y string, corr double")
+    wide = src.agg(*[_pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"c{i}").alias("corr"))
                      for i, (a, b) in enumerate(pairs)])
     return wide.select(F.inline(rows))
@@ -306,11 +359,14 @@ def density(df: DataFrame, col: str, grid: Sequence[float]) -> DataFrame:
     """Gaussian kernel density on a fixed grid, Scott's bandwidth n^(-1/5) * std.
 
     Per row the kernel is evaluated at every grid point (a literal array) and summed per grid
-    point: one partial aggregate, no pair table.
+    point: one partial aggregate, no pair table.  Nulls and NaN are left out; without a spread (no row, one
+    row, equal values) every density is null.  :func:`density_binned` costs a row once, whatever the grid.
     """
     x = F.col(col).cast("double")
-    src = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    src = df.select(x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     n, sd = src.agg(F.count(F.lit(1)), F.stddev_samp("_x")).first()
+    if not sd:
+        return _no_density(df, grid)
     bw = float(sd) * float(n) ** -0.2
     g = F.array(*[F.lit(float(v)) for v in grid])
     kern = F.transform(g, lambda gv: F.exp(-F.pow((gv - F.col("_x")) / F.lit(bw), 2) / 2))
@@ -321,11 +377,57 @@ def density(df: DataFrame, col: str, grid: Sequence[float]) -> DataFrame:
                     (F.col("_s") / F.lit(norm)).alias("density")))
 
 
+def _no_density(df: DataFrame, grid: Sequence[float]) -> DataFrame:
+    rows = [(i, float(v), None) for i, v in enumerate(grid)]
+    return df.sparkSession.createDataFrame(rows, "grid_index int, x double, density double")
+
+
+#: Bins between the least and the greatest value; with the bandwidth b the error of a density is below (width / b)^2 / 8 of its peak.
+DENSITY_BINS = 4096
+
+
+def density_binned(df: DataFrame, cols: Sequence[str], points: int = 100, bins: int = DENSITY_BINS) -> DataFrame:
+    """A31 for several columns: (column, grid_index, x, density) on ``points`` places between each column's least and greatest value.
+
+    Every value is split between the two nearest of ``bins`` + 1 equally spaced places (linear binning), which is one partial aggregate
+    for all columns; the Gaussian kernel (Scott's bandwidth) is then summed over places instead of rows.  Nulls and NaN
+    are left out; a column without a spread has null densities at its value, one without a value has no rows.
+    """
+    stats = [a for c in cols for x in [_number(c)] for a in (F.count(x), F.stddev_samp(x), F.min(x), F.max(x))]
+    flat = df.agg(*stats).first()
+    known = {c: flat[4 * i:4 * i + 4] for i, c in enumerate(cols)}
+    wide = {c: k for c, k in known.items() if k[1] and k[3] > k[2]}
+    spark = df.sparkSession
+    schema = "column string, grid_index int, x double, density double"
+    flat_rows = [(c, 0, float(k[2]), None) for c, k in known.items() if k[0] and c not in wide]
+    out = spark.createDataFrame(flat_rows, schema)
+    if not wide:
+        return out
+    places = []
+    for c, (_, _, lo, hi) in wide.items():
+        at = (_number(c) - F.lit(lo)) / F.lit((hi - lo) / bins)
+        low = F.least(F.floor(at), F.lit(bins - 1)).cast("int")
+        places += [F.struct(F.lit(c).alias("column"), low.alias("bin"), (F.lit(1.0) - (at - low)).alias("share")),
+                   F.struct(F.lit(c).alias("column"), (low + 1).alias("bin"), (at - low).alias("share"))]
+    binned = df.select(F.inline(F.array(*places))).filter("bin IS NOT NULL").groupBy("column", "bin").agg(F.sum("share").alias("weight"))
+    laws = spark.createDataFrame([(c, i, lo + (hi - lo) * i / max(1, points - 1), lo, (hi - lo) / bins, float(sd) * float(n) ** -0.2, float(n))
+                                  for c, (n, sd, lo, hi) in wide.items() for i in range(points)],
+                                 "column string, grid_index int, x double, lo double, width double, bw double, n double")
+    # bins x points rows a column, independent of the data
+    z = (F.col("x") - (F.col("lo") + F.col("bin") * F.col("width"))) / F.col("bw")
+    kernel = F.exp(-z * z / 2) * F.col("weight") / (F.col("n") * F.col("bw") * F.lit((2 * 3.141592653589793) ** 0.5))
+    return out.unionByName(binned.join(F.broadcast(laws), "column").groupBy("column", "grid_index", "x").agg(F.sum(kernel).alias("density")))
+
+
+def _number(c: str) -> Column:
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
 def minmax(df: DataFrame, col: str, out: str | None = None, eps: float | None = 1e-10) -> DataFrame:
-    """(x - min) / (max - min + eps), min and max taken as two scalars first."""
+    """(x - min) / (max - min + eps), min and max taken as two scalars first; null if that is a division by zero."""
     mn, mx = df.agg(F.min(col), F.max(col)).first()
     den = (mx - mn if mx is not None else 0.0) + (eps or 0.0)
-    return df.withColumn(out or f"{col}_norm", (F.col(col) - F.lit(mn)) / F.lit(den))
+    return df.withColumn(out or f"{col}_norm", F.try_divide((F.col(col) - F.lit(mn)).cast("double"), F.lit(float(den))))
 
 
 def score_means(df: DataFrame, cols: Sequence[str], where: Column | None = None) -> DataFrame:
@@ -368,7 +470,7 @@ def keyword_word_counts(df: DataFrame, keywords: Sequence[str], col: str = "plai
                         top: int = 30) -> DataFrame:
     """Whitespace tokens of (flagged) text, top n by count, then only those in the keyword list."""
     src = df.filter(_flag(flag)) if flag else df
-    toks = (src.select(F.explode(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"\s+")).alias("word"))
+    toks = (src.select(F.explode(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), P.BLANK + "+")).alias("word"))
                .filter(F.col("word") != ""))
     top_words = value_counts(toks, "word", top=top)
     return top_words.filter(F.col("word").isin([k.lower() for k in keywords]))

@@ -30,9 +30,9 @@ def map_columns(df: DataFrame, candidates: Mapping[str, Sequence[str]] = COLUMN_
 
 
 def select_existing(df: DataFrame, cols: Sequence[str], n: int | None = None) -> DataFrame:
-    """Keep the listed columns that exist; ``n`` previews the first rows in key order."""
+    """Keep the listed columns that exist; ``n`` previews the first rows, in the order of those columns."""
     out = df.select([c for c in cols if c in df.columns])
-    return out.limit(n) if n else out
+    return out.orderBy(*out.columns).limit(n) if n else out
 
 
 def with_year(df: DataFrame, col: str = "published_date", out: str = "year") -> DataFrame:

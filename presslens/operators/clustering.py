@@ -97,9 +97,12 @@ def elbow_pick(curve: DataFrame, k_col: str = "k", inertia_col: str = "inertia")
 
     The gap is measured straight up or down at the same k: it differs from the perpendicular
     distance by one factor for the whole curve, so the pick is the same.  Ties go to the smaller k.
-    The chord ends are scalars read from one aggregate."""
-    c = curve.select(F.col(k_col), F.log(F.col(inertia_col)).alias("y"))
+    The chord ends are scalars read from one aggregate.  An inertia of 0 (as many centres as points) has no logarithm and
+    is left out; a curve without any other point has no pick (null)."""
+    c = curve.filter(F.col(inertia_col) > 0).select(F.col(k_col), F.log(F.col(inertia_col)).alias("y"))
     lo, y_lo, hi, y_hi = c.agg(F.min(k_col), F.min_by("y", k_col), F.max(k_col), F.max_by("y", k_col)).first()
+    if lo is None:
+        return c.agg(F.max(k_col).alias("best_k"), F.max("y").alias("max_gap"))
     slope = (y_hi - y_lo) / (hi - lo) if hi > lo else 0.0
     gap = F.abs(F.col("y") - (F.lit(y_lo) + (F.col(k_col) - F.lit(lo)) * F.lit(slope)))
     return c.select(k_col, gap.alias("gap")).agg(
@@ -112,9 +115,12 @@ def _projection(df: DataFrame, emb_col: str, dims: int = 2) -> list[list[float]]
     """The top ``dims`` principal axes (orthonormal) as Python lists (dims x d, bounded)."""
     from pyspark.ml.feature import PCA
 
-    width = len(df.select(emb_col).filter(F.col(emb_col).isNotNull()).first()[0])
-    dims = max(1, min(dims, width))
-    feats = _features(df, emb_col)
+    some = df.filter(F.col(emb_col).isNotNull())
+    first = some.select(emb_col).first()
+    if first is None or some.select(emb_col).limit(2).count() < 2:  # no axes: one cell holds all
+        return [[0.0] * len(first[0])] if first else [[0.0]]
+    dims = max(1, min(dims, len(first[0])))
+    feats = _features(some, emb_col)
     model = PCA(k=dims, inputCol="_features", outputCol="_p").fit(feats)
     m = model.pc.toArray()  # d x dims, orthonormal columns
     return [[float(m[i][j]) for i in range(m.shape[0])] for j in range(dims)]
@@ -251,7 +257,8 @@ def density_clusters(df: DataFrame, eps: float, min_pts: int = 5, min_size: int
     """
     # 1. identical vectors collapse to one weighted point (copies never produce pair rows)
     src = df.select(key, F.col(emb_col).cast("array<double>").alias("_e"))
-    points = cut_lineage(src.groupBy("_e").agg(F.min(key).alias("vid"), F.count(F.lit(1)).alias("weight"))
+    # null vectors are noise
+    points = cut_lineage(src.filter(F.col("_e").isNotNull()).groupBy("_e").agg(F.min(key).alias("vid"), F.count(F.lit(1)).alias("weight"))
                             .withColumnRenamed("_e", emb_col))
     nb = cut_lineage(epsilon_neighbours(points, eps, emb_col, grid_dims=grid_dims))   # used four times below: computed once
     counts = nb.groupBy("a").agg(F.sum("wb").alias("_nw"))

@@ -29,29 +29,62 @@ def _vectors(df: DataFrame, emb_col: str = "embedding", order: Sequence[str] = (
 
 def semantic_score(df: DataFrame, queries: DataFrame, emb_col: str = "embedding", out: str = "ai_score",
                    q_emb_col: str = "embedding") -> DataFrame:
-    """Mean cosine similarity of each row's vector to the query vectors."""
-    vecs = [list(r[q_emb_col]) for r in _vectors(queries.select(q_emb_col))]
-    staged = df.withColumn("_sims", VF.cosine_matrix(F.col(emb_col), vecs))
-    return staged.withColumn(out, VF.array_mean(F.col("_sims"))).drop("_sims")
+    """Mean cosine similarity of each row's vector to the query vectors, however many.
+
+    The mean of cosines is one product with the mean of the unit vectors, which is a partial aggregate.  No query gives null.
+    """
+    mean = _mean_units(queries, q_emb_col)
+    if mean is None:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    return df.withColumn(out, VF.cosine_matrix(F.col(emb_col), [mean], as_is=True)[0])
+
+
+def _units(vectors: DataFrame, emb_col: str, *keep: str) -> DataFrame:
+    """``v``: the vectors at unit length (one of norm 0 counts as zeros, a null one not at all)."""
+    from pyspark.ml.functions import array_to_vector
+
+    e = F.col(emb_col).cast("array<double>")
+    unit = F.transform(e, lambda x: F.coalesce(F.try_divide(x, VF.norm(e)), F.lit(0.0)))
+    return vectors.filter(F.col(emb_col).isNotNull()).select(*keep, array_to_vector(unit).alias("v"))
+
+
+def _mean(col: str) -> Column:
+    from pyspark.ml.stat import Summarizer
+
+    return Summarizer.mean(F.col(col))
+
+
+def _mean_units(queries: DataFrame, emb_col: str = "embedding") -> list[float] | None:
+    """The mean of all vectors at unit length; None without a vector."""
+    units = _units(queries, emb_col)
+    return [float(x) for x in units.agg(_mean("v")).first()[0]] if units.head(1) else None
 
 
 def contrastive_score(df: DataFrame, positive: DataFrame, negative: DataFrame, emb_col: str = "embedding",
                       out: str = "ai_score", order: Sequence[str] = ("phrase_no",)) -> DataFrame:
     """Mean over i of cos(v, pos_i) - cos(v, neg_i) (pairs aligned by ``order``)."""
-    pos = [list(r["embedding"]) for r in _vectors(positive.select(*order, "embedding"), order=order)]
-    neg = [list(r["embedding"]) for r in _vectors(negative.select(*order, "embedding"), order=order)]
-    if len(pos) != len(neg):
+    if positive.count() != negative.count():
         raise ValueError("positive and negative query sets differ in size")
-    k = len(pos)
-    staged = df.withColumn("_sims", VF.cosine_matrix(F.col(emb_col), pos + neg))
-    diff = VF.array_mean(F.col("_sims"), 1, k) - VF.array_mean(F.col("_sims"), k + 1, k)
-    return staged.withColumn(out, diff).drop("_sims")
+    pos, neg = _mean_units(positive), _mean_units(negative)  # a mean of differences is the difference of means
+    if pos is None or neg is None:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    return df.withColumn(out, VF.cosine_matrix(F.col(emb_col), [[p - n for p, n in zip(pos, neg, strict=True)]], as_is=True)[0])
 
 
 def classify_by_prototype(df: DataFrame, protos: DataFrame, emb_col: str = "embedding", out: str = "event_type",
                           name_col: str = "name", order: Sequence[str] = ("name", "phrase_no")) -> DataFrame:
     """Name of the prototype vector with the greatest cosine (ties: first in ``order``)."""
     order = [c for c in order if c in protos.columns]
+    few = protos.limit(MAX_QUERY_VECTORS + 1).count()
+    if not few:
+        return df.withColumn(out, F.lit(None).cast(protos.schema[name_col].dataType))
+    if few > MAX_QUERY_VECTORS:
+        from presslens.operators.clustering import _numbered
+        from presslens.session import cut_lineage
+
+        numbered = cut_lineage(_numbered(protos.withColumn("_o", F.struct(*dict.fromkeys([*order, name_col, "embedding"]))), "_o", "_no"))
+        near = nearest_in_table(df, numbered, None, "_no", emb_col, "embedding", "_no", "cosine")
+        return near.join(numbered.select("_no", F.col(name_col).alias(out)), "_no", "left").drop("_no")
     rows = _vectors(protos.select(*dict.fromkeys([*order, name_col, "embedding"])), order=order)
     names = F.array(*[F.lit(r[name_col]) for r in rows])
     staged = df.withColumn("_sims", VF.cosine_matrix(F.col(emb_col), [list(r["embedding"]) for r in rows]))
@@ -65,16 +98,12 @@ nearest_prototype = classify_by_prototype
 def multi_phrase_scores(df: DataFrame, protos: DataFrame, emb_col: str = "embedding", prefix: str = "score_",
                         name_col: str = "name") -> DataFrame:
     """One column per prototype name: mean cosine over its phrases."""
-    rows = _vectors(protos.select(name_col, "phrase_no", "embedding"), order=[name_col, "phrase_no"])
-    groups: dict[str, list] = {}
-    for r in rows:
-        groups.setdefault(r[name_col], []).append(list(r["embedding"]))
-    vecs, cols, start = [], [], 1
-    for name, vs in groups.items():
-        vecs.extend(vs)
-        cols.append(VF.array_mean(F.col("_sims"), start, len(vs)).alias(f"{prefix}{name}"))
-        start += len(vs)
-    staged = df.withColumn("_sims", VF.cosine_matrix(F.col(emb_col), vecs))
+    units = _units(protos, "embedding", name_col)
+    means = VF.collect_bounded(units.groupBy(name_col).agg(_mean("v").alias("m")).orderBy(name_col), MAX_QUERY_VECTORS, "prototype names (columns)")
+    if not means:
+        return df
+    staged = df.withColumn("_sims", VF.cosine_matrix(F.col(emb_col), [[float(x) for x in r["m"]] for r in means], as_is=True))
+    cols = [F.col("_sims")[i].alias(f"{prefix}{r[name_col]}") for i, r in enumerate(means)]
     return staged.select(*df.columns, *cols)
 
 
@@ -93,9 +122,11 @@ def _argmax_name(scores: Sequence[Column], names: Sequence[str]) -> Column:
 
 def centroid_query_score(df: DataFrame, queries: DataFrame, emb_col: str = "embedding",
                          out: str = "ai_score") -> DataFrame:
-    """Cosine with the mean of the (unit-normalised) query vectors."""
-    vecs = [VF.unit(list(r["embedding"])) for r in _vectors(queries.select("embedding"))]
-    return df.withColumn(out, F.try_element_at(VF.cosine_matrix(F.col(emb_col), [VF.mean_vector(vecs)]), F.lit(1)))
+    """Cosine with the mean of the (unit-normalised) query vectors, however many; no query gives null."""
+    mean = _mean_units(queries)
+    if mean is None:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    return df.withColumn(out, F.try_element_at(VF.cosine_matrix(F.col(emb_col), [mean]), F.lit(1)))
 
 
 def normalise(df: DataFrame, col: str = "embedding", out: str | None = None, eps: float = 1e-12) -> DataFrame:
@@ -167,75 +198,67 @@ def topic_top_sentences(labels: DataFrame, k: int = 5, topic: str = "topic", tex
 def assign_nearest(df: DataFrame, centroids: DataFrame, emb_col: str = "embedding", cluster: str = "cluster",
                    out: str = "prediction") -> DataFrame:
     """Id of the nearest centroid (squared Euclidean; ties: the smaller id)."""
+    few = centroids.limit(MAX_QUERY_VECTORS + 1).count()
+    if not few or few > MAX_QUERY_VECTORS:
+        near = nearest_in_table(df, centroids.select(F.col(cluster).alias("_c"), "centroid"), None, "_c", emb_col, "centroid", "_near")
+        return near.withColumnRenamed("_near", out)
     rows = VF.collect_bounded(centroids.orderBy(cluster), MAX_QUERY_VECTORS, "centroids")
     ids = F.array(*[F.lit(r[cluster]) for r in rows])
     staged = df.withColumn("_d", VF.sq_distance_matrix(F.col(emb_col), [r["centroid"] for r in rows]))
     return staged.withColumn(out, F.try_element_at(ids, VF.array_argmin(F.col("_d")) + 1)).drop("_d")
 
 
-def nearest_in_table(df: DataFrame, table: DataFrame, key: str = "orig_index", id_col: str = "cluster",
+def nearest_in_table(df: DataFrame, table: DataFrame, key: str | None = None, id_col: str = "cluster",
                      emb_col: str = "embedding", vec_col: str = "centroid", out: str = "prediction",
-                     metric: str = "sqdist", block_rows: int = 2048) -> DataFrame:
-    """J12 / M05 / O07 against a vector table of any size: id of the nearest vector (``metric``:
-    'sqdist' or 'cosine'; ties: the smaller id) for every row of ``df`` with its unique ``key``.
-
-    Both sides are packed into blocks of bounded size and compared block by block with one matrix
-    product; each row keeps one candidate a block before the final minimum.  A null vector gets null,
-    and so does, by cosine, one of norm 0 (table rows of that kind are left out)."""
-    spark = df.sparkSession
+                     metric: str = "sqdist", block_rows: int = 512, most_cells: int = 2048) -> DataFrame:
+    """J12 / M05 / V04 against a vector table of any size: id of the nearest vector (``metric``:
+    'sqdist' or 'cosine'; ties: the smaller id) for every row of ``df``.
+
+    The table is kept as an inverted file (:mod:`presslens.operators.cells`): a row meets its own cell first and then
+    only the cells that can hold a nearer vector, so it is sent a few times, not once a table block, and the answer is
+    exact.  By cosine the vectors are compared at unit length, where the nearest one has the greatest cosine.  A null vector
+    gets null, and so does, by cosine, one of norm 0 (table rows of that kind are left out); so does every row if the
+    table is empty.  ``key`` is not needed any more: rows are told apart by a number of their own."""
+    import numpy as np
+    import pyarrow as pa
+
+    from presslens.operators import cells
+    from presslens.operators.clustering import _numbered
+    from presslens.session import cut_lineage
+
     if metric not in ("sqdist", "cosine"):
         raise ValueError(f"unknown metric {metric}")
 
-    def packed(src, ident, vec, count, name):
-        n = max(1, -(-count // block_rows))
-        b = F.collect_list(F.struct(F.col(ident).alias("i"), F.col(vec).cast("array<double>").alias("e")))
-        return n, (src.filter(F.col(vec).isNotNull()).groupBy(F.pmod(F.xxhash64(ident), F.lit(n)).alias(name))
-                      .agg(b.alias("_b")).select(name, F.transform("_b", lambda r: r["i"]).alias(f"ids_{name}"),
-                                                 F.flatten(F.transform("_b", lambda r: r["e"])).alias(f"vecs_{name}")))
-
-    n_table, tab = packed(table.select(id_col, vec_col), id_col, vec_col, table.count(), "t")
-    _, rows = packed(df.select(key, emb_col), key, emb_col, df.count(), "r")
-    # copies of the table's blocks keep all tasks busy when there are few of them
-    copies = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_table)
-    rows = (rows.withColumn("copy", F.pmod("r", F.lit(copies)).cast("int"))
-                .withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_table - 1).cast("long")))))
-    tab = tab.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    key_type, id_type = df.schema[key].dataType.simpleString(), table.schema[id_col].dataType.simpleString()
-
-    def compare(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            col = {n: batch.column(n) for n in batch.schema.names}
-            key_arrow, id_arrow = (batch.schema.field(n).type.value_type for n in ("ids_r", "ids_t"))
-            for i in range(batch.num_rows):
-                keys, ids = (np.array(col[n][i].as_py(), dtype=object) for n in ("ids_r", "ids_t"))
-                A, B = (col[n][i].values.to_numpy(zero_copy_only=False).reshape(len(k), -1)
-                        for n, k in (("vecs_r", keys), ("vecs_t", ids)))
-                order = np.argsort(ids, kind="stable")      # the first minimum is the smallest id
-                ids, B = ids[order], B[order]
-                if metric == "cosine":
-                    na, nb = np.linalg.norm(A, axis=1), np.linalg.norm(B, axis=1)
-                    keys, A, ids, B = keys[na > 0], A[na > 0] / na[na > 0, None], ids[nb > 0], B[nb > 0] / nb[nb > 0, None]
-                    cost = -(A @ B.T)
-                else:
-                    cost = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2 * (A @ B.T)
-                if not cost.size:
-                    continue
-                if metric == "sqdist":  # the differences decide among what the product leaves within rounding
-                    room = 1e-9 * (1 + float((A * A).sum(1).max()) + float((B * B).sum(1).max()))
-                    x, y = np.nonzero(cost <= cost.min(axis=1, keepdims=True) + room)
-                    cost = np.full(cost.shape, np.inf)
-                    cost[x, y] = ((A[x] - B[y]) ** 2).sum(1)
-                best = cost.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(keys), key_arrow), pa.array(cost[np.arange(len(keys)), best]),
-                     pa.array(list(ids[best]), id_arrow)], names=["k", "cost", "id"])
-
-    found = rows.join(tab, ["t", "copy"]).mapInArrow(compare, f"k {key_type}, cost double, id {id_type}")
-    best = found.groupBy("k").agg(F.min(F.struct("cost", "id"))["id"].alias(out))
-    return df.join(best.withColumnRenamed("k", key), key, "left")
+    def vectors(c: str) -> Column:
+        e = F.col(c).cast("array<double>")
+        length = VF.norm(e)
+        return F.when(length > 0, F.transform(e, lambda x: x / F.nullif(length, F.lit(0.0)))) if metric == "cosine" else e
+
+    first = table.groupBy(id_col, vec_col).agg(F.count(F.lit(1)).alias("_n")).select(id_col, vectors(vec_col).alias("e")).filter("e IS NOT NULL")
+    listed = cut_lineage(_numbered(first.withColumn("_k", F.struct(id_col, "e")), "_k", "id").select("id", id_col, "e"))
+    where, placed = cells.build(listed.select("id", "e"), most_cells=most_cells, block_rows=block_rows)
+    blocks = cut_lineage(cells.packed(placed))
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    asked = cells.place(where, rows.select(F.col("_row").alias("id"), vectors(emb_col).alias("e")).filter("e IS NOT NULL"))
+
+    def compare(got):
+        near, room = cells.squared(got)
+        x, y = np.nonzero(near <= near.min(axis=1, keepdims=True) + room)
+        cost, ids = ((got["q_e"][x] - got["t_e"][y]) ** 2).sum(1), got["t_id"][y]
+        order = np.lexsort((ids, cost, x))
+        x, cost, ids = x[order], cost[order], ids[order]
+        head = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        yield pa.RecordBatch.from_arrays([pa.array(got["q_id"][x[head]]), pa.array(cost[head]), pa.array(ids[head])], names=["q", "cost", "t"])
+
+    schema = "q bigint, cost double, t bigint"
+    best = lambda found: found.groupBy("q").agg(F.min(F.struct("cost", "t")).alias("x"))
+    home = cut_lineage(best(cells.meet(asked.withColumn("reach", F.lit(float("inf"))), blocks, where, compare, schema, True, block_rows)))
+    bounded = cut_lineage(asked.join(home.select(F.col("q").alias("id"), F.sqrt("x.cost").alias("reach")), "id", "left").withColumn(
+        "reach", F.coalesce("reach", F.lit(float("inf")))))
+    more = cells.meet(bounded, blocks, where, compare, schema, False, block_rows)
+    found = best(more.unionByName(home.select("q", "x.cost", "x.t"))).select(F.col("q").alias("_row"), F.col("x.t").alias("id"))
+    named = found.join(listed.select("id", F.col(id_col).alias(out)), "id").select("_row", out)
+    return rows.join(named, "_row", "left").drop("_row")
 
 
 def embed(df: DataFrame, text_col: str = "plain_text", out: str = "embedding", dim: int = 64,

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presslens.functions.parse import strip
 from presslens.operators.clean import first_per_key
 
 
@@ -128,5 +129,5 @@ def subset_complement(df: DataFrame, ids: DataFrame, key: str = "orig_index", ne
 
 def distinct_labels(df: DataFrame, col: str) -> DataFrame:
     """Distinct non-empty (stripped) label strings."""
-    s = F.regexp_replace(F.col(col).cast("string"), r"^\s+|\s+$", "")
+    s = strip(F.col(col).cast("string"))
     return df.select(s.alias(col)).filter(F.col(col).isNotNull() & (F.col(col) != "")).distinct()

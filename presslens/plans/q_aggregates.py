@@ -447,7 +447,7 @@ KW_WORDS = ["the", "and", "der", "und", "les", "des", "license", "de", "la", "el
 @query("a37_keyword_word_counts", ["news"], f"""
 WITH {SCORED_SQL},
 t AS (SELECT word, count(*) AS count FROM (
-        SELECT unnest(list_filter(regexp_split_to_array(lower(coalesce(plain_text, '')), '\\s+'), lambda w: w <> ''))
+        SELECT unnest(list_filter(regexp_split_to_array(lower(coalesce(plain_text, '')), '{S.BLANK}+'), lambda w: w <> ''))
                AS word FROM scored WHERE is_ai)
       GROUP BY 1 ORDER BY count DESC, word LIMIT 30)
 SELECT * FROM t WHERE word IN ({', '.join(S.lit(w) for w in KW_WORDS)})""")
@@ -543,3 +543,33 @@ def a02b_yearly_share_llm(spark, sf):
     lab = view(spark, sf, "llm_out").select("orig_index", P.to_bool(F.col("is_ai_llm")).alias("is_ai_llm"))
     d = with_year(view(spark, sf, "news")).join(lab, "orig_index")
     return A.yearly_share(d, "is_ai_llm")
+
+
+WIDE = 40  # every element of the vectors and some numbers beside them, 42 columns
+
+
+@query("a29b_corr_wide", ["news_vec"], f"""
+WITH v AS (SELECT CAST(orig_index AS DOUBLE) AS n0, CAST(length(plain_text) AS DOUBLE) AS n1,
+                  {", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(WIDE))} FROM news_vec),
+c AS (SELECT unnest([{", ".join(f"struct_pack(x := '{a}', y := '{b}', corr := corr({a}, {b}))" for cs in [["n0", "n1", *(f"e{i}" for i in range(WIDE))]]
+                                for k, a in enumerate(cs) for b in cs[k + 1:])}]) AS r FROM v)
+SELECT r.x AS x, r.y AS y, r.corr AS corr FROM c""", rounded=["corr"])
+def a29b_corr_wide(spark, sf):
+    news = view(spark, sf, "news_vec")
+    cols = [F.col("orig_index").cast("double").alias("n0"), F.length("plain_text").cast("double").alias("n1"),
+            *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(WIDE))]
+    return A.corr_wide(news.select(*cols), ["n0", "n1", *(f"e{i}" for i in range(WIDE))])
+
+
+@query("a31b_density_binned", ["judged"], f"""
+WITH long AS (SELECT 'ai_score' AS col, ai_score AS v FROM judged UNION ALL SELECT 'ai_score_simple', ai_score_simple FROM judged),
+law AS (SELECT col, min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / {A.DENSITY_BINS} AS width, count(v) AS n,
+               stddev_samp(v) * pow(count(v), -0.2) AS bw FROM long GROUP BY col),
+place AS (SELECT long.col, least(floor((v - lo) / width), {A.DENSITY_BINS} - 1) AS b, (v - lo) / width AS pos FROM long JOIN law ON long.col = law.col),
+binned AS (SELECT col, b, sum(share) AS weight FROM (SELECT col, b, 1 - (pos - b) AS share FROM place UNION ALL SELECT col, b + 1, pos - b FROM place) s GROUP BY col, b),
+grid AS (SELECT *, lo + (hi - lo) * i / 49 AS x FROM law, range(0, 50) r(i))
+SELECT g.col AS "column", CAST(i AS INT) AS grid_index, x,
+       sum(exp(-pow((x - (lo + b * width)) / bw, 2) / 2) * weight) / (n * bw * sqrt(2 * pi())) AS density
+FROM grid g JOIN binned ON g.col = binned.col GROUP BY g.col, i, x, n, bw""", rounded=["x", "density"])
+def a31b_density_binned(spark, sf):
+    return A.density_binned(view(spark, sf, "judged"), ["ai_score", "ai_score_simple"], points=50)

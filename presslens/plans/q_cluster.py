@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from presslens.operators import clustering as M
 from presslens.operators.aggregates import cluster_summary
+from presslens.operators.hierarchy import hierarchy_clusters
 from presslens.operators.labelling import normalise_label
 from presslens.operators.vectors import assign_nearest, cluster_centroids, representatives, similarity_to_centroid
 from presslens.plans import sqlgen as S
@@ -105,6 +106,13 @@ def m06b_density_map(spark, sf):
     return M.density_clusters(points, MAP_EPS, min_pts=MIN_PTS, min_size=MIN_SIZE)
 
 
+@query("m06c_density_hierarchy", ["clustered"])
+def m06c_density_hierarchy(spark, sf):
+    """Density clusters of the map without a distance threshold (tested against the definition by brute force)."""
+    points = view(spark, sf, "clustered").select("orig_index", F.slice("embedding", 1, 2).alias("embedding"))
+    return hierarchy_clusters(points, min_pts=MIN_PTS, min_size=MIN_SIZE)
+
+
 LABEL_POINTS = f"""norm AS (SELECT orig_index, embedding, lower({S.strip_sql("coalesce(title, 'nan')")}) AS raw_label FROM news_vec),
 uniq AS (SELECT raw_label, count(*) AS freq, arg_min(embedding, orig_index) AS e, row_number() OVER (ORDER BY raw_label) - 1 AS id
          FROM norm WHERE raw_label NOT IN ('none', '') GROUP BY raw_label),

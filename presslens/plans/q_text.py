@@ -171,10 +171,10 @@ def t13_truncate(spark, sf):
         .select("orig_index", "topic_short")
 
 
-@query("t14_shorten_words", ["news"], """
+@query("t14_shorten_words", ["news"], rf"""
 SELECT orig_index, CASE WHEN len(w) > 3 THEN concat(array_to_string(w[1:3], ' '), '…') ELSE array_to_string(w, ' ') END
        AS title_short
-FROM (SELECT orig_index, list_filter(regexp_split_to_array(trim(title), '\\s+'), lambda x: x <> '') AS w FROM news)""")
+FROM (SELECT orig_index, list_filter(regexp_split_to_array(title, '{S.BLANK}+'), lambda x: x <> '') AS w FROM news)""")
 def t14_shorten_words(spark, sf):
     return TX.shorten_words(_news(spark, sf), "title", 3, out="title_short").select("orig_index", "title_short")
 
@@ -219,3 +219,63 @@ SELECT orig_index, substring(plain_text, 1, 800) AS snippet FROM news
 ORDER BY md5(concat_ws(':', CAST(orig_index AS VARCHAR), '42')), orig_index LIMIT 20""")
 def t18_snippets(spark, sf):
     return TX.snippets(_news(spark, sf), 20, 800, 42).select("orig_index", "snippet")
+
+
+#: Names of one to three words that the corpus itself uses: the beginnings of the titles.
+NAMES_SQL = f"""names AS (SELECT DISTINCT array_to_string(t[1:n], ' ') AS name, n FROM (
+  SELECT regexp_extract_all(lower(coalesce(title, '')), '{T.WORD}+', 0) AS t FROM news) x, range(1, 4) r(n) WHERE len(t) >= n)"""
+
+
+@query("t10c_gazetteer", ["news"], f"""
+WITH {NAMES_SQL},
+words AS (SELECT orig_index, regexp_extract_all(lower(plain_text), '{T.WORD}+', 0) AS w FROM news),
+grams AS (SELECT orig_index, i, n, array_to_string(w[i:i + n - 1], ' ') AS name
+          FROM (SELECT orig_index, w, unnest(range(1, len(w) + 1)) AS i FROM words) x, range(1, 4) r(n) WHERE i + n - 1 <= len(w)),
+longest AS (SELECT orig_index, i, max(grams.n) AS n FROM grams JOIN names USING (name, n) GROUP BY orig_index, i)
+SELECT g.name, count(*) AS mentions, count(DISTINCT g.orig_index) AS articles, CAST(sum(g.i - 1) AS BIGINT) AS positions
+FROM grams g JOIN longest l ON g.orig_index = l.orig_index AND g.i = l.i AND g.n = l.n GROUP BY g.name""")
+def t10c_gazetteer(spark, sf):
+    """Every place where a name of the corpus's own list begins, the longest name of each place."""
+    news = _news(spark, sf)
+    tokens = news.select(T.word_runs(F.col("title")).alias("t"))
+    names = tokens.select(F.explode(F.expr("filter(sequence(1, 3), n -> n <= size(t))")).alias("n"), "t").select(
+        F.array_join(F.slice("t", F.lit(1), F.col("n")), " ").alias("name")).distinct()
+    found = TX.gazetteer_mentions(news, names, overlapping=True)
+    return found.groupBy("name").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("orig_index").alias("articles"),
+                                     F.sum("position").alias("positions"))
+
+
+#: A lexicon of the size of the corpus vocabulary: a valence for every word of it.
+LEXICON_SQL = f"""words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(plain_text), '{T.WORD}+', 0)) AS word FROM news),
+lex AS (SELECT word, CAST(length(word) % 7 AS DOUBLE) - 3 AS polarity FROM words WHERE word NOT IN ('and', 'the'))"""
+#: Words of the given prose in the part of negations, words of degree and "but".
+RULE_WORDS = {"negations": ("no", "not", "ne"), "degrees": {"the": 0.293, "de": -0.293}, "but": "and"}
+_LIST = ", ".join(f"'{w}'" for w in RULE_WORDS["negations"])
+_DEGREE = "(CASE l[i - {n}] " + " ".join(f"WHEN '{w}' THEN {v}" for w, v in RULE_WORDS["degrees"].items()) + " ELSE 0 END)"
+
+
+@query("t11c_sentiment_rules", ["news"], f"""
+WITH {LEXICON_SQL},
+sent AS (SELECT orig_index, upper(plain_text) <> plain_text AND lower(plain_text) <> plain_text AS mixed,
+                unnest(regexp_extract_all(plain_text, '[^.!?\n]+[.!?]*', 0)) AS s
+         FROM news WHERE length(plain_text) >= {TX.SENTIMENT_MIN_CHARS}),
+cut AS (SELECT *, least(length(s) - length(replace(s, '!', '')), {TX.MOST_EXCLAMATIONS}) * {TX.EXCLAMATION} AS marks,
+               regexp_extract_all(s, '{T.WORD}+', 0) AS w FROM sent),
+low AS (SELECT *, list_transform(w, lambda x: lower(x)) AS l FROM cut),
+tok AS (SELECT *, coalesce(list_position(l, '{RULE_WORDS["but"]}'), 0) AS b, unnest(range(1, len(w) + 1)) AS i FROM low),
+val AS (SELECT orig_index, (polarity + sign(polarity) * (
+                 {" + ".join(f"CASE WHEN i > {n} THEN {_DEGREE.format(n=n)} * {f} ELSE 0 END" for n, f in zip((1, 2, 3), TX.DEGREE_FADE))} + marks
+                 + CASE WHEN mixed AND upper(w[i]) = w[i] AND lower(w[i]) <> w[i] THEN {TX.CAPITALS} ELSE 0 END))
+               * CASE WHEN len(list_filter(l[greatest(i - 3, 1):i - 1], lambda x: x IN ({_LIST}))) > 0 AND i > 1 THEN {TX.NEGATION_FACTOR} ELSE 1 END
+               * CASE WHEN b = 0 OR b = i THEN 1 WHEN i < b THEN {TX.BEFORE_BUT} ELSE {TX.AFTER_BUT} END AS v
+        FROM tok JOIN lex ON lex.word = tok.l[tok.i]),
+sums AS (SELECT orig_index, sum(v) AS s FROM val GROUP BY orig_index)
+SELECT n.orig_index, CASE WHEN length(n.plain_text) >= {TX.SENTIMENT_MIN_CHARS}
+  THEN coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + {TX.SENTIMENT_ALPHA}) END AS sentiment
+FROM news n LEFT JOIN sums ON n.orig_index = sums.orig_index""", rounded=["sentiment"])
+def t11c_sentiment_rules(spark, sf):
+    """Sentence rules with a valence for every word of the corpus."""
+    news = _news(spark, sf)
+    words = news.select(F.explode(T.word_runs(F.col("plain_text"))).alias("word")).distinct().filter("word NOT IN ('and', 'the')")
+    lexicon = words.select("word", (F.length("word") % 7 - 3).cast("double").alias("polarity"))
+    return TX.sentiment_rules(news, lexicon, **RULE_WORDS).select("orig_index", "sentiment")
