@@ -343,16 +343,19 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """
     classes = staged(near_classes(docs, id_col, text, with_set=True), "classes")
     owner, mixed, made = unused(docs, "owner", "mixed", "set")
-    by_id = classes.groupBy(F.col("doc_id").alias(owner)).agg(F.bool_or("kept").alias(mixed), F.bool_and("kept").alias("all")).filter("NOT all").drop("all")
-    rows = docs.join(by_id, F.col(id_col) == F.col(owner), "left").filter(F.col(mixed).isNull() | F.col(mixed))
+    by_id = classes.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every")).filter("NOT every")
+    rows = docs.join(by_id.filter("NOT some").select(F.col("doc_id").alias(owner)), F.col(id_col) == F.col(owner), "left_anti")
+    doubtful = staged(by_id.filter("some").select(F.col("doc_id").alias(owner), F.lit(True).alias(mixed)), "doubtful")
+    if not doubtful.head(1):  # the texts stay where they are
+        return rows
 
     @F.pandas_udf("struct<hi: bigint, lo: bigint>")
     def own_set(texts: pd.Series, asked: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_digest(shingles(t)) if a else (0, 0) for t, a in zip(texts, asked, strict=True)], columns=["hi", "lo"], dtype="int64")
 
     asked = F.coalesce(F.col(mixed), F.lit(False))
-    marked = rows.withColumn(made, F.when(asked, own_set(F.when(asked, F.col(text).cast("string")), asked)))
-    lost = classes.filter("NOT kept").join(by_id.filter(F.col(mixed)).select(F.col(owner).alias("of")), F.col("doc_id") == F.col("of")).select(
+    marked = rows.join(doubtful, F.col(id_col) == F.col(owner), "left").withColumn(made, F.when(asked, own_set(F.when(asked, F.col(text).cast("string")), asked)))
+    lost = classes.filter("NOT kept").join(doubtful.select(F.col(owner).alias("of")), F.col("doc_id") == F.col("of")).select(
         F.col("doc_id").alias("gone"), F.col("hi").alias("gone_hi"), F.col("lo").alias("gone_lo")).distinct()
     return marked.join(lost, (F.col(owner) == F.col("gone")) & (F.col(made)["hi"] == F.col("gone_hi")) & (F.col(made)["lo"] == F.col("gone_lo")), "left_anti").drop(
         owner, mixed, made)
