@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from presslens.operators import clustering as M
 from presslens.operators.aggregates import cluster_summary
+from presslens.operators.elbow import elbow_one_scan
 from presslens.operators.hierarchy import hierarchy_clusters
 from presslens.operators.labelling import normalise_label
 from presslens.operators.vectors import assign_nearest, cluster_centroids, representatives, similarity_to_centroid
@@ -53,6 +54,34 @@ def m03_elbow_curve(spark, sf):
     return curve.select("k", F.lit(one).alias("inertia_of_one"), (F.col("inertia") <= one + 1e-9).alias("not_above"))
 
 
+SQDIST = "list_sum(list_transform(list_zip(a.e, b.e), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2)))"
+ELBOW_KS, ELBOW_STEPS = (1, 2, 3, 5, 8, 12), 3
+ELBOW_ORDER = "md5(concat_ws(':', CAST(vec_id AS VARCHAR), '42')), vec_id"
+
+
+def elbow_sql() -> str:
+    """Lloyd steps from the same starts, one CTE a step; a centre without rows stays."""
+    parts = [f"""pts AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+        row_number() OVER (ORDER BY {ELBOW_ORDER}) - 1 AS c FROM embeddings WHERE embedding IS NOT NULL),
+ks AS (SELECT unnest([{", ".join(map(str, ELBOW_KS))}]) AS k),
+c0 AS (SELECT k, c, e FROM pts JOIN ks ON pts.c < ks.k)"""]
+    for i in range(ELBOW_STEPS + 1):
+        parts.append(f"""d{i} AS (SELECT a.id, b.k, b.c, {SQDIST} AS d FROM pts a, c{i} b),
+a{i} AS (SELECT id, k, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM d{i} GROUP BY id, k)""")
+        if i < ELBOW_STEPS:
+            parts.append(f"""x{i} AS (SELECT a.k, a.c, unnest(p.e) AS x, unnest(range(0, len(p.e))) AS i FROM a{i} a JOIN pts p ON a.id = p.id),
+m{i} AS (SELECT k, c, list(x ORDER BY i) AS e FROM (SELECT k, c, i, avg(x) AS x FROM x{i} GROUP BY k, c, i) GROUP BY k, c),
+c{i + 1} AS (SELECT c.k, c.c, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m ON c.k = m.k AND c.c = m.c)""")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT CAST(k AS INT) AS k, sum(d) AS inertia FROM a{ELBOW_STEPS} GROUP BY k"
+
+
+@query("m03b_elbow_one_scan", ["embeddings"], elbow_sql(), rounded=["inertia"])
+def m03b_elbow_one_scan(spark, sf):
+    """The inertia of several k after the same number of steps from the same starts, by value."""
+    curve = elbow_one_scan(view(spark, sf, "embeddings"), ELBOW_KS, key="vec_id", max_iter=ELBOW_STEPS, tol=0.0)
+    return curve.select("k", "inertia")
+
+
 @query("m04_elbow_pick", ["documents"], """
 WITH curve AS (SELECT CAST(length(text) % 40 + 1 AS BIGINT) AS k, CAST(sum(n_chars) AS DOUBLE) AS inertia
                FROM documents WHERE n_chars > 0 GROUP BY 1),
@@ -69,7 +98,6 @@ def m04_elbow_pick(spark, sf):
 
 DENSITY_EPS, MIN_PTS, MIN_SIZE = 1.16, 8, 5
 MAP_EPS = 0.02
-SQDIST = "list_sum(list_transform(list_zip(a.e, b.e), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2)))"
 
 
 def density_sql(points: str, eps: float, min_pts: int, min_size: int) -> str:
