@@ -10,6 +10,7 @@ from presslens.operators.aggregates import cluster_summary
 from presslens.operators.elbow import elbow_one_scan
 from presslens.operators.hierarchy import hierarchy_clusters
 from presslens.operators.labelling import normalise_label
+from presslens.operators.layout import neighbour_map
 from presslens.operators.vectors import assign_nearest, cluster_centroids, representatives, similarity_to_centroid
 from presslens.plans import sqlgen as S
 from presslens.plans.q_vectors import CENTROID_SQL
@@ -215,3 +216,9 @@ FROM clustered WHERE cluster IN (SELECT cluster FROM top)
 ORDER BY md5(concat_ws(':', CAST(orig_index AS VARCHAR), '42')), orig_index LIMIT 100""", rounded=["x", "y"])
 def m10_plot_points(spark, sf):
     return M.plot_points(view(spark, sf, "clustered"), 100, 3)
+
+
+@query("m10b_neighbour_map", ["clustered"])
+def m10b_neighbour_map(spark, sf):
+    """The rows on a map that keeps neighbours (tested by recall and trustworthiness against brute force)."""
+    return neighbour_map(view(spark, sf, "clustered").select("orig_index", "cluster", "embedding")).drop("embedding")
