@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presslens.operators.rankcut import first_rows, numeric
 from presslens.operators.stats import exact_quantiles, linspace, running_sums
 from presslens.operators.windows import hash_order, sample_per_group
 
@@ -24,31 +25,24 @@ REPORT_COLUMNS = ["subset", "method", "bucket", "metric", "value", "n_samples"]
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "orig_index", direct_below: int = 1000) -> DataFrame:
     """Exactly min(n, rows) rows: the n smallest seeded hashes ``md5('<key>:<seed>')``.
 
-    Small n is a plain top-n.  For larger n a top-n would merge up to n rows from every partition
-    in one task, so rows are first kept by the hash's 32-bit prefix below a cut sized from the
-    row count (hashes are uniform); the cut is raised until it keeps at least n rows.  Every row
-    not kept has a larger hash than every kept row, so the result is exactly the top-n.
+    Small n is a plain top-n.  For larger n the rank is cut on the leading 48 bits of the hash
+    (:func:`first_rows`), so no task merges n rows; the rows are the same.
     """
     h = hash_order(F.col(key), seed)
     if n < direct_below:
         return df.orderBy(h, F.col(key)).limit(n)
-    total = df.count()
-    if total <= n:
-        return df
-    prefix = F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
-    frac = min(1.0, (1.1 * n + 1000.0) / total)
-    while True:
-        cut = int(frac * (1 << 32)) + 1
-        kept = df.filter(prefix < F.lit(cut))
-        if frac >= 1.0 or kept.count() >= n:
-            return kept.orderBy(h, F.col(key)).limit(n)
-        frac = min(1.0, frac * 2)
+    prefix = F.conv(F.substring(h, 1, 12), 16, 10).cast("long")
+    return first_rows(df, [(prefix, False)], [h, F.col(key)], n)
 
 
 def sample_top_k(df: DataFrame, col: str, top_k: int = 500, n: int = 100, seed: int = 42,
                  key: str = "orig_index") -> DataFrame:
     """N random rows of the top_k by ``col`` (ties: key), tagged source / bucket."""
-    top = df.orderBy(F.col(col).desc(), F.col(key).asc()).limit(top_k)
+    order = [F.col(col).desc(), F.col(key).asc()]
+    if top_k < 1000 or not numeric(df, col):
+        top = df.orderBy(*order).limit(top_k)
+    else:
+        top = first_rows(df, [(F.col(col), True)] + ([(F.col(key), False)] if numeric(df, key) else []), order, top_k)
     return (sample_n(top, n, seed, key).withColumn("score_source", F.lit(col))
             .withColumn("score_bucket", F.lit(f"top{top_k}")))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from presslens.functions.parse import strip
 from presslens.operators.clean import first_per_key
+from presslens.operators.rankcut import first_rows, numeric
 
 
 def first_by_priority(df: DataFrame, key: str = "orig_index", order: Sequence[str] = ("src_priority",)):
@@ -112,12 +113,15 @@ def sort_by(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def priority_pool(df: DataFrame, n: int = 2000, score: str = "ai_score", kw: str = "keyword_score",
                   noise_col: str = "cluster", target: float = 0.15, key: str = "orig_index") -> DataFrame:
     """Candidates with score > 0; noise first, then low keyword score, then closeness of the
-    score to ``target``; the first n."""
+    score to ``target``; the first n (beyond 1,000 by a rank cut, in no order)."""
     cand = df.filter(F.col(score) > 0)
     # missing keyword score / cluster count as 0, as in the study
     is_noise = F.coalesce((F.col(noise_col) == -1).cast("int"), F.lit(0))
-    return cand.orderBy(is_noise.desc(), F.coalesce(F.col(kw), F.lit(0)).asc(),
-                        F.abs(F.col(score) - F.lit(target)).asc(), F.col(key).asc()).limit(n)
+    keys = [(is_noise, True), (F.coalesce(F.col(kw), F.lit(0)), False), (F.abs(F.col(score) - F.lit(target)), False)]
+    order = [*[c.desc() if down else c.asc() for c, down in keys], F.col(key).asc()]
+    if n < 1000:
+        return cand.orderBy(*order).limit(n)
+    return first_rows(cand, keys + ([(F.col(key), False)] if numeric(df, key) else []), order, n)
 
 
 # ---- sets ----------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from presslens.operators import aggregates as A
 from presslens.operators import vectors as V
 from presslens.operators import windows as W
+from presslens.operators.rankcut import first_rows
 from presslens.plans import sqlgen as S
 from presslens.plans.q_trends import SCORED_SQL
 from presslens.plans.registry import query
@@ -123,3 +124,12 @@ def o06_top_k_by_score_per_query(spark, sf):
     d = V.multi_phrase_scores(view(spark, sf, "news_vec").select("orig_index", "embedding"),
                               view(spark, sf, "protos"))
     return W.top_n(d.select("orig_index", "score_event_2"), "score_event_2", 10, "orig_index")
+
+
+@query("o05b_rank_cut", ["orders"], """
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1200""")
+def o05b_rank_cut(spark, sf):
+    """The first 1,200 orders by price, cut by counts down to 100 rows and only those sorted."""
+    orders = view(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    price, key = F.col("o_totalprice"), F.col("o_orderkey")
+    return first_rows(orders, [(price, True), (key, False)], [price.desc(), key.asc()], 1200, left=100)
