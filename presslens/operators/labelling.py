@@ -11,6 +11,7 @@ retries ask again about the malformed rows only, inside the same task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -110,26 +111,49 @@ def retry_invalid(df: DataFrame, model: Callable, key: str = "orig_index", promp
     return cur.withColumn(answer_col, F.when(valid, F.col(answer_col)).otherwise(F.lit("")))
 
 
-def checkpointed_labels(df: DataFrame, model: Callable, path: str, key: str = "orig_index",
-                        prompt_col: str = "prompt", chunks: int = 4, batch_size: int = 32) -> DataFrame:
-    """Label in ``chunks`` appended pieces under ``path``; a rerun labels only what is missing.
-
-    The label log is the checkpoint: each finished chunk is an append, and the pending rows are an
-    anti join against what the log already holds (resume is idempotent).
-    """
-    spark = df.sparkSession
-    todo = df.select(key, prompt_col)
+def _written(df: DataFrame, path: str, schema: str) -> DataFrame:
+    """The table below ``path``, or no rows where nothing has been written yet."""
     try:
-        done = spark.read.parquet(path).select(key)
-        todo = todo.join(done, key, "left_anti")
+        return df.sparkSession.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":  # only a missing log means that nothing is done
             raise
-    chunk = F.pmod(F.xxhash64(F.col(key)), F.lit(chunks))
+        return df.sparkSession.createDataFrame([], schema)
+
+
+def read_label_log(df: DataFrame, path: str, key: str = "orig_index") -> DataFrame:
+    """(key, answer) of the committed attempts below ``path``; ``df`` gives the type of the key."""
+    kind = df.schema[key].dataType.simpleString()
+    log = _written(df, f"{path}/rows", f"`{key}` {kind}, answer string, chunk int, attempt string")
+    return log.join(_written(df, f"{path}/commits", "attempt string, chunk int"), ["chunk", "attempt"], "left_semi").select(key, "answer")
+
+
+def _commit(df: DataFrame, path: str, attempt: str, chunk: int) -> None:
+    """The record that makes one attempt of a chunk visible: a table of one row, which appears as a whole or not at all."""
+    df.sparkSession.createDataFrame([(attempt, chunk)], "attempt string, chunk int").coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+def checkpointed_labels(df: DataFrame, model: Callable, path: str, key: str = "orig_index",
+                        prompt_col: str = "prompt", chunks: int = 4, batch_size: int = 32) -> DataFrame:
+    """Label in ``chunks`` committed pieces under ``path``; a rerun labels only what is missing.
+
+    The pending prompts are dealt into chunks in one scan of ``df``, and each chunk then reads only its own folder.  An
+    attempt writes its answers to a folder of its own and a commit record after them; answers without a record are
+    never read, so a run that dies in between leaves no duplicates: the next one labels those rows again.  Rows with a null key cannot
+    be resumed and are labelled in every run.  Two runs at once on one path may label a row twice.
+    """
+    todo = df.select(key, prompt_col).join(read_label_log(df, path, key).select(key), key, "left_anti")
+    dealt = todo.withColumn("chunk", F.pmod(F.xxhash64(F.col(key)), F.lit(chunks)).cast("int"))
+    run = uuid.uuid4().hex
+    staged = checkpoint_path(df.sparkSession, f"prompts-{run}")
+    dealt.write.partitionBy("chunk").parquet(staged)
+    prompts = df.sparkSession.read.schema(dealt.schema).parquet(staged)
     for c in range(chunks):
-        part = todo.filter(chunk == c)
-        label_batches(part, model, key, prompt_col, "answer", batch_size).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        attempt = f"run-{run}"
+        answers = label_batches(prompts.filter(F.col("chunk") == c), model, key, prompt_col, "answer", batch_size)
+        answers.select(key, "answer").write.parquet(f"{path}/rows/chunk={c}/attempt={attempt}")
+        _commit(df, path, attempt, c)
+    return read_label_log(df, path, key)
 
 
 def label_log_path(df: DataFrame, name: str) -> str:

@@ -1,5 +1,6 @@
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from presslens.operators import labelling as L
@@ -43,6 +44,36 @@ def test_resume_is_idempotent(spark):
     assert a == b == news.count()
 
 
+def test_killed_between_write_and_commit_leaves_no_duplicates(spark, monkeypatch):
+    news = L.build_prompt(view(spark, SF, "news"))
+    path = checkpoint_path(spark, f"killed-{uuid.uuid4().hex}")
+    model = KeywordRules(FIXTURE_KEYWORDS)
+    real, calls = L._commit, []
+
+    def dies(df, p, attempt, chunk):
+        calls.append(chunk)
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        real(df, p, attempt, chunk)
+
+    monkeypatch.setattr(L, "_commit", dies)
+    with pytest.raises(KeyboardInterrupt):
+        L.checkpointed_labels(news, model, path)
+    assert spark.read.parquet(f"{path}/rows").select("chunk").distinct().count() == 2  # two chunks written, one committed
+    first = L.read_label_log(news, path)
+    pending = news.join(first, "orig_index", "left_anti").count()
+    assert 0 < first.count() == news.count() - pending
+    monkeypatch.setattr(L, "_commit", real)
+    out = L.checkpointed_labels(news, model, path)
+    assert out.count() == out.select("orig_index").distinct().count() == news.count()
+
+
+def test_no_rows_to_label(spark):
+    none = L.build_prompt(view(spark, SF, "news")).limit(0)
+    path = checkpoint_path(spark, f"none-{uuid.uuid4().hex}")
+    assert L.checkpointed_labels(none, KeywordRules(FIXTURE_KEYWORDS), path).count() == 0
+
+
 def test_merge_labels_priority(spark):
     out = L.merge_labels(view(spark, SF, "shard_union"), view(spark, SF, "judged").select("orig_index", "ai_score"),
                          view(spark, SF, "news"))
