@@ -466,6 +466,22 @@ def word_counts(df: DataFrame, col: str = "plain_text", stop: Sequence[str] = ()
     return value_counts(toks, "word", top=top)
 
 
+def grouped_word_counts(df: DataFrame, by: str, col: str = "plain_text", stop: Sequence[str] = (), top: int = 20,
+                        vocab: int = 5000, keep_pattern: str = r"^[a-z]{3,}$") -> DataFrame:
+    """(by, word, count): the top n words of every group among the ``vocab`` most frequent words of all rows.
+
+    Ties go to the smaller word, in the vocabulary and in the groups; rows with a null group count for neither.  The texts are
+    counted once by (group, word), with partial sums; the vocabulary (``vocab`` rows at most) is joined to these counts.
+    """
+    toks = df.filter(F.col(by).isNotNull()).select(by, F.explode(T.word_runs(F.col(col))).alias("word")).filter(F.col("word").rlike(keep_pattern))
+    if stop:
+        toks = toks.filter(~F.col("word").isin(list(stop)))
+    counts = toks.groupBy(by, "word").agg(F.count(F.lit(1)).alias("count"))
+    known = counts.groupBy("word").agg(F.sum("count").alias("_n")).orderBy(F.col("_n").desc(), "word").limit(vocab).select("word")
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.col("count").desc(), "word"))
+    return counts.join(known, "word", "left_semi").withColumn("_rn", rank).filter(F.col("_rn") <= top).select(by, "word", "count")
+
+
 def keyword_word_counts(df: DataFrame, keywords: Sequence[str], col: str = "plain_text", flag: str | None = None,
                         top: int = 30) -> DataFrame:
     """Whitespace tokens of (flagged) text, top n by count, then only those in the keyword list."""

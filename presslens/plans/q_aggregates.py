@@ -441,6 +441,17 @@ def a36b_word_counts_unicode(spark, sf):
     return A.word_counts(view(spark, sf, "news"), stop=STOP, top=50, keep_pattern=r"^[\p{L}_]{3,}$")
 
 
+@query("a36c_grouped_word_counts", ["news"], f"""
+WITH c AS (SELECT publisher, word, count(*) AS count FROM (
+  SELECT publisher, unnest(regexp_extract_all(lower(coalesce(plain_text, '')), '[\\p{{L}}\\p{{N}}_]+', 0)) AS word FROM news WHERE publisher IS NOT NULL)
+  WHERE regexp_matches(word, '^[a-z]{{3,}}$') AND word NOT IN ('the', 'and', 'that') GROUP BY 1, 2),
+v AS (SELECT word FROM c GROUP BY word ORDER BY sum(count) DESC, word LIMIT 30)
+SELECT publisher, word, count FROM c WHERE word IN (SELECT word FROM v)
+QUALIFY row_number() OVER (PARTITION BY publisher ORDER BY count DESC, word) <= 10""")
+def a36c_grouped_word_counts(spark, sf):
+    return A.grouped_word_counts(view(spark, sf, "news"), "publisher", stop=STOP, top=10, vocab=30)
+
+
 KW_WORDS = ["the", "and", "der", "und", "les", "des", "license", "de", "la", "el"]
 
 
