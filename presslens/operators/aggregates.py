@@ -466,6 +466,28 @@ def word_counts(df: DataFrame, col: str = "plain_text", stop: Sequence[str] = ()
     return value_counts(toks, "word", top=top)
 
 
+def frequent_word_counts(df: DataFrame, col: str = "plain_text", stop: Sequence[str] = (), top: int = 20,
+                         keep_pattern: str = r"^[a-z]{3,}$", support: float = 1e-4) -> DataFrame:
+    """A36 for vocabularies that are large beside ``top``: the rows of :func:`word_counts`, of which only candidates shuffle.
+
+    A first scan keeps a sketch of frequent items a partition and merges them: at most 1 / ``support`` words (1e-4 at least), every
+    word above that share of all words among them.  A second scan counts these exactly and all others together.  The answer is
+    proven if the last of the top words lies above the share; otherwise (a flat vocabulary, fewer words than ``top``) all are counted.
+    """
+    toks = df.select(F.explode(T.word_runs(F.col(col))).alias("word")).filter(F.col("word").rlike(keep_pattern))
+    if stop:
+        toks = toks.filter(~F.col("word").isin(list(stop)))
+    known = cut_lineage(toks.stat.freqItems(["word"], support).select(F.explode("word_freqItems").alias("known")))
+    held = cut_lineage(toks.join(F.broadcast(known), F.col("word") == F.col("known"), "left")  # 1 / support rows at most
+                       .groupBy(F.col("known").alias("word")).agg(F.count(F.lit(1)).alias("count")))
+    best = held.filter(F.col("word").isNotNull()).orderBy(F.col("count").desc(), "word").limit(top)
+    n, last = best.agg(F.count(F.lit(1)), F.min("count")).first()
+    total = held.agg(F.sum("count")).first()[0] or 0
+    if n == top and last > support * total:
+        return best.select("word", "count")
+    return word_counts(df, col, stop, top, keep_pattern)
+
+
 def grouped_word_counts(df: DataFrame, by: str, col: str = "plain_text", stop: Sequence[str] = (), top: int = 20,
                         vocab: int = 5000, keep_pattern: str = r"^[a-z]{3,}$") -> DataFrame:
     """(by, word, count): the top n words of every group among the ``vocab`` most frequent words of all rows.

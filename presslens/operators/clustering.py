@@ -134,7 +134,11 @@ def _grid_blocks(points: DataFrame, eps: float, emb_col: str, id_col: str, weigh
     more rows is split by a hash of the id, so no block grows with the data."""
     axes = _projection(points, emb_col, grid_dims)
     cell = F.array(*[F.floor(VF.dot(F.col(emb_col), VF.vector_literal(a)) / F.lit(eps)).cast("long") for a in axes])
-    pts = points.select(id_col, emb_col, weight_col, cell.alias("cell"))
+    return _packed(points.select(id_col, emb_col, weight_col, cell.alias("cell")), emb_col, id_col, weight_col, block_rows)
+
+
+def _packed(pts: DataFrame, emb_col: str, id_col: str, weight_col: str, block_rows: int, codes: str | None = None) -> DataFrame:
+    """Blocks of the rows of one ``cell``; ``codes`` names an array column (one length) that goes along, flat."""
     subs = pts.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n_subs"))
     # the salt keeps a hot cell's rows apart in the join that tells them their cell's size
     salts = 32
@@ -142,24 +146,26 @@ def _grid_blocks(points: DataFrame, eps: float, emb_col: str, id_col: str, weigh
     rows = (pts.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
                .join(salted, ["cell", "_salt"])
                .withColumn("sub", F.pmod(F.xxhash64(id_col, F.lit(1)), F.col("n_subs")).cast("int")))
+    along = [F.col(codes).alias("c")] if codes else []
     block = F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(emb_col).cast("array<double>").alias("e"),
-                                    F.col(weight_col).cast("long").alias("w")))
+                                    F.col(weight_col).cast("long").alias("w"), *along))
     return (rows.groupBy("cell", "sub", "n_subs").agg(block.alias("_b"))
                 .select("cell", "sub", "n_subs", F.transform("_b", lambda r: r["i"]).alias("ids"),
                         F.flatten(F.transform("_b", lambda r: r["e"])).alias("vecs"),
-                        F.transform("_b", lambda r: r["w"]).alias("weights")))
+                        F.transform("_b", lambda r: r["w"]).alias("weights"),
+                        *([F.flatten(F.transform("_b", lambda r: r["c"])).alias("codes")] if codes else [])))
 
 
-def _block_pairs(blocks: DataFrame, grid_dims: int) -> DataFrame:
+def _block_pairs(blocks: DataFrame, grid_dims: int, reach: Sequence[int] = (-1, 0, 1)) -> DataFrame:
     """Every pair of blocks from the same or adjacent cells, each pair once (smaller (cell, sub) first).
 
     The join key is one block, (cell, sub): a hot cell's blocks spread over many tasks."""
     import itertools
 
-    offs = F.array(*[F.array(*[F.lit(d) for d in o]) for o in itertools.product((-1, 0, 1), repeat=grid_dims)])
+    offs = F.array(*[F.array(*[F.lit(d) for d in o]) for o in itertools.product(reach, repeat=grid_dims)])
     cells = blocks.groupBy("cell").agg(F.max("n_subs").alias("n"))
-    probe = (blocks.select(F.col("cell").alias("cell_a"), F.col("sub").alias("sub_a"), F.col("ids").alias("ids_a"),
-                           F.col("vecs").alias("vecs_a"), F.col("weights").alias("weights_a"),
+    own = [c for c in blocks.columns if c not in ("cell", "sub", "n_subs")]
+    probe = (blocks.select(F.col("cell").alias("cell_a"), F.col("sub").alias("sub_a"), *[F.col(c).alias(f"{c}_a") for c in own],
                            F.explode(offs).alias("_o"))
                    .withColumn("cell", F.zip_with("cell_a", "_o", lambda c, o: c + o)).drop("_o")
                    .filter(F.col("cell_a") <= F.col("cell"))
@@ -182,6 +188,13 @@ def epsilon_neighbours(points: DataFrame, eps: float, emb_col: str = "embedding"
     dims = len(_projection(points, emb_col, grid_dims))
     blocks = cut_lineage(_grid_blocks(points, eps, emb_col, id_col, weight_col, grid_dims, block_rows))
     key = points.schema[id_col].dataType.simpleString()
+    return _block_pairs(blocks, dims).mapInArrow(_comparer(eps), f"a {key}, b {key}, wb long")
+
+
+def _comparer(eps: float):
+    """Arrow function from pairs of blocks to their neighbours within ``eps``: (a, b, wb).
+
+    Blocks with ``codes`` (the bucket of each row in every table) name a pair only in the first table that it shares."""
 
     def compare(batches):
         import numpy as np
@@ -202,6 +215,10 @@ def epsilon_neighbours(points: DataFrame, eps: float, emb_col: str = "embedding"
                 x, y = np.nonzero(near <= eps * eps + room)
                 hit = (((A[x] - B[y]) ** 2).sum(1) <= eps * eps) & (ia[x] != ib[y])
                 x, y = x[hit], y[hit]
+                if "codes" in col and len(x):
+                    ca, cb = (flat(col[c], i).reshape(n, -1)[z] for c, n, z in (("codes_a", len(ia), x), ("codes", len(ib), y)))
+                    first = (ca == cb).argmax(axis=1) == col["cell"][i][0].as_py()
+                    x, y = x[first], y[first]
                 a, b, w = ia[x], ib[y], wb[y]
                 same = col["sub_a"][i].as_py() == col["sub"][i].as_py() and \
                     col["cell_a"][i].as_py() == col["cell"][i].as_py()
@@ -211,7 +228,59 @@ def epsilon_neighbours(points: DataFrame, eps: float, emb_col: str = "embedding"
                 yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids), pa.array(w, pa.int64())],
                                                  names=["a", "b", "wb"])
 
-    return _block_pairs(blocks, dims).mapInArrow(compare, f"a {key}, b {key}, wb long")
+    return compare
+
+
+def _bucket_blocks(points: DataFrame, tables: int, bits: int, emb_col: str, id_col: str, weight_col: str, block_rows: int,
+                   seed: int) -> DataFrame:
+    """Blocks of the buckets (table, code) of random hyperplanes through the mean; every row is in one bucket of each table."""
+    import numpy as np
+    import pyarrow as pa
+
+    middle = np.array(column_means(points, emb_col))
+    planes = np.random.default_rng(seed).normal(size=(len(middle), tables * bits))
+    power = 1 << np.arange(bits, dtype=np.int64)
+    rows = points.select(id_col, F.col(emb_col).cast("array<double>").alias(emb_col), weight_col)
+
+    def codes(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            X = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - middle
+            code = ((X @ planes > 0).reshape(len(X), tables, bits) * power).sum(2).astype(np.int64)
+            ends = pa.array(np.arange(0, code.size + 1, tables), pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(code.ravel()))],
+                                             names=[*b.schema.names, "codes"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    coded = rows.mapInArrow(codes, f"{kinds}, codes array<bigint>")
+    placed = coded.select("*", F.posexplode("codes").alias("_table", "_code")).withColumn(
+        "cell", F.array(F.col("_table").cast("long"), F.col("_code"))).drop("_table", "_code")
+    return _packed(placed, emb_col, id_col, weight_col, block_rows, "codes")
+
+
+def likely_neighbours(points: DataFrame, eps: float, tables: int = 12, bits: int = 8, emb_col: str = "embedding", id_col: str = "vid",
+                      weight_col: str = "weight", block_rows: int = 512, seed: int = 42) -> DataFrame:
+    """Pairs as :func:`epsilon_neighbours`, but only those that share a bucket of one of ``tables`` tables.
+
+    A bucket is the side of ``bits`` random hyperplanes through the mean.  A pair at the angle t (seen from the mean) is found with
+    the probability 1 - (1 - (1 - t / pi)^bits)^tables; what is found is verified by its true distance, so no pair is wrong and
+    each is named once.  Buckets have no cap: a large one is compared in blocks over many tasks.  Every vector is shuffled
+    ``tables`` times.  It pays where neighbours are much closer than other rows; evenly spread vectors need the exact join.
+    An empty table has no pairs.
+    """
+    key = points.schema[id_col].dataType.simpleString()
+    if not points.head(1):
+        return points.sparkSession.createDataFrame([], f"a {key}, b {key}, wb long")
+    blocks = cut_lineage(_bucket_blocks(points, tables, bits, emb_col, id_col, weight_col, block_rows, seed))
+    return _block_pairs(blocks, 2, (0,)).mapInArrow(_comparer(eps), f"a {key}, b {key}, wb long")
+
+
+def likely_compared(points: DataFrame, tables: int = 12, bits: int = 8, emb_col: str = "embedding", id_col: str = "vid",
+                    weight_col: str = "weight", block_rows: int = 512, seed: int = 42) -> int:
+    """How many pairs :func:`likely_neighbours` compares (in every table, pairs inside a block both ways)."""
+    pairs = _block_pairs(_bucket_blocks(points, tables, bits, emb_col, id_col, weight_col, block_rows, seed), 2, (0,))
+    return pairs.agg(F.sum(F.size("ids_a").cast("long") * F.size("ids"))).first()[0] or 0
 
 
 def compared_pairs(points: DataFrame, eps: float, emb_col: str = "embedding", id_col: str = "vid",
@@ -248,19 +317,22 @@ def connected_components(edges: DataFrame, nodes: DataFrame, node_col: str = "vi
 
 def density_clusters(df: DataFrame, eps: float, min_pts: int = 5, min_size: int = 2, key: str = "orig_index",
                      emb_col: str = "embedding", out: str = "cluster", noise: int = -1,
-                     max_rounds: int = 100, grid_dims: int = 2) -> DataFrame:
+                     max_rounds: int = 100, grid_dims: int = 2, tables: int = 0, bits: int = 8) -> DataFrame:
     """Exact DBSCAN labels (Euclidean ``eps``), clusters smaller than ``min_size`` -> noise.
 
     Cluster ids are the smallest key of a core point in the cluster (deterministic).  Core point:
     at least ``min_pts`` rows (itself and copies included) within ``eps``.  Border points take the
-    smallest label among their core neighbours.
+    smallest label among their core neighbours.  With ``tables`` > 0 neighbours come from
+    :func:`likely_neighbours` (``bits`` hyperplanes a table), which may miss some; 0 is exact.
     """
     # 1. identical vectors collapse to one weighted point (copies never produce pair rows)
     src = df.select(key, F.col(emb_col).cast("array<double>").alias("_e"))
     # null vectors are noise
     points = cut_lineage(src.filter(F.col("_e").isNotNull()).groupBy("_e").agg(F.min(key).alias("vid"), F.count(F.lit(1)).alias("weight"))
                             .withColumnRenamed("_e", emb_col))
-    nb = cut_lineage(epsilon_neighbours(points, eps, emb_col, grid_dims=grid_dims))   # used four times below: computed once
+    near = (likely_neighbours(points, eps, tables, bits, emb_col) if tables else
+            epsilon_neighbours(points, eps, emb_col, grid_dims=grid_dims))
+    nb = cut_lineage(near)   # used four times below: computed once
     counts = nb.groupBy("a").agg(F.sum("wb").alias("_nw"))
     core = (points.join(counts.withColumnRenamed("a", "vid"), "vid", "left")
                   .select("vid", (F.col("weight") + F.coalesce(F.col("_nw"), F.lit(0)) >= min_pts).alias("core")))
@@ -312,14 +384,14 @@ def _numbered(df: DataFrame, key: str, out: str) -> DataFrame:
 
 def label_clusters(labels: DataFrame, col: str, eps: float, min_pts: int = 5, min_size: int = 20,
                    dims: int = 64, pca_k: int | None = 5, none_label: str = "none", encoder=None,
-                   vectors: DataFrame | None = None) -> DataFrame:
+                   vectors: DataFrame | None = None, tables: int = 0, bits: int = 8) -> DataFrame:
     """Cluster the distinct free-text labels; returns the mapping table
     (raw_label, cluster_id, cluster_label, freq).
 
     Labels are normalised (strip + lower, null -> 'nan'); 'none' and '' are left out.  Distinct
     labels are embedded once each: given ``vectors`` (raw_label, embedding), an ``encoder`` callable
     or the hashing default (V11).  They are reduced (PCA in place of UMAP; ``pca_k=None`` keeps the
-    vectors) and density-clustered (M06); a label without a vector is noise.  Each cluster is named
+    vectors) and density-clustered (M06, with its candidate tables if ``tables`` > 0); a label without a vector is noise.  Each cluster is named
     by its label with the highest frequency over all articles (ties: the smaller label); noise keeps
     id -1 and the name 'other'.  Ids are dense ranks of the labels, so no two labels share one."""
     from presslens.operators.labelling import normalise_label
@@ -333,7 +405,7 @@ def label_clusters(labels: DataFrame, col: str, eps: float, min_pts: int = 5, mi
     else:
         vec = embed(uniq, "raw_label", "embedding", dims, encoder)
     red = pca(vec, pca_k, "embedding", "reduced") if pca_k else vec.withColumnRenamed("embedding", "reduced")
-    cl = density_clusters(red, eps, min_pts, min_size, key="_id", emb_col="reduced", out="cluster_id")
+    cl = density_clusters(red, eps, min_pts, min_size, key="_id", emb_col="reduced", out="cluster_id", tables=tables, bits=bits)
     lab = uniq.join(cl, "_id", "left").select("raw_label", "freq", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
     reps = (lab.filter(F.col("cluster_id") != -1).groupBy("cluster_id")
                .agg(F.min_by("raw_label", F.struct((-F.col("freq")).alias("a"), F.col("raw_label").alias("b")))

@@ -452,6 +452,15 @@ def a36c_grouped_word_counts(spark, sf):
     return A.grouped_word_counts(view(spark, sf, "news"), "publisher", stop=STOP, top=10, vocab=30)
 
 
+@query("a36d_frequent_word_counts", ["news"], f"""
+SELECT word, count(*) AS count FROM (
+  SELECT unnest(regexp_extract_all(lower(coalesce(plain_text, '')), '[\\p{{L}}\\p{{N}}_]+', 0)) AS word FROM news)
+WHERE regexp_matches(word, '^[a-z]{{3,}}$') AND word NOT IN ('the', 'and', 'that')
+GROUP BY 1 ORDER BY count DESC, word LIMIT 20""")
+def a36d_frequent_word_counts(spark, sf):
+    return A.frequent_word_counts(view(spark, sf, "news"), stop=STOP, top=20)
+
+
 KW_WORDS = ["the", "and", "der", "und", "les", "des", "license", "de", "la", "el"]
 
 

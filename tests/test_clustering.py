@@ -145,3 +145,38 @@ def test_kernels_and_centroids_with_null_and_zero_vectors(spark):
     assert cen == {0: ([0.5, 0.0], 2), 1: ([0.0, 2.0], 1)}
     plan = V.similarity_to_centroid(df, V.cluster_centroids(df))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def _clouds(n_clouds, size, dims=64, spread=0.02, seed=9):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n_clouds, dims))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    return np.vstack([c + rng.normal(scale=spread, size=(size, dims)) for c in centres])
+
+
+def test_likely_neighbours_are_true_named_once_and_nearly_all(spark):
+    X = _clouds(60, 50)
+    n, eps = len(X), 0.3
+    points = spark.createDataFrame([(i, x.tolist(), 1 + i % 3) for i, x in enumerate(X)], "vid long, embedding array<double>, weight long")
+    got = [tuple(r) for r in M.likely_neighbours(points, eps, block_rows=40).collect()]
+    sq = (X * X).sum(1)
+    near = sq[:, None] + sq[None] - 2 * X @ X.T <= eps * eps
+    np.fill_diagonal(near, False)
+    want = set(zip(*np.nonzero(near)))
+    assert len(want) > 100_000
+    assert len(got) == len(set(got)) and {(a, b) for a, b, _ in got} <= want     # no pair is wrong or named twice
+    assert all(w == 1 + b % 3 for _, b, w in got)
+    assert {(b, a) for a, b, _ in got} == {(a, b) for a, b, _ in got}
+    assert len(got) >= 0.9 * len(want)                                            # recall against brute force
+    assert M.likely_compared(points) < n * n / 4                                  # 12 tables together
+
+
+def test_density_clusters_by_candidates_equal_the_exact_ones_on_clouds(spark):
+    X = np.vstack([_clouds(20, 30), _clouds(40, 1, seed=10)])
+    X = np.vstack([X, X[:7]])           # exact copies
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)] + [(9999, None)], "orig_index long, embedding array<double>")
+    exact = {r[0]: r[1] for r in M.density_clusters(df, 0.3).collect()}
+    assert {r[0]: r[1] for r in M.density_clusters(df, 0.3, tables=12).collect()} == exact
+    assert exact[9999] == -1 and len(set(exact.values())) == 21
+    empty = M.density_clusters(df.limit(0), 0.3, tables=4)
+    assert empty.count() == 0
