@@ -468,7 +468,7 @@ def word_counts(df: DataFrame, col: str = "plain_text", stop: Sequence[str] = ()
 
 def frequent_word_counts(df: DataFrame, col: str = "plain_text", stop: Sequence[str] = (), top: int = 20,
                          keep_pattern: str = r"^[a-z]{3,}$", support: float = 1e-4) -> DataFrame:
-    """A36 for vocabularies that are large beside ``top``: the rows of :func:`word_counts`, of which only candidates shuffle.
+    """A36 for very large vocabularies: the rows of :func:`word_counts`, of which only candidates shuffle; the texts are read twice.
 
     A first scan keeps a sketch of frequent items a partition and merges them: at most 1 / ``support`` words (1e-4 at least), every
     word above that share of all words among them.  A second scan counts these exactly and all others together.  The answer is
