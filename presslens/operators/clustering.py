@@ -292,22 +292,24 @@ def compared_pairs(points: DataFrame, eps: float, emb_col: str = "embedding", id
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame, node_col: str = "vid", max_rounds: int = 100) -> DataFrame:
-    """Smallest node id of each connected component: min-label propagation with pointer jumping.
+    """Smallest node id of each connected component: min-label propagation with hooking and pointer jumping.
 
-    Each round pushes labels over the edges (join + partial min aggregate) and then lets every
-    node take its label's label (a second join), so long chains settle in a logarithmic number of
-    rounds.  Labels are checkpointed into the shared checkpoint folder every round, so lineage
-    stays one round long.  Raises when the labels have not settled after ``max_rounds`` rounds
-    (never returns a partial answer).
+    ``edges`` (a, b) hold both directions.  Each round a node takes the smallest label's label among its own and its
+    neighbours' and hands it on to the label that it had, so that whole trees hang themselves under smaller ones: long
+    chains settle in a logarithmic number of rounds whatever the order of their ids.  The edges meet the labels once a round; the rest are joins of
+    nodes.  Labels are checkpointed into the shared checkpoint folder every round, so lineage stays one round long.
+    Raises when the labels have not settled after ``max_rounds`` rounds (never returns a partial answer).
     """
     labels = cut_lineage(nodes.select(F.col(node_col).alias("n"), F.col(node_col).alias("label")))
     e = cut_lineage(edges.select("a", "b"))
     for _ in range(max_rounds):
-        pushed = e.join(labels.withColumnRenamed("n", "a"), "a").select(F.col("b").alias("n"), "label")
-        prop = labels.unionByName(pushed).groupBy("n").agg(F.min("label").alias("label"))
-        hop = prop.join(prop.select(F.col("n").alias("label"), F.col("label").alias("_l2")), "label", "left")
-        new = cut_lineage(hop.select("n", F.least(F.col("label"), F.coalesce(F.col("_l2"), F.col("label")))
-                                     .alias("label")))
+        above = labels.select(F.col("n").alias("label"), F.col("label").alias("_up"))
+        up = labels.join(above, "label", "left").select("n", "label", F.coalesce("_up", "label").alias("_up"))
+        near = e.join(up.select(F.col("n").alias("a"), "_up"), "a").groupBy("b").agg(F.min("_up").alias("_near"))
+        seen = up.join(near, F.col("n") == F.col("b"), "left").select("n", "label", F.least("_up", "_near").alias("_least"))
+        hooked = seen.filter(F.col("_least") < F.col("label")).select(F.col("label").alias("n"), F.col("_least").alias("label"))
+        new = cut_lineage(seen.select("n", F.least("label", "_least").alias("label")).unionByName(hooked)
+                              .groupBy("n").agg(F.min("label").alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "n").filter(F.col("label") != F.col("old"))
         labels = new
         if changed.limit(1).count() == 0:

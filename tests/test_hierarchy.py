@@ -146,3 +146,16 @@ def test_nearest_neighbours_equal_all_pairs(spark, dims):
     for r in near.collect():
         want = sorted((D[r["id"], j], j) for j in range(len(rows)) if j != r["id"])[:6]
         assert [x["t"] for x in r["near"]] == [j for _, j in want]
+
+
+def test_long_chains_of_any_order_settle_in_few_rounds(spark):
+    import random
+
+    from presslens.operators.clustering import connected_components
+
+    order = list(range(6000))
+    random.Random(5).shuffle(order)
+    steps = [(a, b) for a, b in zip(order, order[1:], strict=False) if {a, b} != {order[2999], order[3000]}]
+    edges = spark.createDataFrame(steps + [(b, a) for a, b in steps], "a long, b long")
+    got = dict(map(tuple, connected_components(edges, spark.range(6001).toDF("vid"), max_rounds=14).collect()))
+    assert got == {v: min(part) for part in (order[:3000], order[3000:], [6000]) for v in part}
