@@ -240,8 +240,9 @@ def t10c_gazetteer(spark, sf):
     tokens = news.select(T.word_runs(F.col("title")).alias("t"))
     names = tokens.select(F.explode(F.expr("filter(sequence(1, 3), n -> n <= size(t))")).alias("n"), "t").select(
         F.array_join(F.slice("t", F.lit(1), F.col("n")), " ").alias("name")).distinct()
-    found = TX.gazetteer_mentions(news, names, overlapping=True)
-    return found.groupBy("name").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("orig_index").alias("articles"),
+    found = TX.gazetteer_mentions(news, names, overlapping=True, numbered=True)
+    first = F.when((F.col("nth") == 1) & F.col("orig_index").isNotNull(), 1)  # one a text: no pair of name and text is shuffled
+    return found.groupBy("name").agg(F.count(F.lit(1)).alias("mentions"), F.count(first).alias("articles"),
                                      F.sum("position").alias("positions"))
 
 
