@@ -3,7 +3,8 @@
 Points are assigned to the nearest of a bounded number of pivots (points drawn by hash).  A cell is described by its pivot
 and its radius, the largest distance of a member: no member lies nearer to a query than the distance of its pivot less
 the radius (triangle inequality).  A query first meets its own cell, which gives an upper bound, and then only the cells
-whose bound does not exceed it.  Cells are cut into blocks of bounded size, and queries meet them block by block in one matrix product.
+whose bound does not exceed it.  Cells that lie together make up slices of bounded size.  A query is sent once to each slice that holds a cell
+for it, not to each cell; a task holds a slice and a share of the queries and compares them in matrix products of bounded size.
 Answers are exact; how many cells can be left out depends on the data (most in few dimensions, few among evenly
 spread vectors in many).
 """
@@ -14,21 +15,38 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presslens.session import cut_lineage
 
 #: Bound of the pivots, whose vectors travel with the search function.
 MOST_CELLS = 2048
-#: Points and queries of a block.
-BLOCK_ROWS = 512
+#: Most queries of a matrix product; a slice holds SLICE_BLOCKS times as many points, and a share SHARE_BLOCKS times as many queries.
+BLOCK_ROWS, SLICE_BLOCKS, SHARE_BLOCKS = 512, 128, 256
+#: Most pairs of a matrix product.
+MOST_PAIRS = 4_000_000
 
 
 class Directory(NamedTuple):
     pivots: np.ndarray
     radius: np.ndarray
     subs: list[int]
+    before: list[int]  # points of the cells before each, in an order in which cells nearby follow each other
+    step: list[int]  # points of a sub
+    slice_rows: int
+
+    def slice_of(self, cell: Column, sub: Column) -> Column:
+        at = [F.try_element_at(F.array(*[F.lit(x).cast("long") for x in v]), cell + 1) for v in (self.before, self.step)]
+        return F.floor((at[0] + sub * at[1]) / F.lit(self.slice_rows)).cast("int")
+
+    def slices(self) -> np.ndarray:
+        """Which slices (columns) hold points of each cell (rows)."""
+        ends = [(b // self.slice_rows, (b + max(0, n - 1) * s) // self.slice_rows) for b, n, s in zip(self.before, self.subs, self.step, strict=True)]
+        held = np.zeros((len(ends), 1 + max(e[1] for e in ends)), bool)
+        for cell, (first, last) in enumerate(ends):
+            held[cell, first:last + 1] = self.subs[cell] > 0
+        return held
 
     def bounds(self, X: np.ndarray, share: float = 1.0) -> np.ndarray:
         """Least distance of every row to any member of every cell (rounded down); ``share`` 0 leaves the radius out."""
@@ -40,6 +58,14 @@ def _matrix(col, n: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
+def _nearby(pivots: np.ndarray, some: np.ndarray) -> list[int]:
+    """The pivots in an order in which neighbours follow each other: halved again and again along the widest axis."""
+    if len(some) < 2:
+        return some.tolist()
+    some = some[np.argsort(pivots[some, np.ptp(pivots[some], axis=0).argmax()], kind="stable")]
+    return _nearby(pivots, some[:len(some) // 2]) + _nearby(pivots, some[len(some) // 2:])
+
+
 def build(points: DataFrame, extra: tuple[str, ...] = (), most_cells: int = MOST_CELLS,
           block_rows: int = BLOCK_ROWS) -> tuple[Directory, DataFrame]:
     """The directory, and the points (id, e, *extra) with their ``cell``, ``sub`` and distance ``far`` to the pivot."""
@@ -64,11 +90,15 @@ def build(points: DataFrame, extra: tuple[str, ...] = (), most_cells: int = MOST
     columns = points.select("id", "e", *extra)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns.schema)
     placed = cut_lineage(columns.mapInArrow(assign, f"{schema}, cell int, far double"))
-    radius, subs = np.zeros(max(1, len(drawn))), [0] * max(1, len(drawn))
+    radius, rows, subs = np.zeros(max(1, len(drawn))), [0] * max(1, len(drawn)), [0] * max(1, len(drawn))
     for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # a row per pivot
-        radius[r["cell"]], subs[r["cell"]] = r["far"], -(-r["n"] // block_rows)
+        radius[r["cell"]], rows[r["cell"]], subs[r["cell"]] = r["far"], r["n"], -(-r["n"] // block_rows)
+    before, total = [0] * len(rows), 0
+    for c in _nearby(pivots, np.arange(len(drawn))):
+        before[c], total = total, total + rows[c]
     n_subs = F.try_element_at(F.array(*[F.lit(s) for s in subs]), F.col("cell") + 1)
-    return Directory(pivots, radius, subs), placed.withColumn("sub", F.pmod(F.xxhash64("id"), F.greatest(n_subs, F.lit(1))).cast("int"))
+    where = Directory(pivots, radius, subs, before, [n // max(1, s) for n, s in zip(rows, subs, strict=True)], SLICE_BLOCKS * block_rows)
+    return where, placed.withColumn("sub", F.pmod(F.xxhash64("id"), F.greatest(n_subs, F.lit(1))).cast("int"))
 
 
 def place(where: Directory, queries: DataFrame) -> DataFrame:
@@ -85,61 +115,83 @@ def place(where: Directory, queries: DataFrame) -> DataFrame:
     return cut_lineage(queries.select("id", "e").mapInArrow(assign, "id bigint, e array<double>, cell int"))
 
 
-def packed(placed: DataFrame, *extra: str) -> DataFrame:
-    """Blocks (cell, sub) of points as arrays t_id, t_e (flat) and t_<extra>."""
-    rows = F.collect_list(F.struct("id", "e", *extra))
-    return placed.groupBy("cell", "sub").agg(rows.alias("r")).select(
-        "cell", "sub", F.col("r.id").alias("t_id"), F.flatten("r.e").alias("t_e"), *[F.col(f"r.{c}").alias(f"t_{c}") for c in extra])
-
-
-def meet(queries: DataFrame, blocks: DataFrame, where: Directory, compare: Callable, schema: str, own: bool | None = None,
+def meet(queries: DataFrame, points: DataFrame, where: Directory, compare: Callable, schema: str, own: bool = False,
          block_rows: int = BLOCK_ROWS, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``compare(q, t)`` for every block of queries (id, e, cell, reach, *extra) and every block of points it has to meet.
+    """Rows of ``compare(got)`` for queries (id, e, cell, reach, *extra) and the points (id, e, cell, sub, *extra) that they have to meet.
 
-    ``own`` True: only the query's own cell; False: all others within ``reach``; None: all within ``reach``.
+    ``own``: only the query's own cell; else all cells within ``reach``.  ``got`` has q_id, q_e, q_reach, t_id, t_e (and q_, t_ of ``extra``) as arrays: some
+    queries and all points that one of them has to meet in one slice.  A pair of query and point is compared once at most.
     """
     import pyarrow as pa
 
-    def cells(batches):
-        for b in batches:
-            home, reach = b.column("cell").to_numpy(), b.column("reach").to_numpy(zero_copy_only=False)
-            at = np.arange(b.num_rows)
-            if own:
-                q, c = at, home
-            else:
-                near = where.bounds(_matrix(b.column("e"), b.num_rows)) <= reach[:, None] if b.num_rows else np.zeros((0, 1), bool)
-                if own is False and b.num_rows:
-                    near[at, home] = False
-                q, c = np.nonzero(near)
-            out = pa.Table.from_batches([b]).drop_columns(["cell"]).take(pa.array(q)).append_column("cell", pa.array(c.astype(np.int32)))
-            yield from out.combine_chunks().to_batches()
-
-    source = queries.select("id", "e", "cell", "reach", *extra)
-    types = {f.name: f.dataType.simpleString() for f in source.schema}
-    names = ["id", "e", "reach", *extra, "cell"]
-    sent = source.mapInArrow(cells, ", ".join(f"{n} {types[n]}" for n in names))
-    shares = max(1, -(-queries.count() // block_rows))
-    rows = F.collect_list(F.struct("id", "e", "reach", *extra))
-    subs = F.try_element_at(F.array(*[F.lit(s) for s in where.subs]), F.col("cell") + 1)
-    asked = sent.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(shares)).alias("share")).agg(rows.alias("r")).select(
-        "cell", F.col("r.id").alias("q_id"), F.flatten("r.e").alias("q_e"), F.col("r.reach").alias("q_reach"), *[F.col(f"r.{c}").alias(f"q_{c}") for c in extra],
-        F.explode(F.sequence(F.lit(0), subs - 1)).alias("sub"))
-
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                got = {n: b.column(n)[i].values.to_numpy(zero_copy_only=False) for n in b.schema.names if n[:2] in ("q_", "t_")}
-                got["q_e"], got["t_e"] = (got[f"{s}_e"].reshape(len(got[f"{s}_id"]), -1) for s in "qt")
-                yield from compare(got)
+    held, pivots = where.slices(), len(where.pivots)
 
-    return asked.join(blocks, ["cell", "sub"]).drop("cell", "sub").mapInArrow(run, schema)
+    def wanted(X, home, reach):
+        """Which cells (columns) each query has to meet."""
+        if not own:
+            return where.bounds(X) <= reach[:, None]
+        near = np.zeros((len(home), pivots), bool)
+        near[np.arange(len(home)), home] = True
+        return near
 
+    def deal(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                part = b.slice(i, 2000)
+                home, reach = part.column("cell").to_numpy(), part.column("reach").to_numpy(zero_copy_only=False)
+                q, c = np.nonzero(wanted(_matrix(part.column("e"), part.num_rows), home, reach).astype(np.float32) @ held.astype(np.float32))
+                yield pa.RecordBatch.from_arrays([*[x.take(pa.array(q)) for x in part.columns], pa.array(c.astype(np.int32))], names=[*part.schema.names, "slice"])
 
-def squared(got: dict, limit: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    source = queries.select("id", "e", "cell", "reach", *extra)
+    sent = source.mapInArrow(deal, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema) + ", slice int")
+    count = queries.count()
+    busy = -(-2 * queries.sparkSession.sparkContext.defaultParallelism // held.shape[1])  # small inputs are dealt out, too
+    shares = max(1, -(-count // (SHARE_BLOCKS * block_rows)), min(busy, -(-count // block_rows)))
+    asked = sent.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int"))
+    slices = points.select("id", "e", "cell", *extra, where.slice_of(F.col("cell"), F.col("sub")).alias("slice"),
+                           F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    empty = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))]).empty_table()
+
+    def arrays(table, sort):
+        got = {n: table[n].combine_chunks() for n in table.schema.names if n not in ("slice", "share", "e")}
+        got = {n: v.to_numpy(zero_copy_only=False) for n, v in got.items()} | {"e": _matrix(table["e"].combine_chunks(), table.num_rows)}
+        order = np.argsort(got["cell"], kind="stable")
+        return {n: v[order] for n, v in got.items()} if sort else got
+
+    def run(q: pa.Table, t: pa.Table) -> pa.Table:
+        if not q.num_rows or not t.num_rows:
+            return empty
+        ask, have = arrays(q, True), arrays(t, True)
+        here, first = np.unique(have["cell"], return_index=True)
+        last = np.append(first[1:], len(have["cell"]))
+        out, i, size = [], 0, block_rows
+        while i < len(ask["id"]):
+            x = {n: v[i:i + size] for n, v in ask.items()}
+            met = np.flatnonzero(wanted(x["e"], x["cell"], x["reach"])[:, here].any(0))
+            among = int((last[met] - first[met]).sum())
+            if among * len(x["id"]) > MOST_PAIRS and len(x["id"]) > 1:  # fewer queries at once
+                size = max(1, MOST_PAIRS // among)
+                x = {n: v[:size] for n, v in x.items()}
+            i += len(x["id"])
+            if among:
+                at = np.concatenate([np.arange(first[c], last[c]) for c in met]) if len(met) < len(here) else slice(None)
+                out += [pa.Table.from_batches([b]) for b in compare({f"q_{n}": v for n, v in x.items()} | {f"t_{n}": v[at] for n, v in have.items()})]
+            size = block_rows if size * 2 > block_rows else size * 2
+        return pa.concat_tables([empty, *out])
+
+    return asked.groupBy("slice", "share").cogroup(slices.groupBy("slice", "share")).applyInArrow(run, schema)
+
+
+def squared(got: dict) -> tuple[np.ndarray, float]:
     """Squared distances by a matrix product, and how far rounding may have moved them."""
     A, B = got["q_e"], got["t_e"]
     a, b = (A * A).sum(1), (B * B).sum(1)
-    return a[:, None] + b[None] - 2 * (A @ B.T), 1e-9 * (1 + float(a.max()) + float(b.max()))
+    near = A @ B.T
+    near *= -2
+    near += a[:, None]
+    near += b
+    return near, 1e-9 * (1 + float(a.max()) + float(b.max()))
 
 
 def _nearest(got: dict, k: int):
@@ -167,21 +219,18 @@ def k_nearest(points: DataFrame, k: int, most_cells: int = MOST_CELLS, block_row
     import pyarrow as pa
 
     where, placed = build(points, extra, most_cells, block_rows)
-    blocks = cut_lineage(packed(placed))
 
     def compare(got):
         x, ids, d = _nearest(got, k)
         yield pa.RecordBatch.from_arrays([pa.array(got["q_id"][x]), pa.array(ids), pa.array(d)], names=["q", "t", "d"])
 
-    def merged(found: DataFrame) -> DataFrame:  # at most k entries of every block met
+    def merged(found: DataFrame) -> DataFrame:  # at most k entries of every slice met
         return found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "t"))), 1, k).alias("near"))
 
     schema = "q bigint, t bigint, d double"
     anywhere = placed.withColumn("reach", F.lit(float("inf")))
-    home = cut_lineage(merged(meet(anywhere, blocks, where, compare, schema, True, block_rows)))
+    home = cut_lineage(merged(meet(anywhere, placed, where, compare, schema, True, block_rows)))
     kth = F.when(F.size("near") >= k, F.try_element_at("near", F.lit(k))["d"])
-    bounded = placed.join(home.select(F.col("q").alias("id"), kth.alias("reach")), "id", "left").withColumn(
-        "reach", F.coalesce("reach", F.lit(float("inf"))))
-    more = meet(bounded, blocks, where, compare, schema, False, block_rows)
-    both = more.unionByName(home.select("q", F.explode("near").alias("n")).select("q", F.col("n.t").alias("t"), F.col("n.d").alias("d")))
-    return where, placed, cut_lineage(merged(both).withColumnRenamed("q", "id"))
+    bounded = cut_lineage(placed.join(home.select(F.col("q").alias("id"), kth.alias("reach")), "id", "left").withColumn(
+        "reach", F.coalesce("reach", F.lit(float("inf")))))
+    return where, placed, cut_lineage(merged(meet(bounded, placed, where, compare, schema, False, block_rows)).withColumnRenamed("q", "id"))

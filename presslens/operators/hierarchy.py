@@ -90,8 +90,7 @@ def spanning_edges(points: DataFrame, min_pts: int, rounds: int = 60, **search)
             "reach", F.coalesce("reach", F.lit(float("inf"))))
         here = cut_lineage(asked)
         unsure = here.filter(F.greatest("core", "far") < F.col("reach"))
-        blocks = cells.packed(here, "core", "part")
-        found = cells.meet(unsure, blocks, where, outside, "a bigint, b bigint, w double", extra=("core", "part"),
+        found = cells.meet(unsure, here, where, outside, "a bigint, b bigint, w double", extra=("core", "part"),
                            **({"block_rows": search["block_rows"]} if "block_rows" in search else {}))
         more = found.join(pa_, "a").select("pa", F.struct("w", "a", "b").alias("x"))
         chosen = cut_lineage(best.unionByName(more).groupBy("pa").agg(F.min("x").alias("x")).select("x.a", "x.b", "x.w").distinct())

@@ -215,7 +215,7 @@ def nearest_in_table(df: DataFrame, table: DataFrame, key: str | None = None, id
     'sqdist' or 'cosine'; ties: the smaller id) for every row of ``df``.
 
     The table is kept as an inverted file (:mod:`presslens.operators.cells`): a row meets its own cell first and then
-    only the cells that can hold a nearer vector, so it is sent a few times, not once a table block, and the answer is
+    only the cells that can hold a nearer vector, so it is sent once to each slice of the table that holds one, and the answer is
     exact.  By cosine the vectors are compared at unit length, where the nearest one has the greatest cosine.  A null vector
     gets null, and so does, by cosine, one of norm 0 (table rows of that kind are left out); so does every row if the
     table is empty.  ``key`` is not needed any more: rows are told apart by a number of their own."""
@@ -237,7 +237,6 @@ def nearest_in_table(df: DataFrame, table: DataFrame, key: str | None = None, id
     first = table.groupBy(id_col, vec_col).agg(F.count(F.lit(1)).alias("_n")).select(id_col, vectors(vec_col).alias("e")).filter("e IS NOT NULL")
     listed = cut_lineage(_numbered(first.withColumn("_k", F.struct(id_col, "e")), "_k", "id").select("id", id_col, "e"))
     where, placed = cells.build(listed.select("id", "e"), most_cells=most_cells, block_rows=block_rows)
-    blocks = cut_lineage(cells.packed(placed))
     rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
     asked = cells.place(where, rows.select(F.col("_row").alias("id"), vectors(emb_col).alias("e")).filter("e IS NOT NULL"))
 
@@ -252,11 +251,10 @@ def nearest_in_table(df: DataFrame, table: DataFrame, key: str | None = None, id
 
     schema = "q bigint, cost double, t bigint"
     best = lambda found: found.groupBy("q").agg(F.min(F.struct("cost", "t")).alias("x"))
-    home = cut_lineage(best(cells.meet(asked.withColumn("reach", F.lit(float("inf"))), blocks, where, compare, schema, True, block_rows)))
+    home = cut_lineage(best(cells.meet(asked.withColumn("reach", F.lit(float("inf"))), placed, where, compare, schema, True, block_rows)))
     bounded = cut_lineage(asked.join(home.select(F.col("q").alias("id"), F.sqrt("x.cost").alias("reach")), "id", "left").withColumn(
         "reach", F.coalesce("reach", F.lit(float("inf")))))
-    more = cells.meet(bounded, blocks, where, compare, schema, False, block_rows)
-    found = best(more.unionByName(home.select("q", "x.cost", "x.t"))).select(F.col("q").alias("_row"), F.col("x.t").alias("id"))
+    found = best(cells.meet(bounded, placed, where, compare, schema, False, block_rows)).select(F.col("q").alias("_row"), F.col("x.t").alias("id"))
     named = found.join(listed.select("id", F.col(id_col).alias(out)), "id").select("_row", out)
     return rows.join(named, "_row", "left").drop("_row")
 

@@ -159,3 +159,22 @@ def test_long_chains_of_any_order_settle_in_few_rounds(spark):
     edges = spark.createDataFrame(steps + [(b, a) for a, b in steps], "a long, b long")
     got = dict(map(tuple, connected_components(edges, spark.range(6001).toDF("vid"), max_rounds=14).collect()))
     assert got == {v: min(part) for part in (order[:3000], order[3000:], [6000]) for v in part}
+
+
+def test_a_query_is_sent_once_a_slice_however_many_cells_it_meets(spark, monkeypatch):
+    from presslens.operators.vectors import nearest_in_table
+
+    rng = np.random.default_rng(8)
+    X, Y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 400, 24)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(X)], "orig_index long, embedding array<double>")
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(Y)], "cluster long, centroid array<double>")
+    sent, meet = [], cells.meet
+
+    def watch(queries, points, where, *args, **kw):  # no cell can be left out, and all lie in a few slices
+        sent.append((where.slices().shape[1], int((where.bounds(X) <= 2.0).sum()), len(where.pivots)))
+        return meet(queries, points, where, *args, **kw)
+
+    monkeypatch.setattr(cells, "meet", watch)
+    got = dict(map(tuple, nearest_in_table(df, table, block_rows=1).select("orig_index", "prediction").collect()))
+    assert got == {i: int(j) for i, j in enumerate(((X[:, None] - Y[None]) ** 2).sum(2).argmin(1))}
+    assert [s[0] for s in sent] == [4, 4] and sent[0][1] == 400 * sent[0][2] == 400 * 20
