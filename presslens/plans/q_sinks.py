@@ -110,8 +110,9 @@ def st01_stream_labels(spark, sf):
 
     base = _folder(spark, "stream")
     news = build_prompt(view(spark, sf, "news")).select("orig_index", "prompt")
-    K.write_stage(news.repartition(4), f"{base}/incoming")
+    # files of bounded size, written where the rows are read; a trigger takes a few for every core
+    K.write_stage(news, f"{base}/incoming", max_rows=20_000)
     stream_labels(spark, f"{base}/incoming", news.schema, KeywordRules(FIXTURE_KEYWORDS), f"{base}/labels",
-                  f"{base}/state")
+                  f"{base}/state", max_files_per_trigger=4 * spark.sparkContext.defaultParallelism)
     return (spark.read.parquet(f"{base}/labels")
             .select("orig_index", "answer", "is_ai_llm", "ai_relevance_llm", "ai_topic_llm"))

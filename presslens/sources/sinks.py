@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),
-                mode: str = "overwrite") -> str:
-    """Store one stage (Parquet by default; ``partition_by=['year']`` enables pruning)."""
+                mode: str = "overwrite", max_rows: int = 0) -> str:
+    """Store one stage (Parquet by default; ``partition_by=['year']`` enables pruning; ``max_rows`` > 0 bounds each file)."""
     w = df.write.mode(mode).format(fmt)
+    if max_rows:
+        w = w.option("maxRecordsPerFile", max_rows)
     if fmt == "csv":
         w = w.option("header", True).option("escape", '"')
     if partition_by:

@@ -55,3 +55,21 @@ def test_write_stage_partitioned_and_json_map(spark):
     reps = spark.createDataFrame([(0, ["x", "y"])], "cluster int, reps array<string>")
     K.write_json_map(reps, "cluster", "reps", jpath)
     assert [tuple(r) for r in spark.read.json(jpath).select("key", "value").collect()] == [(0, ["x", "y"])]
+
+
+def test_stage_files_are_bounded_by_rows(spark, tmp_path):
+    from presslens.sources.sinks import write_stage
+
+    path = write_stage(spark.range(0, 1000, 1, 2), str(tmp_path / "stage"), max_rows=100)
+    assert spark.read.parquet(path).groupBy(F.input_file_name()).count().agg(F.max("count"), F.count("*")).first()[:] == (100, 10)
+
+
+def test_the_stream_job_deals_its_input_by_size(spark, monkeypatch):
+    from presslens.plans import registry
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    registry.load_all()
+    fixed, deal = [], DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, *a: fixed.append(a) or deal(df, *a))
+    got = registry.QUERIES["st01_stream_labels"](spark, "/root/testdata/sf0.001")
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() and not fixed
