@@ -116,11 +116,12 @@ def place(where: Directory, queries: DataFrame) -> DataFrame:
 
 
 def meet(queries: DataFrame, points: DataFrame, where: Directory, compare: Callable, schema: str, own: bool = False,
-         block_rows: int = BLOCK_ROWS, extra: tuple[str, ...] = ()) -> DataFrame:
+         block_rows: int = BLOCK_ROWS, extra: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """Rows of ``compare(got)`` for queries (id, e, cell, reach, *extra) and the points (id, e, cell, sub, *extra) that they have to meet.
 
     ``own``: only the query's own cell; else all cells within ``reach``.  ``got`` has q_id, q_e, q_reach, t_id, t_e (and q_, t_ of ``extra``) as arrays: some
     queries and all points that one of them has to meet in one slice.  A pair of query and point is compared once at most.
+    ``whole``: ``compare`` is called once with all of a task's ``got``, whose ``q_at`` and ``t_at`` number the queries and points in the ``n`` of the task.
     """
     import pyarrow as pa
 
@@ -165,20 +166,25 @@ def meet(queries: DataFrame, points: DataFrame, where: Directory, compare: Calla
         ask, have = arrays(q, True), arrays(t, True)
         here, first = np.unique(have["cell"], return_index=True)
         last = np.append(first[1:], len(have["cell"]))
-        out, i, size = [], 0, block_rows
-        while i < len(ask["id"]):
-            x = {n: v[i:i + size] for n, v in ask.items()}
-            met = np.flatnonzero(wanted(x["e"], x["cell"], x["reach"])[:, here].any(0))
-            among = int((last[met] - first[met]).sum())
-            if among * len(x["id"]) > MOST_PAIRS and len(x["id"]) > 1:  # fewer queries at once
-                size = max(1, MOST_PAIRS // among)
-                x = {n: v[:size] for n, v in x.items()}
-            i += len(x["id"])
-            if among:
-                at = np.concatenate([np.arange(first[c], last[c]) for c in met]) if len(met) < len(here) else slice(None)
-                out += [pa.Table.from_batches([b]) for b in compare({f"q_{n}": v for n, v in x.items()} | {f"t_{n}": v[at] for n, v in have.items()})]
-            size = block_rows if size * 2 > block_rows else size * 2
-        return pa.concat_tables([empty, *out])
+
+        def chunks():
+            i, size = 0, block_rows
+            while i < len(ask["id"]):
+                x = {n: v[i:i + size] for n, v in ask.items()}
+                met = np.flatnonzero(wanted(x["e"], x["cell"], x["reach"])[:, here].any(0))
+                among = int((last[met] - first[met]).sum())
+                if among * len(x["id"]) > MOST_PAIRS and len(x["id"]) > 1:  # fewer queries at once
+                    size = max(1, MOST_PAIRS // among)
+                    x = {n: v[:size] for n, v in x.items()}
+                if among:
+                    at = np.concatenate([np.arange(first[c], last[c]) for c in met])
+                    yield {f"q_{n}": v for n, v in x.items()} | {f"t_{n}": v[at] for n, v in have.items()} | {
+                        "q_at": np.arange(i, i + len(x["id"])), "t_at": at, "n": (len(ask["id"]), len(have["id"]))}
+                i += len(x["id"])
+                size = block_rows if size * 2 > block_rows else size * 2
+
+        found = compare(chunks()) if whole else (b for got in chunks() for b in compare(got))
+        return pa.concat_tables([empty, *[pa.Table.from_batches([b]) for b in found]])
 
     return asked.groupBy("slice", "share").cogroup(slices.groupBy("slice", "share")).applyInArrow(run, schema)
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from presslens.functions import vectors as VF
+from presslens.operators import cells
 from presslens.session import cut_lineage
 
 
@@ -291,6 +292,79 @@ def compared_pairs(points: DataFrame, eps: float, emb_col: str = "embedding", id
     return pairs.agg(F.sum(F.size("ids_a").cast("long") * F.size("ids"))).first()[0] or 0
 
 
+def _hits(got: dict, eps: float):
+    """Which queries (rows) and points (columns) are different ids within ``eps``."""
+    import numpy as np
+
+    near, room = cells.squared(got)
+    hit = near <= eps * eps - room * (1 + eps * eps)
+    # the product only proposes; near the edge the difference decides
+    x, y = np.nonzero((near <= eps * eps + room * (1 + eps * eps)) & ~hit)
+    for i in range(0, len(x), 100_000):
+        p, q = x[i:i + 100_000], y[i:i + 100_000]
+        hit[p, q] = ((got["q_e"][p] - got["t_e"][q]) ** 2).sum(1) <= eps * eps
+    hit[got["q_id"][:, None] == got["t_id"][None]] = False
+    return hit
+
+
+def _linked(chunks, eps: float):
+    """(a, b, core): of the core queries and points of a task, edges that connect what all their neighbours connect (core 1), at
+    most one a row; of the other queries, all their core neighbours (core 0), fewer than the density asks for."""
+    import numpy as np
+    import pyarrow as pa
+
+    def batch(a, b, core):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), core, np.int32))], names=["a", "b", "core"])
+
+    parent = ids = None
+    for got in chunks:
+        n = got["n"]
+        if parent is None:
+            parent, ids = np.arange(sum(n)), np.zeros(sum(n), np.int64)
+        q_at, t_at = got["q_at"], n[0] + got["t_at"]
+        ids[q_at], ids[t_at] = got["q_id"], got["t_id"]
+        hit = _hits(got, eps)
+        hit[:, got["t_core"] == 0] = False
+        core = got["q_core"] == 1
+        x, y = np.nonzero(hit[~core])
+        yield batch(got["q_id"][~core][x], got["t_id"][y], 0)
+        for i in np.flatnonzero(core):
+            some = np.append(t_at[hit[i]], q_at[i])
+            top = parent[some]
+            while ((up := parent[top]) != top).any():
+                top = up
+            parent[top] = parent[some] = top.min()
+    if parent is not None:
+        while ((up := parent[parent]) != parent).any():
+            parent = up
+        a, b = ids, ids[parent]
+        yield batch(a[a != b], b[a != b], 1)
+
+
+def _density_links(points: DataFrame, eps: float, min_pts: int, emb_col: str) -> tuple[DataFrame, DataFrame]:
+    """(vid, core), and (a, b) both ways: links that connect core points as all neighbours do, and those of other points to theirs.
+
+    Every point meets the cells within ``eps`` (:mod:`presslens.operators.cells`) twice: to be counted, and to be linked.  Neighbours
+    are told by matrix products of bounded size and never become rows, so what is written follows the points and not their pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    where, placed = cells.build(points.select(F.col("vid").cast("bigint").alias("id"), F.col(emb_col).alias("e"), F.col("weight").cast("double").alias("weight")), ("weight",))
+    asked = cut_lineage(placed.withColumn("reach", F.lit(float(eps))))
+
+    def count(got):
+        n = _hits(got, eps) @ got["t_weight"]
+        yield pa.RecordBatch.from_arrays([pa.array(got["q_id"][n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["a", "n"])
+
+    counts = cells.meet(asked, asked, where, count, "a bigint, n bigint", extra=("weight",)).groupBy("a").agg(F.sum("n").alias("_nw"))
+    known = cut_lineage(asked.join(counts.withColumnRenamed("a", "id"), "id", "left").withColumn(
+        "core", (F.col("weight") + F.coalesce("_nw", F.lit(0)) >= min_pts).cast("int")).drop("_nw"))
+    links = cut_lineage(cells.meet(known, known.filter("core = 1"), where, lambda chunks: _linked(chunks, eps), "a bigint, b bigint, core int",
+                                   extra=("core",), whole=True).distinct())
+    back = links.filter("core = 1").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return known.select(F.col("id").alias("vid"), (F.col("core") == 1).alias("core")), links.select("a", "b").unionByName(back)
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame, node_col: str = "vid", max_rounds: int = 100) -> DataFrame:
     """Smallest node id of each connected component: min-label propagation with hooking and pointer jumping.
 
@@ -325,20 +399,24 @@ def density_clusters(df: DataFrame, eps: float, min_pts: int = 5, min_size: int
     Cluster ids are the smallest key of a core point in the cluster (deterministic).  Core point:
     at least ``min_pts`` rows (itself and copies included) within ``eps``.  Border points take the
     smallest label among their core neighbours.  With ``tables`` > 0 neighbours come from
-    :func:`likely_neighbours` (``bits`` hyperplanes a table), which may miss some; 0 is exact.
+    :func:`likely_neighbours` (``bits`` hyperplanes a table), which may miss some; 0 is exact.  Exact neighbours are counted and linked where they
+    are found and are not listed; only keys that are no whole numbers list them, by the grid of ``grid_dims`` axes.
     """
     # 1. identical vectors collapse to one weighted point (copies never produce pair rows)
     src = df.select(key, F.col(emb_col).cast("array<double>").alias("_e"))
     # null vectors are noise
     points = cut_lineage(src.filter(F.col("_e").isNotNull()).groupBy("_e").agg(F.min(key).alias("vid"), F.count(F.lit(1)).alias("weight"))
                             .withColumnRenamed("_e", emb_col))
-    near = (likely_neighbours(points, eps, tables, bits, emb_col) if tables else
-            epsilon_neighbours(points, eps, emb_col, grid_dims=grid_dims))
-    nb = cut_lineage(near)   # used four times below: computed once
-    counts = nb.groupBy("a").agg(F.sum("wb").alias("_nw"))
-    core = (points.join(counts.withColumnRenamed("a", "vid"), "vid", "left")
-                  .select("vid", (F.col("weight") + F.coalesce(F.col("_nw"), F.lit(0)) >= min_pts).alias("core")))
-    core = cut_lineage(core)
+    whole_numbers = points.schema["vid"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    if tables or not whole_numbers:
+        near = (likely_neighbours(points, eps, tables, bits, emb_col) if tables else
+                epsilon_neighbours(points, eps, emb_col, grid_dims=grid_dims))
+        nb = cut_lineage(near)   # used four times below: computed once
+        counts = nb.groupBy("a").agg(F.sum("wb").alias("_nw"))
+        core = cut_lineage(points.join(counts.withColumnRenamed("a", "vid"), "vid", "left")
+                           .select("vid", (F.col("weight") + F.coalesce(F.col("_nw"), F.lit(0)) >= min_pts).alias("core")))
+    else:
+        core, nb = _density_links(points.filter("vid IS NOT NULL"), eps, min_pts, emb_col)
     core_ids = core.filter("core").select("vid")
     core_edges = (nb.join(core_ids.withColumnRenamed("vid", "a"), "a", "left_semi")
                     .join(core_ids.withColumnRenamed("vid", "b"), "b", "left_semi"))

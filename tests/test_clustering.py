@@ -180,3 +180,23 @@ def test_density_clusters_by_candidates_equal_the_exact_ones_on_clouds(spark):
     assert exact[9999] == -1 and len(set(exact.values())) == 21
     empty = M.density_clusters(df.limit(0), 0.3, tables=4)
     assert empty.count() == 0
+
+
+def test_neighbours_are_linked_without_being_listed(spark, monkeypatch):
+    """One dense ball: n^2 neighbours, but what is written follows the points."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    X = np.concatenate([rng.normal(size=(600, 8)) * 0.05, rng.normal(size=(200, 8)) * 0.05 + 3, rng.normal(size=(9, 8)) + 40])
+    df = spark.createDataFrame([(i + 7, v.tolist()) for i, v in enumerate(X)], "orig_index long, embedding array<double>")
+    most, cut = [], M.cut_lineage
+
+    def watch(rows):
+        out = cut(rows)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "cut_lineage", watch)
+    got = dict(map(tuple, M.density_clusters(df, 1.0, min_pts=5, min_size=5).collect()))
+    assert got == {i + 7: 7 if i < 600 else 607 if i < 800 else -1 for i in range(809)}
+    assert max(most) <= 10 * len(X)
