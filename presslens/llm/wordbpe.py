@@ -41,6 +41,8 @@ SCANNED = 256
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _PLAIN = re.compile("[\x21-\x7e\xa1-\xff]+\\Z")
 NO_RANK = np.int32(1 << 30)
+#: A piece without a word.
+_NOTHING = ("", "")
 
 
 class WordBpe:
@@ -162,15 +164,15 @@ class WordBpe:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the words of all pieces that are not yet known."""
-        new = {p for t in texts for p in t if p not in self.pieces and p not in self.special}
-        if len(self.pieces) + len(new) > PIECES:
-            self.pieces.clear()
-            new = {p for t in texts for p in t if p not in self.special}
+        some = set().union(*texts).difference(self.special)
+        new = some.difference(self.pieces)
+        if len(self.pieces) + len(new) > PIECES:  # those of this batch stay: what is frequent is not learnt anew
+            self.pieces = {p: self.pieces[p] for p in some.difference(new)}
         cut = {p: self._cut(p) for p in new}
-        fresh = {w for ws in cut.values() for w in ws} - self.words.keys()
+        needed = set().union(*cut.values())
+        fresh = needed.difference(self.words)
         if len(self.words) + len(fresh) > WORDS:
-            self.words.clear()
-            fresh = {w for ws in cut.values() for w in ws}
+            self.words = {w: self.words[w] for w in needed.difference(fresh)}
         by_width: dict[int, list[bytes]] = {}
         for w in fresh:
             if len(w) <= SHORT:
@@ -183,8 +185,11 @@ class WordBpe:
                 for w, ids in zip(some, self.merge_rows(some), strict=True):
                     self._keep(w, ids)
         for p, ws in cut.items():
-            got = [self.words[w] for w in ws]
-            self.pieces[p] = " ".join(g[0] for g in got), " ".join(g[1] for g in got)
+            if len(ws) == 1:
+                self.pieces[p] = self.words[ws[0]]
+            else:
+                got = [self.words[w] for w in ws]
+                self.pieces[p] = " ".join([g[0] for g in got]), " ".join([g[1] for g in got])
         for s, i in self.special.items():
             self.pieces[s] = str(i), s
 
@@ -204,7 +209,9 @@ class WordBpe:
         out = []
         for t in split:
             got = [self.pieces[p] for p in t]
-            out.append((" ".join([g[0] for g in got if g[0]]), " ".join([g[1] for g in got if g[0]])))
+            if _NOTHING in got:  # a piece of which no character is left
+                got = [g for g in got if g[0]]
+            out.append((" ".join([g[0] for g in got]), " ".join([g[1] for g in got])))
         return out
 
 

@@ -115,3 +115,19 @@ def test_harmonic_pieces_and_sequences(spark):
         assert at <= 1024
     assert len(sequences) * 1024 - total < 0.05 * total + 1024
     assert harmonic.pack_documents(empty(spark)).count() == 0
+
+
+def test_word_bpe_keeps_the_frequent_when_its_cache_is_full(monkeypatch):
+    import public_tokenizers
+    from presslens.llm import wordbpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [[f"the river {i} runs past{i % 7} \x00 the old-mill{i}" for i in range(n, n + 20)] for n in range(0, 200, 20)]
+    want = [wordbpe.WordBpe(path).encode_decode(t) for t in texts]
+    monkeypatch.setattr(wordbpe, "PIECES", 60)
+    monkeypatch.setattr(wordbpe, "WORDS", 60)
+    small, cut = wordbpe.WordBpe(path), []
+    learn = small._cut
+    small._cut = lambda piece: cut.append(piece) or learn(piece)
+    assert [small.encode_decode(t) for t in texts] == want
+    assert cut.count("the") == cut.count("river") == 1
