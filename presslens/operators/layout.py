@@ -1,20 +1,21 @@
 """Neighbour graph by neighbour descent and a 2-D layout of it.
 
-* ``neighbour_descent``: rows meet in a few tables of random-hyperplane buckets, cut into blocks of bounded size, and then in
-  rounds in the neighbour lists of every row ("a neighbour of a neighbour is a neighbour"), whose length is bounded by
-  2 k + 1.  Distances are exact; which neighbours are found is not (the test measures recall).
+* ``neighbour_descent``: rows meet in the cells of a few pivots near them, and then in rounds in the cells of their neighbours ("a
+  neighbour of a neighbour is a neighbour").  Cells that lie together make up slices; a vector is sent once to a slice, not to
+  each list or cell.  Distances are exact; which neighbours are found is not (the test measures recall).
 * ``fuzzy_edges``: weights that fall with the distance beyond the nearest neighbour, scaled so that those of a row sum to
   log2 k, joined over both directions as a + b - a b.
-* ``layout``: rounds of bounded moves from the two principal components.  Edges pull (two joins and a partial sum); all other
-  rows push, summed up by the cells of a grid of bounded size, the only thing that travels with the tasks.
+* ``layout``: rounds of bounded moves from the two principal components.  Edges pull; they stay in the slice of their row, and
+  only places travel.  All other rows push, summed up by the cells of a grid of bounded size, which travels with the tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presslens.operators import cells
 from presslens.operators.clustering import column_means, pca
 from presslens.session import cut_lineage
 
@@ -24,83 +25,159 @@ CURVE_A, CURVE_B = 1.577, 0.895
 MOST_FORCE, PUSHES = 4.0, 5
 #: Grid cells on each side of the centre, and their width.
 GRID, CELL = 16, 1.25
+#: Least points of a cell, on average; bounds of the rows of a slice; and for how many times its rows in visitors a slice is dealt out.
+LEAF, LEAST_SLICE, MOST_SLICE, SHARE_SLICES = 128, 2048, 131_072, 8
+#: The neighbours of a row, nearest first.
+NEAR = "array<struct<d:double,t:bigint,part:int>>"
 
 
-def _met(batches, k: int):
-    """The k nearest other members of every member of every list (m_id, m_e flat): (q, t, d)."""
-    import pyarrow as pa
-
-    for b in batches:
-        for i in range(b.num_rows):
-            ids = b.column(0)[i].values.to_numpy()
-            X = b.column(1)[i].values.to_numpy().reshape(len(ids), -1)
-            order = np.argsort(ids, kind="stable")
-            ids, X = ids[order], X[order]
-            sq = (X * X).sum(1)
-            D = sq[:, None] + sq[None] - 2 * (X @ X.T)
-            D[ids[:, None] == ids[None]] = np.inf
-            take = np.argsort(D, axis=1, kind="stable")[:, :k]
-            q, t = np.repeat(np.arange(len(ids)), take.shape[1]), take.ravel()
-            q, t = (x[ids[q] != ids[t]] for x in (q, t))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(ids[t]), pa.array(np.sqrt(((X[q] - X[t]) ** 2).sum(1)))],
-                                             names=["q", "t", "d"])
-
+def _home(points: DataFrame, leaf: int = LEAF) -> tuple[cells.Directory, DataFrame]:
+    """The cells, and the points (id, e) with their ``part``: the cell as far as it lies in one slice.
 
-def _meet(lists: DataFrame, keys: list[str], k: int) -> DataFrame:
-    rows = lists.groupBy(*keys).agg(F.collect_list(F.struct("id", "e")).alias("r"))
-    return rows.select(F.col("r.id").alias("ids"), F.flatten("r.e").alias("e")).mapInArrow(
-        lambda batches: _met(batches, k), "q bigint, t bigint, d double")
+    Cells hold about ``leaf`` points or more; slices hold cells that lie together and are bounded in rows.
+    """
+    n, tasks = points.count(), 2 * points.sparkSession.sparkContext.defaultParallelism
+    slice_rows = max(LEAST_SLICE, min(MOST_SLICE, -(-n // tasks)))
+    where, placed = cells.build(points, (), max(1, min(cells.MOST_CELLS, n // leaf)), max(1, slice_rows // cells.SLICE_BLOCKS))
+    part = where.slice_of(F.col("cell"), F.col("sub")) * F.lit(len(where.subs)) + F.col("cell")
+    return where, placed.select("id", "e", part.cast("int").alias("part"))
 
 
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))
-    return cut_lineage(edges.groupBy("q", "t").agg(F.min("d").alias("d")).withColumn("_n", first).filter(F.col("_n") <= k).drop("_n"))
+def _first_parts(where: cells.Directory, homes: DataFrame, tables: int, seed: int) -> DataFrame:
+    """(id, part, go): the parts that a row meets first, up to two of its own and of each of the cells of the nearest pivots.
 
+    Only a cell of many copies has more than two: slices are far larger than other cells."""
+    import pyarrow as pa
 
-def neighbour_descent(points: DataFrame, k: int = 15, tables: int = 4, leaf: int = 128, rounds: int = 6,
-                      seed: int = 42, settled: float = 0.001) -> DataFrame:
-    """(q, t, d): about the k nearest other points of each of ``points`` (distinct id bigint, e array of double, no nulls).
+    held, pivots = where.slices(), len(where.subs)
+    first, count = held.argmax(1), np.maximum(held.sum(1), 1)  # the slices of a cell follow each other
 
-    Rounds end when a share of ``settled`` or less of the edges is new.  Fewer than k other points give all of them; an empty
-    table gives no edges.  Copies of one vector fall into one bucket of every table, which is cut by a hash of the id.
-    """
+    def near(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, own = b.column("id").to_numpy(), b.column("part").to_numpy()
+            d = where.bounds(b.column("e").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(float), 0.0)
+            d[:, ~held.any(1)] = np.inf
+            d[np.arange(len(own)), own % pivots] = -np.inf
+            cell = np.argsort(d, axis=1, kind="stable")[:, :min(tables, int(held.any(1).sum()))]
+            at = (ids[:, None] + seed) % count[cell]
+            at[:, 0] = own // pivots - first[own % pivots]
+            go = np.stack([(first[cell] + (at + i) % count[cell]) * pivots + cell for i in (0, 1)], 2).reshape(len(ids), -1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("part"), pa.ListArray.from_arrays(
+                pa.array(np.arange(len(go) + 1, dtype=np.int32) * go.shape[1]), pa.array(go.ravel().astype(np.int32)))], names=["id", "part", "go"])
+
+    return homes.mapInArrow(near, "id bigint, part int, go array<int>").withColumn("go", F.array_distinct("go"))
+
+
+def _under(D: np.ndarray, reach: np.ndarray, k: int, room: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the entries within ``reach`` (squared) and among the k least of their row, ties included."""
+    ok = D <= (reach + room)[:, None]
+    many = np.flatnonzero(ok.sum(1) > k)
+    if len(many):
+        some = D[many]
+        ok[many] &= some <= (np.partition(some, k - 1, axis=1)[:, k - 1] + room)[:, None]
+    return np.nonzero(ok)
+
+
+def _compare(got, k: int):
+    """Candidates (q, t, part of t, d) in both directions of the rows of one slice and the rows that visit its parts."""
     import pyarrow as pa
 
+    ids, part, reach = (got[c].to_numpy() for c in ("id", "part", "reach"))
+    X = got["e"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(float)
+    go = got["parts"].combine_chunks()
+    asks, to = np.repeat(np.arange(len(ids)), np.diff(go.offsets.to_numpy())), go.flatten().to_numpy()
+    homes = np.flatnonzero(got["home"].to_numpy())
+    homes = homes[np.lexsort((ids[homes], part[homes]))]
+    order = np.lexsort((ids[asks], to))
+    asks, to = asks[order], to[order]
+    sq, limit = (X * X).sum(1), reach * reach
+    room = 1e-9 * (1 + float(sq.max()))
+    found, held = [], 0
+
+    def best():  # the k nearest so far of each row, each once; nothing beyond them is kept from here on
+        q, t, d = (np.concatenate(v) for v in zip(*found, strict=True))
+        order = np.lexsort((ids[t], d, q))
+        q, t, d = q[order], t[order], d[order]
+        same = np.append(False, (q[1:] == q[:-1]) & (ids[t[1:]] == ids[t[:-1]]))
+        q, t, d = q[~same], t[~same], d[~same]
+        at = np.concatenate(([0], np.cumsum(np.bincount(q, minlength=len(ids)))))[q]
+        rank = np.arange(len(q)) - at
+        limit[q[rank == k - 1]] = d[rank == k - 1] ** 2
+        return q[rank < k], t[rank < k], d[rank < k]
+
+    own = part[asks] == to
+    for first, p in [(f, p) for f in (True, False) for p in np.unique(to[own == f])]:  # a row's own part gives the first bound
+        T = homes[np.searchsorted(part[homes], p):np.searchsorted(part[homes], p, "right")]
+        every = slice(np.searchsorted(to, p), np.searchsorted(to, p, "right"))
+        every = asks[every][own[every] == first]
+        step = max(1, cells.MOST_PAIRS // max(1, len(T)))
+        for i in range(0, len(every) if len(T) else 0, step):
+            Q = every[i:i + step]
+            D = sq[Q][:, None] + sq[T][None] - 2 * (X[Q] @ X[T].T)
+            D[ids[Q][:, None] == ids[T][None]] = np.inf
+            x, y = _under(D, limit[Q], k, room)
+            v, u = _under(D.T, limit[T], k, room)
+            q, t = np.concatenate([Q[x], T[v]]), np.concatenate([T[y], Q[u]])
+            some = ids[q] != ids[t]
+            q, t = q[some], t[some]
+            d = np.sqrt(((X[q] - X[t]) ** 2).sum(1))
+            some = d <= reach[q]
+            found.append((q[some], t[some], d[some]))
+            held += int(some.sum())
+            if held > k * len(ids):
+                found, held = [best()], 0
+    if not found:
+        return pa.schema([("q", pa.int64()), ("t", pa.int64()), ("part", pa.int32()), ("d", pa.float64())]).empty_table()
+    q, t, d = best()
+    return pa.table({"q": ids[q], "t": ids[t], "part": part[t].astype(np.int32), "d": d})
+
+
+def neighbour_descent(points: DataFrame, k: int = 15, tables: int = 20, leaf: int = LEAF, rounds: int = 6,
+                      seed: int = 42, settled: float = 0.001, home: tuple[cells.Directory, DataFrame] | None = None) -> DataFrame:
+    """(q, t, d): about the k nearest other points of each of ``points`` (distinct id bigint, e array of float or double, no nulls).
+
+    A row first meets its own cell and those of the nearest pivots (``tables`` in all), then in every round the parts that hold
+    its neighbours and that it has not met.  Its vector is sent once to each slice it has to meet, with the distance
+    of its k-th neighbour: only what is nearer comes back.  Rounds end when a share of ``settled`` or less of the edges is
+    new.  Fewer than k other points give all of them once met; an empty table gives no edges.
+    """
     n = points.count()
     if n < 2:
         return points.select(F.col("id").alias("q"), F.col("id").alias("t"), F.lit(0.0).alias("d")).limit(0)
-    middle = np.array(column_means(points, "e"))
-    bits = max(0, min(40, int(np.ceil(np.log2(n / leaf)))))
-    planes = np.random.default_rng(seed).normal(size=(len(middle), tables * bits))
-    power = 1 << np.arange(bits, dtype=np.int64)
-
-    def bucket(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            X = b.column("e").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - middle
-            codes = ((X @ planes > 0).reshape(len(X), tables, bits) * power).sum(2).astype(np.int64)
-            for i in range(tables):
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("e"), pa.array(np.full(len(X), i, np.int32)), pa.array(codes[:, i])],
-                                                 names=["id", "e", "tab", "code"])
-
-    placed = cut_lineage(points.select("id", "e").mapInArrow(bucket, "id bigint, e array<double>, tab int, code bigint"))
-    shares = placed.groupBy("tab", "code").agg(F.ceil(F.count("*") / leaf).alias("of"))
-    block = F.expr("pmod(xxhash64(id, tab), of)").alias("block")
-    blocks = placed.join(shares, ["tab", "code"]).select("tab", "code", block, "id", "e")
-    edges = _best(_meet(blocks, ["tab", "code", "block"], k), k)
-    for step in range(rounds):
-        back = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("m", F.lit(step)), "m"))
-        reverse = edges.select(F.col("t").alias("v"), F.col("q").alias("m")).withColumn("_n", back).filter(F.col("_n") <= k).drop("_n")
-        members = edges.select(F.col("q").alias("v"), F.col("t").alias("m")).unionByName(reverse).unionByName(
-            points.select(F.col("id").alias("v"), F.col("id").alias("m"))).distinct()
-        lists = members.join(points.select(F.col("id").alias("m"), "e"), "m").select("v", F.col("m").alias("id"), "e")
-        better = _best(edges.unionByName(_meet(lists, ["v"], k)), k)
-        new = better.join(edges, ["q", "t"], "left_anti").count()
-        edges = better
-        if new <= settled * n * k:
-            break
-    return edges
+    where, homes = home or _home(points, leaf)
+    pivots, slices = len(where.subs), where.slices().shape[1]
+    slice_of = lambda part: F.floor(part / F.lit(pivots)).cast("int")
+    state = cut_lineage(_first_parts(where, homes, tables, seed).select("id", "part", "go", F.expr(f"cast(array() as {NEAR})").alias("near"),
+                                                                         F.expr("cast(array() as array<int>)").alias("seen"), F.lit(0).alias("new")))
+    vectors = homes.select("id", "e").repartition(slices, "id").persist()
+    try:
+        for _ in range(1 + rounds):
+            calls = F.array_distinct(F.transform("go", slice_of))
+            asked = {r["s"]: r["n"] for r in state.select(F.explode(calls).alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
+            shares = [-(-asked.get(s, 1) // (SHARE_SLICES * where.slice_rows)) for s in range(slices)]  # a slice that many visit is dealt out
+            rows = state.select("id", "part", "go", F.coalesce(F.try_element_at("near", F.lit(k))["d"], F.lit(float("inf"))).alias("reach"))
+            rows = rows.join(vectors, "id").withColumn("slice", F.explode(F.array_union(F.array(slice_of(F.col("part"))), calls)))
+            of = F.try_element_at(F.array(*[F.lit(max(1, s)) for s in shares]), F.col("slice") + 1)
+            mine = F.pmod(F.xxhash64("id", F.lit(seed)), of).cast("int")
+            is_home = F.col("slice") == slice_of(F.col("part"))
+            rows = rows.withColumn("home", is_home).withColumn("share", F.explode(
+                F.when(is_home, F.sequence(F.lit(0), of - 1)).otherwise(F.array(mine))))
+            parts = F.when(F.col("share") == mine, F.filter("go", lambda p: slice_of(p) == F.col("slice"))).otherwise(F.expr("cast(array() as array<int>)"))
+            met = rows.select("slice", "share", "id", "e", "part", "reach", "home", parts.alias("parts")).groupBy("slice", "share").applyInArrow(
+                lambda got: _compare(got, k), "q bigint, t bigint, part int, d double")
+            found = met.groupBy(F.col("q").alias("id")).agg(F.collect_list(F.struct("d", "t", "part")).alias("found"))
+            both = state.join(found, "id", "left").select(
+                "id", "part", F.array_union("seen", "go").alias("seen"), F.col("near.t").alias("had"),
+                F.slice(F.array_sort(F.array_union("near", F.coalesce("found", F.expr(f"cast(array() as {NEAR})")))), 1, k).alias("near"))
+            state = cut_lineage(both.select("id", "part", F.array_except(F.col("near.part"), "seen").alias("go"), "near", "seen",
+                                            F.size(F.array_except(F.col("near.t"), "had")).alias("new")))
+            if (state.agg(F.sum("new")).first()[0] or 0) <= settled * n * k:
+                break
+    finally:
+        vectors.unpersist()
+    return state.select(F.col("id").alias("q"), F.explode("near").alias("r")).select("q", "r.t", "r.d")
 
 
 def fuzzy_edges(edges: DataFrame) -> DataFrame:
@@ -147,14 +224,44 @@ def _cell(p: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(p / CELL), -GRID, GRID)
 
 
-def layout(points: DataFrame, graph: DataFrame, rounds: int = 20, rate: float = 0.3, seed: int = 42) -> DataFrame:
+def _pull(a: np.ndarray, b: np.ndarray, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Weighted mean pull along the edges (a, b, w) on every row; ``a`` and ``b`` are places in ``x`` and ``y``."""
+    dx, dy = x[a] - x[b], y[a] - y[b]
+    d2 = dx * dx + dy * dy
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pull = np.where(d2 > 0, -2 * CURVE_A * CURVE_B * d2 ** (CURVE_B - 1) / (1 + CURVE_A * d2 ** CURVE_B), 0.0)
+    total = np.bincount(a, w, len(x))
+    return [np.bincount(a, w * np.clip(pull * v, -MOST_FORCE, MOST_FORCE), len(x)) / np.where(total > 0, total, 1) for v in (dx, dy)]
+
+
+def _mover(grid: np.ndarray, alpha: float, n: int):
+    """A round's move of the rows of a slice, from their places, those of their neighbours and the edges."""
+    import pyarrow as pa
+
+    def move(places, edges):
+        ids, x, y, own = (places[c].to_numpy() for c in ("id", "x", "y", "own"))
+        order = np.argsort(ids, kind="stable")
+        ids, x, y, own = ids[order], x[order], y[order], own[order]
+        a, b = (np.searchsorted(ids, edges[c].to_numpy()) for c in "ab")
+        order = np.lexsort((b, a))
+        pull = [f[own] for f in _pull(a[order], b[order], edges["w"].to_numpy()[order], x, y)]
+        x, y = x[own], y[own]
+        push = [np.concatenate(v) for v in zip((x[:0], y[:0]), *[
+            _push(x[i:i + 1000], y[i:i + 1000], grid, n) for i in range(0, len(x), 1000)], strict=True)]
+        new = [np.round(v + alpha * np.clip(f + PUSHES * g, -MOST_FORCE, MOST_FORCE), 6) for v, f, g in zip((x, y), pull, push, strict=True)]
+        return pa.table({"id": ids[own], "x": new[0], "y": new[1]})
+
+    return move
+
+
+def layout(points: DataFrame, graph: DataFrame, rounds: int = 20, rate: float = 0.3, seed: int = 42,
+           home: tuple[cells.Directory, DataFrame] | None = None) -> DataFrame:
     """(id, x, y) of every point: moves of at most ``rate`` times ``MOST_FORCE`` a round, falling to none.
 
     A point without an edge is only pushed.  Coordinates are rounded to six decimals each round, so that the order of adding does not
-    show; copies are told apart by a jitter drawn from the id.
+    show; copies are told apart by a jitter drawn from the id.  Edges stay with the slice of their row; in a round a row's place
+    is sent once to each slice that has an edge to it.
     """
-    import pyarrow as pa
-
     n = points.count()
     jitter = [(F.pmod(F.xxhash64("id", F.lit(seed + i)), F.lit(1000)) / 1e5).alias(c) for i, c in enumerate("xy")]
     if n < 3:
@@ -164,29 +271,26 @@ def layout(points: DataFrame, graph: DataFrame, rounds: int = 20, rate: float =
     p = [F.coalesce(F.try_element_at("p", F.lit(i)), F.lit(0.0)) for i in (1, 2)]
     most = flat.agg(F.max(F.greatest(F.abs(p[0]), F.abs(p[1])))).first()[0] or 1.0
     state = cut_lineage(flat.select("id", *[F.round(v * (10 / most) + j, 6).alias(c) for v, j, c in zip(p, jitter, "xy", strict=True)]))
-    graph = cut_lineage(graph)
-    for step in range(rounds):
-        alpha = rate * (1 - step / rounds)
-        at = [F.greatest(F.lit(-GRID), F.least(F.lit(GRID), F.floor(F.col(c) / CELL))).alias(f"c{c}") for c in "xy"]
-        grid = state.groupBy(*at).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-        cells = np.array([tuple(r) for r in grid.orderBy("cx", "cy").collect()], dtype="float64")  # at most (2 GRID + 1)^2
-        ends = [state.select(F.col("id").alias(s), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}")) for s in "ab"]
-        dx, dy = F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")
-        pulled = graph.join(ends[0], "a").join(ends[1], "b").select("a", "w", dx.alias("dx"), dy.alias("dy"), (dx * dx + dy * dy).alias("d2"))
-        pull = F.when(F.col("d2") > 0, -2 * CURVE_A * CURVE_B * F.pow("d2", F.lit(CURVE_B - 1)) / (1 + CURVE_A * F.pow("d2", F.lit(CURVE_B)))).otherwise(0.0)
-        clip = lambda v: F.greatest(F.lit(-MOST_FORCE), F.least(F.lit(MOST_FORCE), v))
-        forces = pulled.groupBy("a").agg(*[(F.sum(F.col("w") * clip(pull * F.col(f"d{c}"))) / F.sum("w")).alias(f"f{c}") for c in "xy"])
-
-        def move(batches, cells=cells, alpha=alpha):
-            for b in batches:
-                x, y, fx, fy = (b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
-                px, py = (np.concatenate(v) if v else np.zeros(0) for v in zip(*[
-                    _push(x[i:i + 1000], y[i:i + 1000], cells, n) for i in range(0, len(x), 1000)], strict=True)) if len(x) else (x, y)
-                new = [np.round(v + alpha * np.clip(f + PUSHES * g, -MOST_FORCE, MOST_FORCE), 6) for v, f, g in ((x, fx, px), (y, fy, py))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, new)], names=["id", "x", "y"])
-
-        moved = state.join(forces, F.col("id") == F.col("a"), "left").select("id", "x", "y", *[F.coalesce(f"f{c}", F.lit(0.0)).alias(f"f{c}") for c in "xy"])
-        state = cut_lineage(moved.mapInArrow(move, "id bigint, x double, y double"))
+    where, homes = home or _home(points)
+    slices = where.slices().shape[1]
+    at_home = homes.select("id", F.floor(F.col("part") / F.lit(len(where.subs))).cast("int").alias("slice"))
+    parts = 2 * slices
+    edges = graph.join(at_home.withColumnRenamed("id", "a"), "a").select("slice", "a", "b", "w").repartition(parts, "slice").persist()
+    wanted = edges.select(F.col("b").alias("id"), "slice").unionByName(at_home).groupBy("id").agg(F.collect_set("slice").alias("slices"))
+    wanted = wanted.join(at_home, "id").select("id", "slice", "slices").repartition(parts, "id").persist()
+    try:
+        for step in range(rounds):
+            alpha = rate * (1 - step / rounds)
+            at = [F.greatest(F.lit(-GRID), F.least(F.lit(GRID), F.floor(F.col(c) / CELL))).alias(f"c{c}") for c in "xy"]
+            grid = state.groupBy(*at).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+            table = np.array([tuple(r) for r in grid.orderBy("cx", "cy").collect()], dtype="float64")  # at most (2 GRID + 1)^2
+            sent = state.join(wanted, "id").select("id", "x", "y", F.explode("slices").alias("to"), "slice")
+            sent = sent.select(F.col("to").alias("slice"), "id", "x", "y", (F.col("to") == F.col("slice")).alias("own"))
+            moved = sent.groupBy("slice").cogroup(edges.groupBy("slice")).applyInArrow(_mover(table, alpha, n), "id bigint, x double, y double")
+            state = cut_lineage(moved)
+    finally:
+        edges.unpersist()
+        wanted.unpersist()
     return state
 
 
@@ -198,8 +302,10 @@ def neighbour_map(df: DataFrame, key: str = "orig_index", emb_col: str = "embedd
     one of them (the least vector); equal vectors under other keys lie next to each other.  The same seed gives the same map.
     """
     ok = F.col("e").isNotNull() & F.col("id").isNotNull() & ~F.exists("e", lambda v: v.isNull() | F.isnan(v))
-    points = cut_lineage(df.select(F.col(key).cast("bigint").alias("id"), F.col(emb_col).cast("array<double>").alias("e")).filter(ok)
+    kind = "array<float>" if dict(df.dtypes)[emb_col] == "array<float>" else "array<double>"  # floats travel as such
+    points = cut_lineage(df.select(F.col(key).cast("bigint").alias("id"), F.col(emb_col).cast(kind).alias("e")).filter(ok)
                          .groupBy("id").agg(F.min("e").alias("e")))
-    placed = layout(points, fuzzy_edges(neighbour_descent(points, k, seed=seed)), rounds, seed=seed)
+    home = _home(points)
+    placed = layout(points, fuzzy_edges(neighbour_descent(points, k, seed=seed, home=home)), rounds, seed=seed, home=home)
     placed = placed.withColumnRenamed("id", "_place")
     return df.join(placed, F.col(key).cast("bigint") == F.col("_place"), "left").drop("_place")

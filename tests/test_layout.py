@@ -1,7 +1,10 @@
 """Neighbour descent, fuzzy weights and the layout against brute force."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -76,3 +79,76 @@ def test_defined_edges(spark):
     assert {r[0]: r[1] is None for r in one} == {1: False, 2: True}
     same = places([(i, [3.0, 3.0]) for i in range(7)] + [(0, [3.0, 3.0])])
     assert len(same) == 8 and all(math.isfinite(x) and math.isfinite(y) for _, x, y in same)
+
+
+def evenly(n, dims=64, seed=3):
+    X = np.random.default_rng(seed).normal(size=(n, dims)).astype("float32").astype(float)
+    return X / np.linalg.norm(X, axis=1)[:, None]
+
+
+def test_recall_among_evenly_spread_vectors(spark):
+    X = evenly(6000)
+    got = {}
+    for r in L.neighbour_descent(spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(X)], SCHEMA), k=15).collect():
+        got.setdefault(r["q"], {})[r["t"]] = r["d"]
+    hits = 0
+    for i in range(0, 6000, 20):
+        d = np.sqrt(((X - X[i]) ** 2).sum(1))
+        d[i] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:15].tolist()) & set(got[i]))
+        assert len(got[i]) == 15 and i not in got[i]
+    assert hits >= 0.65 * 15 * 300  # no bucket leaves anything out here: it was 0.63
+
+
+def test_copies_and_few_points(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(400)]  # three places: the neighbours of a row are its copies
+    got = {}
+    for r in L.neighbour_descent(spark.createDataFrame(rows, SCHEMA), k=5).collect():
+        got.setdefault(r["q"], []).append((r["t"], r["d"]))
+    assert len(got) == 400 and all(len({t for t, _ in v}) == 5 for v in got.values())
+    assert all(d == 0 and t % 3 == q % 3 and t != q for q, v in got.items() for t, d in v)
+    few = L.neighbour_descent(spark.createDataFrame(rows[:4], SCHEMA), k=5).collect()
+    assert {(r["q"], r["t"]) for r in few} == {(i, j) for i in range(4) for j in range(4) if i != j}
+
+
+def test_slices_that_many_visit_are_dealt_out(spark, monkeypatch):
+    rows = blobs(900, 8, 3)
+    monkeypatch.setattr(L, "LEAST_SLICE", 256)
+    monkeypatch.setattr(L, "SHARE_SLICES", 1)
+    got = {(r["q"], r["t"]) for r in L.neighbour_descent(spark.createDataFrame(rows, SCHEMA), k=10).collect()}
+    true = {(i, int(j)) for i, near in enumerate(nearest(np.array([e for _, e in rows]), 10)) for j in near}
+    assert len(got) == 9000 and len(got & true) >= 0.9 * 9000
+
+
+MOVED = """
+import glob, json, sys
+import numpy as np
+from pyspark.sql import SparkSession
+from presslens.operators.layout import neighbour_map
+
+at, n = sys.argv[1], int(sys.argv[2])
+spark = SparkSession.builder.master("local[4]").config(map={
+    "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.shuffle.partitions": "8", "spark.checkpoint.dir": at + "/kept",
+    "spark.eventLog.enabled": "true", "spark.eventLog.dir": "file://" + at, "spark.eventLog.compress": "false",
+    "spark.eventLog.rolling.enabled": "false"}).getOrCreate()
+X = np.random.default_rng(3).normal(size=(n, 64))
+rows = [(i, e.tolist()) for i, e in enumerate(X / np.linalg.norm(X, axis=1)[:, None])]
+out = neighbour_map(spark.createDataFrame(rows, "orig_index bigint, embedding array<float>"))
+assert out.filter("x is not null and y is not null").count() == n
+spark.stop()
+moved = 0
+for f in glob.glob(at + "/local-*"):
+    for e in map(json.loads, open(f)):
+        if e["Event"] == "SparkListenerTaskEnd" and e.get("Task Metrics"):
+            m = e["Task Metrics"]
+            moved += m["Shuffle Write Metrics"]["Shuffle Bytes Written"] + m["Disk Bytes Spilled"] + m["Output Metrics"]["Bytes Written"]
+print("moved", moved)
+"""
+
+
+def test_what_a_map_moves_for_a_row(tmp_path):
+    repo, n = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), 4000
+    out = subprocess.run([sys.executable, "-c", MOVED, str(tmp_path), str(n)], cwd=repo, env=os.environ | {"PYTHONPATH": repo},
+                         capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-3000:]
+    assert int(out.stdout.split()[-1]) <= 20_000 * n  # it was 88,500 bytes a row
