@@ -189,6 +189,32 @@ def meet(queries: DataFrame, points: DataFrame, where: Directory, compare: Calla
     return asked.groupBy("slice", "share").cogroup(slices.groupBy("slice", "share")).applyInArrow(run, schema)
 
 
+class Frame:
+    """Where single precision stands for vectors: moved and scaled so that little is lost.  It only proposes; double precision decides."""
+
+    def __init__(self, X: np.ndarray):
+        ok = X[np.isfinite(X).all(1)] if len(X) else X
+        self.centre = ok.mean(0, dtype="float64") if len(ok) else np.zeros(X.shape[1])
+        most = float(np.abs(ok - self.centre).max()) if len(ok) else 0.0
+        self.scale = 2.0 ** -np.frexp(most)[1] if 0 < most < np.inf else 1.0
+        self.unit = 1.1 * (X.shape[1] + 10) * 2.0 ** -24
+
+    def sides(self, X: np.ndarray, points: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose products (queries by points) are - distance^2 / 2 in this frame, and their squared lengths.
+
+        A product is wrong by at most ``unit`` times the sum of both squared lengths.  A point that is not finite is at no
+        finite distance."""
+        Y = (X - self.centre) * self.scale
+        bad = ~np.isfinite(Y).all(1)
+        Y[bad] = 0
+        sq = (Y * Y).sum(1)
+        out = np.empty((len(Y), Y.shape[1] + 2), np.float32)
+        out[:, :-2] = Y
+        out[:, -2], out[:, -1] = (-sq / 2, 1) if points else (1, -sq / 2)
+        out[bad, -2 if points else -1] = -np.inf
+        return out, sq
+
+
 def squared(got: dict) -> tuple[np.ndarray, float]:
     """Squared distances by a matrix product, and how far rounding may have moved them."""
     A, B = got["q_e"], got["t_e"]

@@ -26,9 +26,12 @@ MOST_FORCE, PUSHES = 4.0, 5
 #: Grid cells on each side of the centre, and their width.
 GRID, CELL = 16, 1.25
 #: Least points of a cell, on average; bounds of the rows of a slice; and for how many times its rows in visitors a slice is dealt out.
-LEAF, LEAST_SLICE, MOST_SLICE, SHARE_SLICES = 128, 2048, 131_072, 8
-#: The neighbours of a row, nearest first.
-NEAR = "array<struct<d:double,t:bigint,part:int>>"
+LEAF, LEAST_SLICE, MOST_SLICE, SHARE_SLICES = 128, 2048, 131_072, 4
+#: How many visits a row, on average, are made in one step of a round.
+VISITS = 4
+#: Rows whose neighbours a task brings together.  The state of a row: parts to visit; neighbours, their distances and parts, nearest first; parts visited.
+BUCKET = 16_384
+STATE = "id bigint, bucket int, part int, go array<int>, t array<bigint>, d array<double>, near array<int>, seen array<int>, new int"
 
 
 def _home(points: DataFrame, leaf: int = LEAF) -> tuple[cells.Directory, DataFrame]:
@@ -43,8 +46,8 @@ def _home(points: DataFrame, leaf: int = LEAF) -> tuple[cells.Directory, DataFra
     return where, placed.select("id", "e", part.cast("int").alias("part"))
 
 
-def _first_parts(where: cells.Directory, homes: DataFrame, tables: int, seed: int) -> DataFrame:
-    """(id, part, go): the parts that a row meets first, up to two of its own and of each of the cells of the nearest pivots.
+def _first_parts(where: cells.Directory, homes: DataFrame, tables: int, seed: int, buckets: int) -> DataFrame:
+    """(id, bucket, part, go): the parts that a row meets first, up to two of its own and of each of the cells of the nearest pivots.
 
     Only a cell of many copies has more than two: slices are far larger than other cells."""
     import pyarrow as pa
@@ -64,74 +67,163 @@ def _first_parts(where: cells.Directory, homes: DataFrame, tables: int, seed: in
             at = (ids[:, None] + seed) % count[cell]
             at[:, 0] = own // pivots - first[own % pivots]
             go = np.stack([(first[cell] + (at + i) % count[cell]) * pivots + cell for i in (0, 1)], 2).reshape(len(ids), -1)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("part"), pa.ListArray.from_arrays(
-                pa.array(np.arange(len(go) + 1, dtype=np.int32) * go.shape[1]), pa.array(go.ravel().astype(np.int32)))], names=["id", "part", "go"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_bucket(ids, buckets)), b.column("part"), pa.ListArray.from_arrays(
+                pa.array(np.arange(len(go) + 1, dtype=np.int32) * go.shape[1]), pa.array(go.ravel().astype(np.int32)))], names=["id", "bucket", "part", "go"])
 
-    return homes.mapInArrow(near, "id bigint, part int, go array<int>").withColumn("go", F.array_distinct("go"))
+    return homes.mapInArrow(near, "id bigint, bucket int, part int, go array<int>").withColumn("go", F.array_distinct("go"))
 
 
-def _under(D: np.ndarray, reach: np.ndarray, k: int, room: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the entries within ``reach`` (squared) and among the k least of their row, ties included."""
-    ok = D <= (reach + room)[:, None]
-    many = np.flatnonzero(ok.sum(1) > k)
+def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """A well mixed number below ``buckets`` for every id."""
+    z = ids.astype(np.uint64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+    return (z % np.uint64(buckets)).astype(np.int32)
+
+
+def _lists(values: np.ndarray, counts: np.ndarray):
+    """An Arrow array of lists of so many values each."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values))
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and the row of each."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def _under(G: np.ndarray, least: np.ndarray, k: int, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the entries of ``G`` that may reach ``least`` and be among the k greatest of their row, ties included."""
+    ok = G >= (least - room)[:, None]
+    many = np.flatnonzero(np.count_nonzero(ok, axis=1) > k)
     if len(many):
-        some = D[many]
-        ok[many] &= some <= (np.partition(some, k - 1, axis=1)[:, k - 1] + room)[:, None]
+        some = G[many]
+        ok[many] &= some >= (np.partition(some, -k, axis=1)[:, -k] - 2 * room[many])[:, None]
     return np.nonzero(ok)
 
 
-def _compare(got, k: int):
-    """Candidates (q, t, part of t, d) in both directions of the rows of one slice and the rows that visit its parts."""
+class _Best:
+    """The k nearest points found so far of every row, each once: distances and places of the points, nearest first, ties by id."""
+
+    def __init__(self, ids: np.ndarray, reach: np.ndarray, k: int):
+        self.ids, self.k, self.limit = ids, k, reach.astype("float64").copy()
+        self.d, self.t = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, np.int32)
+
+    def add(self, q: np.ndarray, t: np.ndarray, d: np.ndarray) -> None:
+        """``q`` is in order."""
+        some = (d <= self.limit[q]) & (self.ids[q] != self.ids[t])
+        q, t, d = q[some], t[some], d[some]
+        if not len(q):
+            return
+        rows, first, n = np.unique(q, return_index=True, return_counts=True)
+        step = max(1, cells.MOST_PAIRS // (self.k + int(n.max())))
+        for i in range(0, len(rows), step):
+            self._put(rows[i:i + step], n[i:i + step], *(v[first[i]:first[i] + int(n[i:i + step].sum())] for v in (t, d)))
+
+    def _put(self, rows, n, t, d) -> None:
+        k, wide = self.k, self.k + int(n.max())
+        D, T = np.full((len(rows), wide), np.inf), np.full((len(rows), wide), -1, np.int32)
+        D[:, :k], T[:, :k] = self.d[rows], self.t[rows]
+        at = np.repeat(np.arange(len(rows)), n), k + np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
+        D[at], T[at] = d, t
+        order = np.lexsort((self.ids[T], D), axis=1)
+        D, T = np.take_along_axis(D, order, 1), np.take_along_axis(T, order, 1)
+        D[:, 1:][T[:, 1:] == T[:, :-1]] = np.inf
+        order = np.argsort(D, axis=1, kind="stable")[:, :k]
+        self.d[rows], self.t[rows] = np.take_along_axis(D, order, 1), np.take_along_axis(T, order, 1)
+        self.limit[rows] = np.minimum(self.limit[rows], self.d[rows, k - 1])
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, i = np.nonzero(np.isfinite(self.d))
+        return q, self.t[q, i], self.d[q, i]
+
+
+def _compare(got, k: int, buckets: int):
+    """Candidates (q, t, part of t, d) in both directions of the rows of one slice and the rows that visit its parts, by the bucket of q.
+
+    Products in single precision only propose; a distance is always that of the vectors as they are."""
     import pyarrow as pa
 
     ids, part, reach = (got[c].to_numpy() for c in ("id", "part", "reach"))
-    X = got["e"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(float)
-    go = got["parts"].combine_chunks()
-    asks, to = np.repeat(np.arange(len(ids)), np.diff(go.offsets.to_numpy())), go.flatten().to_numpy()
+    X = got["e"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    to, asks = _flat(got["parts"])
     homes = np.flatnonzero(got["home"].to_numpy())
     homes = homes[np.lexsort((ids[homes], part[homes]))]
     order = np.lexsort((ids[asks], to))
     asks, to = asks[order], to[order]
-    sq, limit = (X * X).sum(1), reach * reach
-    room = 1e-9 * (1 + float(sq.max()))
-    found, held = [], 0
-
-    def best():  # the k nearest so far of each row, each once; nothing beyond them is kept from here on
-        q, t, d = (np.concatenate(v) for v in zip(*found, strict=True))
-        order = np.lexsort((ids[t], d, q))
-        q, t, d = q[order], t[order], d[order]
-        same = np.append(False, (q[1:] == q[:-1]) & (ids[t[1:]] == ids[t[:-1]]))
-        q, t, d = q[~same], t[~same], d[~same]
-        at = np.concatenate(([0], np.cumsum(np.bincount(q, minlength=len(ids)))))[q]
-        rank = np.arange(len(q)) - at
-        limit[q[rank == k - 1]] = d[rank == k - 1] ** 2
-        return q[rank < k], t[rank < k], d[rank < k]
+    best, frame = _Best(ids, reach, k), cells.Frame(X)
+
+    def offer(q, t):  # pairs of rows, in the order of q
+        for i in range(0, len(q), 100_000):
+            a, b = q[i:i + 100_000], t[i:i + 100_000]
+            yield a, b, np.sqrt(((X[a].astype("float64") - X[b]) ** 2).sum(1))
+
+    def both(Q, T, G, room):
+        for rows, others, g, r in ((Q, T, G, room[0]), (T, Q, np.ascontiguousarray(G.T), room[1]))[:1 if own_first else 2]:
+            least = -0.5 * (best.limit[rows] * frame.scale) ** 2
+            x, y = _under(g, least, k + own_first, r)  # a row is among those of its own part
+            by = np.argsort(rows[x], kind="stable")  # rows of one part are not in the order of the table
+            for a, b, d in offer(rows[x][by], others[y][by]):
+                best.add(a, b, d)
 
     own = part[asks] == to
-    for first, p in [(f, p) for f in (True, False) for p in np.unique(to[own == f])]:  # a row's own part gives the first bound
-        T = homes[np.searchsorted(part[homes], p):np.searchsorted(part[homes], p, "right")]
-        every = slice(np.searchsorted(to, p), np.searchsorted(to, p, "right"))
-        every = asks[every][own[every] == first]
-        step = max(1, cells.MOST_PAIRS // max(1, len(T)))
-        for i in range(0, len(every) if len(T) else 0, step):
-            Q = every[i:i + step]
-            D = sq[Q][:, None] + sq[T][None] - 2 * (X[Q] @ X[T].T)
-            D[ids[Q][:, None] == ids[T][None]] = np.inf
-            x, y = _under(D, limit[Q], k, room)
-            v, u = _under(D.T, limit[T], k, room)
-            q, t = np.concatenate([Q[x], T[v]]), np.concatenate([T[y], Q[u]])
-            some = ids[q] != ids[t]
-            q, t = q[some], t[some]
-            d = np.sqrt(((X[q] - X[t]) ** 2).sum(1))
-            some = d <= reach[q]
-            found.append((q[some], t[some], d[some]))
-            held += int(some.sum())
-            if held > k * len(ids):
-                found, held = [best()], 0
-    if not found:
-        return pa.schema([("q", pa.int64()), ("t", pa.int64()), ("part", pa.int32()), ("d", pa.float64())]).empty_table()
-    q, t, d = best()
-    return pa.table({"q": ids[q], "t": ids[t], "part": part[t].astype(np.int32), "d": d})
+    for own_first in (True, False):  # a row's own part gives the first bound
+        some, into = asks[own == own_first], to[own == own_first]
+        for p in np.unique(into):
+            every = some[np.searchsorted(into, p):np.searchsorted(into, p, "right")]
+            here = homes[np.searchsorted(part[homes], p):np.searchsorted(part[homes], p, "right")]
+            for j in range(0, len(here), 4096):
+                T = here[j:j + 4096]
+                B, sq_t = frame.sides(X[T], True)
+                step = max(1, cells.MOST_PAIRS // 2 // len(T))
+                for i in range(0, len(every), step):
+                    Q = every[i:i + step]
+                    A, sq_q = frame.sides(X[Q], False)
+                    both(Q, T, A @ B.T, (frame.unit * (sq_q + sq_t.max()), frame.unit * (sq_t + sq_q.max())))
+    q, t, d = best.found()
+    to = _bucket(ids[q], buckets)
+    order = np.argsort(to, kind="stable")
+    q, t, d = q[order], t[order], d[order]
+    kinds, n = np.unique(to, return_counts=True)
+    return pa.table({"bucket": pa.array(kinds, pa.int32()), "q": _lists(ids[q], n), "t": _lists(ids[t], n),
+                     "part": _lists(part[t].astype(np.int32), n), "d": _lists(d, n)})
+
+
+def _merger(k: int, step: int, steps: int):
+    """The state of a bucket of rows after a step: the k nearest of what was near and what was found, and after the last of a
+    round the parts to visit next."""
+    import pyarrow as pa
+
+    def merge(state, found):
+        ids = state["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        (t, row), (d, _), (part, _), (go, go_row), (seen, seen_row) = (_flat(state[c]) for c in ("t", "d", "near", "go", "seen"))
+        new_t, new_d, new_part = (_flat(found[c])[0] for c in ("t", "d", "part"))
+        new_row = order[np.searchsorted(ids[order], _flat(found["q"])[0])]
+        was = np.concatenate((np.ones(len(row), bool), np.zeros(len(new_row), bool)))
+        row, t, d, part = (np.concatenate(v) for v in ((row, new_row), (t, new_t), (d, new_d), (part, new_part)))
+        by = np.lexsort((~was, t, d, row))
+        row, t, d, part, was = row[by], t[by], d[by], part[by], was[by]
+        first = np.append(True, (row[1:] != row[:-1]) | (t[1:] != t[:-1]))[:len(row)]
+        row, t, d, part, was = row[first], t[first], d[first], part[first], was[first]
+        start = np.cumsum(np.bincount(row, minlength=len(ids))) - np.bincount(row, minlength=len(ids))
+        keep = np.arange(len(row)) - start[row] < k
+        row, t, d, part, was = row[keep], t[keep], d[keep], part[keep], was[keep]
+        count = lambda r: np.bincount(r, minlength=len(ids))
+        new = count(row[~was]) + (state["new"].to_numpy() if step else 0)
+        out = {c: state[c] for c in ("id", "bucket", "part", "go")} | {
+            "t": _lists(t, count(row)), "d": _lists(d, count(row)), "near": _lists(part.astype(np.int32), count(row)),
+            "seen": state["seen"], "new": pa.array(new.astype(np.int32))}
+        if step == steps - 1:
+            wide = np.int64(1 + max((int(v.max()) for v in (part, go, seen) if len(v)), default=0))
+            done = np.unique(np.concatenate((seen_row * wide + seen, go_row * wide + go)))
+            wish = np.setdiff1d(row * wide + part, done)
+            out |= {c: _lists((v % wide).astype(np.int32), count(v // wide)) for c, v in (("go", wish), ("seen", done))}
+        return pa.table(out)
+
+    return merge
 
 
 def neighbour_descent(points: DataFrame, k: int = 15, tables: int = 20, leaf: int = LEAF, rounds: int = 6,
@@ -140,44 +232,46 @@ def neighbour_descent(points: DataFrame, k: int = 15, tables: int = 20, leaf: in
 
     A row first meets its own cell and those of the nearest pivots (``tables`` in all), then in every round the parts that hold
     its neighbours and that it has not met.  Its vector is sent once to each slice it has to meet, with the distance
-    of its k-th neighbour: only what is nearer comes back.  Rounds end when a share of ``settled`` or less of the edges is
+    of its k-th neighbour: only what is nearer comes back, in blocks of columns that are brought together by buckets of rows.  A round of
+    many visits is made in steps, and what a step has moved is removed from the disks when it has ended.  Rounds end when a share of ``settled`` or less of the edges is
     new.  Fewer than k other points give all of them once met; an empty table gives no edges.
     """
     n = points.count()
     if n < 2:
         return points.select(F.col("id").alias("q"), F.col("id").alias("t"), F.lit(0.0).alias("d")).limit(0)
     where, homes = home or _home(points, leaf)
-    pivots, slices = len(where.subs), where.slices().shape[1]
+    pivots, slices, buckets = len(where.subs), where.slices().shape[1], -(-n // BUCKET)
     slice_of = lambda part: F.floor(part / F.lit(pivots)).cast("int")
-    state = cut_lineage(_first_parts(where, homes, tables, seed).select("id", "part", "go", F.expr(f"cast(array() as {NEAR})").alias("near"),
-                                                                         F.expr("cast(array() as array<int>)").alias("seen"), F.lit(0).alias("new")))
+    none = [F.expr(f"cast(array() as array<{kind}>)").alias(name) for name, kind in (("t", "bigint"), ("d", "double"), ("near", "int"), ("seen", "int"))]
+    state = cut_lineage(_first_parts(where, homes, tables, seed, buckets).select("id", "bucket", "part", "go", *none, F.lit(0).alias("new")), True)
     vectors = homes.select("id", "e").repartition(slices, "id").persist()
     try:
         for _ in range(1 + rounds):
-            calls = F.array_distinct(F.transform("go", slice_of))
-            asked = {r["s"]: r["n"] for r in state.select(F.explode(calls).alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
-            shares = [-(-asked.get(s, 1) // (SHARE_SLICES * where.slice_rows)) for s in range(slices)]  # a slice that many visit is dealt out
-            rows = state.select("id", "part", "go", F.coalesce(F.try_element_at("near", F.lit(k))["d"], F.lit(float("inf"))).alias("reach"))
-            rows = rows.join(vectors, "id").withColumn("slice", F.explode(F.array_union(F.array(slice_of(F.col("part"))), calls)))
-            of = F.try_element_at(F.array(*[F.lit(max(1, s)) for s in shares]), F.col("slice") + 1)
-            mine = F.pmod(F.xxhash64("id", F.lit(seed)), of).cast("int")
-            is_home = F.col("slice") == slice_of(F.col("part"))
-            rows = rows.withColumn("home", is_home).withColumn("share", F.explode(
-                F.when(is_home, F.sequence(F.lit(0), of - 1)).otherwise(F.array(mine))))
-            parts = F.when(F.col("share") == mine, F.filter("go", lambda p: slice_of(p) == F.col("slice"))).otherwise(F.expr("cast(array() as array<int>)"))
-            met = rows.select("slice", "share", "id", "e", "part", "reach", "home", parts.alias("parts")).groupBy("slice", "share").applyInArrow(
-                lambda got: _compare(got, k), "q bigint, t bigint, part int, d double")
-            found = met.groupBy(F.col("q").alias("id")).agg(F.collect_list(F.struct("d", "t", "part")).alias("found"))
-            both = state.join(found, "id", "left").select(
-                "id", "part", F.array_union("seen", "go").alias("seen"), F.col("near.t").alias("had"),
-                F.slice(F.array_sort(F.array_union("near", F.coalesce("found", F.expr(f"cast(array() as {NEAR})")))), 1, k).alias("near"))
-            state = cut_lineage(both.select("id", "part", F.array_except(F.col("near.part"), "seen").alias("go"), "near", "seen",
-                                            F.size(F.array_except(F.col("near.t"), "had")).alias("new")))
+            go = F.array_distinct(F.transform("go", slice_of))
+            visits = {r["s"]: r["n"] for r in state.select(F.explode(go).alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
+            steps = min(slices, max(1, -(-sum(visits.values()) // (VISITS * n))))
+            for step in range(steps):  # a row's own slice is met first; what is near then bounds what comes back later
+                due = F.filter("go", lambda p: F.pmod(slice_of(p) - slice_of(F.col("part")), F.lit(steps)) == step)
+                calls = F.array_distinct(F.transform(due, slice_of))
+                asked = {r["s"]: r["n"] for r in state.select(F.explode(calls).alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
+                shares = [-(-asked.get(s, 1) // (SHARE_SLICES * where.slice_rows)) for s in range(slices)]  # a slice that many visit is dealt out
+                rows = state.select("id", "part", due.alias("go"), F.coalesce(F.try_element_at("d", F.lit(k)), F.lit(float("inf"))).alias("reach"))
+                rows = rows.join(vectors, "id").withColumn("slice", F.explode(F.array_union(F.array(slice_of(F.col("part"))), F.array_distinct(
+                    F.transform("go", slice_of)))))
+                of = F.try_element_at(F.array(*[F.lit(max(1, s)) for s in shares]), F.col("slice") + 1)
+                mine = F.pmod(F.xxhash64("id", F.lit(seed)), of).cast("int")
+                is_home = F.col("slice") == slice_of(F.col("part"))
+                rows = rows.withColumn("home", is_home).withColumn("share", F.explode(
+                    F.when(is_home, F.sequence(F.lit(0), of - 1)).otherwise(F.array(mine))))
+                parts = F.when(F.col("share") == mine, F.filter("go", lambda p: slice_of(p) == F.col("slice"))).otherwise(F.expr("cast(array() as array<int>)"))
+                met = rows.select("slice", "share", "id", "e", "part", "reach", "home", parts.alias("parts")).groupBy("slice", "share").applyInArrow(
+                    lambda got: _compare(got, k, buckets), "bucket int, q array<bigint>, t array<bigint>, part array<int>, d array<double>")
+                state = cut_lineage(state.groupBy("bucket").cogroup(met.groupBy("bucket")).applyInArrow(_merger(k, step, steps), STATE), True)
             if (state.agg(F.sum("new")).first()[0] or 0) <= settled * n * k:
                 break
     finally:
         vectors.unpersist()
-    return state.select(F.col("id").alias("q"), F.explode("near").alias("r")).select("q", "r.t", "r.d")
+    return state.select(F.col("id").alias("q"), F.explode(F.arrays_zip("t", "d")).alias("r")).select("q", "r.t", "r.d")
 
 
 def fuzzy_edges(edges: DataFrame) -> DataFrame:
@@ -287,7 +381,7 @@ def layout(points: DataFrame, graph: DataFrame, rounds: int = 20, rate: float =
             sent = state.join(wanted, "id").select("id", "x", "y", F.explode("slices").alias("to"), "slice")
             sent = sent.select(F.col("to").alias("slice"), "id", "x", "y", (F.col("to") == F.col("slice")).alias("own"))
             moved = sent.groupBy("slice").cogroup(edges.groupBy("slice")).applyInArrow(_mover(table, alpha, n), "id bigint, x double, y double")
-            state = cut_lineage(moved)
+            state = cut_lineage(moved, True)
     finally:
         edges.unpersist()
         wanted.unpersist()

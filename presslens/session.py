@@ -64,13 +64,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+#: Spark's setting by which the shuffle files of a query are removed when it has ended.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_lineage(df: DataFrame, tidy: bool = False) -> DataFrame:
     """The rows as a table written once into the shared checkpoint folder and read back.
 
-    ``checkpoint()`` would compute the rows twice (once to count, once to write)."""
-    path = checkpoint_path(df.sparkSession, f"cut-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    ``checkpoint()`` would compute the rows twice (once to count, once to write).  ``tidy`` removes the shuffle files of
+    the write when it has ended; else they stay on the disks until the driver's garbage collection finds them."""
+    spark = df.sparkSession
+    path = checkpoint_path(spark, f"cut-{uuid.uuid4().hex}")
+    before = spark.conf.get(TIDY, None)
+    try:
+        if tidy:
+            spark.conf.set(TIDY, "true")
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:

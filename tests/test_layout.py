@@ -152,3 +152,49 @@ def test_what_a_map_moves_for_a_row(tmp_path):
                          capture_output=True, text=True, timeout=300)
     assert out.returncode == 0, out.stderr[-3000:]
     assert int(out.stdout.split()[-1]) <= 20_000 * n  # it was 88,500 bytes a row
+
+
+def test_a_round_in_steps_finds_the_same(spark, monkeypatch):
+    rows = [(i, e.tolist()) for i, e in enumerate(evenly(1500, 16))]
+    monkeypatch.setattr(L, "LEAST_SLICE", 256)
+    monkeypatch.setattr(L, "BUCKET", 400)
+    at_once, many = (monkeypatch.setattr(L, "VISITS", v) or {(r["q"], r["t"], r["d"]) for r in L.neighbour_descent(
+        spark.createDataFrame(rows, SCHEMA), k=10, rounds=1).collect()} for v in (1000, 1))
+    assert at_once == many and len(many) == 15_000
+
+
+def test_candidates_leave_a_slice_in_blocks():
+    import pyarrow as pa
+
+    X = evenly(600, 8)
+    X[500:] = X[:100]  # copies
+    got = pa.table({"id": np.arange(600) * 3, "e": pa.array(X.tolist()), "part": np.full(600, 7, np.int32), "reach": np.full(600, np.inf),
+                    "home": np.ones(600, bool), "parts": pa.array([[7]] * 600, pa.list_(pa.int32()))})
+    out = L._compare(got, 5, 4)
+    assert out.num_rows <= 4  # a row a bucket: it was a row for each of 3,000 candidates, which spilled at size
+    found = {}
+    for r in out.to_pylist():
+        for q, t, d in zip(r["q"], r["t"], r["d"], strict=True):
+            found.setdefault(q // 3, []).append((d, t // 3))
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(2))
+    np.fill_diagonal(D, np.inf)
+    for i in range(600):
+        assert [j for _, j in sorted(found[i])] == sorted(range(600), key=lambda j: (D[i, j], j))[:5]  # noqa: B023
+
+
+def test_files_of_a_shuffle_do_not_outlive_its_table(spark):
+    import time
+
+    from presslens.session import TIDY, cut_lineage
+
+    def kept():
+        at = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(at.apply(i).getName().startswith("shuffle_") for i in range(at.size()))
+
+    rows, before, was = spark.range(20_000).selectExpr("id", "uuid() u").repartition(8, "u"), kept(), spark.conf.get(TIDY, None)
+    table = cut_lineage(rows, True)
+    for _ in range(50):
+        if kept() > before:
+            time.sleep(.1)
+    assert kept() <= before
+    assert spark.conf.get(TIDY, None) == was and table.count() == 20_000
