@@ -24,8 +24,8 @@ from presslens.session import cut_lineage
 MOST_CELLS = 2048
 #: Most queries of a matrix product; a slice holds SLICE_BLOCKS times as many points, and a share SHARE_BLOCKS times as many queries.
 BLOCK_ROWS, SLICE_BLOCKS, SHARE_BLOCKS = 512, 128, 256
-#: Most pairs of a matrix product.
-MOST_PAIRS = 4_000_000
+#: Most pairs of a matrix product, and most points of one in single precision.
+MOST_PAIRS, BLOCK_POINTS = 4_000_000, 2048
 
 
 class Directory(NamedTuple):
@@ -48,14 +48,15 @@ class Directory(NamedTuple):
             held[cell, first:last + 1] = self.subs[cell] > 0
         return held
 
-    def bounds(self, X: np.ndarray, share: float = 1.0) -> np.ndarray:
-        """Least distance of every row to any member of every cell (rounded down); ``share`` 0 leaves the radius out."""
-        d = np.sqrt(np.maximum((X * X).sum(1)[:, None] + (self.pivots * self.pivots).sum(1)[None] - 2 * (X @ self.pivots.T), 0))
-        return d - share * (self.radius[None] + 1e-6 * (1 + d))
+    def bounds(self, X: np.ndarray, share: float = 1.0, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Least distance of every row to any member of every cell (of ``some``; rounded down); ``share`` 0 leaves the radius out."""
+        pivots = self.pivots[some]
+        d = np.sqrt(np.maximum((X * X).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * (X @ pivots.T), 0))
+        return d - share * (self.radius[some][None] + 1e-6 * (1 + d))
 
 
 def _matrix(col, n: int) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
+    return col.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
 def _nearby(pivots: np.ndarray, some: np.ndarray) -> list[int]:
@@ -112,7 +113,7 @@ def place(where: Directory, queries: DataFrame) -> DataFrame:
 
     if not len(where.pivots):
         return cut_lineage(queries.limit(0).withColumn("cell", F.lit(0)))
-    return cut_lineage(queries.select("id", "e").mapInArrow(assign, "id bigint, e array<double>, cell int"))
+    return cut_lineage(queries.select("id", "e").mapInArrow(assign, f"id bigint, e {queries.schema['e'].dataType.simpleString()}, cell int"))
 
 
 def meet(queries: DataFrame, points: DataFrame, where: Directory, compare: Callable, schema: str, own: bool = False,
@@ -121,26 +122,24 @@ def meet(queries: DataFrame, points: DataFrame, where: Directory, compare: Calla
 
     ``own``: only the query's own cell; else all cells within ``reach``.  ``got`` has q_id, q_e, q_reach, t_id, t_e (and q_, t_ of ``extra``) as arrays: some
     queries and all points that one of them has to meet in one slice.  A pair of query and point is compared once at most.
-    ``whole``: ``compare`` is called once with all of a task's ``got``, whose ``q_at`` and ``t_at`` number the queries and points in the ``n`` of the task.
+    ``whole``: ``compare`` is called once a task with its queries, its points (both in the order of their cells) and the plan: places of some
+    queries and of all points that one of them has to meet.
     """
     import pyarrow as pa
 
-    held, pivots = where.slices(), len(where.pivots)
+    held = where.slices()
+    every = np.arange(len(held))
 
-    def wanted(X, home, reach):
-        """Which cells (columns) each query has to meet."""
-        if not own:
-            return where.bounds(X) <= reach[:, None]
-        near = np.zeros((len(home), pivots), bool)
-        near[np.arange(len(home)), home] = True
-        return near
+    def wanted(X, home, reach, some):
+        """Which cells (columns, of ``some``) each query has to meet."""
+        return where.bounds(X, 1.0, some) <= reach[:, None] if not own else home[:, None] == some[None]
 
     def deal(batches):
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
                 home, reach = part.column("cell").to_numpy(), part.column("reach").to_numpy(zero_copy_only=False)
-                q, c = np.nonzero(wanted(_matrix(part.column("e"), part.num_rows), home, reach).astype(np.float32) @ held.astype(np.float32))
+                q, c = np.nonzero(wanted(_matrix(part.column("e"), part.num_rows), home, reach, every).astype(np.float32) @ held.astype(np.float32))
                 yield pa.RecordBatch.from_arrays([*[x.take(pa.array(q)) for x in part.columns], pa.array(c.astype(np.int32))], names=[*part.schema.names, "slice"])
 
     source = queries.select("id", "e", "cell", "reach", *extra)
@@ -167,23 +166,25 @@ def meet(queries: DataFrame, points: DataFrame, where: Directory, compare: Calla
         here, first = np.unique(have["cell"], return_index=True)
         last = np.append(first[1:], len(have["cell"]))
 
-        def chunks():
+        def plan():
             i, size = 0, block_rows
             while i < len(ask["id"]):
-                x = {n: v[i:i + size] for n, v in ask.items()}
-                met = np.flatnonzero(wanted(x["e"], x["cell"], x["reach"])[:, here].any(0))
+                x = {n: ask[n][i:i + size] for n in ("e", "cell", "reach")}
+                met = np.flatnonzero(wanted(x["e"], x["cell"], x["reach"], here).any(0))
                 among = int((last[met] - first[met]).sum())
-                if among * len(x["id"]) > MOST_PAIRS and len(x["id"]) > 1:  # fewer queries at once
+                if among * len(x["e"]) > MOST_PAIRS and len(x["e"]) > 1 and not whole:  # fewer queries at once
                     size = max(1, MOST_PAIRS // among)
-                    x = {n: v[:size] for n, v in x.items()}
+                end = min(i + size, len(ask["id"]))
                 if among:
-                    at = np.concatenate([np.arange(first[c], last[c]) for c in met])
-                    yield {f"q_{n}": v for n, v in x.items()} | {f"t_{n}": v[at] for n, v in have.items()} | {
-                        "q_at": np.arange(i, i + len(x["id"])), "t_at": at, "n": (len(ask["id"]), len(have["id"]))}
-                i += len(x["id"])
+                    yield np.arange(i, end), np.concatenate([np.arange(first[c], last[c]) for c in met])
+                i = end
                 size = block_rows if size * 2 > block_rows else size * 2
 
-        found = compare(chunks()) if whole else (b for got in chunks() for b in compare(got))
+        def parts():
+            for q, t in plan():
+                yield {f"q_{n}": v[q] for n, v in ask.items()} | {f"t_{n}": v[t] for n, v in have.items()}
+
+        found = compare(ask, have, plan()) if whole else (b for got in parts() for b in compare(got))
         return pa.concat_tables([empty, *[pa.Table.from_batches([b]) for b in found]])
 
     return asked.groupBy("slice", "share").cogroup(slices.groupBy("slice", "share")).applyInArrow(run, schema)
@@ -192,10 +193,10 @@ def meet(queries: DataFrame, points: DataFrame, where: Directory, compare: Calla
 class Frame:
     """Where single precision stands for vectors: moved and scaled so that little is lost.  It only proposes; double precision decides."""
 
-    def __init__(self, X: np.ndarray):
-        ok = X[np.isfinite(X).all(1)] if len(X) else X
-        self.centre = ok.mean(0, dtype="float64") if len(ok) else np.zeros(X.shape[1])
-        most = float(np.abs(ok - self.centre).max()) if len(ok) else 0.0
+    def __init__(self, X: np.ndarray, *more: np.ndarray):
+        some = [x[np.isfinite(x).all(1)] for x in (X, *more)]
+        self.centre = some[0].mean(0, dtype="float64") if len(some[0]) else np.zeros(X.shape[1])
+        most = max((float(np.abs(x - self.centre).max()) for x in some if len(x)), default=0.0)
         self.scale = 2.0 ** -np.frexp(most)[1] if 0 < most < np.inf else 1.0
         self.unit = 1.1 * (X.shape[1] + 10) * 2.0 ** -24
 
@@ -226,6 +227,64 @@ def squared(got: dict) -> tuple[np.ndarray, float]:
     return near, 1e-9 * (1 + float(a.max()) + float(b.max()))
 
 
+def blocks(frame: Frame, ask: dict, have: dict, plan):
+    """Products of the plan by blocks: places of queries and points, the products (:class:`Frame`) and by how much each row may be wrong."""
+    T, sq_t = frame.sides(have["e"], True)
+    most = float(sq_t.max())
+    for q, t in plan:
+        Q, sq_q = frame.sides(ask["e"][q], False)
+        room = frame.unit * (sq_q + most)
+        for i in range(0, len(t), BLOCK_POINTS):
+            some = t[i:i + BLOCK_POINTS]
+            near = T[some[0]:some[-1] + 1] if some[-1] - some[0] < len(some) else T[some]
+            yield q, some, Q @ near.T, room
+
+
+def nearest(ask: dict, have: dict, plan):
+    """The nearest point of every query, as far as it lies within its reach: (place of the query, distance^2, id), ties by id."""
+    frame = Frame(have["e"], ask["e"])
+    n, dims = len(ask["id"]), have["e"].shape[1]
+    best = np.full(n, -np.inf)  # greatest product so far, from below: what lies beyond the reach is not asked for
+    best[:] = -0.5 * ((ask["reach"] * (1 + 1e-9) + 1e-9) * frame.scale) ** 2
+    x, t, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    held = 0
+
+    def least():  # of what is left, the nearest of each query
+        q, p, g = (np.concatenate(v) for v in (x, t, d))
+        far = np.concatenate([np.zeros(0)] + [((ask["e"][q[i:i + 50_000]] - have["e"][p[i:i + 50_000]]) ** 2).sum(1) for i in range(0, len(q), 50_000)])
+        ok = far == far
+        q, p, g, far = q[ok], p[ok], g[ok], far[ok]
+        order = np.lexsort((have["id"][p], far, q))
+        q, p, g, far = q[order], p[order], g[order], far[order]
+        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(q)), bool), q[1:] != q[:-1])))
+        return q[head], p[head], g[head], far[head]
+
+    for q, some, G, room in blocks(frame, ask, have, plan):
+        top = G.max(1)
+        rows = np.flatnonzero((top >= best[q] - 2 * room) & np.isfinite(top))
+        if not len(rows):
+            continue
+        now = np.maximum(best[q[rows]], top[rows])
+        i, j = np.nonzero(G[rows] >= (now - 2 * room[rows])[:, None])
+        best[q[rows]] = now
+        x.append(q[rows[i]])
+        t.append(some[j])
+        d.append(G[rows[i], j] + 2.0 * room[rows[i]])
+        held += len(i)
+        if held > MOST_PAIRS // 2 // max(1, dims // 64) or held > 4 * n + MOST_PAIRS // 8:
+            late = [np.concatenate(v) for v in (x, t, d)]
+            ok = late[2] >= best[late[0]]  # others have been surpassed
+            x, t, d = ([v[ok]] for v in late)
+            if ok.sum() > n:  # many ties
+                x, t, d = ([v] for v in least()[:3])
+            held = len(x[0])
+    late = [np.concatenate(v) for v in (x, t, d)]
+    ok = late[2] >= best[late[0]]
+    x, t, d = ([v[ok]] for v in late)
+    q, p, _, far = least()
+    return q, far, have["id"][p]
+
+
 def _nearest(got: dict, k: int):
     """The k nearest points of every query, itself left out: (q, id, d), ties by id."""
     near, room = squared(got)

@@ -359,7 +359,9 @@ def _density_links(points: DataFrame, eps: float, min_pts: int, emb_col: str) ->
     counts = cells.meet(asked, asked, where, count, "a bigint, n bigint", extra=("weight",)).groupBy("a").agg(F.sum("n").alias("_nw"))
     known = cut_lineage(asked.join(counts.withColumnRenamed("a", "id"), "id", "left").withColumn(
         "core", (F.col("weight") + F.coalesce("_nw", F.lit(0)) >= min_pts).cast("int")).drop("_nw"))
-    links = cut_lineage(cells.meet(known, known.filter("core = 1"), where, lambda chunks: _linked(chunks, eps), "a bigint, b bigint, core int",
+    links = cut_lineage(cells.meet(known, known.filter("core = 1"), where, lambda ask, have, plan: _linked(
+        ({f"q_{n}": v[q] for n, v in ask.items()} | {f"t_{n}": v[t] for n, v in have.items()} | {
+            "q_at": q, "t_at": t, "n": (len(ask["id"]), len(have["id"]))} for q, t in plan), eps), "a bigint, b bigint, core int",
                                    extra=("core",), whole=True).distinct())
     back = links.filter("core = 1").select(F.col("b").alias("a"), F.col("a").alias("b"))
     return known.select(F.col("id").alias("vid"), (F.col("core") == 1).alias("core")), links.select("a", "b").unionByName(back)

@@ -219,7 +219,6 @@ def nearest_in_table(df: DataFrame, table: DataFrame, key: str | None = None, id
     exact.  By cosine the vectors are compared at unit length, where the nearest one has the greatest cosine.  A null vector
     gets null, and so does, by cosine, one of norm 0 (table rows of that kind are left out); so does every row if the
     table is empty.  ``key`` is not needed any more: rows are told apart by a number of their own."""
-    import numpy as np
     import pyarrow as pa
 
     from presslens.operators import cells
@@ -229,32 +228,29 @@ def nearest_in_table(df: DataFrame, table: DataFrame, key: str | None = None, id
     if metric not in ("sqdist", "cosine"):
         raise ValueError(f"unknown metric {metric}")
 
-    def vectors(c: str) -> Column:
+    def vectors(df: DataFrame, c: str) -> Column:
+        if metric == "sqdist" and dict(df.dtypes)[c] == "array<float>":  # floats travel as such
+            return F.col(c)
         e = F.col(c).cast("array<double>")
         length = VF.norm(e)
         return F.when(length > 0, F.transform(e, lambda x: x / F.nullif(length, F.lit(0.0)))) if metric == "cosine" else e
 
-    first = table.groupBy(id_col, vec_col).agg(F.count(F.lit(1)).alias("_n")).select(id_col, vectors(vec_col).alias("e")).filter("e IS NOT NULL")
+    first = table.groupBy(id_col, vec_col).agg(F.count(F.lit(1)).alias("_n")).select(id_col, vectors(table, vec_col).alias("e")).filter("e IS NOT NULL")
     listed = cut_lineage(_numbered(first.withColumn("_k", F.struct(id_col, "e")), "_k", "id").select("id", id_col, "e"))
     where, placed = cells.build(listed.select("id", "e"), most_cells=most_cells, block_rows=block_rows)
     rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
-    asked = cells.place(where, rows.select(F.col("_row").alias("id"), vectors(emb_col).alias("e")).filter("e IS NOT NULL"))
+    asked = cells.place(where, rows.select(F.col("_row").alias("id"), vectors(df, emb_col).alias("e")).filter("e IS NOT NULL"))
 
-    def compare(got):
-        near, room = cells.squared(got)
-        x, y = np.nonzero(near <= near.min(axis=1, keepdims=True) + room)
-        cost, ids = ((got["q_e"][x] - got["t_e"][y]) ** 2).sum(1), got["t_id"][y]
-        order = np.lexsort((ids, cost, x))
-        x, cost, ids = x[order], cost[order], ids[order]
-        head = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(got["q_id"][x[head]]), pa.array(cost[head]), pa.array(ids[head])], names=["q", "cost", "t"])
+    def compare(ask, have, plan):
+        q, cost, t = cells.nearest(ask, have, plan)
+        yield pa.RecordBatch.from_arrays([pa.array(ask["id"][q]), pa.array(cost), pa.array(t)], names=["q", "cost", "t"])
 
     schema = "q bigint, cost double, t bigint"
     best = lambda found: found.groupBy("q").agg(F.min(F.struct("cost", "t")).alias("x"))
-    home = cut_lineage(best(cells.meet(asked.withColumn("reach", F.lit(float("inf"))), placed, where, compare, schema, True, block_rows)))
+    home = cut_lineage(best(cells.meet(asked.withColumn("reach", F.lit(float("inf"))), placed, where, compare, schema, True, block_rows, whole=True)))
     bounded = cut_lineage(asked.join(home.select(F.col("q").alias("id"), F.sqrt("x.cost").alias("reach")), "id", "left").withColumn(
         "reach", F.coalesce("reach", F.lit(float("inf")))))
-    found = best(cells.meet(bounded, placed, where, compare, schema, False, block_rows)).select(F.col("q").alias("_row"), F.col("x.t").alias("id"))
+    found = best(cells.meet(bounded, placed, where, compare, schema, False, block_rows, whole=True)).select(F.col("q").alias("_row"), F.col("x.t").alias("id"))
     named = found.join(listed.select("id", F.col(id_col).alias(out)), "id").select("_row", out)
     return rows.join(named, "_row", "left").drop("_row")
 

@@ -178,3 +178,38 @@ def test_a_query_is_sent_once_a_slice_however_many_cells_it_meets(spark, monkeyp
     got = dict(map(tuple, nearest_in_table(df, table, block_rows=1).select("orig_index", "prediction").collect()))
     assert got == {i: int(j) for i, j in enumerate(((X[:, None] - Y[None]) ** 2).sum(2).argmin(1))}
     assert [s[0] for s in sent] == [4, 4] and sent[0][1] == 400 * sent[0][2] == 400 * 20
+
+
+def test_products_in_single_precision_only_propose(monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK_POINTS", 50)
+    rng, n = np.random.default_rng(4), 400
+    plain = rng.normal(size=(n, 8))
+    kinds = {"plain": plain, "far from zero": 1e5 + 1e-4 * plain, "tiny": 1e-30 * plain, "large": 1e150 * plain,
+             "copies": np.repeat(plain[:20], 20, 0), "one place": np.ones((n, 8)), "not finite": np.where(rng.random((n, 1)) < .1, np.nan, plain)}
+    for kind, X in kinds.items():
+        Q = X[rng.integers(0, n, 60)] + (0 if kind == "one place" else 1e-3 * np.nanstd(X) * rng.normal(size=(60, 8)))
+        Q = np.nan_to_num(Q)
+        ids = rng.permutation(n)
+        D = ((Q[:, None] - X[None]) ** 2).sum(2)
+        D[np.isnan(D)] = np.inf
+        want = [min(range(n), key=lambda j: (D[i, j], ids[j])) for i in range(60)]  # noqa: B023
+        for reach in (np.full(60, np.inf), np.sqrt(D.min(1))):
+            plan = [(np.arange(i, i + 20), np.arange(j, j + 200)) for i in (0, 20, 40) for j in (0, 200)]
+            q, cost, t = cells.nearest({"id": np.arange(60), "e": Q, "reach": reach}, {"id": ids, "e": X}, plan)
+            assert q.tolist() == list(range(60)), kind
+            assert t.tolist() == [ids[j] for j in want] and cost.tolist() == [D[i, j] for i, j in enumerate(want)], kind
+
+
+def test_floats_are_sent_as_floats(spark, monkeypatch):
+    from presslens.operators.vectors import nearest_in_table
+
+    sent, meet = [], cells.meet
+    monkeypatch.setattr(cells, "meet", lambda queries, points, *a, **b: sent.append((queries.schema["e"].dataType, points.schema["e"].dataType)) or meet(queries, points, *a, **b))
+    rng = np.random.default_rng(5)
+    X, T = rng.normal(size=(50, 6)).astype("float32"), rng.normal(size=(90, 6)).astype("float32")
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "orig_index long, embedding array<float>")
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(T)], "cluster long, centroid array<float>")
+    got = dict(map(tuple, nearest_in_table(df, table).select("orig_index", "prediction").collect()))
+    D = ((X.astype(float)[:, None] - T.astype(float)[None]) ** 2).sum(2)
+    assert [got[i] for i in range(50)] == D.argmin(1).tolist()
+    assert {k.simpleString() for pair in sent for k in pair} == {"array<float>"}  # it was array<double>
