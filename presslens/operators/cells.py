@@ -117,29 +117,31 @@ def place(where: Directory, queries: DataFrame) -> DataFrame:
 
 
 def meet(queries: DataFrame, points: DataFrame, where: Directory, compare: Callable, schema: str, own: bool = False,
-         block_rows: int = BLOCK_ROWS, extra: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+         block_rows: int = BLOCK_ROWS, extra: tuple[str, ...] = (), whole: bool = False, spare: Callable | None = None) -> DataFrame:
     """Rows of ``compare(got)`` for queries (id, e, cell, reach, *extra) and the points (id, e, cell, sub, *extra) that they have to meet.
 
     ``own``: only the query's own cell; else all cells within ``reach``.  ``got`` has q_id, q_e, q_reach, t_id, t_e (and q_, t_ of ``extra``) as arrays: some
     queries and all points that one of them has to meet in one slice.  A pair of query and point is compared once at most.
     ``whole``: ``compare`` is called once a task with its queries, its points (both in the order of their cells) and the plan: places of some
     queries and of all points that one of them has to meet.
+    ``spare``: from the columns ``extra`` of queries and some cells, which cells (columns) each query need not meet.
     """
     import pyarrow as pa
 
     held = where.slices()
     every = np.arange(len(held))
 
-    def wanted(X, home, reach, some):
+    def wanted(x, some):
         """Which cells (columns, of ``some``) each query has to meet."""
-        return where.bounds(X, 1.0, some) <= reach[:, None] if not own else home[:, None] == some[None]
+        met = where.bounds(x["e"], 1.0, some) <= x["reach"][:, None] if not own else x["cell"][:, None] == some[None]
+        return met & ~spare(x, some) if spare else met
 
     def deal(batches):
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
-                home, reach = part.column("cell").to_numpy(), part.column("reach").to_numpy(zero_copy_only=False)
-                q, c = np.nonzero(wanted(_matrix(part.column("e"), part.num_rows), home, reach, every).astype(np.float32) @ held.astype(np.float32))
+                x = {n: part.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "reach", *extra)} | {"e": _matrix(part.column("e"), part.num_rows)}
+                q, c = np.nonzero(wanted(x, every).astype(np.float32) @ held.astype(np.float32))
                 yield pa.RecordBatch.from_arrays([*[x.take(pa.array(q)) for x in part.columns], pa.array(c.astype(np.int32))], names=[*part.schema.names, "slice"])
 
     source = queries.select("id", "e", "cell", "reach", *extra)
@@ -169,8 +171,8 @@ def meet(queries: DataFrame, points: DataFrame, where: Directory, compare: Calla
         def plan():
             i, size = 0, block_rows
             while i < len(ask["id"]):
-                x = {n: ask[n][i:i + size] for n in ("e", "cell", "reach")}
-                met = np.flatnonzero(wanted(x["e"], x["cell"], x["reach"], here).any(0))
+                x = {n: v[i:i + size] for n, v in ask.items()}
+                met = np.flatnonzero(wanted(x, here).any(0))
                 among = int((last[met] - first[met]).sum())
                 if among * len(x["e"]) > MOST_PAIRS and len(x["e"]) > 1 and not whole:  # fewer queries at once
                     size = max(1, MOST_PAIRS // among)
@@ -240,6 +242,18 @@ def blocks(frame: Frame, ask: dict, have: dict, plan):
             yield q, some, Q @ near.T, room
 
 
+def within(ask: dict, have: dict, q: np.ndarray, t: np.ndarray, G: np.ndarray, room: np.ndarray, frame: Frame, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different ids within ``eps`` among the queries and points of a block of products."""
+    least = -0.5 * (eps * frame.scale) ** 2
+    x, y = np.nonzero((G >= (least - room)[:, None]))
+    sure = G[x, y] > least + room[x]
+    x, y = q[x], t[y]
+    for i in np.array_split(np.flatnonzero(~sure), 1 + len(x) // 50_000):  # rounding may have moved these
+        sure[i] = ((ask["e"][x[i]] - have["e"][y[i]]) ** 2).sum(1) <= eps * eps
+    sure &= ask["id"][x] != have["id"][y]
+    return x[sure], y[sure]
+
+
 def nearest(ask: dict, have: dict, plan):
     """The nearest point of every query, as far as it lies within its reach: (place of the query, distance^2, id), ties by id."""
     frame = Frame(have["e"], ask["e"])

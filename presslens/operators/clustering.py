@@ -112,6 +112,10 @@ def elbow_pick(curve: DataFrame, k_col: str = "k", inertia_col: str = "inertia")
 
 # ---- density clusters --------------------------------------------------------------------------
 
+#: Core points that all others meet to connect the parts of slices; they travel with the tasks.
+HUBS = 1024
+
+
 def _projection(df: DataFrame, emb_col: str, dims: int = 2) -> list[list[float]]:
     """The top ``dims`` principal axes (orthonormal) as Python lists (dims x d, bounded)."""
     from pyspark.ml.feature import PCA
@@ -343,6 +347,7 @@ def _linked(chunks, eps: float):
 
 def _density_links(points: DataFrame, eps: float, min_pts: int, emb_col: str) -> tuple[DataFrame, DataFrame]:
     """(vid, core), and (a, b) both ways: links that connect core points as all neighbours do, and those of other points to theirs.
+    Points that share a vid count as one; where none do, :func:`_density_labels` does with far fewer comparisons.
 
     Every point meets the cells within ``eps`` (:mod:`presslens.operators.cells`) twice: to be counted, and to be linked.  Neighbours
     are told by matrix products of bounded size and never become rows, so what is written follows the points and not their pairs."""
@@ -367,6 +372,186 @@ def _density_links(points: DataFrame, eps: float, min_pts: int, emb_col: str) ->
     return known.select(F.col("id").alias("vid"), (F.col("core") == 1).alias("core")), links.select("a", "b").unionByName(back)
 
 
+def _roots(parent, v):
+    """The roots of ``v`` in a forest in which no parent is greater than its child."""
+    top = parent[v]
+    while ((up := parent[top]) != top).any():
+        top = up
+    parent[v] = top
+    return top
+
+
+def _unite(parent, a, b) -> None:
+    """Hang the trees of ``a`` and ``b`` together, pair by pair, the greater root under the smaller."""
+    import numpy as np
+
+    a, b = _roots(parent, a), _roots(parent, b)
+    while (some := a != b).any():
+        pairs = np.unique(np.stack((np.maximum(a, b)[some], np.minimum(a, b)[some])), axis=1)
+        np.minimum.at(parent, *pairs)
+        a, b = _roots(parent, pairs[0]), _roots(parent, pairs[1])
+
+
+def _forest(pairs):
+    """(a, b): for arrays of pairs of numbers, the numbers that hang under a smaller one of their tree."""
+    import numpy as np
+
+    names, parent = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for a, b in pairs:
+        more = np.union1d(names, np.concatenate((a, b)))
+        grown = np.arange(len(more))
+        grown[np.searchsorted(more, names)] = np.searchsorted(more, names[parent])
+        names, parent = more, grown
+        _unite(parent, np.searchsorted(names, a), np.searchsorted(names, b))
+    top = _roots(parent, np.arange(len(names)))
+    return names[top != np.arange(len(names))], names[top[top != np.arange(len(names))]]
+
+
+def _turned(n: int, at: int, step: int) -> list:
+    """The ranges of so many rows below ``n``, first the one that holds ``at``."""
+    starts = list(range(0, n, step))
+    return [slice(i, i + step) for i in starts[at // step:] + starts[:at // step]]
+
+
+def _inside(got: dict, eps: float, min_pts: int):
+    """(core, part) of the points of a slice (in the order of their cells), as far as it tells: whether ``min_pts`` rows lie within ``eps``, and the least
+    id of the core points that core points of the slice connect with each.
+
+    A point is counted until it is core.  Core points that are connected with the largest part need not meet the others of it."""
+    import numpy as np
+
+    n, rows, wide = len(got["id"]), cells.BLOCK_ROWS, cells.BLOCK_POINTS
+    frame = cells.Frame(got["e"])
+    A, sq = frame.sides(got["e"], False)
+    B, _ = frame.sides(got["e"], True)
+    room = frame.unit * (sq + float(sq.max()))
+
+    def hits(q, t):
+        return cells.within(got, got, q, t, A[q] @ B[t].T, room[q], frame, eps)
+
+    total = got["weight"].astype("float64")
+    for i in range(0, n, rows):
+        q = np.arange(i, min(i + rows, n))
+        for t in _turned(n, i, wide):
+            q = q[total[q] < min_pts]
+            if not len(q):
+                break
+            x, y = hits(q, np.arange(n)[t])
+            total += np.bincount(x, got["weight"][y], n)
+    core = np.flatnonzero(total >= min_pts)
+    parent = np.arange(n)
+    for i in range(0, len(core), rows):
+        _unite(parent, *hits(core[i:i + rows], core[_turned(len(core), i, wide)[0]]))
+    if len(core):
+        of = _roots(parent, core)
+        most = np.bincount(of).argmax()
+        rest = core[of != most]
+        for i in range(0, len(rest), rows):
+            q = rest[i:i + rows]
+            for t in _turned(len(core), int(np.searchsorted(core, q[0])), wide):
+                q = q[_roots(parent, q) != _roots(parent, np.array([most]))]
+                if not len(q):
+                    break
+                _unite(parent, *hits(q, core[t]))
+    top = _roots(parent, np.arange(n))
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, top[core], got["id"][core])
+    return total >= min_pts, least[top]
+
+
+def _density_labels(points: DataFrame, eps: float, min_pts: int, emb_col: str, max_rounds: int) -> DataFrame:
+    """(vid, label): the least id of the core points of its cluster, for core points and for others near one (the least such label).
+
+    Points are counted and connected in their own slice (:mod:`presslens.operators.cells`), each only until it is told.  A point that is not
+    core there is counted in all slices that it can reach.  The parts of core points that slices have found are connected by a few hubs,
+    and whatever is not connected with the largest part then meets all cells that hold another part.  Neighbours never
+    become rows, so what is written follows the points and not their pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    where, placed = cells.build(points.select(F.col("vid").cast("bigint").alias("id"), F.col(emb_col).alias("e"), F.col("weight").cast("double").alias("weight")), ("weight",))
+    placed = placed.select("id", "e", "weight", "cell", "sub", where.slice_of(F.col("cell"), F.col("sub")).alias("slice"))
+
+    def inside(table):
+        table = table.sort_by([("cell", "ascending"), ("id", "ascending")])
+        got = {c: table[c].to_numpy() for c in ("id", "weight")} | {"e": cells._matrix(table["e"].combine_chunks(), table.num_rows)}
+        core, part = _inside(got, eps, min_pts)
+        return table.drop_columns(["slice"]).append_column("core", pa.array(core.astype(np.int32))).append_column(
+            "part", pa.array(np.where(core, part, got["id"])))
+
+    told = placed.groupBy("slice").applyInArrow(inside, "id bigint, e array<double>, weight double, cell int, sub int, core int, part bigint")
+    known = cut_lineage(told.withColumn("reach", F.lit(float(eps))))
+    several = where.slices().shape[1] > 1
+    if several:  # what a slice has not told
+        unsure = cut_lineage(known.filter("core = 0"))
+
+        def counted(ask, have, plan):
+            frame, n = cells.Frame(have["e"], ask["e"]), np.zeros(len(ask["id"]))
+            for q, t, G, room in cells.blocks(frame, ask, have, plan):
+                x, y = cells.within(ask, have, q, t, G, room, frame, eps)
+                n += np.bincount(x, have["weight"][y], len(n))
+            yield pa.RecordBatch.from_arrays([pa.array(ask["id"][n > 0]), pa.array(n[n > 0])], names=["id", "n"])
+
+        more = cells.meet(unsure, known, where, counted, "id bigint, n double", extra=("weight",), whole=True).groupBy("id").agg(F.sum("n").alias("_nw"))
+        late = cut_lineage(unsure.join(more, "id").filter(F.col("weight") + F.col("_nw") >= min_pts).select("id", F.lit(1).alias("_late")))
+        known = cut_lineage(known.join(late, "id", "left").withColumn("core", F.coalesce("_late", "core")).drop("_late"))
+    core = known.filter("core = 1")
+    links = None
+
+    def both(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    if several:
+        hubs = core.select("e", "part", "id").orderBy(F.xxhash64("id"), "id").limit(HUBS).collect()
+        if hubs:
+            H = {"e": np.array([r["e"] for r in hubs], "float64"), "part": np.array([r["part"] for r in hubs]), "id": np.array([r["id"] for r in hubs])}
+
+            def to_hubs(batches):
+                for b in batches:
+                    if not b.num_rows:
+                        continue
+                    x = {"id": b.column("id").to_numpy(), "part": b.column("part").to_numpy(), "e": cells._matrix(b.column("e"), b.num_rows)}
+                    frame = cells.Frame(H["e"], x["e"])
+                    plan = [(np.arange(i, min(i + 512, b.num_rows)), np.arange(len(hubs))) for i in range(0, b.num_rows, 512)]
+                    found = (cells.within(x, H, q, t, G, room, frame, eps) for q, t, G, room in cells.blocks(frame, x, H, plan))
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in _forest((x["part"][q], H["part"][t]) for q, t in found)], names=["a", "b"])
+
+            links = cut_lineage(core.select("id", "part", "e").mapInArrow(to_hubs, "a bigint, b bigint").distinct())
+            comp = connected_components(both(links), core.select(F.col("part").alias("vid")).distinct(), max_rounds=max_rounds)
+            known = cut_lineage(known.join(comp.withColumnRenamed("vid", "part"), "part", "left").withColumn(
+                "part", F.coalesce("label", "part")).drop("label"))
+            core = known.filter("core = 1")
+    largest = core.groupBy("part").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "part").limit(1).collect()
+    alike, whole = np.zeros(len(where.subs), np.int64), np.zeros(len(where.subs), bool)
+    for r in core.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).collect():  # a row per pivot
+        alike[r["cell"]], whole[r["cell"]] = r["low"], r["low"] == r["high"]
+
+    def spare(x, some):  # a cell of a core point's own part tells nothing
+        return (x["core"] == 1)[:, None] & (whole[some][None] & (x["part"][:, None] == alike[some][None]))
+
+    def met(ask, have, plan):
+        frame, joins = cells.Frame(have["e"], ask["e"]), []
+        for q, t, G, room in cells.blocks(frame, ask, have, plan):
+            x, y = cells.within(ask, have, q, t, G, room, frame, eps)
+            edge = ask["core"][x] == 0
+            a, b = ask["id"][x[edge]], have["part"][y[edge]]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int32))], names=["a", "b", "core"])
+            a, b = ask["part"][x[~edge]], have["part"][y[~edge]]
+            joins.append(np.unique(np.stack((a, b))[:, a != b], axis=1))
+            if len(joins) == 64:
+                joins = [np.stack(_forest(joins))]
+        a, b = _forest(joins)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.ones(len(a), np.int32))], names=["a", "b", "core"])
+
+    asked = known.filter((F.col("core") == 0) | (F.col("part") != F.lit(largest[0]["part"] if largest else 0)) if several else F.col("core") == 0)
+    found = cut_lineage(cells.meet(cut_lineage(asked), core, where, met, "a bigint, b bigint, core int", extra=("core", "part"), whole=True, spare=spare).distinct())
+    parts = core.select(F.col("part").alias("vid")).distinct()
+    comp = connected_components(both(found.filter("core = 1")), parts, max_rounds=max_rounds) if several else parts.withColumn("label", F.col("vid"))
+    comp = comp.withColumnRenamed("vid", "part")
+    edge = found.filter("core = 0").join(comp.withColumnRenamed("part", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
+    return core.join(comp, "part").select(F.col("id").alias("vid"), "label").unionByName(edge.withColumnRenamed("a", "vid"))
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame, node_col: str = "vid", max_rounds: int = 100) -> DataFrame:
     """Smallest node id of each connected component: min-label propagation with hooking and pointer jumping.
 
@@ -410,24 +595,27 @@ def density_clusters(df: DataFrame, eps: float, min_pts: int = 5, min_size: int
     points = cut_lineage(src.filter(F.col("_e").isNotNull()).groupBy("_e").agg(F.min(key).alias("vid"), F.count(F.lit(1)).alias("weight"))
                             .withColumnRenamed("_e", emb_col))
     whole_numbers = points.schema["vid"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    if tables or not whole_numbers:
-        near = (likely_neighbours(points, eps, tables, bits, emb_col) if tables else
-                epsilon_neighbours(points, eps, emb_col, grid_dims=grid_dims))
-        nb = cut_lineage(near)   # used four times below: computed once
-        counts = nb.groupBy("a").agg(F.sum("wb").alias("_nw"))
-        core = cut_lineage(points.join(counts.withColumnRenamed("a", "vid"), "vid", "left")
-                           .select("vid", (F.col("weight") + F.coalesce(F.col("_nw"), F.lit(0)) >= min_pts).alias("core")))
+    if whole_numbers and not tables and not points.filter("vid IS NOT NULL").groupBy("vid").count().filter("count > 1").head(1):
+        labels = cut_lineage(_density_labels(points.filter("vid IS NOT NULL"), eps, min_pts, emb_col, max_rounds))
     else:
-        core, nb = _density_links(points.filter("vid IS NOT NULL"), eps, min_pts, emb_col)
-    core_ids = core.filter("core").select("vid")
-    core_edges = (nb.join(core_ids.withColumnRenamed("vid", "a"), "a", "left_semi")
-                    .join(core_ids.withColumnRenamed("vid", "b"), "b", "left_semi"))
-    comp = connected_components(core_edges, core_ids, max_rounds=max_rounds)
-    # border points: smallest label among core neighbours
-    border = (nb.join(core.filter(~F.col("core")).select(F.col("vid").alias("a")), "a", "left_semi")
-                .join(comp.withColumnRenamed("vid", "b"), "b")
-                .groupBy("a").agg(F.min("label").alias("label")).withColumnRenamed("a", "vid"))
-    labels = comp.unionByName(border)
+        if whole_numbers and not tables:
+            core, nb = _density_links(points.filter("vid IS NOT NULL"), eps, min_pts, emb_col)
+        else:
+            near = (likely_neighbours(points, eps, tables, bits, emb_col) if tables else
+                    epsilon_neighbours(points, eps, emb_col, grid_dims=grid_dims))
+            nb = cut_lineage(near)   # used four times below: computed once
+            counts = nb.groupBy("a").agg(F.sum("wb").alias("_nw"))
+            core = cut_lineage(points.join(counts.withColumnRenamed("a", "vid"), "vid", "left")
+                               .select("vid", (F.col("weight") + F.coalesce(F.col("_nw"), F.lit(0)) >= min_pts).alias("core")))
+        core_ids = core.filter("core").select("vid")
+        core_edges = (nb.join(core_ids.withColumnRenamed("vid", "a"), "a", "left_semi")
+                        .join(core_ids.withColumnRenamed("vid", "b"), "b", "left_semi"))
+        comp = connected_components(core_edges, core_ids, max_rounds=max_rounds)
+        # border points: smallest label among core neighbours
+        border = (nb.join(core.filter(~F.col("core")).select(F.col("vid").alias("a")), "a", "left_semi")
+                    .join(comp.withColumnRenamed("vid", "b"), "b")
+                    .groupBy("a").agg(F.min("label").alias("label")).withColumnRenamed("a", "vid"))
+        labels = comp.unionByName(border)
     sizes = (labels.join(points.select("vid", "weight"), "vid").groupBy("label")
                    .agg(F.sum("weight").alias("_size")))
     keep = sizes.filter(F.col("_size") >= min_size).select("label")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from presslens.operators import clustering as M
@@ -200,3 +201,64 @@ def test_neighbours_are_linked_without_being_listed(spark, monkeypatch):
     got = dict(map(tuple, M.density_clusters(df, 1.0, min_pts=5, min_size=5).collect()))
     assert got == {i + 7: 7 if i < 600 else 607 if i < 800 else -1 for i in range(809)}
     assert max(most) <= 10 * len(X)
+
+
+def _by_definition(X, ids, eps, min_pts):
+    """Labels of DBSCAN by all pairs: the least core id of a cluster, border points with the least label near them, -1 for noise."""
+    import numpy as np
+
+    near = ((X[:, None] - X[None]) ** 2).sum(2) <= eps * eps
+    core = near.sum(1) >= min_pts
+    label = np.where(core, ids, np.iinfo(np.int64).max)
+    while True:
+        new = np.where(core, np.where(near & core[None], label[None], np.iinfo(np.int64).max).min(1), label)
+        if (new == label).all():
+            break
+        label = new
+    seen = np.where(near & core[None], label[None], np.iinfo(np.int64).max).min(1)
+    return {int(i): int(v) if v < np.iinfo(np.int64).max else -1 for i, v in zip(ids, seen, strict=True)}
+
+
+@pytest.mark.parametrize(("dims", "eps", "min_pts", "hubs"), [(2, .22, 4, 5), (2, .12, 6, 1), (3, .5, 5, 3), (12, 3.4, 4, 7), (12, 2.6, 3, 2)])
+def test_density_labels_over_several_slices(spark, monkeypatch, dims, eps, min_pts, hubs):
+    import numpy as np
+
+    monkeypatch.setattr(M, "HUBS", hubs)
+    monkeypatch.setattr(M.cells, "SLICE_BLOCKS", 1)
+    monkeypatch.setattr(M.cells, "BLOCK_POINTS", 40)
+    monkeypatch.setattr(M.cells, "BLOCK_ROWS", 25)
+    build, meet = M.cells.build, M.cells.meet
+    monkeypatch.setattr(M.cells, "build", lambda *a, **b: build(*a, block_rows=60, **b))
+    met = []
+    monkeypatch.setattr(M.cells, "meet", lambda q, *a, **b: met.append(q.count()) or meet(q, *a, **b))
+    rng = np.random.default_rng(dims + hubs)
+    X = np.concatenate([rng.normal(size=(250, dims)), rng.normal(size=(120, dims)) * .2 + 2, rng.uniform(-4, 4, size=(60, dims))])
+    ids = rng.permutation(len(X)) - 50
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, X, strict=True)], "orig_index long, embedding array<double>")
+    got = dict(map(tuple, M.density_clusters(df, eps, min_pts=min_pts, min_size=1).collect()))
+    assert got == _by_definition(X, ids, eps, min_pts)
+    assert len(met) == 2  # what its slice has not told is counted, and what is not in the largest part is connected
+
+
+def test_points_that_are_told_are_not_met_again(spark, monkeypatch):
+    import numpy as np
+
+    compared = []
+    hits = M.cells.within
+    monkeypatch.setattr(M.cells, "within", lambda ask, have, q, t, *a: compared.append(len(q) * len(t)) or hits(ask, have, q, t, *a))
+    monkeypatch.setattr(M.cells, "BLOCK_POINTS", 250)
+    monkeypatch.setattr(M.cells, "BLOCK_ROWS", 50)
+    n = 3000
+    X = np.random.default_rng(2).uniform(-2, 2, size=(n, 4))
+    got = {"id": np.arange(n) + 5, "weight": np.ones(n), "e": X}
+    core, part = M._inside(got, 1.0, 4)
+    assert sum(compared) < n * n / 2  # it was 2 n^2
+    want = _by_definition(X, got["id"], 1.0, 4)
+    assert {int(i): int(p) for i, c, p in zip(got["id"], core, part, strict=True) if c} == {
+        int(i): want[int(i)] for i, c in zip(got["id"], core, strict=True) if c}
+
+
+def test_repeated_keys_with_unlike_vectors_count_as_one(spark):
+    rows = [(1, [0.0, 0.0]), (1, [10.0, 0.0]), (2, [0.5, 0.0]), (3, [10.5, 0.0]), (4, [50.0, 0.0])]
+    df = spark.createDataFrame(rows, "orig_index long, embedding array<double>")
+    assert {(r["orig_index"], r["cluster"]) for r in M.density_clusters(df, 1.0, min_pts=2, min_size=1).collect()} == {(1, 1), (2, 1), (3, 1), (4, -1)}
